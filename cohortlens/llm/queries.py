@@ -6,15 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio
-from .common import table
+from . import audio, langid
+from .common import id_remainder, table
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"), with_tensors=False)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 4) == 2
+    model = langid.fit(docs, ~held_out)
+    return langid.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_language_id": op3_language_id,
     "op10_audio_features": op10_audio_features,
 }
 ORACLES: dict[str, str] = {}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, langid
+from . import audio, chat, langid, mixing, urls
 from .common import id_remainder, table
 
 
@@ -21,8 +21,60 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: host, path, verdict
+URL_RULES = "VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block') AS rules(host, path, verdict)"
+
+
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs).select("doc_id", "source", "mix.block", "mix.slot", "mix.place")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.url_verdicts(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_source_mix": op2_source_mix,
     "op3_language_id": op3_language_id,
+    "op5_url_filters": op5_url_filters,
+    "op9_chat_format": op9_chat_format,
     "op10_audio_features": op10_audio_features,
 }
-ORACLES: dict[str, str] = {}
+_URL = """
+WITH parsed AS (
+    SELECT page_id,
+           CASE WHEN instr(url, '://') > 0 THEN translate(regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+           CASE WHEN instr(url, '://') > 0 THEN regexp_extract(substr(url, instr(url, '://') + 3), '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path
+    FROM pages),
+ranked AS (
+    SELECT p.*, r.host || r.path AS rule, r.verdict
+    FROM (SELECT row_number() OVER () AS rn, * FROM parsed) p
+    LEFT JOIN (VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')) r(host, path, verdict)
+      ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM ranked QUALIFY row_number() OVER (PARTITION BY rn ORDER BY length(rule) DESC NULLS LAST) = 1
+"""
+
+_MIX = """
+WITH RECURSIVE src AS (
+    SELECT source, round(sqrt(count(*)) / sum(sqrt(count(*))) OVER () * 1000, 12) AS share, count(*) AS n FROM documents GROUP BY source),
+parts AS (SELECT source, greatest(1, CAST(floor(share + 0.5) AS BIGINT)) AS p, row_number() OVER (ORDER BY source) AS i FROM src),
+one AS (SELECT list(p ORDER BY i) AS ps, CAST(sum(p) AS BIGINT) AS q FROM parts),
+edf(t, done, pick) AS (
+    SELECT CAST(-1 AS BIGINT), list_transform(ps, lambda x: CAST(0 AS BIGINT)), CAST(0 AS BIGINT) FROM one
+    UNION ALL
+    SELECT t, list_transform(done, lambda d, i: d + CASE WHEN i = pick THEN 1 ELSE 0 END), pick FROM (
+        SELECT t + 1 AS t, done, list_min(list_transform(ps, lambda x, i: CASE WHEN done[i] * q // x <= t + 1 THEN (((done[i] + 1) * q + x - 1) // x) * 100000 + i END)) % 100000 AS pick
+        FROM edf, one WHERE t + 1 < q)),
+slots AS (SELECT pick AS i, t AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0),
+rows AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id % 1024, doc_id) - 1 AS k FROM documents)
+SELECT r.doc_id, r.source, r.k // 32 AS block, CAST(r.k // 32 // parts.p * one.q + slots.at AS BIGINT) AS slot, r.k % 32 AS place
+FROM rows r JOIN parts USING (source) CROSS JOIN one JOIN slots ON slots.i = parts.i AND slots.nth = r.k // 32 % parts.p
+"""
+
+ORACLES: dict[str, str] = {"op2_source_mix": _MIX, "op5_url_filters": _URL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import string
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,3 +44,13 @@ def unit_hash(column: str) -> Column:
 def sample_rate(rows: int, bound: int) -> float:
     """The share of rows that keeps a training sample near `bound` rows."""
     return 1.0 if rows <= bound else bound / rows
+
+
+def durable_table(df: DataFrame) -> DataFrame:
+    """Like `durable`, as compressed Parquet in a folder of its own."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

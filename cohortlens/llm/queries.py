@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import audio, chat, langid, mixing, urls
+from . import audio, chat, langid, lm, mixing, urls
 from .common import id_remainder, table
 
 
@@ -21,6 +22,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_texts(table(spark, sf_dir, "documents"), id_remainder("doc_id", 5) != 1)
+    return scored.select("doc_id", (~F.col("learned")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "pieces_score")
+
+
 #: host, path, verdict
 URL_RULES = "VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block') AS rules(host, path, verdict)"
 
@@ -41,6 +47,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_source_mix": op2_source_mix,
     "op3_language_id": op3_language_id,
+    "op4_lm_score": op4_lm_score,
     "op5_url_filters": op5_url_filters,
     "op9_chat_format": op9_chat_format,
     "op10_audio_features": op10_audio_features,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, langid, lm, mixing, urls
+from . import audio, chat, langid, lm, mixing, pieces, urls
 from .common import id_remainder, table
 
 
@@ -40,6 +40,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.url_verdicts(table(spark, sf_dir, "pages"), spark.sql(f"SELECT * FROM {URL_RULES}"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_lm_score": op4_lm_score,
     "op5_url_filters": op5_url_filters,
+    "op6_sentencepiece": op6_sentencepiece,
     "op9_chat_format": op9_chat_format,
     "op10_audio_features": op10_audio_features,
 }

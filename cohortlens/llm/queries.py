@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, langid, lm, mixing, pieces, urls
+from . import audio, chat, langid, lm, mixing, pieces, toxicity, urls
 from .common import id_remainder, table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = id_remainder("doc_id", 5) == 0
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    return toxicity.predict(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.audio_features(table(spark, sf_dir, "documents"), with_tensors=False)
 
@@ -49,6 +56,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_source_mix": op2_source_mix,
     "op3_language_id": op3_language_id,
     "op4_lm_score": op4_lm_score,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, langid, lm, mixing, pieces, toxicity, urls
+from . import ann, audio, chat, langid, lm, mixing, pieces, toxicity, urls
 from .common import id_remainder, table
 
 
@@ -51,6 +51,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_score": op4_lm_score,
     "op5_url_filters": op5_url_filters,
     "op6_sentencepiece": op6_sentencepiece,
+    "op8_nearest": op8_nearest,
     "op9_chat_format": op9_chat_format,
     "op10_audio_features": op10_audio_features,
 }

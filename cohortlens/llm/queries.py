@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, chat, langid, lm, mixing, pieces, toxicity, urls
-from .common import id_remainder, table
+from . import ann, audio, chat, langid, lm, mixing, pieces, simhash, toxicity, urls
+from .common import durable_table, id_remainder, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,6 +51,11 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prints = durable_table(simhash.fingerprints(table(spark, sf_dir, "documents"), 3))
+    return simhash.link_fingerprints(prints).select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(20)) == 0)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_score": op4_lm_score,
     "op5_url_filters": op5_url_filters,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_simhash": op7_simhash,
     "op8_nearest": op8_nearest,
     "op9_chat_format": op9_chat_format,
     "op10_audio_features": op10_audio_features,

@@ -18,11 +18,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 40_000_000
 #: place = block * WORDS + the word's number in its block; block = partition * BLOCKS + number in its partition.
 WORDS, BLOCKS = 1 << 24, 1 << 14
 BATCH = 65_536
@@ -35,31 +36,49 @@ class Block:
     ids: list
     learn: list[bool]
     digests: list[int]
-    tokens: list[np.ndarray]
+    n: np.ndarray  # of words in each document
+    flat: np.ndarray  # the documents' words as numbers, one document after another
 
 
-def cut(batches: Iterator[pa.RecordBatch], split: Callable[[str], list], digest: Callable[[str], int] | None) -> Iterator[Block]:
-    """`split` gives a text's words, all str or all bytes."""
+#: Words -> their parts, and for each word the numbers of its parts, one word after another, with where they begin.
+Refine = Callable[[list], tuple[list, np.ndarray, np.ndarray]]
+
+
+def cut(batches: Iterator[pa.RecordBatch], split: Callable[[str], list], digest: Callable[[str], int] | None, refine: Refine | None = None) -> Iterator[Block]:
+    """`split` gives a text's words, all str or all bytes; `refine` may cut a block's distinct words into parts."""
     numbers = itertools.count(TaskContext.get().partitionId() * BLOCKS)
     index: dict = defaultdict(itertools.count().__next__)
-    b, size = Block(next(numbers), [], [], [], [], []), 0
+
+    def fresh() -> tuple[list, list, list, list]:
+        index.clear()
+        index.default_factory = itertools.count().__next__
+        return [], [], [], []
+
+    def block() -> Block:
+        words, flat, n = list(index), np.concatenate(tokens), np.array([len(t) for t in tokens])
+        if refine:
+            words, parts, first = refine(words)
+            size = np.diff(first)[flat]
+            ends = np.cumsum(size)
+            at = np.repeat(first[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+            n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
+            flat = parts[at].astype(np.int32)
+        return Block(next(numbers), words, ids, learns, digests, n, flat)
+
+    (ids, learns, digests, tokens), size = fresh(), 0
     for batch in batches:
         for i, text, learn in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
             t = text.as_py() or ""
-            b.tokens.append(np.fromiter(map(index.__getitem__, split(t)), np.int32))
-            b.ids.append(i.as_py())
-            b.learn.append(bool(learn.as_py()))
-            b.digests.append(digest(t) if digest else 0)
+            tokens.append(np.fromiter(map(index.__getitem__, split(t)), np.int32))
+            ids.append(i.as_py())
+            learns.append(bool(learn.as_py()))
+            digests.append(digest(t) if digest else 0)
             size += len(t) + 64
             if size >= BLOCK_CHARS or len(index) > WORDS // 4:
-                b.words = list(index)
-                yield b
-                index.clear()
-                index.default_factory = itertools.count().__next__
-                b, size = Block(next(numbers), [], [], [], [], []), 0
-    if b.ids:
-        b.words = list(index)
-        yield b
+                yield block()
+                (ids, learns, digests, tokens), size = fresh(), 0
+    if ids:
+        yield block()
 
 
 def checksum(words: list) -> int:
@@ -83,14 +102,23 @@ def unpack(body: bytes) -> pa.RecordBatch:
         return r.read_next_batch()
 
 
-def word_rows(docs: DataFrame, split: Callable[[str], list], kind: str) -> DataFrame:
+def squeeze(numbers: np.ndarray) -> bytes:
+    """Word numbers, below WORDS, as three planes of bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 6)
+
+
+def unsqueeze(body: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(body), np.uint8).reshape(3, -1)
+    return planes[0].astype(np.int32) | planes[1].astype(np.int32) << 8 | planes[2].astype(np.int32) << 16
+
+
+def word_rows(docs: DataFrame, split: Callable[[str], list], kind: str, refine: Refine | None = None) -> DataFrame:
     """(word, place, n): a row for each distinct word of each block; n: its uses in the rows to learn from.
     `docs` has id, text, learn."""
 
     def rows(batches):
-        for b in cut(batches, split, None):
-            flat = [t for t, learn in zip(b.tokens, b.learn, strict=True) if learn]
-            n = np.bincount(np.concatenate(flat), minlength=len(b.words)) if flat else np.zeros(len(b.words), np.int64)
+        for b in cut(batches, split, None, refine):
+            n = np.bincount(b.flat[np.repeat(np.array(b.learn, bool), b.n)], minlength=len(b.words))
             place = b.number * WORDS + np.arange(len(b.words))
             for at in range(0, len(b.words), BATCH):
                 s = slice(at, at + BATCH)
@@ -99,19 +127,18 @@ def word_rows(docs: DataFrame, split: Callable[[str], list], kind: str) -> DataF
     return docs.mapInArrow(rows, f"word {kind}, place long, n long")
 
 
-def doc_rows(docs: DataFrame, split: Callable[[str], list], digest: Callable[[str], int] | None = None) -> DataFrame:
+def doc_rows(docs: DataFrame, split: Callable[[str], list], digest: Callable[[str], int] | None = None, refine: Refine | None = None) -> DataFrame:
     """(block, body): a block's documents as numbers into its words."""
     id_type = docs.schema["id"].dataType.simpleString()
 
     def rows(batches):
-        for b in cut(batches, split, digest):
-            offsets = np.concatenate([[0], np.cumsum([len(t) for t in b.tokens])]).astype(np.int32)
+        for b in cut(batches, split, digest, refine):
             ids = pa.array(b.ids, pa.int64() if id_type == "bigint" else None)
-            body = pack({"id": ids, "learn": pa.array(b.learn), "digest": pa.array(b.digests, pa.uint64()), "tokens": pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(b.tokens)))})
+            body = pack({"id": ids, "learn": pa.array(b.learn), "digest": pa.array(b.digests, pa.uint64()), "n": pa.array(b.n, pa.int32())})
             head = pack({"words": pa.array([len(b.words)]), "check": pa.array([checksum(b.words)])})
-            yield pa.RecordBatch.from_pydict({"block": pa.array([b.number]), "head": pa.array([head], pa.binary()), "body": pa.array([body], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"block": pa.array([b.number]), "head": pa.array([head], pa.binary()), "body": pa.array([body], pa.binary()), "tokens": pa.array([squeeze(b.flat)], pa.binary())})
 
-    return docs.mapInArrow(rows, "block long, head binary, body binary")
+    return docs.mapInArrow(rows, "block long, head binary, body binary, tokens binary")
 
 
 def answers(places: np.ndarray, row: np.ndarray, columns: dict[str, np.ndarray | pa.Array], words: list) -> pa.RecordBatch:
@@ -128,8 +155,8 @@ def answers(places: np.ndarray, row: np.ndarray, columns: dict[str, np.ndarray |
     return pa.RecordBatch.from_pydict({"block": pa.array(block[at[:-1]] if len(block) else [], pa.int64()), "answer": pa.array(out, pa.binary())})
 
 
-def gather(found: pa.Table, asked: pa.Table) -> tuple[pa.Table, list[pa.RecordBatch]]:
-    """All answers of a block in the order of its words, and its documents."""
+def gather(found: pa.Table, asked: pa.Table) -> tuple[pa.Table | None, pa.RecordBatch, np.ndarray, np.ndarray]:
+    """All answers of a block in the order of its words, its documents, their words and where each document's begin."""
     parts = [unpack(x.as_py()) for x in found.column("answer")]
     head, check = unpack(asked.column("head")[0].as_py()), 0
     for p in parts:
@@ -138,13 +165,14 @@ def gather(found: pa.Table, asked: pa.Table) -> tuple[pa.Table, list[pa.RecordBa
     n = table.num_rows if table else 0
     if asked.num_rows != 1 or head.column("words")[0].as_py() != n or head.column("check")[0].as_py() != check:
         raise ValueError("the documents came in another order when read again; checkpoint them first")
-    return table, [unpack(x.as_py()) for x in asked.column("body")]
+    body = unpack(asked.column("body")[0].as_py())
+    at = np.concatenate([[0], np.cumsum(body.column("n").to_numpy())])
+    return table, body, unsqueeze(asked.column("tokens")[0].as_py()), at
 
 
-def join_back(found: DataFrame, asked: DataFrame, combine: Callable[[pa.Table | None, pa.RecordBatch], pa.Table], schema: str) -> DataFrame:
+def join_back(found: DataFrame, asked: DataFrame, combine: Callable[[pa.Table | None, pa.RecordBatch, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
-        table, bodies = gather(left, right)
-        return combine(table, bodies[0])
+        return combine(*gather(left, right))
 
     return found.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(whole, schema)
 

@@ -109,11 +109,10 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
     smooth = totals.tokens + 0.5 * (totals.types + 1)
     end_base, end_score = math.log10((ends + 0.5) / smooth), totals.end()
 
-    def combine(table: pa.Table | None, body: pa.RecordBatch) -> pa.Table:
+    def combine(table: pa.Table | None, body: pa.RecordBatch, flat: np.ndarray, at: np.ndarray) -> pa.Table:
         n, score, pieces = (table.column(k).to_numpy() if table else np.zeros(0) for k in ("n", "score", "pieces"))
         base, known = np.log10((n + 0.5) / smooth), n > 0
-        tokens = body.column("tokens")
-        flat, at = tokens.flatten().to_numpy(), tokens.offsets.to_numpy().tolist()
+        at = at.tolist()
         made = [(b - a + 1, int(known[i].sum()) + (ends > 0), float(base[i].sum()) + end_base, float(score[i].sum()) + end_score, float(pieces[i].sum()) + end_score) for a, b in zip(at[:-1], at[1:], strict=True) for i in (flat[a:b],)]
         c = list(zip(*made, strict=True))
         return pa.table({"id": body.column("id"), "learned": body.column("learn"), "n_tokens": pa.array(c[0], pa.int64()), "n_known": pa.array(c[1], pa.int64()), "train_tokens": pa.array([totals.tokens] * len(made), pa.int64()), "base_score": pa.array(c[2], pa.float64()), "score": pa.array(c[3], pa.float64()), "pieces_score": pa.array(c[4], pa.float64())})

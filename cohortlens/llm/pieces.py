@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
-Text is written as the vocabulary writes it (a leading mark, marks for spaces) and cut into words at places that no
-piece spans, so words can be encoded apart from each other. Every distinct word's substrings of bounded length are
+Text is written as the vocabulary writes it (a leading mark, marks for spaces) and cut into words, and these into parts,
+at places that no piece spans, so that each part can be encoded apart from the others. Every distinct part's substrings of bounded length are
 exploded and joined to the piece table; its edges are grouped by word, and Viterbi is folded over them by a
 higher-order aggregate. What was found goes back to the documents by blocks.
 
@@ -15,8 +15,11 @@ Repeated rows give repeated rows; an empty table gives an empty result; other co
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
-from collections.abc import Callable, Iterator
+from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,43 +30,64 @@ from pyspark.sql import functions as F
 from . import blocks
 from .lattice import DEFAULT_VOCABULARY, MARK, Vocabulary, read_vocabulary
 
-_CUT = re.compile(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+")
-#: Words longer than this are also cut between characters that no piece holds side by side.
-LONG = 48
+#: A piece of text after a line break has no mark before it; PLAIN tells it from one that has.
+PLAIN = "\0"
+_MARK_BYTES = MARK.encode()
+_RUN = re.compile(" +[^ ]*|[^ ]+")
+#: Text whose distinct words make one task of the lattice: some 10,000 words, whose edges are sorted in memory.
+PART_CHARS = 1_500_000
 
 
-def escape(text: str | None) -> str:
-    return MARK + text.replace(" ", MARK) if text else ""
+def _runs(text: str) -> Iterator[str]:
+    for i, line in enumerate(text.split("\n")):
+        if i:
+            yield "\n"
+        for run in _RUN.findall(line if i else " " + line):
+            yield run[1:].replace(" ", MARK) if run[0] == " " else PLAIN + run
 
 
-def splitter(vocab: Vocabulary) -> Callable[[str], list[str]]:
-    pairs = {p[i : i + 2] for p in vocab.pieces for i in range(len(p) - 1)}
-    if any("\n" in p or MARK in p.strip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in vocab.pieces):
-        raise ValueError("this vocabulary has pieces that span words")
-
-    def long(word: str) -> Iterator[str]:
-        at = 0
-        for i in range(1, len(word)):
-            if word[i - 1 : i + 1] not in pairs:
-                yield word[at:i]
-                at = i
-        yield word[at:]
+def split(text: str) -> list[str]:
+    """Words that stand after one space or the start, without that mark; line breaks; and the text right after these."""
+    if not text:
+        return []
+    lines = text.replace("\n", f" \n {PLAIN}")
+    return list(_runs(text)) if "  " in lines or PLAIN in text else lines.split(" ")
 
-    def split(text: str) -> list[str]:
-        found = _CUT.findall(escape(text.encode("utf-8", "replace").decode()))
-        return [x for w in found for x in (long(w) if len(w) > LONG else (w,))] if any(len(w) > LONG for w in found) else found
 
-    return split
+def refiner(vocab: Vocabulary) -> blocks.Refine:
+    """Words are cut between characters that no piece holds side by side: no segmentation is lost, and there are fewer
+    and shorter distinct parts."""
+    if any("\n" in p or MARK in p.strip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in vocab.pieces):
+        raise ValueError("this vocabulary has pieces that span words")
+    pairs = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in vocab.pieces for i in range(len(p) - 1)}), np.int64)
+
+    def refine(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        texts = [w if w == "\n" else w[1:] if w[:1] == PLAIN else MARK + w for w in words]
+        joined = "".join(texts)
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        length = np.fromiter(map(len, texts), np.int64, len(texts))
+        pair = np.concatenate([[0], codes[:-1] << 21 | codes[1:]])[: len(codes)]
+        found = np.searchsorted(pairs, pair)
+        found[found == len(pairs)] = 0
+        begins = pairs[found] != pair
+        begins[(np.cumsum(length) - length)[length > 0]] = True
+        at = np.flatnonzero(begins)
+        index: dict[str, int] = defaultdict(itertools.count().__next__)
+        parts = np.fromiter((index[joined[a:b]] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(joined)], strict=True)), np.int64, len(at))
+        n = np.bincount(np.repeat(np.arange(len(texts)), length)[at], minlength=len(texts))
+        return list(index), parts, np.concatenate([[0], np.cumsum(n)])
+
+    return refine
 
 
 def digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace").decode().replace(MARK, " "))
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace").replace(_MARK_BYTES, b" "))
 
 
 #: The fold's state: best paths of the positions done, and the best so far of the position at hand.
 _FOLD = """
 aggregate(
-  array_sort(edges),
+  sort_array(edges),
   named_struct('done', array(named_struct('w', 0D, 'ids', cast(array() as array<int>))), 'at', 0, 'w', cast(null as double), 'from', 0, 'id', 0),
   (a, e) -> transform(array(if(e.to > a.at and a.at > 0,
         array_append(a.done, named_struct('w', a.w, 'ids', array_append(a.done[a.from].ids, a.id))), a.done)),
@@ -84,12 +108,12 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     weight = vocab.prior[: len(vocab.pieces)]
     table = spark.createDataFrame(pa.table({"piece": vocab.pieces, "id": pa.array(vocab.ids), "w": weight}))
     longest, unknown = max(map(len, vocab.pieces)), float(weight.min()) - 10
-    starts = words.select("word", "places", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("i"))
-    subs = starts.select("word", "places", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("i") + 1))).alias("n"))
-    subs = subs.withColumn("piece", F.substring("word", F.col("i"), F.col("n")))
+    ends = words.select("word", "places", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("to"))
+    subs = ends.select("word", "places", "to", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("to")))).alias("n"))
+    subs = subs.withColumn("piece", F.substring("word", F.col("to") - F.col("n") + 1, F.col("n")))
     found = subs.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
-    edge = F.struct((F.col("i") - 1 + F.col("n")).alias("to"), (F.col("i") - 1).alias("from"), F.coalesce("w", F.lit(unknown)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    return found.groupBy("word").agg(F.first("places").alias("places"), F.collect_list(edge).alias("edges")).select("word", "places", F.expr(_FOLD).alias("ids"))
+    edge = F.struct("to", (F.col("to") - F.col("n")).alias("from"), F.coalesce("w", F.lit(unknown)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
+    return found.select("word", "places", edge.alias("edge")).groupBy("word").agg(F.first("places").alias("places"), F.collect_list("edge").alias("edges")).select("word", "places", F.expr(_FOLD).alias("ids"))
 
 
 def _answers(batches: Iterator[pa.RecordBatch], byte_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -114,24 +138,24 @@ def _spell(vocab: Vocabulary) -> list[bytes]:
 def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(id, ids, n_pieces, round_trip): the pieces' ids of every text, and whether they decode to that text."""
     vocab = read_vocabulary(vocabulary)
-    split, byte_ids = splitter(vocab), vocab.byte_ids
+    refine, byte_ids = refiner(vocab), vocab.byte_ids
     spell = docs.sparkSession.sparkContext.broadcast(_spell(vocab))
     rows = blocks.prepared(docs, id_col, text_col, F.lit(False))
-    words = blocks.word_rows(rows, split, "string").groupBy("word").agg(F.collect_list("place").alias("places"))
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    parts = max(1, math.ceil(chars / PART_CHARS))
+    words = blocks.word_rows(rows, split, "string", refine).repartition(parts, "word").groupBy("word").agg(F.collect_list("place").alias("places"))
     found = encode_words(words, vocab).mapInArrow(lambda it: _answers(it, byte_ids), "block long, answer binary")
 
-    def combine(table: pa.Table | None, body: pa.RecordBatch) -> pa.Table:
+    def combine(table: pa.Table | None, body: pa.RecordBatch, tokens: np.ndarray, at: np.ndarray) -> pa.Table:
         ids = table.column("ids").combine_chunks() if table else pa.array([], pa.list_(pa.int32()))
-        tokens = body.column("tokens").flatten()
-        taken = ids.take(tokens)
-        ends = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy())[tokens.to_numpy()])])[body.column("tokens").offsets.to_numpy()]
-        flat = taken.flatten()
+        flat = ids.take(pa.array(tokens)).flatten()
+        ends = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy())[tokens])])[at]
         out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
         same = [digest_bytes(b"".join(map(spell.value.__getitem__, row.tolist()))) for row in np.split(flat.to_numpy(), ends[1:-1])] if len(ends) > 1 else []
         return pa.table({"id": body.column("id"), "ids": out, "n_pieces": pa.array(np.diff(ends), pa.int64()), "round_trip": pa.array([a == b for a, b in zip(same, body.column("digest").to_pylist(), strict=True)])})
 
     schema = f"id {dict(docs.dtypes)[id_col]}, ids array<int>, n_pieces long, round_trip boolean"
-    return blocks.join_back(found, blocks.doc_rows(rows, split, digest), combine, schema).withColumnRenamed("id", id_col)
+    return blocks.join_back(found, blocks.doc_rows(rows, split, digest, refine), combine, schema).withColumnRenamed("id", id_col)
 
 
 def digest_bytes(decoded: bytes) -> int:

@@ -82,9 +82,15 @@ def through_monday(extracted: dt.date) -> dt.date:
 
 
 def week_axis(msg: DataFrame, through: dt.date) -> DataFrame:
-    """(monday, week): dense from the first message's week."""
-    first = msg.agg(F.min("monday").alias("first")).filter("first is not null")
-    return first.select(F.explode(F.expr(f"sequence(first, date'{through}', interval 7 days)")).alias("monday")).withColumn("week", cal.week_id(F.col("monday")))
+    """(monday, week): dense from the first message's week, which is looked up at once."""
+    first = msg.agg(F.min("monday")).first()[0]
+    days = f"sequence(date'{first or through}', date'{through}', interval 7 days)" if first else "cast(array() as array<date>)"
+    return msg.sparkSession.range(1).select(F.explode(F.expr(days)).alias("monday")).withColumn("week", cal.week_id(F.col("monday")))
+
+
+def local_copy(calendar: DataFrame) -> DataFrame:
+    """The same rows as a local relation: a calendar has a few rows a week, and every section joins it."""
+    return calendar.sparkSession.createDataFrame(calendar.toArrow())
 
 
 def term_weeks(axis: DataFrame) -> DataFrame:
@@ -135,8 +141,8 @@ def view(corpus: Corpus, *, extracted: dt.date, axis_start: dt.date | None = Non
     reg = reg.withColumns({"monday": cal.monday(F.col("day")), "week": cal.week_id(F.col("day"))})
     reg = with_level(reg.filter(inside), corpus.roster, F.col("day"))
     positives = corpus.labels.filter((F.col("value") == 1) & (F.col("label_version") == label_version) & (F.col("domain") != "language")).select("history_id", "domain", "code")
-    axis = week_axis(msg, through)
-    win, bridge = windows(axis)
+    axis = local_copy(week_axis(enrich(corpus.messages).filter(inside), through))
+    win, bridge = map(local_copy, windows(axis))
     return View(msg, sessionize(msg), reg, seen, positives, axis, win, bridge)
 
 

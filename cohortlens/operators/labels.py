@@ -101,7 +101,7 @@ def parse_binary(responses: DataFrame, names: tuple[str, ...]) -> tuple[DataFram
     """
     cells = lambda line: F.transform(F.split(F.trim(F.regexp_replace(line, r"^\s*\||\|\s*$", "")), r"\|"), lambda x: F.trim(x))
     r = responses.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    r = r.withColumns({"header": cells(F.col("lines")[0]), "body": F.slice("lines", 3, F.greatest(F.lit(0), F.size("lines") - 2))})
+    r = r.withColumns({"header": cells(F.get("lines", F.lit(0))), "body": F.slice("lines", 3, F.greatest(F.lit(0), F.size("lines") - 2))})
     good_header = F.coalesce(F.col("header") == F.array(F.lit("message"), *map(F.lit, names)), F.lit(False))
     rows = r.withColumn("rows", F.transform("body", cells))
     ids = F.transform("rows", lambda c: F.try_to_number(c[0], F.lit("99999999999999999")).cast("long"))

@@ -43,7 +43,8 @@ def _runs(text: str) -> Iterator[str]:
         if i:
             yield "\n"
         for run in _RUN.findall(line if i else " " + line):
-            yield run[1:].replace(" ", MARK) if run[0] == " " else PLAIN + run
+            word = run[1:].replace(" ", MARK)
+            yield PLAIN + run if run[0] != " " else PLAIN + MARK + word if word[:1] == PLAIN else word
 
 
 def split(text: str) -> list[str]:
@@ -84,22 +85,23 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace").replace(_MARK_BYTES, b" "))
 
 
-#: The fold's state: best paths of the positions done, and the best so far of the position at hand.
+#: The fold's state: of each position done the best weight, and the last piece's begin and id; and the best so far of
+#: the position at hand. Only back references are kept, so that a long part takes space in proportion to its length.
 _FOLD = """
 aggregate(
   sort_array(edges),
-  named_struct('done', array(named_struct('w', 0D, 'ids', cast(array() as array<int>))), 'at', 0, 'w', cast(null as double), 'from', 0, 'id', 0),
-  (a, e) -> transform(array(if(e.to > a.at and a.at > 0,
-        array_append(a.done, named_struct('w', a.w, 'ids', array_append(a.done[a.from].ids, a.id))), a.done)),
+  named_struct('done', array(named_struct('w', 0D, 'from', 0, 'id', 0)), 'at', 0, 'w', cast(null as double), 'from', 0, 'id', 0),
+  (a, e) -> transform(array(if(e.to > a.at and a.at > 0, array_append(a.done, named_struct('w', a.w, 'from', a.from, 'id', a.id)), a.done)),
       d -> if(e.to = a.at and a.w >= d[e.from].w + e.w,
         named_struct('done', d, 'at', a.at, 'w', a.w, 'from', a.from, 'id', a.id),
         named_struct('done', d, 'at', e.to, 'w', d[e.from].w + e.w, 'from', e.from, 'id', e.id)))[0],
-  a -> array_append(a.done[a.from].ids, a.id))
+  a -> array_append(a.done, named_struct('w', a.w, 'from', a.from, 'id', a.id)))
 """
 
 
 def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(word, places, ids) of (word, places), distinct non-empty words. An unknown character c is the id -1 - c.
+    """(word, places, begins, ids) of (word, places), distinct non-empty words: at each position the begin and the id
+    of the last piece of the best way there. An unknown character c is the id -1 - c.
 
     The piece table is as large as the vocabulary, so it is broadcast. If `words` is dealt by word, so is the result:
     nothing is shuffled here.
@@ -113,17 +115,25 @@ def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
     subs = subs.withColumn("piece", F.substring("word", F.col("to") - F.col("n") + 1, F.col("n")))
     found = subs.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
     edge = F.struct("to", (F.col("to") - F.col("n")).alias("from"), F.coalesce("w", F.lit(unknown)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    return found.select("word", "places", edge.alias("edge")).groupBy("word").agg(F.first("places").alias("places"), F.collect_list("edge").alias("edges")).select("word", "places", F.expr(_FOLD).alias("ids"))
+    return found.select("word", "places", edge.alias("edge")).groupBy("word").agg(F.first("places").alias("places"), F.collect_list("edge").alias("edges")).select("word", "places", F.expr(_FOLD).alias("best")).select("word", "places", F.col("best.from").alias("begins"), F.col("best.id").alias("ids"))
+
+
+def _best(begins: list[int], ids: list[int], byte_ids: np.ndarray) -> list[int]:
+    """The ids on the best way, followed back from the end."""
+    out, at = [], len(ids) - 1
+    while at:
+        i = ids[at]
+        out += [i] if i >= 0 else byte_ids[list(chr(-1 - i).encode("utf-8", "surrogatepass"))][::-1].tolist()
+        at = begins[at]
+    return out[::-1]
 
 
 def _answers(batches: Iterator[pa.RecordBatch], byte_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        words, places, ids = batch.column(0).to_pylist(), batch.column(1), batch.column(2)
-        flat = ids.flatten().to_numpy()
-        if (flat < 0).any():
-            ids = pa.array([[x for i in row for x in ([i] if i >= 0 else byte_ids[list(chr(-1 - i).encode())].tolist())] for row in ids.to_pylist()], pa.list_(pa.int32()))
+        words, places = batch.column(0).to_pylist(), batch.column(1)
+        ways = [_best(b, i, byte_ids) for b, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         row = np.repeat(np.arange(len(words)), np.diff(places.offsets.to_numpy()))
-        yield blocks.answers(places.flatten().to_numpy(), row, {"ids": ids}, words)
+        yield blocks.answers(places.flatten().to_numpy(), row, {"ids": pa.array(ways, pa.list_(pa.int32()))}, words)
 
 
 def _spell(vocab: Vocabulary) -> list[bytes]:

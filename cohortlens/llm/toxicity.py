@@ -92,8 +92,8 @@ def _prefix_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def bound(a: int, n: int, b: int, m: int) -> float:
-    """Three standard errors below the log ratio of the rates a / n and b / m."""
-    return math.log((a + 1) / (n + 2) * (m + 2) / (b + 1)) - 3 * math.sqrt(1 / (a + 1) + 1 / (b + 1))
+    """Two standard errors below the log ratio of the rates a / n and b / m."""
+    return math.log((a + 1) / (n + 2) * (m + 2) / (b + 1)) - 2 * math.sqrt(1 / (a + 1) + 1 / (b + 1))
 
 
 def distinctive(own: dict[bytes, int], n: int, other: dict[bytes, int], m: int) -> list[bytes]:

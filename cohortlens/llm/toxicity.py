@@ -154,8 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, *, id_col: str = "do
         else:
             by[0][r["prefix"]], by[1][r["prefix"]] = r["ordinary"], r["toxic"]
     code = Encoder()
-    shared = b"".join(code[w] for w in sorted(common, key=lambda w: (common[w], w)))[-COMMON_BYTES:]
-    own = [b"".join(code[p] for p in distinctive(by[k], n[k], by[1 - k], n[1 - k])) for k in (0, 1)]
+    stems = [distinctive(by[k], n[k], by[1 - k], n[1 - k]) for k in (0, 1)]
+    special = {p for s in stems for p in s}
+    plain = [w for w in common if special.isdisjoint(prefixes(w))]
+    shared = b"".join(code[w] for w in sorted(plain, key=lambda w: (common[w], w)))[-COMMON_BYTES:]
+    own = [b"".join(code[p] for p in s) for s in stems]
     model = ToxicityModel(shared + own[1], shared + own[0], ())
     shipped = spark.sparkContext.broadcast(model)
     seen = rows.filter("calibrates").select("__toxic", "__text").mapInArrow(lambda it: _features(it, shipped), "id int, f array<double>").toArrow()

@@ -178,26 +178,32 @@ def _similar(candidates: DataFrame, texts: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segments: int = 16, tau: int = 32) -> DataFrame:
     """(id, component) for every row: the smallest id of its group of near-duplicates.
 
-    A large group of near-copies would make as many pairs as its square. So each ring key's rows are first compared
-    with the key's smallest and largest id alone; then only rows of groups still apart are compared with each other.
+    A large group of near-copies would make as many pairs as its square. So each text is first compared with two others
+    alone, of the smallest and largest ids that share its ring keys, twice over; then only texts of groups still apart
+    are compared with each other. Links within a group add nothing to it, so none that counts is lost.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = durable_table(_features(docs, id_col, text_col))
     nodes = seen.groupBy("t0", "t1").agg(F.min("id").alias("node"), *[F.first(f"f{j}").alias(f"f{j}") for j in range(4)])
     fp = [f"f{j}" for j in range(4)]
-    rows = turned(nodes, fp, segments, ["node"])
     ring = [f"r{j}" for j in range(4)]
-    ends = rows.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), *[f(F.struct("node", *ring)).alias(k) for f, k in ((F.min, "first"), (F.max, "last"))]).filter("n > 1")
-    hubs = ends.select("ring", F.explode(F.array("first", "last")).alias("h")).select("ring", "h.*")
     near = chain("x", "y", 4, segments, tau)
-    star = rows.alias("x").join(hubs.alias("y"), (F.col("x.ring") == F.col("y.ring")) & (F.col("x.node") != F.col("y.node")) & near)
-    star = star.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    first = durable_table(_similar(durable_table(star), texts))
-    part = components(first)
-    grouped = nodes.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    grouped, links = nodes.withColumn("part", F.col("node")), None
+    for _ in range(2):
+        rows = turned(grouped, fp, segments, ["node", "part"])
+        own = F.struct("node", "part", *ring)
+        ends = rows.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first"), F.max(own).alias("last")).filter("n > 1")
+        hubs = ends.select("ring", F.explode(F.array("first", "last")).alias("h")).select("ring", "h.*")
+        star = rows.alias("x").join(hubs.alias("y"), (F.col("x.ring") == F.col("y.ring")) & (F.col("x.part") != F.col("y.part")) & near)
+        two = star.groupBy(F.col("x.node").alias("node")).agg(F.array(F.min("y.node"), F.max("y.node")).alias("hubs"))
+        star = two.select("node", F.explode("hubs").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        found = durable_table(_similar(durable_table(star), texts))
+        links = found if links is None else links.union(found)
+        part = components(links)
+        grouped = nodes.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     apart = F.col("x.part") != F.col("y.part")
     second = _similar(durable_table(pairs(turned(grouped, fp, segments, ["node", "part"]), 4, segments, tau, "node", apart)), texts)
-    final = components(first.union(second))
+    final = components(links.union(second))
     labelled = nodes.join(final, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component"))
     return seen.select("id", "t0", "t1").join(labelled, ["t0", "t1"]).select(F.col("id").alias(id_col), "component")
 

@@ -6,10 +6,10 @@ l * tau / m bits, for every l up to the number m of segments. Where tau < m the
 fingerprints are joined on (start, segment) and a pair must pass all of the chain's budgets, the last of which is the
 full Hamming check, within the join condition. Each start's row holds the ring turned to that start.
 
-`link_fingerprints` (64 bits) finds every link. `near_duplicates` compares texts by their five-word shingles: 256-bit
-fingerprints of the texts' distinct words find candidates, and an exact Jaccard similarity of 0.8 or more decides. There tau
-is twice the number of segments: an equal first segment is certain to exist up to 15 differing bits; beyond, it was
-measured to be missing for 3 in 1000 of the pairs of similarity 0.8 or more.
+`link_fingerprints` (64 bits) finds every link. `near_duplicates` compares texts by their five-word shingles: MinHash bands
+over the same shingles find candidates, and an exact Jaccard similarity of 0.8 or more decides. A pair of similarity J
+lacks an equal band with probability (1 - J ** BAND_SIZE) ** BANDS, whatever its texts are: 3 in a million at 0.8, fewer
+above.
 
 Edge cases: null and empty texts, or ones without a word, have fingerprint 0 and are near-duplicates of each other.
 Texts of fewer words than a shingle are one shingle. Equal fingerprints (texts) are collapsed first, so copies cost no
@@ -32,6 +32,9 @@ from .graph import components
 
 SEED = 42
 SIMILARITY, SHINGLE = 0.8, 5
+BANDS, BAND_SIZE = 32, 5
+_rng = np.random.default_rng(SEED)
+_FLIP, _SPREAD, _JOIN = (_rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * BAND_SIZE, BANDS * BAND_SIZE, BANDS * BAND_SIZE))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -129,22 +132,31 @@ def link_fingerprints(prints: DataFrame, *, id_col: str = "doc_id", tau: int = 2
     return prints.join(grouped.join(least, "part").select("fp", "component"), "fp")
 
 
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """BANDS numbers over the shingles' hashes; two sets share each with probability J ** BAND_SIZE."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_FLIP), np.iinfo(np.uint64).max)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, ((h[at : at + 1024] ^ _FLIP[:, None]) * _SPREAD[:, None]).min(axis=1))
+    least ^= least >> np.uint64(32)
+    return (least * _JOIN).reshape(BANDS, BAND_SIZE).sum(axis=1, dtype=np.uint64).view(np.int64)
+
+
 def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t0, t1, f0..f3): a 128-bit hash of the word sequence and 256 bits over the distinct words."""
+    """(id, t0, t1, bands): a 128-bit hash of the word sequence and the bands of its shingles."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
+            whole, bands = [], []
             for t in batch.column(1):
                 w = words(t.as_py())
-                own = list(set(w))
-                f = fingerprint(np.stack([hashes(own, SEED + s) for s in range(4)], axis=1))
-                whole = xxhash.xxh3_128_digest(b" ".join(w))
-                out.append((*np.frombuffer(whole, np.int64).tolist(), *f.tolist()))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0)} | {k: pa.array(c, pa.int64()) for k, c in zip(("t0", "t1", "f0", "f1", "f2", "f3"), cols, strict=True)})
+                whole.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64))
+                bands.append(band_keys(np.unique(hashes(shingles(w, SHINGLE)))))
+            t = np.array(whole, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "t0": pa.array(t[:, 0]), "t1": pa.array(t[:, 1]), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
-    return docs.select(id_col, text_col).mapInArrow(rows, f"id {dict(docs.dtypes)[id_col]}, t0 long, t1 long, f0 long, f1 long, f2 long, f3 long")
+    return docs.select(id_col, text_col).mapInArrow(rows, f"id {dict(docs.dtypes)[id_col]}, t0 long, t1 long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame) -> DataFrame:
@@ -175,35 +187,33 @@ def _similar(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "left", "right").mapInArrow(rows, f"a {kind}, b {kind}")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", segments: int = 16, tau: int = 32) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component) for every row: the smallest id of its group of near-duplicates.
 
     A large group of near-copies would make as many pairs as its square. So each text is first compared with two others
-    alone, of the smallest and largest ids that share its ring keys, twice over; then only texts of groups still apart
-    are compared with each other. Links within a group add nothing to it, so none that counts is lost.
+    alone, which share most bands with it among the smallest and largest ids of its bands, twice over; then only texts of
+    groups still apart are compared with each other. Links within a group add nothing to it, so none that counts is lost.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     seen = durable_table(_features(docs, id_col, text_col))
-    nodes = seen.groupBy("t0", "t1").agg(F.min("id").alias("node"), *[F.first(f"f{j}").alias(f"f{j}") for j in range(4)])
-    fp = [f"f{j}" for j in range(4)]
-    ring = [f"r{j}" for j in range(4)]
-    near = chain("x", "y", 4, segments, tau)
-    grouped, links = nodes.withColumn("part", F.col("node")), None
+    nodes = durable_table(seen.groupBy("t0", "t1").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
+    rows = nodes.select("node", F.explode("bands").alias("band"))
+    rows = durable_table(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "band"))
+    grouped, links = rows.withColumn("part", F.col("node")), None
     for _ in range(2):
-        rows = turned(grouped, fp, segments, ["node", "part"])
-        own = F.struct("node", "part", *ring)
-        ends = rows.groupBy("ring").agg(F.count(F.lit(1)).alias("n"), F.min(own).alias("first"), F.max(own).alias("last")).filter("n > 1")
-        hubs = ends.select("ring", F.explode(F.array("first", "last")).alias("h")).select("ring", "h.*")
-        star = rows.alias("x").join(hubs.alias("y"), (F.col("x.ring") == F.col("y.ring")) & (F.col("x.part") != F.col("y.part")) & near)
-        two = star.groupBy(F.col("x.node").alias("node")).agg(F.array(F.min("y.node"), F.max("y.node")).alias("hubs"))
-        star = two.select("node", F.explode("hubs").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+        own = F.struct("node", "part")
+        ends = grouped.groupBy("band").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+        hubs = ends.select("band", F.explode(F.array_distinct(F.array("first", "last"))).alias("h")).select("band", "h.*")
+        star = grouped.alias("x").join(hubs.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")))
+        star = star.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
+        two = star.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "hub")), asc=False), 1, 2).alias("hubs"))
+        star = two.select("node", F.explode("hubs.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
         found = durable_table(_similar(durable_table(star), texts))
         links = found if links is None else links.union(found)
-        part = components(links)
-        grouped = nodes.join(part, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    apart = F.col("x.part") != F.col("y.part")
-    second = _similar(durable_table(pairs(turned(grouped, fp, segments, ["node", "part"]), 4, segments, tau, "node", apart)), texts)
-    final = components(links.union(second))
+        grouped = rows.join(components(links), "node", "left").select("node", "band", F.coalesce("component", "node").alias("part"))
+    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
+    rest = grouped.alias("x").join(grouped.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    final = components(links.union(_similar(durable_table(rest), texts)))
     labelled = nodes.join(final, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component"))
     return seen.select("id", "t0", "t1").join(labelled, ["t0", "t1"]).select(F.col("id").alias(id_col), "component")
 

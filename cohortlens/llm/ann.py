@@ -5,15 +5,21 @@ several tables. A query visits the cells of a table in the order of their estima
 neighbour, until these add up to the wanted success; whatever lies there in any table is a candidate, and candidates
 are ranked by their exact inner product on the original vectors.
 
+Density differs from place to place, so a query whose own near candidates lie farther than the sample's neighbours
+visits again, with their distance as spread. Where cells near it cannot add up to the wanted success, or it has too few
+candidates, it is compared with every row of the block.
+
 Largest inner product is turned into smallest distance first: vectors are scaled by the largest length and get one more
 coordinate that brings all of them to length 1. The neighbours' distance, which fixes the cells' width and the
 probabilities, is measured on a bounded sample.
 
 Rows are dealt out evenly over blocks, whatever cells they are in, so that many equal vectors do no harm; each block
-indexes all of its rows and answers all queries, and a query's answers from all blocks are merged.
+indexes all of its rows and answers all queries, a bounded group of them at a time, and a query's answers from all
+blocks are merged.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
-no part. Ties go to the smaller id. Rows of equal ids but the query's own are candidates of their own. An empty table
+no part. Ties go to the smaller id. Rows of equal ids but the query's own are candidates of their own; of query rows of
+equal ids the one of the smallest vector asks. An empty table
 gives an empty result; other columns are ignored.
 """
 
@@ -31,6 +37,8 @@ from pyspark.sql import functions as F
 #: Rows of a block, at most about; at least MIN_BLOCKS blocks.
 BLOCK_ROWS, MIN_BLOCKS = 16_384, 8
 QUERY_ROWS = 512
+#: Queries that one task answers, at most about.
+QUERY_GROUP = 16_384
 
 
 @dataclass(frozen=True)
@@ -54,17 +62,22 @@ def augmented(vectors: np.ndarray, longest: float) -> np.ndarray:
     return np.hstack([v, np.sqrt(np.maximum(0, 1 - (v * v).sum(axis=1, keepdims=True)))])
 
 
-def probes(index: Index, table: int, queries: np.ndarray) -> list[np.ndarray]:
-    """For each query the visited cells as rows of coordinates, likeliest first, up to the wanted success."""
+def probes(index: Index, table: int, queries: np.ndarray, spread: np.ndarray) -> list[np.ndarray | None]:
+    """For each query the visited cells as rows of coordinates, likeliest first, up to the wanted success; None where
+    the cells at hand do not reach it. spread: of each query."""
     f = (queries @ index.directions[table].T + index.shifts[table]) / index.width
     home, k = np.floor(f), f.shape[1]
     steps = np.arange(-2, 3)
-    edge = (home[:, :, None] + steps - f[:, :, None]) * index.width / index.spread
-    cdf = 0.5 * (1 + np.vectorize(math.erf)(np.concatenate([edge, edge[:, :, -1:] + index.width / index.spread], axis=2) / math.sqrt(2)))
+    scale = (index.width / spread)[:, None, None]
+    edge = (home[:, :, None] + steps - f[:, :, None]) * scale
+    cdf = 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(np.concatenate([edge, edge[:, :, -1:] + scale], axis=2) / math.sqrt(2)))
     chance = np.diff(cdf, axis=2)
     grid = np.stack(np.meshgrid(*[np.arange(len(steps))] * k, indexing="ij"), axis=-1).reshape(-1, k)
     out = []
     for i in range(len(f)):
+        if chance[i].sum(axis=1).prod() < index.success:
+            out.append(None)
+            continue
         p = np.prod(chance[i][np.arange(k), grid], axis=1)
         order = np.argsort(-p, kind="stable")
         n = int(np.searchsorted(np.cumsum(p[order]), index.success)) + 1
@@ -77,30 +90,56 @@ def _keys(cells: np.ndarray) -> np.ndarray:
     return ((np.clip(cells, -499, 499).astype(np.int64) + 500) * 1000 ** np.arange(cells.shape[1])).sum(axis=1)
 
 
-def search(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec id, score) of each query's k best candidates among `vectors`."""
-    points, asks = augmented(vectors, index.longest), np.hstack([queries / np.linalg.norm(queries, axis=1, keepdims=True), np.zeros((len(queries), 1))])
-    tables = []
-    for t in range(len(index.directions)):
-        cell = _keys(np.floor((points @ index.directions[t].T + index.shifts[t]) / index.width))
-        tables.append(np.unique(cell, return_inverse=True))
-    visited = [probes(index, t, asks) for t in range(len(tables))]
-    rows, found, scores = [], [], []
-    for q in range(len(queries)):
-        mask = np.zeros(len(ids), bool)
-        for (cells, cell_of), v in zip(tables, visited, strict=True):
-            mask |= np.isin(cells, _keys(v[q]))[cell_of]
-        mask &= ids != query_ids[q]
-        at = np.flatnonzero(mask)
-        s = vectors[at] @ queries[q]
+def _cells(index: Index, points: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each table its cells and the rows' places among them."""
+    return [np.unique(_keys(np.floor((points @ d.T + s) / index.width)), return_inverse=True) for d, s in zip(index.directions, index.shifts, strict=True)]
+
+
+def _masks(index: Index, tables: list, asks: np.ndarray, spread: np.ndarray) -> Iterator[np.ndarray | None]:
+    """For each query which rows are candidates; None: all of them."""
+    for visited in zip(*[probes(index, t, asks, spread) for t in range(len(tables))], strict=True):
+        if any(v is None for v in visited):
+            yield None
+        else:
+            yield np.logical_or.reduce([np.isin(cells, _keys(v))[cell_of] for (cells, cell_of), v in zip(tables, visited, strict=True)])
+
+
+def share(k: int, blocks: int) -> int:
+    """A number of near neighbours that one block of several hardly ever has more of: four deviations above the mean."""
+    return min(k, math.ceil(k / blocks + 4 * math.sqrt(k / blocks)) + 1)
+
+
+def search(index: Index, ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, blocks: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec id, score) of each query's k best candidates among `vectors`, one of so many blocks."""
+    lengths = np.linalg.norm(queries, axis=1)
+    points, asks = augmented(vectors, index.longest), np.hstack([queries / lengths[:, None], np.zeros((len(queries), 1))])
+    tables, near = _cells(index, points), share(k, blocks)
+
+    def scored(q: int, mask: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        others = ids != query_ids[q]
+        at = np.flatnonzero(others if mask is None else mask & others)
+        return at, vectors[at] @ queries[q]
+
+    found = [scored(q, m) for q, m in enumerate(_masks(index, tables, asks, np.full(len(queries), index.spread)))]
+    # of the last of the near candidates; infinite where there are too few
+    inner = np.array([np.partition(s, len(s) - near)[len(s) - near] if len(s) >= near else -np.inf for _, s in found]) / (lengths * index.longest)
+    reach = np.sqrt(np.maximum(0, 2 - 2 * inner))
+    again = np.flatnonzero(reach > index.spread)
+    if len(again):
+        for q, m in zip(again, _masks(index, tables, asks[again], reach[again]), strict=True):
+            found[q] = scored(q, m)
+    rows, best_ids, scores = [], [], []
+    for q, (at, s) in enumerate(found):
+        if len(at) < min(k, len(ids)):
+            at, s = scored(q, None)
         if len(at) > 4 * k:
             best = s >= np.partition(s, len(s) - k)[len(s) - k]
             at, s = at[best], s[best]
         order = np.lexsort((ids[at], -s))[:k]
         rows.append(np.full(len(order), q))
-        found.append(ids[at[order]])
+        best_ids.append(ids[at[order]])
         scores.append(s[order])
-    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
+    return np.concatenate(rows), np.concatenate(best_ids), np.concatenate(scores)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -125,7 +164,7 @@ def fit(rows: DataFrame, dims: int, longest: float, near: int, total: int, *, sa
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by largest inner product."""
     rows = vectors.filter(valid(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
-    shape = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).orderBy(F.desc("n"), "dims").first()
+    shape = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"), F.count_if("asks").alias("asked")).orderBy(F.desc("n"), "dims").first()
     result = "query_id long, vec_id long, score double"
     if shape is None:
         found = vectors.sparkSession.createDataFrame([], result)
@@ -133,19 +172,22 @@ def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vec
         rows = rows.filter(F.size("v") == shape["dims"])
         blocks = max(MIN_BLOCKS, math.ceil(shape["n"] / BLOCK_ROWS))
         index = vectors.sparkSession.sparkContext.broadcast(fit(rows, shape["dims"], math.sqrt(shape["longest"]) * (1 + 1e-12), k, shape["n"], **options))
-        points = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), "id", "v")
-        asked = rows.filter("asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), "id", "v")
+        groups = max(1, math.ceil(shape["asked"] / QUERY_GROUP))
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+        points = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).alias("block"), upto(groups).alias("asker"), "id", "v")
+        once = rows.filter("asks").groupBy("id").agg(F.min("v").alias("v"))
+        asked = once.select(upto(blocks).alias("block"), F.pmod(F.xxhash64("id"), F.lit(groups)).alias("asker"), "id", "v")
 
         def answer(left: pa.Table, right: pa.Table) -> pa.Table:
             out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
             if left.num_rows and right.num_rows:
                 ids, x, query_ids, q = left.column("id").to_numpy(), _matrix(left.column("v")), right.column("id").to_numpy(), _matrix(right.column("v"))
                 for at in range(0, len(q), QUERY_ROWS):
-                    row, found, score = search(index.value, ids, x, query_ids[at : at + QUERY_ROWS], q[at : at + QUERY_ROWS], k)
+                    row, found, score = search(index.value, ids, x, query_ids[at : at + QUERY_ROWS], q[at : at + QUERY_ROWS], k, blocks)
                     out.append((query_ids[at + row], found, score))
             a, b, c = map(np.concatenate, zip(*out, strict=True))
             return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
-        found = points.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(answer, result)
+        found = points.groupBy("block", "asker").cogroup(asked.groupBy("block", "asker")).applyInArrow(answer, result)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

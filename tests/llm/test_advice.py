@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from cohortlens.llm import simhash
+from cohortlens.llm import ann, simhash
 
 
 def test_cut_and_extended_copies_are_near_duplicates(spark):
@@ -32,3 +32,30 @@ def test_equal_bands_are_as_likely_as_computed():
         h = rng.integers(1 << 63, size=100, dtype=np.uint64)
         shared.append((simhash.band_keys(h) == simhash.band_keys(h[:80])).mean())
     assert abs(np.mean(shared) - 0.8**simhash.BAND_SIZE) < 0.01 and min(shared) > 0
+
+
+def test_nearest_where_density_is_uneven(spark):
+    rng = np.random.default_rng(8)
+    near = rng.standard_normal(32) + 0.02 * rng.standard_normal((1800, 32))
+    x = np.vstack([near, rng.standard_normal((200, 32))])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [rows[0], rows[1980]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect()
+    hit, asked = 0, range(0, 2000, 20)
+    for q in asked:
+        own = [r["score"] for r in sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])]
+        s = np.delete(np.concatenate([x @ x[q], x[[0, 1980]] @ x[q]]), [q, *([2000] if q == 0 else [2001] if q == 1980 else [])])
+        assert len(own) == 10, (q, len(own))
+        hit += sum(v >= np.sort(s)[-10] - 1e-12 for v in own)
+    assert hit >= 0.95 * 10 * len(asked), hit
+
+
+def test_queries_go_in_bounded_groups(spark, monkeypatch):
+    x = np.random.default_rng(4).standard_normal((200, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    read = lambda: sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 4 == 0, k=5).collect()))
+    whole = read()
+    monkeypatch.setattr(ann, "QUERY_GROUP", 7)
+    assert read() == whole and len(whole) == 50 * 5

@@ -5,10 +5,13 @@ each window is compressed with either dictionary; how much shorter the toxic dic
 distance. A text's score is a logistic curve over its largest distances, calibrated on labelled texts, with 0.5 at the
 threshold.
 
-Before compression every word is written as the codes of its prefixes of FIRST to LAST bytes. So two words share bytes
-just as far as they share a beginning, and a shared ending, as common in ordinary words, saves nothing. A dictionary's
-own part holds the prefixes that are significantly more frequent in its kind of text and occur in a fair share of it;
-both have the same common words behind it.
+A word is a run of letters of one kind, of digits or of signs; a run of more than LAST bytes is cut into several. Scripts
+that put no space between words have a word at every character, of DENSE characters, so that whatever stands before a
+word does not hide it. Before compression every word is written as the codes of its prefixes of FIRST to LAST bytes, a
+short word as if filled up to SHORT bytes. So two words share bytes just as far as they share a beginning, and a shared
+ending, as common in ordinary words, saves nothing; a single sign, too short to match, is one code. A dictionary's own
+part holds the prefixes that are significantly more frequent in its kind of text and occur in a fair share of it; both
+have the same common words behind it.
 
 Edge cases: null and empty texts are one empty window. Without both kinds of labelled text every score is 0. Repeated
 rows give repeated rows; an empty table gives an empty result; other columns are ignored. Rows without a label, or
@@ -18,6 +21,7 @@ with one that is neither 0 nor 1, are never learned from. Several labels of one
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import sample_rate, unit_hash
 
 FIRST, LAST = 3, 9
+SHORT, DENSE = 6, 3
 WINDOW = 8
 COMMON_BYTES = 4096
 #: A toxic or ordinary prefix occurs in this share of its kind's texts at least.
@@ -40,19 +45,41 @@ TOP = 3
 PROPERTIES = {"strategy": 1, "min_match": 5, "hash_log": 15, "chain_log": 15, "search_log": 4}
 
 
+_LATIN = "a-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0300-\u036f\u1e00-\u1eff"
+_SIGNS = "!-/:-@\\[-`{-~\u0080-\u00a9\u00ab-\u00b4\u00b6-\u00b9\u00bb-\u00bf\u00d7\u00f7\u2000-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe10-\ufe6f\uff00-\uff20\uff3b-\uff40\uff5b-\uff65\U0001f000-\U0001faff"
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3021-\u302f\u3031-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+#: Words in groups: plain ones, ones of unspaced scripts.
+WORD = re.compile(f"([{_LATIN}]+|[0-9]+|[{_SIGNS}]+|[^\\s0-9{_LATIN}{_SIGNS}{_UNSPACED}]+)|([{_UNSPACED}]+)")
+
+
 def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+    out = []
+    for plain, unspaced in WORD.findall((text or "").lower()):
+        if unspaced:
+            out += [unspaced[i : i + DENSE].encode() for i in range(len(unspaced))]
+        else:
+            w = plain.encode("utf-8", "surrogatepass")
+            out += [w] if len(w) <= LAST else [w[i : i + LAST] for i in range(0, len(w), LAST)]
+    return out
+
+
+def _beginnings(word: bytes) -> list[bytes]:
+    return [word[:k] for k in range(FIRST, min(len(word), LAST) + 1)]
 
 
 def prefixes(word: bytes) -> list[bytes]:
-    return [word[:k] for k in range(FIRST, min(len(word), LAST) + 1)] or [word]
+    return [word] if len(word) == 1 and not word.isalnum() else _beginnings(word.ljust(SHORT, b"\0"))
+
+
+def _codes(parts: list[bytes]) -> bytes:
+    return b"".join(zlib.crc32(p).to_bytes(4, "little") for p in parts)
 
 
 class Encoder(dict):
     """word -> its prefixes' codes; each batch starts afresh, which bounds it."""
 
     def __missing__(self, word: bytes) -> bytes:
-        self[word] = out = b"".join(zlib.crc32(p).to_bytes(4, "little") for p in prefixes(word))
+        self[word] = out = _codes(prefixes(word))
         return out
 
 
@@ -97,7 +124,10 @@ def bound(a: int, n: int, b: int, m: int) -> float:
 
 
 def distinctive(own: dict[bytes, int], n: int, other: dict[bytes, int], m: int) -> list[bytes]:
-    """Shortest prefixes that are significantly more frequent, each made longer while nearly all its uses agree."""
+    """Shortest prefixes that are significantly more frequent, each made longer while nearly all its uses agree.
+
+    One of FIRST bytes is a single code, too short to match, and so does not stand for longer ones.
+    """
     good = {p for p, c in own.items() if c >= max(3, SHARE * n) and bound(c, n, other.get(p, 0), m) > 2}
     child: dict[bytes, bytes] = {}
     for p, c in own.items():
@@ -105,7 +135,7 @@ def distinctive(own: dict[bytes, int], n: int, other: dict[bytes, int], m: int)
             child[p[:-1]] = p
     out = set()
     for p in good:
-        if not any(p[:k] in good for k in range(FIRST, len(p))):
+        if not any(p[:k] in good for k in range(FIRST + 1, len(p))):
             longer = p
             while own.get(child.get(longer, b""), 0) >= 0.85 * own[p]:
                 longer = child[longer]
@@ -158,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, trains: Column, *, id_col: str = "do
     special = {p for s in stems for p in s}
     plain = [w for w in common if special.isdisjoint(prefixes(w))]
     shared = b"".join(code[w] for w in sorted(plain, key=lambda w: (common[w], w)))[-COMMON_BYTES:]
-    own = [b"".join(code[p] for p in s) for s in stems]
+    own = [b"".join(_codes(_beginnings(p)) for p in s) for s in stems]
     model = ToxicityModel(shared + own[1], shared + own[0], ())
     shipped = spark.sparkContext.broadcast(model)
     seen = rows.filter("calibrates").select("__toxic", "__text").mapInArrow(lambda it: _features(it, shipped), "id int, f array<double>").toArrow()

@@ -3,9 +3,10 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from cohortlens.llm import ann, simhash
+from cohortlens.llm import ann, simhash, toxicity
 
 
 def test_cut_and_extended_copies_are_near_duplicates(spark):
@@ -59,3 +60,35 @@ def test_queries_go_in_bounded_groups(spark, monkeypatch):
     whole = read()
     monkeypatch.setattr(ann, "QUERY_GROUP", 7)
     assert read() == whole and len(whole) == 50 * 5
+
+
+@pytest.mark.parametrize("bad,glue", [("xq", " {} "), ("zap", " {} "), ("villain", " something,{} "), ("villain", ' ("{}") '), ("villain", " http://abcdefgh.example/{}?q "), ("villain", "\u6f22\u5b57\u4eee\u540d\u6587\u7ae0{} "), ("\u60aa\u8005\u8ff7", "{}")])
+def test_toxic_words_are_seen_wherever_they_stand(spark, bad, glue):
+    rng = random.Random(5)
+    unspaced = glue == "{}"
+    vocabulary = [chr(0x4E00 + i) for i in range(900)] if unspaced else ["".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(2, 9))) for _ in range(3000)]
+    vocabulary = [v for v in vocabulary if v not in bad]
+    rows = []
+    for i in range(600):
+        w = rng.choices(vocabulary, k=80)
+        if i % 4 == 0:
+            for at in rng.sample(range(80), 4):
+                # learned as a word of its own, met behind other characters
+                w[at] = (glue if i % 5 == 0 else "{}").format(bad)
+        rows.append((i, ("" if unspaced else " ").join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, F.col("doc_id") % 5 != 0)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.predict(docs.filter("doc_id % 5 = 0"), model).collect()}
+    right = sum(p == (i % 4 == 0) for i, p in got.items())
+    assert right >= 0.95 * len(got), f"{right} of {len(got)}"
+
+
+def test_every_byte_takes_part():
+    for text in ("abcdefghijklmnopqrstuvwxyz", "a", "ab!?", "\u6f22\u5b57 kana\u30ab\u30ca", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35", "x_y-1.5e3", "\u043f\u0440\u0438\u0432\u0435\u0442hi\U0001f600", "\u0939\u093f\u0928\u094d\u0926\u0940", "a\ud800b"):
+        raw = text.encode("utf-8", "surrogatepass")
+        for at, c in enumerate(text):
+            if not c.isspace():
+                changed = text[:at] + ("\u6c34" if c != "\u6c34" else "\u706b") + text[at + 1 :]
+                assert toxicity.words(changed) != toxicity.words(text), (raw, at)
+        assert {b for w in toxicity.words(text) for p in toxicity.prefixes(w) for b in p} >= set(raw) - {0x20}

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from cohortlens.llm import ann, simhash, toxicity
 
 
@@ -92,3 +93,25 @@ def test_every_byte_takes_part():
                 changed = text[:at] + ("\u6c34" if c != "\u6c34" else "\u706b") + text[at + 1 :]
                 assert toxicity.words(changed) != toxicity.words(text), (raw, at)
         assert {b for w in toxicity.words(text) for p in toxicity.prefixes(w) for b in p} >= set(raw) - {0x20}
+
+
+def test_pipeline_stages_judge_each_row(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(60))
+    a, b, c = text(), text(), text()
+    rows = [(1, a), (1, a), (1, a), (2, b), (2, "1 2 3"), (None, c), (None, c), (None, b), (3, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s") for i, t in rows], "doc_id long, text string, lang string, source string")
+    key = lambda df: sorted((r["doc_id"] or 0, r["text"]) for r in df.collect())
+    assert key(corpus_pipeline.language(spark, docs, "")) == sorted((i or 0, t) for i, t in rows if t != "1 2 3")
+    assert key(corpus_pipeline.distinct_texts(spark, docs, "")) == sorted([(1, a), (2, b), (2, "1 2 3"), (0, c)])
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = lambda d, m, id_col: d.select(id_col, (F.col("text") == b).cast("int").alias("predicted"))
+    monkeypatch.setattr(toxicity, "predict", seen)
+    assert key(corpus_pipeline.harmless(spark, docs, str(tmp_path))) == sorted((i or 0, t) for i, t in rows if t != b)
+
+
+def test_language_keeps_texts_without_a_majority(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "abc", "en"), (2, "7", "en")], "doc_id long, text string, lang string")
+    verdict = lambda d, m, id_col="doc_id": d.select(id_col, F.when(F.col("text") == "7", "und").otherwise("en").alias("lang_pred"), F.lit(0.4).alias("score"))
+    monkeypatch.setattr(corpus_pipeline.langid, "predict", verdict)
+    assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]

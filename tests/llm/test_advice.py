@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortlens.llm import ann, simhash, toxicity
+from cohortlens.llm import ann, mixing, simhash, toxicity
 
 
 def test_cut_and_extended_copies_are_near_duplicates(spark):
@@ -115,3 +115,14 @@ def test_language_keeps_texts_without_a_majority(spark, monkeypatch):
     verdict = lambda d, m, id_col="doc_id": d.select(id_col, F.when(F.col("text") == "7", "und").otherwise("en").alias("lang_pred"), F.lit(0.4).alias("score"))
     monkeypatch.setattr(corpus_pipeline.langid, "predict", verdict)
     assert [r["doc_id"] for r in corpus_pipeline.language(spark, docs, "").collect()] == [1]
+
+
+def test_mix_stays_near_the_target_weights(spark):
+    rows = spark.range(90_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 20)).alias("source"))
+    counts = {r["source"]: r["count"] for r in rows.groupBy("source").count().collect()}
+    total = sum(c**0.5 for c in counts.values())
+    got = mixing.mix(rows, block=4).groupBy("source", "mix.slot").count().collect()
+    by = {n: np.sort([r["slot"] for r in got if r["source"] == n]) for n in counts}
+    end = min(v[-1] for v in by.values())
+    off = {n: max(abs(np.arange(len(v)) - v * counts[n] ** 0.5 / total)[v <= end]) for n, v in by.items()}
+    assert max(off.values()) < 2, max(off.values())

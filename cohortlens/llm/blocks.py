@@ -4,58 +4,74 @@ Looking words up in a table that grows with the corpus would shuffle every token
 cut into blocks of bounded size. Of each block, its distinct words travel to the table (one row a word and block) and
 what was found travels back, packed; the documents travel once, as packed numbers into their block's words.
 
-Both passes read the same input and must cut it alike, which holds for files and checkpoints. A checksum of each
-block's words is compared in the end, so that an input whose rows come in another order each time raises an error.
+Both passes read the same input and must cut it alike, which holds for files and checkpoints; an input that comes out of
+a shuffle is written first (`prepared`). A checksum of each block's words is compared in the end.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_CHARS = 40_000_000
+from .common import durable_table
+
+BLOCK_BYTES = 40_000_000
 #: place = block * WORDS + the word's number in its block; block = partition * BLOCKS + number in its partition.
-WORDS, BLOCKS = 1 << 24, 1 << 14
+WORDS, BLOCKS = 1 << 28, 1 << 12
 BATCH = 65_536
 
 
 @dataclass
 class Block:
     number: int
-    words: list
-    ids: list
-    learn: list[bool]
+    words: pa.Array
+    ids: pa.Array
+    learn: np.ndarray
     digests: list[int]
     n: np.ndarray  # of words in each document
     flat: np.ndarray  # the documents' words as numbers, one document after another
 
 
+#: Texts (no null among them) -> a list of words each.
+Split = Callable[[pa.Array], pa.ListArray]
 #: Words -> their parts, and for each word the numbers of its parts, one word after another, with where they begin.
-Refine = Callable[[list], tuple[list, np.ndarray, np.ndarray]]
+Refine = Callable[[pa.Array], tuple[pa.Array, np.ndarray, np.ndarray]]
 
 
-def cut(batches: Iterator[pa.RecordBatch], split: Callable[[str], list], digest: Callable[[str], int] | None, refine: Refine | None = None) -> Iterator[Block]:
-    """`split` gives a text's words, all str or all bytes; `refine` may cut a block's distinct words into parts."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, bool]]:
+    """Pieces of batches, and whether a block ends after each. Where blocks end depends on the rows alone."""
+    size = 0
+    for batch in batches:
+        total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64) + 64)
+        at = 0
+        while at < batch.num_rows:
+            before = int(total[at - 1]) if at else 0
+            stop = int(np.searchsorted(total, before + BLOCK_BYTES - size)) + 1
+            full, stop = stop <= batch.num_rows, min(stop, batch.num_rows)
+            yield batch.slice(at, stop - at), full
+            size = 0 if full else size + int(total[stop - 1]) - before
+            at = stop
+
+
+def cut(batches: Iterator[pa.RecordBatch], split: Split, digest: Callable[[bytes], int] | None, refine: Refine | None = None) -> Iterator[Block]:
+    """Blocks of the rows (id, text, learn); `refine` may cut a block's distinct words into parts."""
     numbers = itertools.count(TaskContext.get().partitionId() * BLOCKS)
-    index: dict = defaultdict(itertools.count().__next__)
-
-    def fresh() -> tuple[list, list, list, list]:
-        index.clear()
-        index.default_factory = itertools.count().__next__
-        return [], [], [], []
+    held: list[tuple] = []
 
     def block() -> Block:
-        words, flat, n = list(index), np.concatenate(tokens), np.array([len(t) for t in tokens])
+        ids, learn, digests, tokens, n = zip(*held, strict=True)
+        coded = pa.concat_arrays(tokens).dictionary_encode()
+        words, flat, n = coded.dictionary, coded.indices.to_numpy(), np.concatenate(n)
         if refine:
             words, parts, first = refine(words)
             size = np.diff(first)[flat]
@@ -63,30 +79,23 @@ def cut(batches: Iterator[pa.RecordBatch], split: Callable[[str], list], digest:
             at = np.repeat(first[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
             n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
             flat = parts[at].astype(np.int32)
-        return Block(next(numbers), words, ids, learns, digests, n, flat)
-
-    (ids, learns, digests, tokens), size = fresh(), 0
-    for batch in batches:
-        for i, text, learn in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            t = text.as_py() or ""
-            tokens.append(np.fromiter(map(index.__getitem__, split(t)), np.int32))
-            ids.append(i.as_py())
-            learns.append(bool(learn.as_py()))
-            digests.append(digest(t) if digest else 0)
-            size += len(t) + 64
-            if size >= BLOCK_CHARS or len(index) > WORDS // 4:
-                yield block()
-                (ids, learns, digests, tokens), size = fresh(), 0
-    if ids:
+        return Block(next(numbers), words, pa.concat_arrays(ids), np.concatenate(learn), list(itertools.chain(*digests)), n, flat)
+
+    for batch, full in _slices(batches):
+        texts = pc.fill_null(batch.column(1), "")
+        words = split(texts)
+        digests = [digest(t) for t in texts.cast(pa.binary()).to_pylist()] if digest else [0] * len(texts)
+        held.append((batch.column(0), pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False), digests, words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)))
+        if full:
+            yield block()
+            held.clear()
+    if held:
         yield block()
 
 
-def checksum(words: list) -> int:
-    """The exclusive or of the words' hashes: it does not depend on how words are dealt out."""
-    out = 0
-    for w in words:
-        out ^= xxhash.xxh64_intdigest(w)
-    return out >> 1
+def hashed(words: pa.Array) -> np.ndarray:
+    """As Spark's xxhash64."""
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
 
 
 def pack(columns: dict) -> bytes:
@@ -103,70 +112,68 @@ def unpack(body: bytes) -> pa.RecordBatch:
 
 
 def squeeze(numbers: np.ndarray) -> bytes:
-    """Word numbers, below WORDS, as three planes of bytes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].T).tobytes(), 6)
+    """Word numbers as four planes of bytes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
 
 
 def unsqueeze(body: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(body), np.uint8).reshape(3, -1)
-    return planes[0].astype(np.int32) | planes[1].astype(np.int32) << 8 | planes[2].astype(np.int32) << 16
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(body), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def word_rows(docs: DataFrame, split: Callable[[str], list], kind: str, refine: Refine | None = None) -> DataFrame:
+def word_rows(docs: DataFrame, split: Split, kind: str, refine: Refine | None = None) -> DataFrame:
     """(word, place, n): a row for each distinct word of each block; n: its uses in the rows to learn from.
     `docs` has id, text, learn."""
 
     def rows(batches):
         for b in cut(batches, split, None, refine):
-            n = np.bincount(b.flat[np.repeat(np.array(b.learn, bool), b.n)], minlength=len(b.words))
+            n = np.bincount(b.flat[np.repeat(b.learn, b.n)], minlength=len(b.words))
             place = b.number * WORDS + np.arange(len(b.words))
+            words = b.words.cast(pa.string() if kind == "string" else pa.binary())
             for at in range(0, len(b.words), BATCH):
                 s = slice(at, at + BATCH)
-                yield pa.RecordBatch.from_pydict({"word": pa.array(b.words[s], pa.string() if kind == "string" else pa.binary()), "place": pa.array(place[s]), "n": pa.array(n[s].astype(np.int64))})
+                yield pa.RecordBatch.from_pydict({"word": words[s], "place": pa.array(place[s]), "n": pa.array(n[s].astype(np.int64))})
 
     return docs.mapInArrow(rows, f"word {kind}, place long, n long")
 
 
-def doc_rows(docs: DataFrame, split: Callable[[str], list], digest: Callable[[str], int] | None = None, refine: Refine | None = None) -> DataFrame:
+def doc_rows(docs: DataFrame, split: Split, digest: Callable[[bytes], int] | None = None, refine: Refine | None = None) -> DataFrame:
     """(block, body): a block's documents as numbers into its words."""
-    id_type = docs.schema["id"].dataType.simpleString()
 
     def rows(batches):
         for b in cut(batches, split, digest, refine):
-            ids = pa.array(b.ids, pa.int64() if id_type == "bigint" else None)
-            body = pack({"id": ids, "learn": pa.array(b.learn), "digest": pa.array(b.digests, pa.uint64()), "n": pa.array(b.n, pa.int32())})
-            head = pack({"words": pa.array([len(b.words)]), "check": pa.array([checksum(b.words)])})
+            body = pack({"id": b.ids, "learn": pa.array(b.learn), "digest": pa.array(b.digests, pa.uint64()), "n": pa.array(b.n, pa.int32())})
+            head = pack({"words": pa.array([len(b.words)]), "check": pa.array([int(np.bitwise_xor.reduce(hashed(b.words), initial=0))])})
             yield pa.RecordBatch.from_pydict({"block": pa.array([b.number]), "head": pa.array([head], pa.binary()), "body": pa.array([body], pa.binary()), "tokens": pa.array([squeeze(b.flat)], pa.binary())})
 
     return docs.mapInArrow(rows, "block long, head binary, body binary, tokens binary")
 
 
-def answers(places: np.ndarray, row: np.ndarray, columns: dict[str, np.ndarray | pa.Array], words: list) -> pa.RecordBatch:
-    """(block, answer): what was found for words, dealt out to the blocks that asked. row: the word of each place."""
-    order = np.argsort(places, kind="stable")
-    places, row = places[order], row[order]
-    block = places // WORDS
+def answers(places: pa.ListArray, h: np.ndarray, columns: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    """(block, answer): what was found for words, dealt out to the blocks that asked. h: the words' hashes."""
+    where = places.flatten().to_numpy()
+    row = np.repeat(np.arange(len(places)), np.diff(places.offsets.to_numpy()))
+    order = np.argsort(where, kind="stable")
+    where, row = where[order], row[order]
+    block = where // WORDS
     at = np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         r = row[a:b]
         packed = {k: v.take(pa.array(r)) if isinstance(v, pa.Array) else pa.array(v[r]) for k, v in columns.items()}
-        out.append(pack({"place": pa.array((places[a:b] % WORDS).astype(np.int32)), "check": pa.array(np.full(b - a, checksum([words[i] for i in r.tolist()]))), **packed}))
+        out.append(pack({"place": pa.array((where[a:b] % WORDS).astype(np.int32)), "check": pa.array(h[r]), **packed}))
     return pa.RecordBatch.from_pydict({"block": pa.array(block[at[:-1]] if len(block) else [], pa.int64()), "answer": pa.array(out, pa.binary())})
 
 
 def gather(found: pa.Table, asked: pa.Table) -> tuple[pa.Table | None, pa.RecordBatch, np.ndarray, np.ndarray]:
     """All answers of a block in the order of its words, its documents, their words and where each document's begin."""
     parts = [unpack(x.as_py()) for x in found.column("answer")]
-    head, check = unpack(asked.column("head")[0].as_py()), 0
-    for p in parts:
-        check ^= p.column("check")[0].as_py()
+    head = unpack(asked.column("head")[0].as_py())
     table = pa.Table.from_batches(parts).sort_by("place") if parts else None
-    n = table.num_rows if table else 0
-    if asked.num_rows != 1 or head.column("words")[0].as_py() != n or head.column("check")[0].as_py() != check:
-        raise ValueError("the documents came in another order when read again; checkpoint them first")
+    check = int(np.bitwise_xor.reduce(table.column("check").to_numpy(), initial=0)) if table else 0
+    if asked.num_rows != 1 or head.column("words")[0].as_py() != (table.num_rows if table else 0) or head.column("check")[0].as_py() != check:
+        raise ValueError("the documents came in another order when read again")
     body = unpack(asked.column("body")[0].as_py())
-    at = np.concatenate([[0], np.cumsum(body.column("n").to_numpy())])
+    at = np.concatenate([[0], np.cumsum(body.column("n").to_numpy().astype(np.int64))])
     return table, body, unsqueeze(asked.column("tokens")[0].as_py()), at
 
 
@@ -178,4 +185,7 @@ def join_back(found: DataFrame, asked: DataFrame, combine: Callable[[pa.Table |
 
 
 def prepared(docs: DataFrame, id_col: str, text_col: str, learn) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn"))
+    """(id, text, learn); written first where the plan deals rows out, as they may then come in another order."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    return durable_table(rows) if "Exchange" in plan or "InMemoryTableScan" in plan else rows

@@ -1,10 +1,12 @@
 """Language-model scoring by a subword lattice.
 
 The probability of a text is the product over its words and one end. A word's lattice has an edge for each vocabulary
-piece that matches (the existing vocabulary's weights, refitted to the corpus by expectation maximisation) and, where
-the corpus has the word, one edge over the whole word, weighted by its discounted count; log-space forward recursion
-sums all segmentations. The discount's mass is what the pieces' paths share, so the probabilities of all words and the
-end sum to at most 1.
+piece that matches; log-space forward recursion sums all segmentations. The pieces' weights start from the existing
+vocabulary's and are learned by expectation maximisation. That is `score`.
+
+`word_score` is a second model beside it, in which a word that the corpus has may also be one edge, weighted by its
+discounted count; the discount's mass is what the pieces' paths share. In both the probabilities of all words and the end
+sum to at most 1.
 
 Edge cases: null texts are empty and score as one end. Without rows to learn from, the vocabulary's own weights and an
 even chance of an end are used. A character that no piece holds is spelt by its bytes. Repeated rows give repeated
@@ -19,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,10 @@ CHUNK = 20_000
 LN10 = math.log(10)
 
 
-def split(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def split(texts: pa.Array) -> pa.ListArray:
+    """Words between ASCII white space, with A-Z in lower case."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(texts))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts))
 
 
 def _texts(words: list[bytes]) -> list[str]:
@@ -66,27 +71,29 @@ class Totals:
         """The share of words (not ends) that the pieces' paths get."""
         return self.discount * self.types / self.tokens if self.tokens else 0.5
 
+    def word(self) -> float:
+        """The share of words that are not ends."""
+        return (self.tokens - self.ends + self.discount) / self.tokens if self.ends else 0.5
+
     def end(self) -> float:
         return math.log10((self.ends - self.discount) / self.tokens) if self.ends else math.log10(0.5)
 
 
 def _scored(batches: Iterator[pa.RecordBatch], matcher, log_p, totals: Totals) -> Iterator[pa.RecordBatch]:
-    """word, n, places -> answers with n, the whole-lattice score and the pieces-only score (log10)."""
+    """word, n, places -> answers with n, the score by pieces and the score by words and pieces (log10)."""
     for batch in batches:
         words, n = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
         texts, pieces = _texts(words), np.empty(len(words))
         for at in range(0, len(words), CHUNK):
             pieces[at : at + CHUNK] = matcher.value.lattice(texts[at : at + CHUNK]).marginal(log_p.value)
-        path = pieces + math.log(totals.backoff())
+        path, pieces = pieces + math.log(totals.backoff()), pieces + math.log(totals.word())
         with np.errstate(divide="ignore"):
             whole = np.log(np.maximum(n - totals.discount, 0) / max(1, totals.tokens))
-        places = batch.column(2)
-        row = np.repeat(np.arange(len(words)), np.diff(places.offsets.to_numpy()))
-        yield blocks.answers(places.flatten().to_numpy(), row, {"n": n, "score": np.logaddexp(path, whole) / LN10, "pieces": pieces / LN10}, words)
+        yield blocks.answers(batch.column(2), batch.column(3).to_numpy(), {"n": n, "score": pieces / LN10, "word_score": np.logaddexp(path, whole) / LN10})
 
 
 def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, rounds: int = 2, strength: float = 5000.0) -> DataFrame:
-    """(id, learned, n_tokens, n_known, train_tokens, base_score, score, pieces_score) for every row.
+    """(id, learned, n_tokens, n_known, train_tokens, base_score, score, word_score) for every row.
 
     The words' counts are shuffled once and written; the driver gets sums and a number for each vocabulary piece.
     """
@@ -105,17 +112,17 @@ def score_texts(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_
         counts[got.column(0).to_numpy()] = got.column(1).to_numpy()
         log_p = smoothed(counts, vocab.prior, strength)
     fitted = spark.sparkContext.broadcast(log_p)
-    found = words.select("word", "n", "places").mapInArrow(lambda it: _scored(it, matcher, fitted, totals), "block long, answer binary")
+    found = words.select("word", "n", "places", F.xxhash64("word").alias("h")).mapInArrow(lambda it: _scored(it, matcher, fitted, totals), "block long, answer binary")
     smooth = totals.tokens + 0.5 * (totals.types + 1)
     end_base, end_score = math.log10((ends + 0.5) / smooth), totals.end()
 
     def combine(table: pa.Table | None, body: pa.RecordBatch, flat: np.ndarray, at: np.ndarray) -> pa.Table:
-        n, score, pieces = (table.column(k).to_numpy() if table else np.zeros(0) for k in ("n", "score", "pieces"))
+        n, score, word = (table.column(k).to_numpy() if table else np.zeros(0) for k in ("n", "score", "word_score"))
         base, known = np.log10((n + 0.5) / smooth), n > 0
         at = at.tolist()
-        made = [(b - a + 1, int(known[i].sum()) + (ends > 0), float(base[i].sum()) + end_base, float(score[i].sum()) + end_score, float(pieces[i].sum()) + end_score) for a, b in zip(at[:-1], at[1:], strict=True) for i in (flat[a:b],)]
+        made = [(b - a + 1, int(known[i].sum()) + (ends > 0), float(base[i].sum()) + end_base, float(score[i].sum()) + end_score, float(word[i].sum()) + end_score) for a, b in zip(at[:-1], at[1:], strict=True) for i in (flat[a:b],)]
         c = list(zip(*made, strict=True))
-        return pa.table({"id": body.column("id"), "learned": body.column("learn"), "n_tokens": pa.array(c[0], pa.int64()), "n_known": pa.array(c[1], pa.int64()), "train_tokens": pa.array([totals.tokens] * len(made), pa.int64()), "base_score": pa.array(c[2], pa.float64()), "score": pa.array(c[3], pa.float64()), "pieces_score": pa.array(c[4], pa.float64())})
+        return pa.table({"id": body.column("id"), "learned": body.column("learn"), "n_tokens": pa.array(c[0], pa.int64()), "n_known": pa.array(c[1], pa.int64()), "train_tokens": pa.array([totals.tokens] * len(made), pa.int64()), "base_score": pa.array(c[2], pa.float64()), "score": pa.array(c[3], pa.float64()), "word_score": pa.array(c[4], pa.float64())})
 
-    schema = f"id {dict(docs.dtypes)[id_col]}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, pieces_score double"
+    schema = f"id {dict(docs.dtypes)[id_col]}, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, word_score double"
     return blocks.join_back(found, blocks.doc_rows(rows, split), combine, schema).withColumnRenamed("id", id_col)

@@ -1,28 +1,33 @@
 """SentencePiece encoding and decoding as a relational lattice.
 
 Text is written as the vocabulary writes it (a leading mark, marks for spaces) and cut into words, and these into parts,
-at places that no piece spans, so that each part can be encoded apart from the others. Every distinct part's substrings of bounded length are
-exploded and joined to the piece table; its edges are grouped by word, and Viterbi is folded over them by a
-higher-order aggregate. What was found goes back to the documents by blocks.
+at places that no piece spans, so that each part can be encoded apart from the others. Every distinct part's substrings
+of bounded length are exploded and joined to the piece table; its edges are grouped by part, and Viterbi is folded over
+them by a higher-order aggregate. What was found goes back to the documents by blocks.
+
+A part of more than CHUNK characters is cut into chunks of that size. Pieces may span their borders, so a chunk also has
+the characters that such a piece can reach, and is folded from every position where a way can enter it. The cheapest
+chain of entries and exits over a part's chunks is then found where its document is put together. So time and space grow
+in proportion to a part's length, and equal chunks are worked on once.
 
 The public vocabulary has ranks and no probabilities, so a piece of rank r gets a probability in proportion to
 1 / (r + 1); the encoding is the likeliest segmentation (a unigram model's, not the merges of a BPE model). A character
-that no piece holds weighs 10 less than the last piece and becomes the pieces of its UTF-8 bytes. Decoding turns ids back into the text, but for literal marks (U+2581), which the vocabulary takes for spaces.
+that no piece holds weighs 10 less than the last piece and becomes the pieces of its UTF-8 bytes. Decoding turns ids back
+into the text, but for literal marks (U+2581), which the vocabulary takes for spaces.
 
-Edge cases: null and empty texts have no pieces. Of equally good paths, the one whose last piece begins first wins.
-Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+Edge cases: null and empty texts have no pieces. Of equally good ways within a chunk, the one whose last piece begins
+first wins. Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +41,10 @@ _MARK_BYTES = MARK.encode()
 _RUN = re.compile(" +[^ ]*|[^ ]+")
 #: Text whose distinct words make one task of the lattice: some 10,000 words, whose edges are sorted in memory.
 PART_CHARS = 1_500_000
+#: Characters of a chunk, to which the longest piece's reach is added.
+CHUNK = 256
+#: First characters of a chunk that goes on, of a part's last chunk, and of other parts that begin with one of these.
+GOES_ON, LAST, OTHER = "\x01", "\x02", "\x03"
 
 
 def _runs(text: str) -> Iterator[str]:
@@ -47,12 +56,29 @@ def _runs(text: str) -> Iterator[str]:
             yield PLAIN + run if run[0] != " " else PLAIN + MARK + word if word[:1] == PLAIN else word
 
 
-def split(text: str) -> list[str]:
+def split(texts: pa.Array) -> pa.ListArray:
     """Words that stand after one space or the start, without that mark; line breaks; and the text right after these."""
-    if not text:
-        return []
-    lines = text.replace("\n", f" \n {PLAIN}")
-    return list(_runs(text)) if "  " in lines or PLAIN in text else lines.split(" ")
+    lines = pc.replace_substring(texts, "\n", f" \n {PLAIN}")
+    odd = pc.or_(pc.or_(pc.match_substring(lines, "  "), pc.starts_with(lines, " ")), pc.match_substring(texts, PLAIN))
+    plain = pc.split_pattern(pc.if_else(pc.or_(odd, pc.equal(texts, "")), pa.scalar(None, texts.type), lines), " ")
+    if not pc.any(odd).as_py():
+        return plain
+    own = pa.array([list(_runs(t)) for t in texts.filter(odd).to_pylist()], plain.type)
+    at = np.arange(len(texts))
+    at[odd.to_numpy(zero_copy_only=False)] = len(texts) + np.arange(len(own))
+    return pa.concat_arrays([plain, own]).take(pa.array(at))
+
+
+def _reach(vocab: Vocabulary) -> int:
+    return max(map(len, vocab.pieces)) - 1
+
+
+def _chunked(part: str, reach: int) -> list[str]:
+    """A part as it travels: marked, and in chunks if it is long."""
+    if len(part) <= CHUNK + reach:
+        return [OTHER + part if part[:1] in (GOES_ON, LAST, OTHER) else part]
+    at = range(0, len(part), CHUNK)
+    return [(GOES_ON if i + CHUNK < len(part) else LAST) + part[i : i + CHUNK + reach] for i in at]
 
 
 def refiner(vocab: Vocabulary) -> blocks.Refine:
@@ -60,80 +86,186 @@ def refiner(vocab: Vocabulary) -> blocks.Refine:
     and shorter distinct parts."""
     if any("\n" in p or MARK in p.strip(MARK) or (p.startswith(MARK * 2) and p.strip(MARK)) for p in vocab.pieces):
         raise ValueError("this vocabulary has pieces that span words")
-    pairs = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in vocab.pieces for i in range(len(p) - 1)}), np.int64)
-
-    def refine(words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        texts = [w if w == "\n" else w[1:] if w[:1] == PLAIN else MARK + w for w in words]
-        joined = "".join(texts)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
-        length = np.fromiter(map(len, texts), np.int64, len(texts))
+    pairs, reach = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in vocab.pieces for i in range(len(p) - 1)}), np.int64), _reach(vocab)
+
+    def refine(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        bare = pc.or_(pc.equal(words, "\n"), pc.starts_with(words, PLAIN))
+        texts = pc.if_else(bare, pc.replace_substring(words, PLAIN, "", max_replacements=1), pc.binary_join_element_wise(MARK, words, ""))
+        length = pc.utf8_length(texts).to_numpy().astype(np.int64)
+        joined = b"".join(texts.cast(pa.binary()).to_pylist())
+        codes = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4").astype(np.int64)
         pair = np.concatenate([[0], codes[:-1] << 21 | codes[1:]])[: len(codes)]
         found = np.searchsorted(pairs, pair)
         found[found == len(pairs)] = 0
         begins = pairs[found] != pair
         begins[(np.cumsum(length) - length)[length > 0]] = True
         at = np.flatnonzero(begins)
-        index: dict[str, int] = defaultdict(itertools.count().__next__)
-        parts = np.fromiter((index[joined[a:b]] for a, b in zip(at.tolist(), [*at[1:].tolist(), len(joined)], strict=True)), np.int64, len(at))
+        byte = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
+        parts = pa.StringArray.from_buffers(len(at), pa.py_buffer(byte[np.append(at, len(codes))].astype(np.int32)), pa.py_buffer(joined))
         n = np.bincount(np.repeat(np.arange(len(texts)), length)[at], minlength=len(texts))
-        return list(index), parts, np.concatenate([[0], np.cumsum(n)])
+        first = np.concatenate([[0], np.cumsum(n)])
+        coded = parts.dictionary_encode()
+        distinct, number = coded.dictionary, coded.indices.to_numpy()
+        odd = pc.or_(pc.greater(pc.utf8_length(distinct), CHUNK + reach), pc.match_substring_regex(distinct, f"^[{GOES_ON}{LAST}{OTHER}]"))
+        if pc.any(odd).as_py():
+            split_up = [_chunked(p, reach) for p in distinct.to_pylist()]
+            size = np.array([len(c) for c in split_up])[number]
+            coded = pa.array([c for i in number.tolist() for c in split_up[i]], pa.string()).dictionary_encode()
+            distinct, first = coded.dictionary, np.concatenate([[0], np.cumsum(size)])[first]
+            number = coded.indices.to_numpy()
+        return distinct, number.astype(np.int64), first
 
     return refine
 
 
-def digest(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "replace").replace(_MARK_BYTES, b" "))
+def digest(text: bytes) -> int:
+    return xxhash.xxh64_intdigest(text.replace(_MARK_BYTES, b" "))
 
 
-#: The fold's state: of each position done the best weight, and the last piece's begin and id; and the best so far of
-#: the position at hand. Only back references are kept, so that a long part takes space in proportion to its length.
+#: The fold from position `entry`: the positions that a way reaches, with its weight and the last piece's begin and id.
+#: Only back references are kept. Positions come one after another up to the chunk's end; few lie beyond it.
 _FOLD = """
-aggregate(
-  sort_array(edges),
-  named_struct('done', array(named_struct('w', 0D, 'from', 0, 'id', 0)), 'at', 0, 'w', cast(null as double), 'from', 0, 'id', 0),
-  (a, e) -> transform(array(if(e.to > a.at and a.at > 0, array_append(a.done, named_struct('w', a.w, 'from', a.from, 'id', a.id)), a.done)),
-      d -> if(e.to = a.at and a.w >= d[e.from].w + e.w,
+transform(if(kind = 0, array(0), sequence(0, {reach})), entry -> aggregate(
+  if(entry = 0, edges, filter(edges, x -> x.from >= entry)),
+  named_struct('done', array(named_struct('at', entry, 'w', 0D, 'from', 0, 'id', 0)), 'at', entry, 'w', cast(null as double), 'from', 0, 'id', 0),
+  (a, e) -> transform(array(if(e.to > a.at and a.at > entry, array_append(a.done, named_struct('at', a.at, 'w', a.w, 'from', a.from, 'id', a.id)), a.done)),
+      d -> if(e.to = a.at and a.w >= d[e.from - entry].w + e.w,
         named_struct('done', d, 'at', a.at, 'w', a.w, 'from', a.from, 'id', a.id),
-        named_struct('done', d, 'at', e.to, 'w', d[e.from].w + e.w, 'from', e.from, 'id', e.id)))[0],
-  a -> array_append(a.done, named_struct('w', a.w, 'from', a.from, 'id', a.id)))
+        named_struct('done', d, 'at', e.to, 'w', d[e.from - entry].w + e.w, 'from', e.from, 'id', e.id)))[0],
+  a -> if(a.at > entry, array_append(a.done, named_struct('at', a.at, 'w', a.w, 'from', a.from, 'id', a.id)), a.done)))
 """
 
 
-def encode_words(words: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """(word, places, begins, ids) of (word, places), distinct non-empty words: at each position the begin and the id
-    of the last piece of the best way there. An unknown character c is the id -1 - c.
+def encode_words(words: DataFrame, vocab: Vocabulary, parts: int) -> DataFrame:
+    """(h, kind, places, ats, begins, ids, weights) of (word, place): for each entry (one, but for chunks) the positions
+    that the best ways reach, their last pieces' begins and ids, and their weights. An unknown character c is the id -1 - c.
 
-    The piece table is as large as the vocabulary, so it is broadcast. If `words` is dealt by word, so is the result:
-    nothing is shuffled here.
+    The piece table is as large as the vocabulary, so it is broadcast. Words are dealt by their hash h and told apart by
+    their least place, so that no word is carried along with its edges; nothing else is shuffled.
     """
     spark = words.sparkSession
     weight = vocab.prior[: len(vocab.pieces)]
     table = spark.createDataFrame(pa.table({"piece": vocab.pieces, "id": pa.array(vocab.ids), "w": weight}))
-    longest, unknown = max(map(len, vocab.pieces)), float(weight.min()) - 10
-    ends = words.select("word", "places", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("to"))
-    subs = ends.select("word", "places", "to", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("to")))).alias("n"))
-    subs = subs.withColumn("piece", F.substring("word", F.col("to") - F.col("n") + 1, F.col("n")))
-    found = subs.join(F.broadcast(table), "piece", "left").filter("id is not null or n = 1")
-    edge = F.struct("to", (F.col("to") - F.col("n")).alias("from"), F.coalesce("w", F.lit(unknown)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
-    return found.select("word", "places", edge.alias("edge")).groupBy("word").agg(F.first("places").alias("places"), F.collect_list("edge").alias("edges")).select("word", "places", F.expr(_FOLD).alias("best")).select("word", "places", F.col("best.from").alias("begins"), F.col("best.id").alias("ids"))
-
-
-def _best(begins: list[int], ids: list[int], byte_ids: np.ndarray) -> list[int]:
-    """The ids on the best way, followed back from the end."""
-    out, at = [], len(ids) - 1
-    while at:
-        i = ids[at]
-        out += [i] if i >= 0 else byte_ids[list(chr(-1 - i).encode("utf-8", "surrogatepass"))][::-1].tolist()
-        at = begins[at]
+    reach, unknown = _reach(vocab), float(weight.min()) - 10
+    dealt = words.withColumn("h", F.xxhash64("word")).repartition(parts, "h")
+    once = dealt.groupBy("h", "word").agg(F.min("place").alias("key"), F.collect_list("place").alias("places"))
+    mark = F.ascii("word")
+    once = once.withColumn("kind", F.when((mark >= 1) & (mark <= 2), mark).otherwise(0)).withColumn("word", F.when((mark >= 1) & (mark <= 3), F.expr("substring(word, 2)")).otherwise(F.col("word")))
+    # one row more, of position -1, has the places
+    ends = once.select("h", "key", "kind", "word", "places", F.explode(F.sequence(F.lit(-1), F.length("word") - 1)).alias("from"))
+    ends = ends.filter((F.col("kind") != 1) | (F.col("from") < CHUNK))
+    size = F.when(F.col("from") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(reach + 1), F.length("word") - F.col("from"))))
+    subs = ends.select("h", "key", "kind", "word", F.when(F.col("from") < 0, F.col("places")).alias("places"), "from", F.explode(size).alias("n"))
+    subs = subs.withColumn("piece", F.substring("word", F.col("from") + 1, F.col("n"))).drop("word")
+    found = subs.join(F.broadcast(table), "piece", "left").filter("id is not null or n < 2")
+    edge = F.struct((F.col("from") + F.col("n")).alias("to"), "from", F.coalesce("w", F.lit(unknown)).alias("w"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"))
+    grouped = found.groupBy("h", "key", "kind").agg(F.first("places", ignorenulls=True).alias("places"), F.sort_array(F.collect_list(F.when(F.col("n") > 0, edge))).alias("edges"))
+    best = grouped.select("h", "kind", "places", F.expr(_FOLD.format(reach=reach)).alias("best"))
+    each = lambda f: F.expr(f"transform(best, b -> transform(b, x -> x.{f}))")
+    return best.select("h", "kind", "places", each("at").alias("ats"), each("from").alias("begins"), each("id").alias("ids"), F.when(F.col("kind") > 0, each("w")).alias("weights"))
+
+
+def _way(at: list[int], begins: list[int], ids: list[int], leave: int, byte_ids: np.ndarray) -> list[int]:
+    """The ids on the best way to position `leave`, followed back from there."""
+    out, where = [], {a: i for i, a in enumerate(at)}
+    while leave > at[0]:
+        i = where[leave]
+        out += [ids[i]] if ids[i] >= 0 else byte_ids[list(chr(-1 - ids[i]).encode("utf-8", "surrogatepass"))][::-1].tolist()
+        leave = begins[i]
     return out[::-1]
 
 
+def _ways(begins: pa.ListArray, ids: pa.ListArray, byte_ids: np.ndarray) -> pa.ListArray:
+    """The ids on each word's best way, all words at a time: one step back for every word that is not at its start."""
+    first = begins.offsets.to_numpy().astype(np.int64)
+    b, i = begins.flatten().to_numpy(), ids.flatten().to_numpy()
+    first, at = first[:-1] - first[0], np.diff(first) - 1
+    rows, steps, go, depth = [], [], np.flatnonzero(at > 0), 0
+    found = []
+    while len(go):
+        where = first[go] + at[go]
+        rows.append(go)
+        found.append(i[where])
+        steps.append(np.full(len(go), depth))
+        at[go] = b[where]
+        go, depth = go[at[go] > 0], depth + 1
+    if not rows:
+        return pa.array([[]] * len(begins), pa.list_(pa.int32()))
+    row, piece = np.concatenate(rows), np.concatenate(found).astype(np.int64)
+    order = np.lexsort((-np.concatenate(steps), row))
+    row, piece = row[order], piece[order]
+    odd = np.flatnonzero(piece < 0)
+    if len(odd):
+        spelt = [byte_ids[list(chr(-1 - p).encode("utf-8", "surrogatepass"))] for p in piece[odd].tolist()]
+        times = np.ones(len(piece), np.int64)
+        times[odd] = [len(s) for s in spelt]
+        piece, row, starts = np.repeat(piece, times), np.repeat(row, times), np.cumsum(times) - times
+        for a, s in zip(starts[odd].tolist(), spelt, strict=True):
+            piece[a : a + len(s)] = s
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(begins)))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(piece, pa.int32()))
+
+
 def _answers(batches: Iterator[pa.RecordBatch], byte_ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Ways of whole words as ids; chunks (None there) with all that is known of them, packed."""
+    names = ("ats", "begins", "ids", "weights")
     for batch in batches:
-        words, places = batch.column(0).to_pylist(), batch.column(1)
-        ways = [_best(b, i, byte_ids) for b, i in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-        row = np.repeat(np.arange(len(words)), np.diff(places.offsets.to_numpy()))
-        yield blocks.answers(places.flatten().to_numpy(), row, {"ids": pa.array(ways, pa.list_(pa.int32()))}, words)
+        kind, c = batch.column("kind").to_numpy(), {k: batch.column(k) for k in names}
+        chunk = np.flatnonzero(kind)
+        # a word has one entry, a chunk several: a word's first list is its only one
+        inner = {k: c[k].flatten() for k in ("begins", "ids")}
+        lists = c["begins"].offsets.to_numpy()[:-1] - c["begins"].offsets.to_numpy()[0]
+        ids = _ways(inner["begins"].take(pa.array(lists)), inner["ids"].take(pa.array(lists)), byte_ids)
+        packed = [None] * batch.num_rows
+        for i in chunk.tolist():
+            packed[i] = blocks.pack({k: c[k][i].values for k in names} | {"last": pa.array([kind[i] == 2] * len(c["ats"][i].values))})
+        yield blocks.answers(batch.column("places"), batch.column("h").to_numpy(), {"ids": ids, "chunk": pa.array(packed, pa.binary())})
+
+
+class _Chunk:
+    def __init__(self, body: bytes):
+        b = blocks.unpack(body)
+        self.at, self.begins, self.ids, self.weights = (b.column(k).to_pylist() for k in ("ats", "begins", "ids", "weights"))
+        self.last = b.column("last")[0].as_py()
+        # a chunk that goes on is left at CHUNK or a little after it, the last one at its end
+        self.exits = [{a - CHUNK: w for a, w in zip(at, ws, strict=True) if a >= CHUNK} for at, ws in zip(self.at, self.weights, strict=True)]
+
+
+def _chain(chunks: list[_Chunk], byte_ids: np.ndarray) -> list[int]:
+    """The ids of a part: the cheapest chain of its chunks' entries and exits, followed back."""
+    cost, back = {0: 0.0}, []
+    for c in chunks[:-1]:
+        new: dict[int, tuple[float, int]] = {}
+        for entry, w in cost.items():
+            for leave, v in c.exits[entry].items():
+                if leave not in new or w + v > new[leave][0]:
+                    new[leave] = (w + v, entry)
+        back.append({k: e for k, (_, e) in new.items()})
+        cost = {k: w for k, (w, _) in new.items()}
+    end = max(chunks[-1].at[0])
+    entry = max((w + chunks[-1].weights[e][chunks[-1].at[e].index(end)], -e) for e, w in cost.items() if e <= end)[1]
+    out, entry, leave = [], -entry, end
+    for c, came in zip(reversed(chunks), [*reversed(back), None], strict=True):
+        out.append(_way(c.at[entry], c.begins[entry], c.ids[entry], leave, byte_ids))
+        if came is not None:
+            leave, entry = entry + CHUNK, came[entry]
+    return [i for ids in reversed(out) for i in ids]
+
+
+def _joined(ids: pa.ListArray, packed: pa.Array, tokens: np.ndarray, at: np.ndarray, byte_ids: np.ndarray) -> tuple[pa.ListArray, np.ndarray, np.ndarray]:
+    """Runs of chunks become tokens of their own, each with the ids of its part."""
+    chunks = {i: _Chunk(packed[i].as_py()) for i in np.flatnonzero(packed.is_valid().to_numpy(zero_copy_only=False)).tolist()}
+    where = np.flatnonzero(np.isin(tokens, list(chunks)))
+    made: dict[tuple[int, ...], int] = {}
+    tokens, keep, run = tokens.astype(np.int64), np.ones(len(tokens), bool), []
+    for p in where.tolist():
+        run.append(int(tokens[p]))
+        keep[p] = chunks[run[-1]].last
+        if keep[p]:
+            tokens[p] = len(ids) + made.setdefault(tuple(run), len(made))
+            run = []
+    more = pa.array([_chain([chunks[i] for i in r], byte_ids) for r in made], pa.list_(pa.int32()))
+    return pa.concat_arrays([ids, more]), tokens[keep], np.concatenate([[0], np.cumsum(keep)])[at]
 
 
 def _spell(vocab: Vocabulary) -> list[bytes]:
@@ -152,26 +284,25 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
     spell = docs.sparkSession.sparkContext.broadcast(_spell(vocab))
     rows = blocks.prepared(docs, id_col, text_col, F.lit(False))
     chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    parts = max(1, math.ceil(chars / PART_CHARS))
-    words = blocks.word_rows(rows, split, "string", refine).repartition(parts, "word").groupBy("word").agg(F.collect_list("place").alias("places"))
-    found = encode_words(words, vocab).mapInArrow(lambda it: _answers(it, byte_ids), "block long, answer binary")
+    words = blocks.word_rows(rows, split, "string", refine).select("word", "place")
+    found = encode_words(words, vocab, max(1, math.ceil(chars / PART_CHARS))).mapInArrow(lambda it: _answers(it, byte_ids), "block long, answer binary")
 
     def combine(table: pa.Table | None, body: pa.RecordBatch, tokens: np.ndarray, at: np.ndarray) -> pa.Table:
         ids = table.column("ids").combine_chunks() if table else pa.array([], pa.list_(pa.int32()))
+        if table and table.column("chunk").null_count < table.num_rows:
+            ids, tokens, at = _joined(ids, table.column("chunk").combine_chunks(), tokens, at, byte_ids)
         flat = ids.take(pa.array(tokens)).flatten()
         ends = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy())[tokens])])[at]
         out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        same = [digest_bytes(b"".join(map(spell.value.__getitem__, row.tolist()))) for row in np.split(flat.to_numpy(), ends[1:-1])] if len(ends) > 1 else []
-        return pa.table({"id": body.column("id"), "ids": out, "n_pieces": pa.array(np.diff(ends), pa.int64()), "round_trip": pa.array([a == b for a, b in zip(same, body.column("digest").to_pylist(), strict=True)])})
+        spelt = pa.array(spell.value, pa.binary()).take(flat)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelt), b"")
+        same = [xxhash.xxh64_intdigest(t[1:]) == d for t, d in zip(texts.to_pylist(), body.column("digest").to_pylist(), strict=True)]
+        return pa.table({"id": body.column("id"), "ids": out, "n_pieces": pa.array(np.diff(ends), pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
     schema = f"id {dict(docs.dtypes)[id_col]}, ids array<int>, n_pieces long, round_trip boolean"
     return blocks.join_back(found, blocks.doc_rows(rows, split, digest, refine), combine, schema).withColumnRenamed("id", id_col)
 
 
-def digest_bytes(decoded: bytes) -> int:
-    return xxhash.xxh64_intdigest(decoded[1:])
-
-
 def decode(encoded: DataFrame, *, ids_col: str = "ids", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """`encoded` with a column `decoded`: the text of a list of ids (null if that is null)."""
     spell = encoded.sparkSession.sparkContext.broadcast(_spell(read_vocabulary(vocabulary)))

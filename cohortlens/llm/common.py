@@ -20,14 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it back: lineage ends there and survives lost executors.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests) a new local folder is used.
-    """
-    sc = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder spark.checkpoint.dir. Where that is unset a local master (tests) gets a new folder; on a cluster,
+    where a local folder would be lost, that is an error."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Write `df` to the shared checkpoint folder and read it back: lineage ends there and survives lost executors."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -48,9 +55,15 @@ def sample_rate(rows: int, bound: int) -> float:
 
 def durable_table(df: DataFrame) -> DataFrame:
     """Like `durable`, as compressed Parquet in a folder of its own."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete durable tables that nothing reads any more."""
+    for t in tables:
+        if files := t.inputFiles():
+            jvm = t.sparkSession._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

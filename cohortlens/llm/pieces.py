@@ -147,8 +147,8 @@ def encode_words(words: DataFrame, vocab: Vocabulary, parts: int) -> DataFrame:
     weight = vocab.prior[: len(vocab.pieces)]
     table = spark.createDataFrame(pa.table({"piece": vocab.pieces, "id": pa.array(vocab.ids), "w": weight}))
     reach, unknown = _reach(vocab), float(weight.min()) - 10
-    dealt = words.withColumn("h", F.xxhash64("word")).repartition(parts, "h")
-    once = dealt.groupBy("h", "word").agg(F.min("place").alias("key"), F.collect_list("place").alias("places"))
+    dealt = words.repartition(parts, F.xxhash64("word"))
+    once = dealt.groupBy(F.xxhash64("word").alias("h"), "word").agg(F.min("place").alias("key"), F.collect_list("place").alias("places"))
     mark = F.ascii("word")
     once = once.withColumn("kind", F.when((mark >= 1) & (mark <= 2), mark).otherwise(0)).withColumn("word", F.when((mark >= 1) & (mark <= 3), F.expr("substring(word, 2)")).otherwise(F.col("word")))
     # one row more, of position -1, has the places

@@ -3,17 +3,14 @@
 A fingerprint bit is 1 if it is set in more than half of the features' hashes. The bits form a ring of segments. Of two
 fingerprints that differ in at most tau bits, some segment starts a chain whose first l segments differ in at most
 l * tau / m bits, for every l up to the number m of segments. Where tau < m the first segment must be equal, so
-fingerprints are joined on (start, segment) and a pair must pass all of the chain's budgets, the last of which is the
-full Hamming check, within the join condition. Each start's row holds the ring turned to that start.
-
-`link_fingerprints` (64 bits) finds every link. `near_duplicates` compares texts by their five-word shingles: MinHash bands
-over the same shingles find candidates, and an exact Jaccard similarity of 0.8 or more decides. A pair of similarity J
-lacks an equal band with probability (1 - J ** BAND_SIZE) ** BANDS, whatever its texts are: 3 in a million at 0.8, fewer
-above.
-
-Edge cases: null and empty texts, or ones without a word, have fingerprint 0 and are near-duplicates of each other.
-Texts of fewer words than a shingle are one shingle. Equal fingerprints (texts) are collapsed first, so copies cost no
-pairs. An empty table gives an empty result; other columns are ignored or kept as they are.
+fingerprints are joined on the start and that segment. The first two segments differ in 2 * tau / m bits at most, fewer
+than the second has halves if tau < m, so one of its halves is equal too and is part of the key. A pair must pass all of
+the chain's budgets, the last of which is the full Hamming check, within the join condition. Each start's row holds the
+ring turned to that start. `link_fingerprints` finds every link.
+
+Edge cases: null and empty texts, or ones without a word, have fingerprint 0. Texts of fewer words than a shingle are one
+shingle. Equal fingerprints are collapsed first, so copies cost no pairs. Repeated rows give repeated rows. An empty table
+gives an empty result; other columns are ignored or kept as they are.
 """
 
 from __future__ import annotations
@@ -27,14 +24,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable_table
 from .graph import components
 
 SEED = 42
-SIMILARITY, SHINGLE = 0.8, 5
-BANDS, BAND_SIZE = 32, 5
-_rng = np.random.default_rng(SEED)
-_FLIP, _SPREAD, _JOIN = (_rng.integers(1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for n in (BANDS * BAND_SIZE, BANDS * BAND_SIZE, BANDS * BAND_SIZE))
 
 
 def words(text: str | None) -> list[bytes]:
@@ -84,14 +76,18 @@ def _top(bits: int) -> int:
 
 
 def turned(nodes: DataFrame, fp: list[str], m: int, keep: list[str]) -> DataFrame:
-    """A row for each node and start: `ring` (start and first segment) and the turned words r0, r1, ..."""
+    """Two rows for each node and start: `ring` (start, first segment and a half of the second) and the turned words."""
     size = 64 * len(fp)
     cuts = [round(i * size / m) for i in range(m + 1)]
+    ends = [cuts[i % m + 1] - cuts[i % m] for i in range(2 * m)]
     starts = []
     for i in range(m):
         r = _turned([F.col(c) for c in fp], cuts[i])
-        first = F.shiftrightunsigned(r[0], 64 - (cuts[i + 1] - cuts[i]))
-        starts.append(F.struct((F.lit(i << 48) + first).alias("ring"), F.lit(i).alias("start"), *[x.alias(f"r{j}") for j, x in enumerate(r)]))
+        first, half = ends[i], ends[i + 1] // 2
+        for at, width, which in ((0, half, 0), (half, ends[i + 1] - half, 1)):
+            part = F.shiftrightunsigned(F.shiftleft(r[0], first + at), 64 - width)
+            key = F.struct(F.lit(2 * i + which).alias("start"), F.shiftrightunsigned(r[0], 64 - first).alias("first"), part.alias("half"))
+            starts.append(F.struct(key.alias("ring"), F.lit(i).alias("start"), *[x.alias(f"r{j}") for j, x in enumerate(r)]))
     return nodes.select(*keep, F.explode(F.array(*starts)).alias("s")).select(*keep, "s.*")
 
 
@@ -113,16 +109,16 @@ def chain(a: str, b: str, n: int, m: int, tau: int) -> Column:
     return out
 
 
-def pairs(rows: DataFrame, n: int, m: int, tau: int, key: str, apart: Column | None = None) -> DataFrame:
+def pairs(rows: DataFrame, n: int, m: int, tau: int, key: str) -> DataFrame:
     """(a, b) of all rows that share a ring key and pass the chain."""
     on = (F.col("x.ring") == F.col("y.ring")) & (F.col(f"x.{key}") < F.col(f"y.{key}")) & chain("x", "y", n, m, tau)
-    joined = rows.alias("x").join(rows.alias("y"), on if apart is None else on & apart)
+    joined = rows.alias("x").join(rows.alias("y"), on)
     return joined.select(F.col(f"x.{key}").alias("a"), F.col(f"y.{key}").alias("b")).distinct()
 
 
 def link_fingerprints(prints: DataFrame, *, id_col: str = "doc_id", tau: int = 2, segments: int = 3) -> DataFrame:
     """`prints` (id, fp) with `component`: the smallest id that can be reached over fingerprints at most tau bits apart."""
-    if tau >= segments:
+    if tau >= segments or segments < 2:
         raise ValueError("an equal segment is certain only for fewer differing bits than segments")
     classes = prints.groupBy("fp").agg(F.min(id_col).alias("rep"))
     links = pairs(turned(classes, ["fp"], segments, ["fp"]), 1, segments, tau, "fp")
@@ -132,91 +128,5 @@ def link_fingerprints(prints: DataFrame, *, id_col: str = "doc_id", tau: int = 2
     return prints.join(grouped.join(least, "part").select("fp", "component"), "fp")
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """BANDS numbers over the shingles' hashes; two sets share each with probability J ** BAND_SIZE."""
-    if not len(h):
-        return np.zeros(0, np.int64)
-    least = np.full(len(_FLIP), np.iinfo(np.uint64).max)
-    for at in range(0, len(h), 1024):
-        least = np.minimum(least, ((h[at : at + 1024] ^ _FLIP[:, None]) * _SPREAD[:, None]).min(axis=1))
-    least ^= least >> np.uint64(32)
-    return (least * _JOIN).reshape(BANDS, BAND_SIZE).sum(axis=1, dtype=np.uint64).view(np.int64)
-
-
-def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, t0, t1, bands): a 128-bit hash of the word sequence and the bands of its shingles."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            whole, bands = [], []
-            for t in batch.column(1):
-                w = words(t.as_py())
-                whole.append(np.frombuffer(xxhash.xxh3_128_digest(b" ".join(w)), np.int64))
-                bands.append(band_keys(np.unique(hashes(shingles(w, SHINGLE)))))
-            t = np.array(whole, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "t0": pa.array(t[:, 0]), "t1": pa.array(t[:, 1]), "bands": pa.array(bands, pa.list_(pa.int64()))})
-
-    return docs.select(id_col, text_col).mapInArrow(rows, f"id {dict(docs.dtypes)[id_col]}, t0 long, t1 long, bands array<long>")
-
-
-def _shingle_sets(docs: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(hashes(shingles(words(t.as_py()), SHINGLE))).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_pydict({"id": batch.column(0), "own": pa.array(sets, pa.binary())})
-
-    return docs.mapInArrow(rows, f"id {dict(docs.dtypes)['id']}, own binary")
-
-
-def _similar(candidates: DataFrame, texts: DataFrame) -> DataFrame:
-    """The candidates (a, b) whose shingle sets have the wanted Jaccard similarity."""
-    kind = dict(candidates.dtypes)["a"]
-    wanted = candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct()
-    sets = durable_table(_shingle_sets(texts.join(wanted, "id", "left_semi")))
-    both = candidates.join(sets.select(F.col("id").alias("a"), F.col("own").alias("left")), "a").join(sets.select(F.col("id").alias("b"), F.col("own").alias("right")), "b")
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_py(), np.uint64) for v in (x, y))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= SIMILARITY * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return both.select("a", "b", "left", "right").mapInArrow(rows, f"a {kind}, b {kind}")
-
-
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, component) for every row: the smallest id of its group of near-duplicates.
-
-    A large group of near-copies would make as many pairs as its square. So each text is first compared with two others
-    alone, which share most bands with it among the smallest and largest ids of its bands, twice over; then only texts of
-    groups still apart are compared with each other. Links within a group add nothing to it, so none that counts is lost.
-    """
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    seen = durable_table(_features(docs, id_col, text_col))
-    nodes = durable_table(seen.groupBy("t0", "t1").agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
-    rows = nodes.select("node", F.explode("bands").alias("band"))
-    rows = durable_table(rows.join(rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("band"), "band"))
-    grouped, links = rows.withColumn("part", F.col("node")), None
-    for _ in range(2):
-        own = F.struct("node", "part")
-        ends = grouped.groupBy("band").agg(F.min(own).alias("first"), F.max(own).alias("last"))
-        hubs = ends.select("band", F.explode(F.array_distinct(F.array("first", "last"))).alias("h")).select("band", "h.*")
-        star = grouped.alias("x").join(hubs.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.part") != F.col("y.part")))
-        star = star.groupBy(F.col("x.node").alias("node"), F.col("y.node").alias("hub")).agg(F.count(F.lit(1)).alias("n"))
-        two = star.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", "hub")), asc=False), 1, 2).alias("hubs"))
-        star = two.select("node", F.explode("hubs.hub").alias("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-        found = durable_table(_similar(durable_table(star), texts))
-        links = found if links is None else links.union(found)
-        grouped = rows.join(components(links), "node", "left").select("node", "band", F.coalesce("component", "node").alias("part"))
-    apart = (F.col("x.band") == F.col("y.band")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part"))
-    rest = grouped.alias("x").join(grouped.alias("y"), apart).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-    final = components(links.union(_similar(durable_table(rest), texts)))
-    labelled = nodes.join(final, "node", "left").select("t0", "t1", F.coalesce("component", "node").alias("component"))
-    return seen.select("id", "t0", "t1").join(labelled, ["t0", "t1"]).select(F.col("id").alias(id_col), "component")
-
-
 def hex_fingerprint(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortlens.llm import ann, mixing, simhash, toxicity
+from cohortlens.llm import ann, mixing, neardup, simhash, toxicity
 
 
 def test_cut_and_extended_copies_are_near_duplicates(spark):
@@ -19,23 +19,14 @@ def test_cut_and_extended_copies_are_near_duplicates(spark):
             w, extra = [word() for _ in range(n)], [word() for _ in range(int(n * 0.21))]
             for copy in (w, w[: len(w) - int(n * 0.18)], w + extra):
                 rows.append((len(rows), " ".join(copy)))
-            sets = [set(simhash.shingles(simhash.words(t), simhash.SHINGLE)) for _, t in rows[-3:]]
+            sets = [set(simhash.shingles(simhash.words(t), neardup.SHINGLE)) for _, t in rows[-3:]]
             assert all(len(sets[0] & s) >= 0.8 * len(sets[0] | s) for s in sets[1:])
             pairs += 2
-    got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["component"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     found = sum(got[i] == i // 3 * 3 for i in got if i % 3)
     assert found == pairs, f"{found} of {pairs} pairs"
 
 
-def test_equal_bands_are_as_likely_as_computed():
-    rng = np.random.default_rng(3)
-    shared = []
-    for _ in range(2000):
-        h = rng.integers(1 << 63, size=100, dtype=np.uint64)
-        shared.append((simhash.band_keys(h) == simhash.band_keys(h[:80])).mean())
-    assert abs(np.mean(shared) - 0.8**simhash.BAND_SIZE) < 0.01 and min(shared) > 0
-
-
 def test_nearest_where_density_is_uneven(spark):
     rng = np.random.default_rng(8)
     near = rng.standard_normal(32) + 0.02 * rng.standard_normal((1800, 32))

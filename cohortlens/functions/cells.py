@@ -33,10 +33,11 @@ def count_cells(df: DataFrame, keys: list[str], user: str = "pseudonym", n: Colu
     return grain.groupBy(*keys).agg(F.sum("n").alias("value"), F.count(F.lit(1)).alias("n_users"))
 
 
-def user_cells(df: DataFrame, keys: list[str], user: str = "pseudonym") -> DataFrame:
-    """(keys, value, n_users) where the value is the number of users."""
-    n = df.select(*keys, user).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("value"))
-    return n.withColumn("n_users", F.col("value"))
+def both_cells(df: DataFrame, keys: list[str], names: tuple[str, str] = ("messages", "active_users"), n: Column | None = None) -> DataFrame:
+    """(keys, measure, value, n_users) of a count and of its users, from one aggregate at user grain."""
+    c = count_cells(df, keys, n=n)
+    measures = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(value).alias("value")) for name, value in zip(names, ("value", "n_users"), strict=True)])
+    return c.select(*keys, "n_users", F.explode(measures).alias("m")).select(*keys, "m.measure", "m.value", "n_users")
 
 
 def dense(cells: DataFrame, scaffold: DataFrame, keys: list[str]) -> DataFrame:

@@ -42,36 +42,49 @@ def poisson_z(c1: Column, w1: Column, c2: Column, w2: Column) -> Column:
     return poisson_log_ratio(c1, w1, c2, w2) / F.sqrt(1 / c1 + 1 / c2)
 
 
-def quantile_type2(value: str, p: float) -> Column:
-    """The mean of the order statistics ceil(np) and floor(np + 1): two plain aggregates."""
-    lower = F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {value})")
-    upper = F.expr(f"percentile_disc({1 - p}) WITHIN GROUP (ORDER BY {value} DESC)")
-    return (lower + upper) / 2
+def cumulative(ties: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """`ties` (keys, value, ties) with `up_to`, the rows up to and with each value.
+
+    Values are summed up within their whole number, and whole numbers (few) within the group, so that a group of very
+    many distinct values is no single task.
+    """
+    b = ties.withColumn("__b", F.floor(value))
+    before = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    first = b.groupBy(*keys, "__b").agg(F.sum("ties").alias("n")).withColumn("__first", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    inside = F.sum("ties").over(Window.partitionBy(*keys, "__b").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return b.withColumn("__in", inside).join(first, [*keys, "__b"]).withColumn("up_to", F.col("__in") + F.col("__first")).drop("__b", "__in", "__first")
+
+
+def quantiles_type2(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """(keys, a column for each p): the mean of the order statistics ceil(np) and floor(np + 1), from a histogram."""
+    ties = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+    ranked = cumulative(ties, keys, value).join(ties.groupBy(*keys).agg(F.sum("ties").alias("__n")), keys)
+    at = lambda rank: F.min(F.when(F.col("up_to") >= rank, F.col(value)))
+    n = F.col("__n")
+    return ranked.groupBy(*keys).agg(*[((at(F.ceil(n * p)) + at(F.least(n, F.floor(n * p + 1)))) / 2).alias(name) for name, p in ps.items()])
 
 
 def midranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, value, ties, midrank): one row a distinct value. Ranks come from a histogram, not a sort of all rows."""
     ties = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
-    up_to = F.sum("ties").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    return ties.withColumn("midrank", up_to - (F.col("ties") - 1) / 2)
+    return cumulative(ties, keys, value).withColumn("midrank", F.col("up_to") - (F.col("ties") - 1) / 2).drop("up_to")
 
 
 def mann_whitney(df: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:
     """(keys, n1, n2, u, z, effect) for side 1 against side 2: normal approximation with tie and continuity correction,
     rank-biserial effect; z is 0 without variance."""
-    by = df.groupBy(*keys, side, value).agg(F.count(F.lit(1)).alias("n"))
-    ranked = by.join(midranks(df, keys, value), [*keys, value])
     one = F.col(side) == 1
-    sums = ranked.groupBy(*keys).agg(F.sum(F.when(one, F.col("n")).otherwise(0)).cast("double").alias("n1"), F.sum(F.when(~one, F.col("n")).otherwise(0)).cast("double").alias("n2"), F.sum(F.when(one, F.col("n") * F.col("midrank")).otherwise(0.0)).alias("r1"))
+    by = df.groupBy(*keys, value).agg(F.count_if(one).alias("c1"), F.count_if(~one).alias("c2")).withColumn("ties", F.col("c1") + F.col("c2"))
     t = F.col("ties").cast("double")
-    tied = midranks(df, keys, value).groupBy(*keys).agg(F.sum(t * t * t - t).alias("tied"))
+    rank = F.col("up_to") - (F.col("ties") - 1) / 2
+    sums = cumulative(by, keys, value).groupBy(*keys).agg(F.sum("c1").cast("double").alias("n1"), F.sum("c2").cast("double").alias("n2"), F.sum(F.col("c1") * rank).alias("r1"), F.sum(t * t * t - t).alias("tied"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
     var = n1 * n2 / 12 * (n + 1 - F.col("tied") / (n * (n - 1)))
     d = u - n1 * n2 / 2
     z = F.when(var > 0, F.signum(d) * F.greatest(F.abs(d) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(0.0)
-    return sums.join(tied, keys).select(*keys, "n1", "n2", u.alias("u"), z.alias("z"), (2 * u / (n1 * n2) - 1).alias("effect"))
+    return sums.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"), (2 * u / (n1 * n2) - 1).alias("effect"))
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, order: str, q: str = "q") -> DataFrame:

@@ -28,7 +28,12 @@ class Corpus:
 
 @dataclass(frozen=True)
 class View:
+    """`rows` are the enriched messages and `msg` the same with their level; `language` has (history_id, lang). Each
+    section takes the narrowest that it needs, as every further column is a join of all messages."""
+
+    rows: DataFrame
     msg: DataFrame
+    language: DataFrame
     sess: DataFrame
     reg: DataFrame
     first_seen: DataFrame
@@ -39,8 +44,8 @@ class View:
 
 
 def level_at(status: Column, ma_start: Column, day: Column) -> Column:
-    """A user with a transition term is a master student from its first day on, a bachelor student before."""
-    moved = F.when(day >= cal.term_start(ma_start), "master").otherwise("bachelor")
+    """A user with a transition term is a master student from its first day on and has the own status before."""
+    moved = F.when(day >= cal.term_start(ma_start), "master").otherwise(status)
     return F.coalesce(F.when(ma_start.isNotNull(), moved).otherwise(status), F.lit("unknown"))
 
 
@@ -62,10 +67,14 @@ def first_seen(enriched: DataFrame) -> DataFrame:
     return enriched.groupBy("pseudonym").agg(F.min("day").alias("first_seen"))
 
 
-def with_language(messages: DataFrame, labels: DataFrame, version: str) -> DataFrame:
-    """The filter is on the label side of the outer join, so messages without a label stay."""
-    lang = labels.filter((F.col("label_version") == version) & (F.col("domain") == "language") & (F.col("value") == 1)).select("history_id", F.col("code").alias("lang"))
-    return messages.join(lang, "history_id", "left").withColumn("lang", F.coalesce("lang", F.lit("undetermined")))
+def languages(labels: DataFrame, version: str) -> DataFrame:
+    """(history_id, lang) of one version of the language labels."""
+    return labels.filter((F.col("label_version") == version) & (F.col("domain") == "language") & (F.col("value") == 1)).select("history_id", F.col("code").alias("lang"))
+
+
+def spoken(messages: DataFrame, v: View) -> DataFrame:
+    """Messages with `lang`; those without a label stay."""
+    return messages.join(v.language, "history_id", "left").withColumn("lang", F.coalesce("lang", F.lit("undetermined")))
 
 
 def sessionize(msg: DataFrame) -> DataFrame:
@@ -128,22 +137,32 @@ def windows(axis: DataFrame) -> tuple[DataFrame, DataFrame]:
     return win, bridge.select("window_id", "monday", "week", "semester_week")
 
 
-def view(corpus: Corpus, *, extracted: dt.date, axis_start: dt.date | None = None, label_version: str = "v1") -> View:
-    """First-seen comes from all rows; then rows before the axis and in weeks not yet over are left out."""
+def view(corpus: Corpus, *, extracted: dt.date, axis_start: dt.date | None = None, label_version: str = "v1", language_version: str = "v1") -> View:
+    """First-seen comes from all rows; then rows before the axis and in weeks not yet over are left out.
+
+    A message's level is that of the day on which its session started, so a session has one level. Languages have a
+    label version of their own.
+    """
     through = through_monday(extracted)
     raw = enrich(corpus.messages)
     seen = first_seen(raw)
     inside = F.col("monday") <= F.lit(through)
     if axis_start:
         inside &= F.col("day") >= F.lit(axis_start)
-    msg = with_level(with_language(raw.filter(inside), corpus.labels, label_version), corpus.roster, F.col("day"))
+    rows = raw.filter(inside)
+    msg = with_level(rows, corpus.roster, F.to_date(cal.local(F.timestamp_millis("session_started"))))
     reg = corpus.students.filter("registered_at is not null").withColumn("day", F.to_date(cal.local(F.col("registered_at"))))
     reg = reg.withColumns({"monday": cal.monday(F.col("day")), "week": cal.week_id(F.col("day"))})
     reg = with_level(reg.filter(inside), corpus.roster, F.col("day"))
     positives = corpus.labels.filter((F.col("value") == 1) & (F.col("label_version") == label_version) & (F.col("domain") != "language")).select("history_id", "domain", "code")
     axis = local_copy(week_axis(enrich(corpus.messages).filter(inside), through))
     win, bridge = map(local_copy, windows(axis))
-    return View(msg, sessionize(msg), reg, seen, positives, axis, win, bridge)
+    return View(rows, msg, languages(corpus.labels, language_version), sessionize(msg), reg, seen, positives, axis, win, bridge)
+
+
+def grain(rows: DataFrame, *dims: str) -> DataFrame:
+    """(monday, dims, pseudonym, n): messages at user grain, before weeks are dealt out to windows and levels."""
+    return rows.groupBy("monday", *dims, "pseudonym").agg(F.count(F.lit(1)).alias("n"))
 
 
 def by_level(df: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,12 +18,32 @@ def _count(df: DataFrame, rule: str, broken: Column | str | None = None) -> Data
     return rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
 
 
+def long_cells(tables: dict[str, DataFrame]) -> DataFrame:
+    """(section, window_id, level, status, value) of every table of cells, so that one pass checks all of them."""
+    parts = []
+    for name, t in tables.items():
+        if {"status", "value"} <= set(t.columns):
+            own = lambda c, t=t: F.col(c) if c in t.columns else F.lit(None).cast("string").alias(c)
+            parts.append(t.select(F.lit(name).alias("section"), own("window_id"), own("level"), "status", F.col("value").cast("double").alias("value")))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def suppressed_bare(cells: DataFrame) -> DataFrame:
     return _count(cells, "suppressed_bare", (F.col("status") == SUPPRESSED) & F.col("value").isNotNull())
 
 
+def summaries_bare(summaries: DataFrame) -> DataFrame:
+    shown = [F.col(c).isNotNull() for c in ("n_users", "median", "p25", "p75", "mean", "sd")]
+    return _count(summaries, "suppressed_bare", (F.col("status") == SUPPRESSED) & reduce(Column.__or__, shown))
+
+
 def floor_respected(rows: DataFrame, floor: int) -> DataFrame:
-    return _count(rows, "floor_respected", F.col("n_users") < floor)
+    """No number of users that is published may be below the floor."""
+    users = [c for c in rows.columns if c.startswith("n_users") or c.startswith("users_")]
+    broken = reduce(Column.__or__, [F.coalesce(F.col(c) < floor, F.lit(False)) for c in users])
+    if "trajectory" in rows.columns:
+        broken |= F.coalesce(F.exists("trajectory", lambda x: x["n_users"] < floor), F.lit(False))
+    return _count(rows, "floor_respected", broken)
 
 
 def no_recoverable_partition(usage: DataFrame) -> DataFrame:
@@ -31,10 +52,16 @@ def no_recoverable_partition(usage: DataFrame) -> DataFrame:
     return _count(g, "no_recoverable_partition", "hidden = 1 and total > 0")
 
 
+def no_small_remainder(usage: DataFrame, floor: int) -> DataFrame:
+    """What published levels leave of a published total is a number too, and so is zero or no smaller than the floor."""
+    g = usage.filter(F.col("measure").isin(*PARTITIONED)).groupBy("window_id", "measure").agg(F.count_if(F.col("status") == SUPPRESSED).alias("hidden"), F.max(F.when(F.col("level") == "all", F.col("value"))).alias("total"), F.sum(F.when(F.col("level") != "all", F.col("value"))).alias("levels"))
+    return _count(g, "no_small_remainder", (F.col("hidden") == 0) & (F.col("total") != F.col("levels")) & (F.col("total") - F.col("levels") < floor))
+
+
 def dense_over(cells: DataFrame, scaffold: DataFrame, keys: list[str], rule: str) -> DataFrame:
     """Cells missing from the scaffold, beyond it, or there twice."""
     c = cells.select(*keys)
-    return reduce(DataFrame.unionByName, [_count(scaffold.join(c, keys, "left_anti"), rule), _count(c.join(scaffold, keys, "left_anti"), rule), _count(c.groupBy(*keys).count(), rule, "count > 1")]).groupBy("rule").agg(F.sum("n").alias("n"))
+    return _total([_count(scaffold.join(c, keys, "left_anti"), rule), _count(c.join(scaffold, keys, "left_anti"), rule), _count(c.groupBy(*keys).count(), rule, "count > 1")])
 
 
 def tiles(parts: DataFrame) -> DataFrame:
@@ -55,9 +82,9 @@ def windows_resolve(win: DataFrame, cells: DataFrame) -> DataFrame:
     """Ids are unique, the cells' windows and the slices' parents exist."""
     ids = win.select("window_id").distinct()
     twice = _count(win.groupBy("window_id").count(), "windows_resolve", "count > 1")
-    lost = _count(cells.select("window_id").distinct().join(ids, "window_id", "left_anti"), "windows_resolve")
+    lost = _count(cells.select("window_id").filter("window_id is not null").distinct().join(ids, "window_id", "left_anti"), "windows_resolve")
     orphans = _count(win.filter("parent_id is not null").select(F.col("parent_id").alias("window_id")).join(ids, "window_id", "left_anti"), "windows_resolve")
-    return twice.unionByName(lost).unionByName(orphans).groupBy("rule").agg(F.sum("n").alias("n"))
+    return _total([twice, lost, orphans])
 
 
 def slices_contiguous(win_week: DataFrame, win: DataFrame) -> DataFrame:
@@ -66,31 +93,52 @@ def slices_contiguous(win_week: DataFrame, win: DataFrame) -> DataFrame:
     return _count(g, "slices_contiguous", "d <> 7 * (n - 1)")
 
 
-def trend_rules(findings: DataFrame, win: DataFrame, cap: int = 5, tab_caps: dict[str, int] | None = None) -> DataFrame:
-    """Published findings keep to the caps and belong to known windows that are no slices."""
+def trend_rules(findings: DataFrame, windows: DataFrame, win: DataFrame, cap: int = 5, tab_caps: dict[str, int] | None = None) -> DataFrame:
+    """`findings` keep to the caps, belong to windows with a baseline and enough data, and have points just under a
+    trajectory, each of a known term. `windows` (window_id, baseline, insufficient_data): baselines resolve, all time's
+    alone is a trajectory, and nothing is insufficient without one."""
     caps = {"topics": 3} if tab_caps is None else tab_caps
     limit = F.lit(2)
     for tab, n in caps.items():
         limit = F.when(F.col("tab") == tab, n).otherwise(limit)
-    over = _count(findings.groupBy("window_id").count(), "trends", F.col("count") > cap)
-    tabs = _count(findings.groupBy("window_id", "tab").count(), "trends", F.col("count") > limit)
-    lost = _count(findings.select("window_id").join(win.filter("kind <> 'semester_slice'").select("window_id"), "window_id", "left_anti"), "trends")
-    return over.unionByName(tabs).unionByName(lost).groupBy("rule").agg(F.sum("n").alias("n"))
+    ids = win.select("window_id", "kind")
+    windows = windows.withColumnRenamed("baseline", "against")
+    trajectory = F.col("against") == "trajectory"
+    known = findings.join(windows, "window_id", "left")
+    points = findings.filter("trajectory is not null").select(F.explode("trajectory.term").alias("window_id"))
+    named = windows.filter("against is not null")
+    rules = [
+        _count(findings.groupBy("window_id").count(), "trends", F.col("count") > cap),
+        _count(findings.groupBy("window_id", "tab").count(), "trends", F.col("count") > limit),
+        _count(known, "trends", F.col("against").isNull() | F.col("insufficient_data") | (trajectory != F.col("trajectory").isNotNull())),
+        _count(points.join(ids.filter("kind = 'semester'"), "window_id", "left_anti"), "trends"),
+        _count(named.filter(~trajectory).select(F.col("against").alias("window_id")).join(ids, "window_id", "left_anti"), "trends"),
+        _count(named.join(ids, "window_id", "left"), "trends", trajectory & F.coalesce(F.col("kind") != "all_time", F.lit(True))),
+        _count(windows, "trends", F.col("insufficient_data") & F.col("against").isNull()),
+    ]
+    return _total(rules)
+
+
+def _total(rules: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, rules).groupBy("rule").agg(F.sum("n").alias("n"))
 
 
 def profiles_ascend(profile: DataFrame, win: DataFrame) -> DataFrame:
     w = Window.partitionBy("window_id", "measure").orderBy("semester_week")
     gaps = _count(profile.withColumn("d", F.col("semester_week") - F.lag("semester_week").over(w)), "profiles_ascend", "d <> 1")
     lost = _count(profile.select("window_id").distinct().join(win.filter("kind = 'semester'").select("window_id"), "window_id", "left_anti"), "profiles_ascend")
-    return gaps.unionByName(lost).groupBy("rule").agg(F.sum("n").alias("n"))
+    return _total([gaps, lost])
 
 
 def levels_known(cells: DataFrame) -> DataFrame:
-    return _count(cells.select("level").distinct(), "levels_known", ~F.col("level").isin("all", *LEVELS))
+    return _count(cells.select("level").distinct(), "levels_known", ~F.col("level").isin("all", *LEVELS) & F.col("level").isNotNull())
 
 
-def coverage_ordered(win: DataFrame) -> DataFrame:
-    return _count(win, "coverage_ordered", "first_week > last_week")
+def coverage_ordered(win: DataFrame, axis: DataFrame, through: dt.date) -> DataFrame:
+    """Windows end after they begin and lie within the axis, whose last day is the Sunday `through`."""
+    ends = axis.agg(F.min("week").alias("lo"), F.max("week").alias("hi"), F.max(F.date_add("monday", 6)).alias("last"))
+    outside = _count(win.crossJoin(ends), "coverage_ordered", (F.col("first_week") > F.col("last_week")) | (F.col("first_week") < F.col("lo")) | (F.col("last_week") > F.col("hi")))
+    return _total([outside, _count(ends, "coverage_ordered", F.col("last") != F.lit(through))])
 
 
 def enrollment_terms(enrolled: DataFrame, win: DataFrame) -> DataFrame:

@@ -90,6 +90,13 @@ def average_agreement(per_code: DataFrame) -> DataFrame:
     return per_code.agg(F.avg("mcc").alias("mcc"), F.count("mcc").alias("codes"))
 
 
+def coverage(labels: DataFrame, truth: str, predicted: str) -> DataFrame:
+    """(messages, models): how many messages have a label of both versions, and who made the predicted ones."""
+    t, p = (labels.filter(F.col("label_version") == v) for v in (truth, predicted))
+    n = t.join(p.select("history_id", "domain", "code"), ["history_id", "domain", "code"], "left_semi").agg(F.count_distinct("history_id").alias("messages"))
+    return n.crossJoin(p.agg(F.sort_array(F.collect_set("provenance")).alias("models")))
+
+
 def candidate_frequencies(candidates: DataFrame, run_id: str) -> DataFrame:
     return candidates.filter((F.col("run_id") == run_id) & (F.col("code") != "")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
 

@@ -34,9 +34,9 @@ def enrollment(win: DataFrame, enrolled: DataFrame) -> DataFrame:
 
 
 def reach(usage: DataFrame, win: DataFrame, enrolled: DataFrame) -> DataFrame:
-    """(window_id, level, reach): active users in percent of enrolled ones, bachelor and master only."""
+    """(window_id, level, reach): active users in percent of enrolled ones to one decimal, bachelor and master only."""
     active = usage.filter("measure = 'active_users' and level in ('bachelor', 'master')")
-    return active.join(enrollment(win, enrolled), ["window_id", "level"]).select("window_id", "level", percent(F.col("value"), F.col("enrolled")).alias("reach"))
+    return active.join(enrollment(win, enrolled), ["window_id", "level"]).select("window_id", "level", F.round(percent(F.col("value"), F.col("enrolled")), 1).alias("reach"))
 
 
 def tried_once(weeks_histogram: DataFrame) -> DataFrame:

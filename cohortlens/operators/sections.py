@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import stats
-from ..functions.cells import SUPPRESSED, count_cells, dense, floored, status, suppress_together, user_cells
-from .facts import LANGUAGES, View, by_level, in_windows, levels_present, values
+from ..functions.cells import SUPPRESSED, both_cells, count_cells, dense, floored, status, suppress_together
+from .facts import LANGUAGES, View, by_level, grain, in_windows, levels_present, spoken, values
 
 #: Bins as (lo, hi), the last one open.
 SESSION_BINS = ((1, 1), (2, 3), (4, 7), (8, None))
@@ -24,9 +24,9 @@ def _measure(df: DataFrame, name: str) -> DataFrame:
 
 def weekly_activity(v: View, floor: int) -> DataFrame:
     """(level, week, measure, status, value) for messages, sessions and active users, dense over axis and levels."""
-    msg, sess = by_level(v.msg.select("level", "week", "pseudonym")), by_level(v.sess.select("level", "week", "pseudonym"))
     keys = ["level", "week"]
-    cells = _measure(count_cells(msg, keys), "messages").unionByName(_measure(count_cells(sess, keys), "sessions")).unionByName(_measure(user_cells(msg, keys), "active_users"))
+    sessions = count_cells(by_level(v.sess.select("level", "week", "pseudonym")), keys)
+    cells = both_cells(by_level(v.msg.select("level", "week", "pseudonym")), keys).unionByName(_measure(sessions, "sessions"))
     scaffold = v.axis.select("week").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "measure", ("messages", "sessions", "active_users")))
     return floored(dense(cells, scaffold, [*keys, "measure"]), floor)
 
@@ -38,12 +38,12 @@ def weekly_registrations(v: View, floor: int) -> DataFrame:
 def weekly_language(v: View, floor: int) -> DataFrame:
     keys = ["level", "lang", "week"]
     scaffold = v.axis.select("week").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "lang", LANGUAGES))
-    return floored(dense(count_cells(by_level(v.msg.select(*keys, "pseudonym")), keys), scaffold, keys), floor)
+    return floored(dense(count_cells(by_level(spoken(v.msg, v).select(*keys, "pseudonym")), keys), scaffold, keys), floor)
 
 
 def activated(v: View) -> DataFrame:
     """Registrations of users who wrote in the same window."""
-    active = in_windows(v.msg.select("monday", "pseudonym").distinct(), v).select("window_id", "pseudonym")
+    active = in_windows(v.rows.select("monday", "pseudonym").distinct(), v).select("window_id", "pseudonym")
     return in_windows(v.reg, v).join(active, ["window_id", "pseudonym"], "left_semi")
 
 
@@ -51,14 +51,13 @@ def window_usage(v: View, floor: int) -> DataFrame:
     """(window_id, level, measure, status, value). Levels of one measure that add up are suppressed together, and the
     levels are those of the messages."""
     keys = ["window_id", "level"]
-    msg, sess, reg = (in_windows(by_level(x.select("monday", "level", "pseudonym")), v) for x in (v.msg, v.sess, v.reg))
+    wide = lambda rows: in_windows(by_level(grain(rows, "level")), v)
     act = by_level(activated(v).select("window_id", "level", "pseudonym"))
-    parts = {"messages": count_cells(msg, keys), "sessions": count_cells(sess, keys), "active_users": user_cells(msg, keys), "new_registrations": count_cells(reg, keys), "new_registrations_active": count_cells(act, keys)}
-    cells = None
+    parts = {"sessions": count_cells(wide(v.sess), keys, n=F.col("n")), "new_registrations": count_cells(wide(v.reg), keys, n=F.col("n")), "new_registrations_active": count_cells(act, keys)}
+    cells = both_cells(wide(v.msg), keys, n=F.col("n"))
     for name, p in parts.items():
-        p = _measure(p.select(*keys, "value", "n_users"), name)
-        cells = p if cells is None else cells.unionByName(p)
-    scaffold = v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "measure", tuple(parts)))
+        cells = cells.unionByName(_measure(p, name))
+    scaffold = v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "measure", ("messages", "active_users", *parts)))
     return joint_floor(floored(dense(cells, scaffold, [*keys, "measure"]), floor))
 
 
@@ -78,12 +77,17 @@ def retention(v: View, floor: int) -> DataFrame:
     return suppress_together(floored(cells, floor), ["window_id", "level"])
 
 
-def user_profiles(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, pseudonym, span_days, within_day, longest_gap, class, frequent) from rows with `local` times.
+def day_grain(rows: DataFrame, *dims: str) -> DataFrame:
+    """(dims, pseudonym, day, lo, hi): each user's first and last time of a day, from rows with `local`."""
+    return rows.groupBy(*dims, "pseudonym", F.to_date("local").alias("day")).agg(F.min("local").alias("lo"), F.max("local").alias("hi"))
+
+
+def user_profiles(days: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, pseudonym, span_days, within_day, longest_gap, class, frequent) from rows of `day_grain`.
 
     The span counts both ends; within_day: at most 24 hours between first and last; gaps are between distinct days.
     """
-    days = rows.groupBy(*keys, "pseudonym", F.to_date("local").alias("day")).agg(F.min("local").alias("lo"), F.max("local").alias("hi"))
+    days = days.groupBy(*keys, "pseudonym", "day").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     gap = F.datediff("day", F.lag("day").over(Window.partitionBy(*keys, "pseudonym").orderBy("day")))
     u = days.withColumn("gap", gap).groupBy(*keys, "pseudonym").agg((F.datediff(F.max("day"), F.min("day")) + 1).alias("span_days"), (F.unix_micros(F.max("hi")) - F.unix_micros(F.min("lo")) <= 86_400_000_000).alias("within_day"), F.coalesce(F.max("gap"), F.lit(0)).alias("longest_gap"))
     kind = F.when((F.col("span_days") < 3) & F.col("within_day"), "one_time").when((F.col("longest_gap") < 30) & (F.col("span_days") >= 30), "monthly").otherwise("sporadic")
@@ -93,7 +97,7 @@ def user_profiles(rows: DataFrame, keys: list[str]) -> DataFrame:
 def user_classes(v: View, floor: int) -> DataFrame:
     """(window_id, level, class, status, value); `frequent` is a subset of `monthly`."""
     keys = ["window_id", "level"]
-    u = user_profiles(in_windows(by_level(v.msg.select("monday", "level", "pseudonym", "local")), v), keys)
+    u = user_profiles(in_windows(by_level(day_grain(v.msg, "monday", "level")), v), keys)
     n = u.groupBy(*keys).agg(*[F.count_if(F.col("class") == c).alias(c) for c in ("one_time", "monthly", "sporadic")], F.count_if("frequent").alias("frequent"))
     cells = n.unpivot(keys, ["one_time", "monthly", "sporadic", "frequent"], "class", "value").withColumn("n_users", F.col("value"))
     return floored(cells, floor)
@@ -103,37 +107,37 @@ def hour_heatmap(v: View, floor: int) -> DataFrame:
     """(window_id, dow, hour, status, value), 168 cells a window."""
     keys = ["window_id", "dow", "hour"]
     grid = v.win.select("window_id").select("window_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow")).select("window_id", "dow", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
-    return floored(dense(count_cells(in_windows(v.msg.select("monday", "dow", "hour", "pseudonym"), v), keys), grid, keys), floor)
+    return floored(dense(count_cells(in_windows(grain(v.rows, "dow", "hour"), v), keys, n=F.col("n")), grid, keys), floor)
 
 
 def dayparts(v: View, floor: int) -> DataFrame:
     """(window_id, level, shape, dow, part, status, value): the grid of weekday and daypart, the dayparts' totals and
     the totals of week and weekend. Each total has users of its own and is not summed up from the grid."""
-    rows = in_windows(by_level(v.msg.select("monday", "level", "dow", "hour", "pseudonym")), v).withColumn("part", cal.daypart(F.col("hour")))
+    rows = grain(v.msg.withColumn("part", cal.daypart(F.col("hour"))), "level", "dow", "part")
     span = F.when(F.col("dow") >= 6, "weekend").otherwise("weekday")
-    shapes = [rows.withColumn("shape", F.lit("grid")), rows.withColumns({"shape": F.lit("daypart"), "dow": F.lit(0)}), rows.withColumns({"shape": F.lit("span"), "part": span, "dow": F.lit(0)})]
+    shapes = [F.struct(F.lit(name).alias("shape"), dow.alias("dow"), part.alias("part")) for name, dow, part in (("grid", F.col("dow"), F.col("part")), ("daypart", F.lit(0), F.col("part")), ("span", F.lit(0), span))]
     keys = ["window_id", "level", "shape", "dow", "part"]
-    all_rows = shapes[0].unionByName(shapes[1]).unionByName(shapes[2])
+    all_rows = in_windows(by_level(rows.select("monday", "level", "pseudonym", "n", F.explode(F.array(*shapes)).alias("s")).select("monday", "level", "pseudonym", "n", "s.*")), v)
     spark = v.msg.sparkSession
     names = values(spark, "part", tuple(p[0] for p in cal.DAYPARTS))
     grid = names.select(F.lit("grid").alias("shape"), F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow"), "part")
     grid = grid.unionByName(names.select(F.lit("daypart").alias("shape"), F.lit(0).alias("dow"), "part")).unionByName(values(spark, "part", ("weekday", "weekend")).select(F.lit("span").alias("shape"), F.lit(0).alias("dow"), "part"))
     scaffold = v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(grid)
-    return floored(dense(count_cells(all_rows, keys), scaffold, keys), floor)
+    return floored(dense(count_cells(all_rows, keys, n=F.col("n")), scaffold, keys), floor)
 
 
 def language_totals(v: View, floor: int) -> DataFrame:
     keys = ["window_id", "level", "lang"]
     scaffold = v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "lang", LANGUAGES))
-    return floored(dense(count_cells(in_windows(by_level(v.msg.select("monday", "level", "lang", "pseudonym")), v), keys), scaffold, keys), floor)
+    return floored(dense(count_cells(in_windows(by_level(grain(spoken(v.msg, v), "level", "lang")), v), keys, n=F.col("n")), scaffold, keys), floor)
 
 
 def topics(v: View, floor: int) -> DataFrame:
     """(window_id, level, domain, code, status, value, n_total): multi-label; every code of the version appears."""
     keys = ["window_id", "level", "domain", "code"]
-    msg = in_windows(by_level(v.msg.select("monday", "level", "history_id", "pseudonym")), v)
-    hits = count_cells(msg.join(v.positives, "history_id"), keys)
-    total = msg.groupBy("window_id", "level").agg(F.count(F.lit(1)).alias("n_total"))
+    labelled = grain(v.msg.join(v.positives, "history_id"), "level", "domain", "code")
+    hits = count_cells(in_windows(by_level(labelled), v), keys, n=F.col("n"))
+    total = in_windows(by_level(grain(v.msg, "level")), v).groupBy("window_id", "level").agg(F.sum("n").alias("n_total"))
     scaffold = v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(v.positives.select("domain", "code").distinct())
     out = floored(dense(hits, scaffold, keys), floor).join(total, ["window_id", "level"], "left")
     return out.withColumn("n_total", F.coalesce("n_total", F.lit(0)))
@@ -162,13 +166,13 @@ def histogram(rows: DataFrame, keys: list[str], value: str, bins, floor: int) ->
 
 
 def summary(rows: DataFrame, keys: list[str], value: str, floor: int, *, with_mean: bool = True) -> DataFrame:
-    """(keys, status, n_users, median, p25, p75, mean, sd): all of it or, below the floor, nothing."""
-    v = F.col(value).cast("double")
+    """(keys, status, n_users, median, p25, p75, mean, sd), to one decimal: all of it or, below the floor, nothing."""
+    rows = rows.select(*keys, "pseudonym", F.col(value).cast("double").alias("__v"))
     users = rows.select(*keys, "pseudonym").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_users"))
-    s = rows.withColumn("__v", v).groupBy(*keys).agg(*[stats.quantile_type2("__v", p).alias(n) for n, p in (("median", 0.5), ("p25", 0.25), ("p75", 0.75))], F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"))
-    out = s.join(users, keys).withColumn("status", status(F.col("n_users"), floor))
+    moments = rows.groupBy(*keys).agg(F.avg("__v").alias("mean"), F.stddev_samp("__v").alias("sd"))
+    out = stats.quantiles_type2(rows, keys, "__v", {"median": 0.5, "p25": 0.25, "p75": 0.75}).join(users, keys).join(moments, keys).withColumn("status", status(F.col("n_users"), floor))
     shown = F.col("status") == "ok"
-    cols = [F.when(shown & F.lit(with_mean or c not in ("mean", "sd")), F.col(c)).alias(c) for c in ("median", "p25", "p75", "mean", "sd")]
+    cols = [F.when(shown & F.lit(with_mean or x not in ("mean", "sd")), F.round(x, 1)).alias(x) for x in ("median", "p25", "p75", "mean", "sd")]
     return out.select(*keys, "status", F.when(shown, F.col("n_users")).alias("n_users"), *cols)
 
 
@@ -179,19 +183,18 @@ def session_rows(v: View) -> DataFrame:
 def per_user_rows(v: View) -> DataFrame:
     """(window_id, level, pseudonym, messages, sessions, weeks): one row a user, window and level."""
     keys = ["window_id", "level", "pseudonym"]
-    m = in_windows(by_level(v.msg.groupBy("monday", "level", "pseudonym").agg(F.count(F.lit(1)).alias("n"))), v)
+    m = in_windows(by_level(grain(v.msg, "level")), v)
     # Weeks are not summed over levels: a week with two levels counts once for `all`.
     m = m.groupBy(*keys, "monday").agg(F.sum("n").alias("n")).groupBy(*keys).agg(F.sum("n").alias("messages"), F.count(F.lit(1)).alias("weeks"))
-    s = session_rows(v).groupBy(*keys).agg(F.count(F.lit(1)).alias("sessions"))
+    s = in_windows(by_level(grain(v.sess, "level")), v).groupBy(*keys).agg(F.sum("n").alias("sessions"))
     return m.join(s, keys, "left")
 
 
 def semester_profile(v: View, floor: int) -> DataFrame:
     """(window_id, semester_week, measure, status, value) for the covered weeks of every term."""
     weeks = v.win_week.join(v.win.filter("kind = 'semester'").select("window_id"), "window_id").select("window_id", "monday", "semester_week")
-    rows = v.msg.select("monday", "pseudonym").join(weeks, "monday")
     keys = ["window_id", "semester_week"]
-    cells = _measure(count_cells(rows, keys), "messages").unionByName(_measure(user_cells(rows, keys), "active_users"))
+    cells = both_cells(grain(v.rows).join(weeks, "monday"), keys, n=F.col("n"))
     scaffold = weeks.select(*keys).crossJoin(values(v.msg.sparkSession, "measure", ("messages", "active_users")))
     return floored(dense(cells, scaffold, [*keys, "measure"]), floor)
 

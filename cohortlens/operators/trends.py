@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import stats
-from .facts import View
-from .sections import user_profiles
+from .facts import View, grain, spoken
+from .sections import day_grain, user_profiles
 
 #: family, least absolute effect, least relative change, least n of a side. Fixed values.
 FAMILIES = (
@@ -39,48 +39,64 @@ def pairs(win: DataFrame, bridge: DataFrame) -> DataFrame:
     return sides.join(bridge.select(F.col("window_id").alias("member"), "monday"), "member").select("window_id", "side", "monday")
 
 
+_META = ["candidate", "tab", "tier", "kind", "family", "grp"]
+
+
 def _meta(candidate: Column, tab: str, tier: Column, kind: str, family: str, group: Column | None = None) -> list[Column]:
     return [candidate.alias("candidate"), F.lit(tab).alias("tab"), tier.alias("tier"), F.lit(kind).alias("kind"), F.lit(family).alias("family"), (F.lit(None).cast("string") if group is None else group).alias("grp")]
 
 
-def share_hits(v: View) -> DataFrame:
-    """(history_id, pseudonym, monday, candidate, tab, tier, kind, family, grp): a row for every message predicate that holds."""
-    m = v.msg.select("history_id", "pseudonym", "monday", "lang", "dow", "hour")
-    base = ["history_id", "pseudonym", "monday"]
-    code = F.col("code")
-    domain = F.col("domain")
-    tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
-    labels = m.join(v.positives, "history_id").filter(~((domain == "deductive") & code.isin(*LEFT_OUT)))
-    out = labels.select(*base, *_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"))
-    out = out.unionByName(m.filter("dow >= 6").select(*base, *_meta(F.lit("timing-weekend"), "timing", F.lit(2), "share", "timing_share")))
-    out = out.unionByName(m.select(*base, *_meta(F.concat(F.lit("timing-"), cal.daypart(F.col("hour"))), "timing", F.lit(2), "share", "timing_share", F.lit("daypart"))))
-    return out.unionByName(m.filter("lang in ('de', 'en')").select(*base, *_meta(F.concat(F.lit("language-"), F.col("lang")), "language", F.lit(3), "share", "language_share", F.lit("language"))))
+def _rate(name: str, family: str) -> list[Column]:
+    return _meta(F.lit(f"adoption-rate-{name}"), "adoption", F.lit(3), "rate", family)
 
 
-_META = ["candidate", "tab", "tier", "kind", "family", "grp"]
+def message_hits(v: View) -> DataFrame:
+    """(monday, pseudonym, candidate, tab, tier, kind, family, grp, n): at user grain, how many messages each predicate
+    holds for. All messages pass once: a message's candidates are one array."""
+    codes = v.positives.filter(~((F.col("domain") == "deductive") & F.col("code").isin(*LEFT_OUT))).groupBy("history_id").agg(F.collect_list(F.struct("domain", "code")).alias("codes"))
+    m = spoken(v.rows.select("history_id", "pseudonym", "monday", "dow", "hour"), v).join(codes, "history_id", "left")
+    fixed = [
+        F.when(F.col("dow") >= 6, F.struct(*_meta(F.lit("timing-weekend"), "timing", F.lit(2), "share", "timing_share"))),
+        F.struct(*_meta(F.concat(F.lit("timing-"), cal.daypart(F.col("hour"))), "timing", F.lit(2), "share", "timing_share", F.lit("daypart"))),
+        F.when(F.col("lang").isin("de", "en"), F.struct(*_meta(F.concat(F.lit("language-"), F.col("lang")), "language", F.lit(3), "share", "language_share", F.lit("language")))),
+        F.struct(*_rate("messages", "volume_rate")), F.struct(*_rate("active-users", "people_rate")),
+    ]
+
+    def topic(x: Column) -> Column:
+        domain, code = x["domain"], x["code"]
+        tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
+        return F.struct(*_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"))
+
+    topics = F.coalesce(F.transform("codes", topic), F.array().cast(f"array<{_STRUCT}>"))
+    every = F.filter(F.array(*fixed).cast(f"array<{_STRUCT}>"), lambda x: x.isNotNull())
+    each = m.select("monday", "pseudonym", F.explode(F.concat(every, topics.cast(f"array<{_STRUCT}>"))).alias("c"))
+    return each.groupBy("monday", "pseudonym", *[F.col(f"c.{k}").alias(k) for k in _META]).agg(F.count(F.lit(1)).alias("n"))
+
+
+_STRUCT = "struct<candidate: string, tab: string, tier: int, kind: string, family: string, grp: string>"
 
 
 def sides(v: View, sets: DataFrame) -> DataFrame:
     """(window_id, side, candidate.., num, den, n_users): one row for every share and rate and both sides.
 
-    `sets` has (window_id, side, monday). Users of a share are those of its numerator. All messages pass once: hits go
-    to user grain, then to the candidate.
+    `sets` has (window_id, side, monday). Users of a share are those of its numerator.
     """
     key = ["window_id", "side"]
     weeks = sets.groupBy(*key).agg(F.count(F.lit(1)).alias("weeks"))
-    total = v.msg.select("monday", "pseudonym").join(sets, "monday").groupBy(*key).agg(F.count(F.lit(1)).alias("den"))
-    hits = share_hits(v).join(sets, "monday").groupBy(*key, *_META, "pseudonym").agg(F.count(F.lit(1)).alias("n")).groupBy(*key, *_META).agg(F.sum("n").alias("num"), F.count(F.lit(1)).alias("n_users"))
-    # A measure that is absent on one side is zero there, if the side has messages at all.
-    ids = hits.select("window_id", *_META).distinct()
+    others = grain(v.sess).select("monday", "pseudonym", *_rate("sessions", "volume_rate"), "n").unionByName(grain(v.reg).select("monday", "pseudonym", *_rate("registrations", "people_rate"), "n"))
+    users = message_hits(v).unionByName(others).join(sets, "monday").groupBy(*key, *_META, "pseudonym").agg(F.sum("n").alias("n"))
+    hits = users.groupBy(*key, *_META).agg(F.sum("n").alias("num"), F.count(F.lit(1)).alias("n_users"))
+    # The rate of messages has every message, so its count is what shares are parts of.
+    whole = F.max(F.when(F.col("candidate") == "adoption-rate-messages", F.col("num")))
+    total = hits.groupBy(*key).agg(whole.alias("den")).filter("den is not null")
+    # A share that is absent on one side is zero there, if the side has messages at all.
+    ids = hits.filter("kind = 'share'").select("window_id", *_META).distinct()
     shares = total.join(ids, "window_id").join(hits.select(*key, "candidate", "num", "n_users"), [*key, "candidate"], "left").select(*key, *_META, F.coalesce("num", F.lit(0)).alias("num"), "den", F.coalesce("n_users", F.lit(0)).alias("n_users"))
-    profile = user_profiles(v.msg.select("monday", "pseudonym", "local").join(sets, "monday"), key)
+    profile = user_profiles(day_grain(v.rows, "monday").join(sets, "monday"), key)
     once = profile.groupBy(*key).agg(F.count_if(F.col("class") == "one_time").alias("num"), F.count(F.lit(1)).alias("den")).withColumn("n_users", F.col("num"))
     once = once.select(*key, *_meta(F.lit("adoption-one-time-share"), "adoption", F.lit(1), "share", "user_share"), "num", "den", "n_users")
-    rates = None
-    for name, rows, family, people in (("messages", v.msg, "volume_rate", False), ("sessions", v.sess, "volume_rate", False), ("active-users", v.msg, "people_rate", True), ("registrations", v.reg, "people_rate", False)):
-        u = rows.select("monday", "pseudonym").join(sets, "monday").groupBy(*key, "pseudonym").agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_users"))
-        r = u.join(weeks, key).select(*key, *_meta(F.lit(f"adoption-rate-{name}"), "adoption", F.lit(3), "rate", family), F.col("n_users" if people else "n").alias("num"), F.col("weeks").alias("den"), "n_users")
-        rates = r if rates is None else rates.unionByName(r)
+    people = F.col("candidate") == "adoption-rate-active-users"
+    rates = hits.filter("kind = 'rate'").join(weeks, key).select(*key, *_META, F.when(people, F.col("n_users")).otherwise(F.col("num")).alias("num"), F.col("weeks").alias("den"), "n_users")
     return shares.unionByName(once).unionByName(rates)
 
 
@@ -100,22 +116,35 @@ def evaluate_counts(rows: DataFrame) -> DataFrame:
     return out.select(*key, cur.alias("current"), base.alias("baseline"), F.col("n_users_1").cast("long").alias("users_1"), F.col("n_users_2").cast("long").alias("users_2"), F.when(share, n1).otherwise(x1).alias("n_1"), F.when(share, n2).otherwise(x2).alias("n_2"), (cur - base).alias("delta"), F.abs(F.when(share, cur - base).otherwise(ratio)).alias("effect"), z.alias("z"))
 
 
+def session_measures(v: View, sets: DataFrame) -> DataFrame:
+    """(sets' columns, candidate, pseudonym, x): messages and minutes of each session."""
+    one = lambda name, x: F.struct(F.lit(name).alias("candidate"), x.cast("double").alias("x"))
+    measures = F.array(one("engagement-messages-per-session", F.col("n_messages")), one("engagement-session-duration", F.col("minutes")))
+    return v.sess.select("monday", "pseudonym", F.explode(measures).alias("m")).select("monday", "pseudonym", "m.*").join(sets, "monday").drop("monday")
+
+
+def medians(s: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, median, n_users)"""
+    users = s.select(*keys, "pseudonym").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_users"))
+    return stats.quantiles_type2(s, keys, "x", {"median": 0.5}).join(users, keys)
+
+
 def evaluate_medians(v: View, sets: DataFrame) -> DataFrame:
     """The same columns for the two medians over sessions, by the rank test."""
-    s = v.sess.select("monday", "pseudonym", F.explode(F.array(F.struct(F.lit("engagement-messages-per-session").alias("candidate"), F.col("n_messages").cast("double").alias("x")), F.struct(F.lit("engagement-session-duration").alias("candidate"), F.col("minutes").alias("x")))).alias("m")).select("monday", "pseudonym", "m.*").join(sets, "monday")
-    key = ["window_id", "candidate"]
-    med = s.groupBy(*key, "side").agg(stats.quantile_type2("x", 0.5).alias("median")).join(s.select(*key, "side", "pseudonym").distinct().groupBy(*key, "side").agg(F.count(F.lit(1)).alias("n_users")), [*key, "side"])
-    one = F.col("side") == 1
-    wide = med.groupBy(*key).agg(*[F.max(F.when(one if i == 1 else ~one, F.col(c))).alias(f"{c}_{i}") for c in ("median", "n_users") for i in (1, 2)]).filter("median_1 is not null and median_2 is not null")
+    s, key, one = session_measures(v, sets), ["window_id", "candidate"], F.col("side") == 1
+    wide = medians(s, [*key, "side"]).groupBy(*key).agg(*[F.max(F.when(one if i == 1 else ~one, F.col(c))).alias(f"{c}_{i}") for c in ("median", "n_users") for i in (1, 2)]).filter("median_1 is not null and median_2 is not null")
     out = wide.join(stats.mann_whitney(s, key, "side", "x"), key)
     meta = _meta(F.col("candidate"), "engagement", F.lit(2), "median", "median")
     return out.select("window_id", *meta, F.col("median_1").alias("current"), F.col("median_2").alias("baseline"), F.col("n_users_1").alias("users_1"), F.col("n_users_2").alias("users_2"), F.col("n1").alias("n_1"), F.col("n2").alias("n_2"), (F.col("median_1") - F.col("median_2")).alias("delta"), F.abs("effect").alias("effect"), "z")
 
 
-def evaluate(v: View) -> DataFrame:
+def evaluate(v: View, floor: int, shapes: DataFrame | None = None) -> DataFrame:
+    """All candidates of all compared windows; those of all time only if their whole trajectory is defined."""
     sets = pairs(v.win, v.win_week)
     both = evaluate_counts(sides(v, sets)).unionByName(evaluate_medians(v, sets))
-    return both.withColumn("p", stats.two_sided_p(F.col("z")))
+    whole = (trajectories(v, floor) if shapes is None else shapes).select("candidate", F.lit("all_time").alias("window_id"))
+    kept = both.filter("window_id <> 'all_time'").unionByName(both.filter("window_id = 'all_time'").join(whole, ["window_id", "candidate"], "left_semi").select(both.columns))
+    return kept.withColumn("p", stats.two_sided_p(F.col("z")))
 
 
 def pool_order(candidate: Column) -> Column:
@@ -154,33 +183,52 @@ def assess(evaluated: DataFrame, floor: int) -> DataFrame:
 
 
 def findings(assessed: DataFrame) -> DataFrame:
-    """(window_id, place, candidate, tab, title, current, baseline, delta, evidence), numbers to one decimal."""
+    """(window_id, place, candidate, tab, title, current, baseline, delta, evidence, users_1, users_2), numbers to one decimal."""
     place = F.row_number().over(Window.partitionBy("window_id").orderBy("tier", F.desc("effect"), "candidate"))
     verb = F.when(F.col("kind") == "median", F.when(F.col("delta") > 0, "lengthened").otherwise("shortened")).otherwise(F.when(F.col("delta") > 0, "rose").otherwise("fell"))
     one = lambda c: F.round(c, 1).alias(c)
-    return assessed.filter("verdict = 'published'").select("window_id", place.alias("place"), "candidate", "tab", F.concat_ws(" ", "candidate", verb).alias("title"), one("current"), one("baseline"), one("delta"), "evidence")
+    return assessed.filter("verdict = 'published'").select("window_id", place.alias("place"), "candidate", "tab", F.concat_ws(" ", "candidate", verb).alias("title"), one("current"), one("baseline"), one("delta"), "evidence", "users_1", "users_2")
 
 
 def verdict_tally(assessed: DataFrame) -> DataFrame:
     return assessed.groupBy("window_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def sufficient(win: DataFrame, assessed: DataFrame) -> DataFrame:
-    """(window_id, insufficient_data): no candidate of a compared window could be tested."""
-    ok = assessed.groupBy("window_id").agg((F.count_if(~F.col("verdict").isin("floor", "min_n")) == 0).alias("insufficient_data"))
-    return win.filter("kind <> 'semester_slice'").select("window_id").join(ok, "window_id", "left").withColumn("insufficient_data", F.coalesce("insufficient_data", F.lit(True)))
+def baselines(v: View) -> DataFrame:
+    """(window_id, baseline) of every window but slices: the term before, `trajectory` for all time, or none."""
+    have = pairs(v.win, v.win_week).filter("side = 2").groupBy("window_id").agg(F.min("monday").alias("first_monday"))
+    terms = v.win.filter("kind = 'semester'").select(F.col("window_id").alias("baseline"), "first_monday")
+    named = have.join(terms, "first_monday").select("window_id", F.when(F.col("window_id") == "all_time", "trajectory").otherwise(F.col("baseline")).alias("baseline"))
+    return v.win.filter("kind <> 'semester_slice'").select("window_id").join(named, "window_id", "left")
+
+
+def sufficient(v: View, assessed: DataFrame) -> DataFrame:
+    """(window_id, baseline, insufficient_data): there is a baseline, but no candidate could be tested."""
+    tested = assessed.groupBy("window_id").agg(F.count_if(~F.col("verdict").isin("floor", "min_n")).alias("tested"))
+    flag = F.col("baseline").isNotNull() & (F.coalesce("tested", F.lit(0)) == 0)
+    return baselines(v).join(tested, "window_id", "left").select("window_id", "baseline", flag.alias("insufficient_data"))
 
 
 def trajectories(v: View, floor: int) -> DataFrame:
-    """(candidate, points): a share's or rate's value in every term, oldest first; none if any term is undefined or
-    below the floor."""
+    """(candidate, points): a candidate's value in every term, oldest first, with its users; none if any term is
+    undefined or below the floor."""
     terms = v.win.filter("kind = 'semester'").select("window_id", "first_monday")
-    sets = v.win_week.join(terms.select("window_id"), "window_id").select("window_id", "monday").withColumn("side", F.lit(1))
     # A candidate that a term lacks is undefined there; so every term gets every candidate's row.
-    s = sides(v, sets.withColumns({"side": F.dense_rank().over(Window.orderBy("window_id")), "window_id": F.lit("all")}))
-    names = terms.select(F.col("window_id").alias("term"), F.dense_rank().over(Window.orderBy("window_id")).alias("side"))
+    numbered = terms.withColumn("side", F.dense_rank().over(Window.orderBy("window_id")))
+    sets = v.win_week.join(numbered.select("window_id", "side"), "window_id").select(F.lit("all").alias("window_id"), "monday", "side")
     scale = F.when(F.col("kind") == "share", 100.0).otherwise(1.0)
-    rows = s.join(names, "side").select("candidate", "term", (F.col("num") / F.col("den") * scale).alias("value"), ((F.col("n_users") >= floor) & (F.col("num") > 0)).alias("ok"))
-    n = terms.count()
-    points = F.sort_array(F.collect_list(F.struct("term", "value")))
-    return rows.groupBy("candidate").agg(points.alias("points"), F.bool_and("ok").alias("ok"), F.count(F.lit(1)).alias("n")).filter((F.col("n") == n) & F.col("ok")).select("candidate", "points")
+    counted = sides(v, sets).select("candidate", "side", (F.col("num") / F.col("den") * scale).alias("value"), "n_users", ((F.col("n_users") >= floor) & (F.col("num") > 0)).alias("ok"))
+    middle = medians(session_measures(v, sets), ["candidate", "side"]).select("candidate", "side", F.col("median").alias("value"), "n_users", (F.col("n_users") >= floor).alias("ok"))
+    rows = counted.unionByName(middle).join(numbered.select(F.col("window_id").alias("term"), "side"), "side")
+    points = F.sort_array(F.collect_list(F.struct("term", "value", "n_users")))
+    whole = rows.groupBy("candidate").agg(points.alias("points"), F.bool_and("ok").alias("ok"), F.count(F.lit(1)).alias("n")).filter("ok")
+    return whole.join(terms.agg(F.count(F.lit(1)).alias("n")), "n").select("candidate", "points")
+
+
+def section(v: View, floor: int) -> tuple[DataFrame, DataFrame]:
+    """The published section: (window_id, baseline, insufficient_data), and the findings, each with its sides' users
+    and, under a trajectory, its points. What both read, a row a candidate, is kept in memory."""
+    shapes = trajectories(v, floor).persist()
+    assessed = assess(evaluate(v, floor, shapes), floor).persist()
+    points = shapes.select("candidate", F.lit("all_time").alias("window_id"), F.transform("points", lambda x: F.struct(x["term"].alias("term"), F.round(x["value"], 1).alias("value"), x["n_users"].alias("n_users"))).alias("trajectory"))
+    return sufficient(v, assessed), findings(assessed).join(points, ["window_id", "candidate"], "left")

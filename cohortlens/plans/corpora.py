@@ -15,7 +15,7 @@ from ..operators.facts import Corpus, View, view
 SHORT, LONG = "short", "long"
 EXTRACTED = {SHORT: dt.date(2024, 2, 5), LONG: dt.date(2001, 8, 6)}
 AXIS_START = {SHORT: None, LONG: dt.date(1995, 3, 1)}
-#: Users whose number modulo 20 is 10 or 11 become master students with this term.
+#: Users whose number modulo 20 is 10, or 11 and 18, become master students with this term; 18 is staff before.
 TRANSITIONS = {SHORT: ("2024S", "2023W"), LONG: ("1998S", "1996W")}
 
 
@@ -27,7 +27,7 @@ def _roster(users: DataFrame, kind: str) -> DataFrame:
     m = F.col("pseudonym").cast("long") % 20
     first, second = TRANSITIONS[kind]
     status = F.when(m < 12, "bachelor").when(m < 17, "master").otherwise("staff")
-    return users.filter(m < 19).withColumns({"status": status, "ma_start_semester": F.when(m == 10, first).when(m == 11, second)})
+    return users.filter(m < 19).withColumns({"status": status, "ma_start_semester": F.when(m == 10, first).when(m.isin(11, 18), second)})
 
 
 def _language(history_id: Column) -> Column:
@@ -36,10 +36,12 @@ def _language(history_id: Column) -> Column:
 
 
 def _labels(messages: DataFrame, domains: dict[str, str]) -> DataFrame:
-    pairs = [F.struct(F.lit("language").alias("domain"), _language(F.col("history_id")).alias("code"))]
-    pairs += [F.struct(F.lit(d).alias("domain"), F.col(c).alias("code")) for d, c in domains.items()]
+    """Languages and codes have versions of their own; each version also has rows that the other one's readers must not see."""
+    row = lambda version, domain, code: F.struct(F.lit(version).alias("label_version"), F.lit(domain).alias("domain"), code.alias("code"))
+    pairs = [row("language", "language", _language(F.col("history_id"))), row("codes", "language", F.when(F.col("history_id") % 3 == 0, "other"))]
+    pairs += [row("codes", d, F.col(c)) for d, c in domains.items()] + [row("language", d, F.lit("old")) for d in domains]
     rows = messages.select("history_id", F.explode(F.array(*pairs)).alias("x")).select("history_id", "x.*").filter("code is not null")
-    return rows.select("history_id", F.lit("v1").alias("label_version"), "domain", "code", F.lit(1).alias("value"))
+    return rows.withColumn("value", F.lit(1))
 
 
 def corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
@@ -50,7 +52,7 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
         labels = _labels(m, {"activity": "code"})
     else:
         o = read(spark, sf_dir, "orders")
-        m = o.select(F.col("o_orderkey").alias("history_id"), F.col("o_custkey").cast("string").alias("pseudonym"), F.unix_millis(F.date_trunc("month", F.col("o_orderdate").cast("timestamp"))).alias("session_started"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("code"), F.col("o_orderstatus").alias("state"))
+        m = o.select(F.col("o_orderkey").alias("history_id"), F.col("o_custkey").cast("string").alias("pseudonym"), F.unix_millis(F.date_trunc("quarter", F.col("o_orderdate").cast("timestamp"))).alias("session_started"), F.col("o_orderdate").alias("created_at"), F.col("o_orderpriority").alias("code"), F.col("o_orderstatus").alias("state"))
         students = m.groupBy("pseudonym").agg(F.min("created_at").alias("registered_at"))
         labels = _labels(m, {"method_theme": "code", "deductive": "state"})
     users = m.select("pseudonym").distinct()
@@ -58,7 +60,7 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
 
 
 def corpus_view(spark: SparkSession, sf_dir: str, kind: str) -> View:
-    return view(corpus(spark, sf_dir, kind), extracted=EXTRACTED[kind], axis_start=AXIS_START[kind])
+    return view(corpus(spark, sf_dir, kind), extracted=EXTRACTED[kind], axis_start=AXIS_START[kind], label_version="codes", language_version="language")
 
 
 _SHORT_SQL = """
@@ -67,14 +69,14 @@ students AS (SELECT CAST(user_id AS VARCHAR) AS pseudonym, min(ts) AS registered
 pos AS (SELECT event_id AS history_id, 'activity' AS domain, event_type AS code FROM events),
 """
 _LONG_SQL = """
-messages AS (SELECT o_orderkey AS history_id, CAST(o_custkey AS VARCHAR) AS pseudonym, epoch_ms(date_trunc('month', CAST(o_orderdate AS TIMESTAMP))) AS session_started, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders),
+messages AS (SELECT o_orderkey AS history_id, CAST(o_custkey AS VARCHAR) AS pseudonym, epoch_ms(date_trunc('quarter', CAST(o_orderdate AS TIMESTAMP))) AS session_started, CAST(o_orderdate AS TIMESTAMP) AS created_at FROM orders),
 students AS (SELECT CAST(o_custkey AS VARCHAR) AS pseudonym, CAST(min(o_orderdate) AS TIMESTAMP) AS registered_at FROM orders GROUP BY 1),
 pos AS (SELECT o_orderkey AS history_id, 'method_theme' AS domain, o_orderpriority AS code FROM orders UNION ALL SELECT o_orderkey, 'deductive', o_orderstatus FROM orders),
 """
 
 
 def _level_sql(day: str) -> str:
-    return f"CASE WHEN r.ma IS NOT NULL THEN CASE WHEN {day} >= make_date(CAST(substr(r.ma, 1, 4) AS INT), CASE WHEN substr(r.ma, 5) = 'S' THEN 3 ELSE 10 END, 1) THEN 'master' ELSE 'bachelor' END ELSE coalesce(r.status, 'unknown') END"
+    return f"CASE WHEN r.ma IS NOT NULL THEN CASE WHEN {day} >= make_date(CAST(substr(r.ma, 1, 4) AS INT), CASE WHEN substr(r.ma, 5) = 'S' THEN 3 ELSE 10 END, 1) THEN 'master' ELSE r.status END ELSE coalesce(r.status, 'unknown') END"
 
 
 def view_sql(kind: str) -> str:
@@ -83,17 +85,18 @@ def view_sql(kind: str) -> str:
     first, second = TRANSITIONS[kind]
     start = AXIS_START[kind]
     inside = "monday <= DATE '{}'{}".format(EXTRACTED[kind] - dt.timedelta(days=EXTRACTED[kind].weekday() + 7), f" AND day >= DATE '{start}'" if start else "")
+    session = "CAST((epoch_ms(session_started) AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna' AS DATE)"
     local = "({} AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Vienna'"
     return f"""WITH {_SHORT_SQL if kind == SHORT else _LONG_SQL}
 roster AS (
-    SELECT pseudonym, CASE WHEN m < 12 THEN 'bachelor' WHEN m < 17 THEN 'master' ELSE 'staff' END AS status, CASE m WHEN 10 THEN '{first}' WHEN 11 THEN '{second}' END AS ma
+    SELECT pseudonym, CASE WHEN m < 12 THEN 'bachelor' WHEN m < 17 THEN 'master' ELSE 'staff' END AS status, CASE WHEN m = 10 THEN '{first}' WHEN m IN (11, 18) THEN '{second}' END AS ma
     FROM (SELECT DISTINCT pseudonym, CAST(pseudonym AS BIGINT) % 20 AS m FROM messages) WHERE m < 19),
 raw AS (
     SELECT *, CAST(local AS DATE) AS day, CAST(date_trunc('week', local) AS DATE) AS monday, strftime(local, '%G-W%V') AS week, isodow(local) AS dow, hour(local) AS hour
     FROM (SELECT *, {local.format("created_at")} AS local FROM messages)),
 seen AS (SELECT pseudonym, min(day) AS first_seen FROM raw GROUP BY 1),
 msg AS (
-    SELECT raw.*, CASE WHEN history_id % 37 = 0 THEN 'undetermined' WHEN history_id % 10 < 6 THEN 'de' WHEN history_id % 10 < 9 THEN 'en' ELSE 'other' END AS lang, {_level_sql("day")} AS level
+    SELECT raw.*, CASE WHEN history_id % 37 = 0 THEN 'undetermined' WHEN history_id % 10 < 6 THEN 'de' WHEN history_id % 10 < 9 THEN 'en' ELSE 'other' END AS lang, {_level_sql(session)} AS level
     FROM raw LEFT JOIN roster r USING (pseudonym) WHERE {inside}),
 sess AS (
     SELECT pseudonym, session_started, first(monday ORDER BY local, history_id) AS monday, first(week ORDER BY local, history_id) AS week, first(level ORDER BY local, history_id) AS level,

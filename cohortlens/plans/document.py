@@ -1,7 +1,8 @@
-"""The whole published document as tables, guarded: the weekly run's aggregate step."""
+"""The whole published document as tables, guarded: the weekly run's aggregate and publish steps."""
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,12 +10,17 @@ from pyspark.sql import functions as F
 
 from ..functions.calendar import DAYPARTS
 from ..operators import guard, sections, trends
-from ..operators.facts import View, levels_present
+from ..operators.facts import LANGUAGES, View, levels_present, values
+from ..sources import files
+
+HISTOGRAMS = ("user_messages", "user_weeks", "session_messages", "session_minutes")
+SUMMARIES = ("user_messages_summary", "session_minutes_summary")
 
 
 def build(v: View, floor: int) -> dict[str, DataFrame]:
     """Section name -> long table."""
-    users, keys = sections.per_user_rows(v), ["window_id", "level"]
+    users, sess, keys = sections.per_user_rows(v), sections.session_rows(v), ["window_id", "level"]
+    windows, findings = trends.section(v, floor)
     return {
         "windows": v.win,
         "weekly_activity": sections.weekly_activity(v, floor),
@@ -29,26 +35,55 @@ def build(v: View, floor: int) -> dict[str, DataFrame]:
         "topics": sections.topics(v, floor),
         "profile": sections.semester_profile(v, floor),
         "user_messages": sections.histogram(users, keys, "messages", sections.MESSAGE_BINS, floor),
+        "user_weeks": sections.histogram(users, keys, "weeks", sections.SESSION_BINS, floor),
+        "session_messages": sections.histogram(sess, keys, "n_messages", sections.SESSION_BINS, floor),
+        "session_minutes": sections.histogram(sess, keys, "minutes", sections.MINUTE_BINS, floor),
         "user_messages_summary": sections.summary(users, keys, "messages", floor),
-        "findings": trends.findings(trends.assess(trends.evaluate(v), floor)),
+        "session_minutes_summary": sections.summary(sess, keys, "minutes", floor, with_mean=False),
+        "trends": windows,
+        "findings": findings,
     }
 
 
-def report(v: View, floor: int) -> DataFrame:
-    """(rule, n) over the document's tables; n is 0 where a rule is kept."""
-    usage, heat, weekly = sections.window_usage(v, floor), sections.hour_heatmap(v, floor), sections.weekly_activity(v, floor)
-    spark = v.msg.sparkSession
-    grid = v.win.select("window_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow")).select("window_id", "dow", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+def rules(tables: dict[str, DataFrame], v: View, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> DataFrame:
+    """(rule, n) over all of the document's tables; n is 0 where a rule is kept."""
+    spark, win, usage = v.win.sparkSession, tables["windows"], tables["usage"]
+    cells = guard.long_cells(tables)
+    dows = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow")
+    grid = win.select("window_id", dows).select("window_id", "dow", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     weeks = v.axis.select("week").crossJoin(levels_present(v))
+    measures, langs = values(spark, "measure", ("messages", "sessions", "active_users")), values(spark, "lang", LANGUAGES)
+    names = values(spark, "part", tuple(p[0] for p in DAYPARTS))
+    shapes = names.select(F.lit("grid").alias("shape"), dows, "part").unionByName(names.select(F.lit("daypart").alias("shape"), F.lit(0).alias("dow"), "part")).unionByName(values(spark, "part", ("weekday", "weekend")).select(F.lit("span").alias("shape"), F.lit(0).alias("dow"), "part"))
     parts = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, DAYPARTS)) + " AS p(name, from_hour, to_hour)")
-    hist = sections.histogram(sections.per_user_rows(v), ["window_id", "level"], "messages", sections.MESSAGE_BINS, floor)
-    summary = sections.summary(sections.per_user_rows(v), ["window_id", "level"], "messages", floor)
-    rules = [
-        guard.suppressed_bare(usage), guard.floor_respected(summary, floor), guard.no_recoverable_partition(usage),
-        guard.dense_over(heat, grid, ["window_id", "dow", "hour"], "heatmap_dense"),
-        guard.dense_over(weekly.filter("measure = 'messages'"), weeks, ["week", "level"], "weekly_dense"),
-        guard.tiles(parts), guard.bins_ascend(hist, ["window_id", "level"]), guard.windows_resolve(v.win, usage),
-        guard.slices_contiguous(v.win_week, v.win), guard.profiles_ascend(sections.semester_profile(v, floor), v.win),
-        guard.levels_known(usage), guard.coverage_ordered(v.win),
+    found = [
+        guard.suppressed_bare(cells), *[guard.summaries_bare(tables[t]) for t in SUMMARIES],
+        *[guard.floor_respected(tables[t], floor) for t in (*SUMMARIES, "findings")],
+        guard.no_recoverable_partition(usage), guard.no_small_remainder(usage, floor),
+        guard.dense_over(tables["heatmap"], grid, ["window_id", "dow", "hour"], "heatmap_dense"),
+        guard.dense_over(tables["dayparts"], win.select("window_id").crossJoin(levels_present(v)).crossJoin(shapes), ["window_id", "level", "shape", "dow", "part"], "dayparts_dense"),
+        guard.dense_over(tables["weekly_activity"], weeks.crossJoin(measures), ["week", "level", "measure"], "weekly_dense"),
+        guard.dense_over(tables["weekly_language"], weeks.crossJoin(langs), ["week", "level", "lang"], "weekly_dense"),
+        guard.dense_over(tables["weekly_registrations"], v.axis.select("week"), ["week"], "weekly_dense"),
+        guard.tiles(parts), *[guard.bins_ascend(tables[t], ["window_id", "level"]) for t in HISTOGRAMS],
+        guard.windows_resolve(win, cells), guard.slices_contiguous(v.win_week, win), guard.profiles_ascend(tables["profile"], win),
+        guard.levels_known(cells), guard.coverage_ordered(win, v.axis, through), guard.trend_rules(tables["findings"], tables["trends"], win),
     ]
-    return reduce(DataFrame.unionByName, rules)
+    if enrolled is not None:
+        found.append(guard.enrollment_terms(enrolled, win))
+    return reduce(DataFrame.unionByName, found).groupBy("rule").agg(F.sum("n").alias("n"))
+
+
+def report(v: View, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> DataFrame:
+    """The rules over the document as it would be written. Its tables, each as small as the calendar times a few levels,
+    are kept in memory, as several rules read each."""
+    return rules({name: t.persist() for name, t in build(v, floor).items()}, v, floor, through, enrolled)
+
+
+def publish(v: View, folder: str, version: str, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> None:
+    """Every section is written once; the guard reads what was written; only then does the pointer name the version."""
+    spark, tables = v.win.sparkSession, {}
+    for name, t in build(v, floor).items():
+        t.write.mode("errorifexists").parquet(f"{folder}/sections/{version}/{name}")
+        tables[name] = spark.read.parquet(f"{folder}/sections/{version}/{name}")
+    files.publish(tables["windows"], folder, version, rules(tables, v, floor, through, enrolled))

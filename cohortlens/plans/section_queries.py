@@ -34,7 +34,7 @@ _W = " JOIN win_week USING (monday)"
 
 _add("calendar_windows", LONG, lambda v: v.win, " SELECT window_id, kind, parent_id, first_week, last_week, first_monday, n_weeks, single_week, in_progress FROM win")
 _add("calendar_window_weeks", SHORT, lambda v: v.win_week.join(v.win.select("window_id", "kind"), "window_id").select("window_id", "week", "semester_week"), " SELECT window_id, week, semester_week FROM win_week")
-_add("enriched_messages", SHORT, lambda v: v.msg.select("history_id", "pseudonym", "day", "week", "dow", "hour", "lang", "level"), " SELECT history_id, pseudonym, day, week, dow, hour, lang, level FROM msg")
+_add("enriched_messages", SHORT, lambda v: facts.spoken(v.msg, v).select("history_id", "pseudonym", "day", "week", "dow", "hour", "lang", "level"), " SELECT history_id, pseudonym, day, week, dow, hour, lang, level FROM msg")
 _add("first_seen", LONG, lambda v: v.first_seen, " SELECT pseudonym, first_seen FROM seen")
 _add("sessions", SHORT, lambda v: v.sess.select("pseudonym", "session_started", "week", "level", "n_messages", "minutes"), " SELECT pseudonym, session_started, week, level, n_messages, minutes FROM sess")
 
@@ -49,7 +49,7 @@ _add("weekly_language", SHORT, lambda v: sections.weekly_language(v, 25), _cells
 
 _WL = {"window_id": "window_id", "level": "lv"}
 _MEASURES = ["messages", "sessions", "active_users", "new_registrations", "new_registrations_active"]
-_USAGE = f"""
+USAGE = f"""
 , cells AS (
     SELECT *, 'messages' AS measure FROM ({_counts(_WL, 'lmsg' + _W)}) UNION ALL SELECT *, 'sessions' FROM ({_counts(_WL, 'lsess' + _W)})
     UNION ALL SELECT *, 'active_users' FROM ({_counts(_WL, 'lmsg' + _W, _USERS)}) UNION ALL SELECT *, 'new_registrations' FROM ({_counts(_WL, 'lreg' + _W)})
@@ -59,7 +59,7 @@ usage AS (
     SELECT window_id, level, measure, CASE WHEN hide THEN 'suppressed' ELSE status END AS status, CASE WHEN NOT hide THEN value END AS value
     FROM (SELECT *, level <> 'all' AND coalesce(bool_or(status = 'suppressed' AND level <> 'all' AND measure <> 'active_users') OVER (PARTITION BY window_id, measure), false) AS hide FROM floored))
 """
-_add("window_usage", LONG, lambda v: sections.window_usage(v, 4), _USAGE + "SELECT * FROM usage")
+_add("window_usage", LONG, lambda v: sections.window_usage(v, 4), USAGE + "SELECT * FROM usage")
 
 _add(
     "retention", LONG, lambda v: sections.retention(v, 5),
@@ -116,7 +116,7 @@ def _hist(rows: str, value: str, bins, floor: int) -> str:
 def _summary(rows: str, value: str, floor: int, mean: bool = True) -> str:
     q = lambda p: f"(quantile_disc({value}, {p}) + quantile_disc(-{value}, {1 - p}) * -1) / 2"
     ok = f"n_users = 0 OR n_users >= {floor}"
-    show = lambda c: f"CASE WHEN {ok} THEN {c} END AS {c}"
+    show = lambda c: f"CASE WHEN {ok} THEN round({c}, 1) END AS {c}"
     hide = lambda c: f"CAST(NULL AS DOUBLE) AS {c}"
     return f""", r AS (SELECT * REPLACE (CAST({value} AS DOUBLE) AS {value}) FROM ({rows}))
     SELECT window_id, level, CASE WHEN {ok} THEN 'ok' ELSE 'suppressed' END AS status, CASE WHEN {ok} THEN n_users END AS n_users, {show("median")}, {show("p25")}, {show("p75")}, {(show if mean else hide)("mean")}, {(show if mean else hide)("sd")}
@@ -145,18 +145,18 @@ _add("semester_overlay", LONG, lambda v: sections.semester_overlay(sections.seme
      ", p AS (" + _PROF + ") SELECT semester_week, " + ", ".join(f"max(value) FILTER (window_id = '{t}') AS \"{t}\"" for t in _TERMS) + " FROM p WHERE measure = 'messages' GROUP BY 1")
 
 _add("ratio_level_composition", LONG, lambda v: ratios.level_composition(sections.window_usage(v, 4)),
-     _USAGE + "SELECT window_id, level, measure, status, value, CASE WHEN NOT bool_or(status = 'suppressed') OVER w AND sum(value) OVER w > 0 THEN value * 100.0 / sum(value) OVER w END AS share FROM usage WHERE level <> 'all' WINDOW w AS (PARTITION BY window_id, measure)")
+     USAGE + "SELECT window_id, level, measure, status, value, CASE WHEN NOT bool_or(status = 'suppressed') OVER w AND sum(value) OVER w > 0 THEN value * 100.0 / sum(value) OVER w END AS share FROM usage WHERE level <> 'all' WINDOW w AS (PARTITION BY window_id, measure)")
 _add("ratio_language_share", LONG, lambda v: ratios.share_of_total(sections.language_totals(v, 10), sections.window_usage(v, 4).filter("measure = 'messages'"), ["window_id", "level"]),
-     _USAGE + f", l AS ({_cells(['window_id', 'level', 'lang'], 'SELECT window_id, level, lang FROM win, levels, langs', _counts(_WL | {'lang': 'lang'}, f'lmsg{_W}'), 10)}) SELECT l.*, CASE WHEN t.value > 0 THEN l.value * 100.0 / t.value END AS share FROM l LEFT JOIN (SELECT window_id, level, value FROM usage WHERE measure = 'messages' AND status = 'ok') t USING (window_id, level)")
+     USAGE + f", l AS ({_cells(['window_id', 'level', 'lang'], 'SELECT window_id, level, lang FROM win, levels, langs', _counts(_WL | {'lang': 'lang'}, f'lmsg{_W}'), 10)}) SELECT l.*, CASE WHEN t.value > 0 THEN l.value * 100.0 / t.value END AS share FROM l LEFT JOIN (SELECT window_id, level, value FROM usage WHERE measure = 'messages' AND status = 'ok') t USING (window_id, level)")
 _add("ratio_daypart_share", SHORT, lambda v: ratios.share_of_total(sections.dayparts(v, 30).filter("shape <> 'grid'"), sections.window_usage(v, 4).filter("measure = 'messages'"), ["window_id", "level"]),
-     _USAGE + f", d AS ({_DAYPARTS}) SELECT d.*, CASE WHEN t.value > 0 THEN d.value * 100.0 / t.value END AS share FROM d LEFT JOIN (SELECT window_id, level, value FROM usage WHERE measure = 'messages' AND status = 'ok') t USING (window_id, level) WHERE shape <> 'grid'")
+     USAGE + f", d AS ({_DAYPARTS}) SELECT d.*, CASE WHEN t.value > 0 THEN d.value * 100.0 / t.value END AS share FROM d LEFT JOIN (SELECT window_id, level, value FROM usage WHERE measure = 'messages' AND status = 'ok') t USING (window_id, level) WHERE shape <> 'grid'")
 _add("ratio_topic_share", LONG, lambda v: sections.topics(v, 6).withColumn("share", ratios.percent(F.col("value"), F.col("n_total"))), f"SELECT *, CASE WHEN n_total > 0 THEN value * 100.0 / n_total END AS share FROM ({_TOPICS})")
 _add("ratio_tried_once", LONG, lambda v: ratios.tried_once(sections.histogram(sections.per_user_rows(v), _KEYS, "weeks", sections.SESSION_BINS, 5)),
      _hist(_UROWS, "weeks", sections.SESSION_BINS, 5).replace("SELECT window_id, level, bin", ", h AS (SELECT window_id, level, bin", 1) + ") SELECT window_id, level, CASE WHEN NOT bool_or(status = 'suppressed') AND sum(value) > 0 THEN max(value) FILTER (bin = 0) * 100.0 / sum(value) END AS share FROM h GROUP BY ALL")
 _add("ranked_topics", LONG, lambda v: ratios.ranked_codes(sections.topics(v, 6), 3).select("window_id", "level", "domain", "code", "status", "value", "n_total", "rank"),
      f"SELECT *, row_number() OVER (PARTITION BY window_id, level, domain ORDER BY CASE WHEN status = 'ok' AND value > 0 THEN 0 WHEN status = 'suppressed' THEN 1 ELSE 2 END, value DESC NULLS LAST, code) AS rank FROM ({_TOPICS}) QUALIFY rank <= 3")
 _add("available_levels", LONG, lambda v: ratios.available_levels(sections.window_usage(v, 4)), " SELECT level, list_position(['bachelor', 'master', 'staff', 'unknown'], level) AS position FROM levels WHERE level <> 'all'")
-_add("level_slice", LONG, lambda v: ratios.slice_by_level(sections.window_usage(v, 4), "master"), _USAGE + "SELECT *, true AS scoped FROM usage WHERE level = 'master'")
+_add("level_slice", LONG, lambda v: ratios.slice_by_level(sections.window_usage(v, 4), "master"), USAGE + "SELECT *, true AS scoped FROM usage WHERE level = 'master'")
 _add("series_slice", LONG, lambda v: ratios.slice_to_window(sections.weekly_registrations(v, 3), v.win),
      f", s AS ({_cells(['week'], 'SELECT week FROM axis', _counts({'week': 'week'}, 'reg'), 3)}) SELECT s.week, status, value, window_id FROM s JOIN win ON s.week BETWEEN first_week AND last_week")
 
@@ -164,8 +164,9 @@ _add("series_slice", LONG, lambda v: ratios.slice_to_window(sections.weekly_regi
 def _enrolled(v: facts.View) -> DataFrame:
     """Figures that follow from the roster's rule: 200 + 10 a term's year modulo 7."""
     terms = v.win.filter("kind = 'semester'").select("window_id")
-    return terms.select("window_id", F.explode(F.array(F.lit("bachelor"), F.lit("master"))).alias("level"), (F.substring("window_id", 1, 4).cast("int") % 7 * 10 + 200).alias("enrolled"))
+    known = terms.unionByName(v.win.sparkSession.sql("SELECT '1990S' AS window_id UNION ALL SELECT 'all_time'"))  # these two have no business there
+    return known.select("window_id", F.explode(F.array(F.lit("bachelor"), F.lit("master"))).alias("level"), (F.try_to_number(F.substring("window_id", 1, 4), F.lit("9999")).cast("int") % 7 * 10 + 200).alias("enrolled"))
 
 
 _add("ratio_reach", LONG, lambda v: ratios.reach(sections.window_usage(v, 4), v.win, _enrolled(v)),
-     _USAGE + "SELECT u.window_id, level, CASE WHEN TRUE THEN value * 100.0 / (CAST(substr(w.window_id, 1, 4) AS INT) % 7 * 10 + 200) END AS reach FROM usage u JOIN win w USING (window_id) WHERE kind <> 'all_time' AND measure = 'active_users' AND level IN ('bachelor', 'master')")
+     USAGE + "SELECT u.window_id, level, round(value * 100.0 / (CAST(substr(w.window_id, 1, 4) AS INT) % 7 * 10 + 200), 1) AS reach FROM usage u JOIN win w USING (window_id) WHERE kind <> 'all_time' AND measure = 'active_users' AND level IN ('bachelor', 'master')")

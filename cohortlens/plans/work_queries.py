@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,11 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import stats, text
 from ..functions.cells import count_cells, floored
-from ..operators import labels, trends
-from ..operators.facts import View
+from ..operators import guard, labels, sections, trends
+from ..operators.facts import View, levels_present
 from ..sources import files, ingest
-from . import document
-from .corpora import LONG, SHORT, corpus, corpus_view, read, view_sql
+from . import document, section_queries
+from .corpora import EXTRACTED, LONG, SHORT, corpus, corpus_view, read, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -94,9 +97,17 @@ _MEDIANS = """
 _COLS = "window_id, candidate, tab, tier, kind, family, grp, current, baseline, users_1, users_2, n_1, n_2, delta, effect, z"
 _add("trend_counts", _on(LONG, lambda v: trends.evaluate_counts(trends.sides(v, trends.pairs(v.win, v.win_week)))), view_sql(LONG) + _PAIRS + f"SELECT {_COLS} FROM counted")
 _add("trend_medians", _on(LONG, lambda v: trends.evaluate_medians(v, trends.pairs(v.win, v.win_week))), view_sql(LONG) + _PAIRS + _MEDIANS + f"SELECT {_COLS} FROM medians")
+_T = ("sets", "share", "days", "once", "rate", "sides", "pairs")
+_TRAJ = "\n, tsets AS (SELECT 'all' AS window_id, dense_rank() OVER (ORDER BY window_id) AS side, window_id AS term, monday FROM win_week WHERE kind = 'semester')" + re.sub(rf"\b({'|'.join(_T)})\b(?= AS \(| USING| GROUP|$)|(?<=JOIN )({'|'.join(_T)})\b|(?<=FROM )({'|'.join(_T)})\b", lambda m: "t" + m[0], _PAIRS[_PAIRS.index("\n, share"):_PAIRS.index("\n, wide")])
+_TRAJ += """
+, tpoints AS (
+    SELECT candidate, side, num / den * CASE WHEN kind = 'share' THEN 100.0 ELSE 1.0 END AS value, n_users, n_users >= 5 AND num > 0 AS ok FROM tsides
+    UNION ALL SELECT candidate, side, (quantile_disc(x, 0.5) - quantile_disc(-x, 0.5)) / 2, count(DISTINCT pseudonym) AS u, u >= 5 FROM (SELECT side, pseudonym, unnest([{'candidate': 'engagement-messages-per-session', 'x': CAST(n_messages AS DOUBLE)}, {'candidate': 'engagement-session-duration', 'x': minutes}], recursive := true) FROM sess JOIN tsets USING (monday)) GROUP BY candidate, side)
+, whole AS (SELECT candidate FROM tpoints GROUP BY 1 HAVING bool_and(ok) AND count(*) = (SELECT count(*) FROM win WHERE kind = 'semester'))
+"""
 _ASSESS = f"""
 , fam(family, min_effect, min_relative, min_n) AS (VALUES {", ".join(map(str, trends.FAMILIES))})
-, ev AS (SELECT *, least(1.0, {_erfc_sql("(abs(z) / sqrt(2.0))")}) AS p FROM (SELECT {_COLS} FROM counted UNION ALL SELECT {_COLS} FROM medians) JOIN fam USING (family))
+, ev AS (SELECT *, least(1.0, {_erfc_sql("(abs(z) / sqrt(2.0))")}) AS p FROM (SELECT {_COLS} FROM counted UNION ALL SELECT {_COLS} FROM medians) JOIN fam USING (family) WHERE window_id <> 'all_time' OR candidate IN (SELECT candidate FROM whole))
 , g1 AS (SELECT *, CASE WHEN least(users_1, users_2) < 5 THEN 'floor' WHEN least(n_1, n_2) < min_n THEN 'min_n' WHEN effect < min_effect OR (min_relative > 0 AND baseline > 0 AND abs(current - baseline) / baseline < min_relative) THEN 'effect' WHEN p >= 0.05 THEN 'p' END AS gate FROM ev)
 , g2 AS (SELECT *, coalesce(gate NOT IN ('floor', 'min_n'), true) AS testable FROM g1)
 , g3 AS (SELECT *, count(*) OVER (PARTITION BY window_id, testable) / row_number() OVER (PARTITION BY window_id, testable ORDER BY p, candidate) * p AS raw FROM g2)
@@ -105,20 +116,64 @@ _ASSESS = f"""
 , g6 AS (SELECT * REPLACE (coalesce(gate, CASE WHEN row_number() OVER (PARTITION BY window_id, gate IS NULL, tab ORDER BY tier, effect DESC, candidate) > CASE tab WHEN 'topics' THEN 3 ELSE 2 END THEN 'cap' END) AS gate) FROM g5)
 , assessed AS (SELECT *, coalesce(gate, CASE WHEN row_number() OVER (PARTITION BY window_id, gate IS NULL ORDER BY tier, effect DESC, candidate) > 5 THEN 'cap' END, 'published') AS verdict FROM g6)
 """
-_add("trend_verdicts", _on(LONG, lambda v: trends.assess(trends.evaluate(v), 5).select("window_id", "candidate", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "verdict", "evidence")),
-     view_sql(LONG) + _PAIRS + _MEDIANS + _ASSESS + "SELECT window_id, candidate, round(p, 6) AS p, round(q, 6) AS q, verdict, CASE WHEN verdict = 'published' THEN CASE WHEN q < 0.05 THEN 'robust' ELSE 'indicative' END END AS evidence FROM assessed")
-_add("trend_tally", _on(LONG, lambda v: trends.verdict_tally(trends.assess(trends.evaluate(v), 5))), view_sql(LONG) + _PAIRS + _MEDIANS + _ASSESS + "SELECT window_id, verdict, count(*) AS n FROM assessed GROUP BY ALL")
-_add("trend_findings", _on(LONG, lambda v: trends.findings(trends.assess(trends.evaluate(v), 5)).select("window_id", "place", "candidate", "tab", "evidence")),
-     view_sql(LONG) + _PAIRS + _MEDIANS + _ASSESS + "SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY tier, effect DESC, candidate) AS place, candidate, tab, CASE WHEN q < 0.05 THEN 'robust' ELSE 'indicative' END AS evidence FROM assessed WHERE verdict = 'published'")
-_add("trend_sufficient", _on(LONG, lambda v: trends.sufficient(v.win, trends.assess(trends.evaluate(v), 5))),
-     view_sql(LONG) + _PAIRS + _MEDIANS + _ASSESS + "SELECT window_id, coalesce(i, true) AS insufficient_data FROM win LEFT JOIN (SELECT window_id, count(*) FILTER (verdict NOT IN ('floor', 'min_n')) = 0 AS i FROM assessed GROUP BY 1) USING (window_id) WHERE kind <> 'semester_slice'")
-_TRAJ = "\n, pairs AS (SELECT window_id, window_id AS cur, CAST(NULL AS VARCHAR) AS base FROM win WHERE kind = 'semester')\n, sets AS (SELECT window_id, 1 AS side, monday FROM win_week WHERE kind = 'semester')" + _PAIRS[_PAIRS.index("\n, hits"):_PAIRS.index("\n, wide")]
-_TRAJ = _TRAJ.replace("SELECT DISTINCT window_id, candidate, tab, tier, kind, family, grp FROM hits JOIN sets USING (monday)) USING (window_id)", "SELECT DISTINCT candidate, tab, tier, kind, family, grp FROM hits JOIN sets USING (monday)) ON true")
-_add("trend_trajectories", _on(LONG, lambda v: trends.trajectories(v, 5).select("candidate", F.explode("points").alias("x")).select("candidate", "x.term", "x.value")),
-     view_sql(LONG) + _TRAJ + ", t AS (SELECT candidate, window_id AS term, num / den * CASE WHEN kind = 'share' THEN 100.0 ELSE 1.0 END AS value, n_users >= 5 AND num > 0 AS ok FROM sides) SELECT candidate, term, value FROM t JOIN (SELECT candidate FROM t GROUP BY 1 HAVING bool_and(ok) AND count(*) = (SELECT count(*) FROM win WHERE kind = 'semester')) USING (candidate)")
-
-_add("guard_report", _on(LONG, lambda v: document.report(v, 4)),
-     "SELECT unnest(['suppressed_bare', 'floor_respected', 'no_recoverable_partition', 'heatmap_dense', 'weekly_dense', 'dayparts_tile', 'bins_ascend', 'windows_resolve', 'slices_contiguous', 'profiles_ascend', 'levels_known', 'coverage_ordered']) AS rule, 0 AS n")
+_add("trend_verdicts", _on(LONG, lambda v: trends.assess(trends.evaluate(v, 5), 5).select("window_id", "candidate", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "verdict", "evidence")),
+     view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + "SELECT window_id, candidate, round(p, 6) AS p, round(q, 6) AS q, verdict, CASE WHEN verdict = 'published' THEN CASE WHEN q < 0.05 THEN 'robust' ELSE 'indicative' END END AS evidence FROM assessed")
+_add("trend_tally", _on(LONG, lambda v: trends.verdict_tally(trends.assess(trends.evaluate(v, 5), 5))), view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + "SELECT window_id, verdict, count(*) AS n FROM assessed GROUP BY ALL")
+_add("trend_findings", _on(LONG, lambda v: trends.section(v, 5)[1].select("window_id", "place", "candidate", "tab", "title", "current", "baseline", "delta", "evidence", "users_1", "users_2", F.size("trajectory").alias("points"))),
+     view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + """SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY tier, effect DESC, candidate) AS place, candidate, tab, candidate || CASE WHEN kind = 'median' THEN CASE WHEN delta > 0 THEN ' lengthened' ELSE ' shortened' END WHEN delta > 0 THEN ' rose' ELSE ' fell' END AS title,
+     round(current, 1) AS current, round(baseline, 1) AS baseline, round(delta, 1) AS delta, CASE WHEN q < 0.05 THEN 'robust' ELSE 'indicative' END AS evidence, users_1, users_2, CASE WHEN window_id = 'all_time' THEN (SELECT CAST(count(*) AS INT) FROM win WHERE kind = 'semester') END AS points FROM assessed WHERE verdict = 'published'""")
+_add("trend_sufficient", _on(LONG, lambda v: trends.sufficient(v, trends.assess(trends.evaluate(v, 5), 5))),
+     view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + """SELECT w.window_id, CASE WHEN w.window_id = 'all_time' AND p.base IS NOT NULL THEN 'trajectory' ELSE p.base END AS baseline, p.base IS NOT NULL AND coalesce(n, 0) = 0 AS insufficient_data
+     FROM win w LEFT JOIN pairs p USING (window_id) LEFT JOIN (SELECT window_id, count(*) FILTER (verdict NOT IN ('floor', 'min_n')) AS n FROM assessed GROUP BY 1) a USING (window_id) WHERE w.kind <> 'semester_slice'""")
+_add("trend_trajectories", _on(LONG, lambda v: trends.trajectories(v, 5).select("candidate", F.explode("points").alias("x")).select("candidate", "x.term", "x.value", "x.n_users")),
+     view_sql(LONG) + _PAIRS + _TRAJ + "SELECT candidate, term, value, n_users FROM tpoints JOIN whole USING (candidate) JOIN (SELECT DISTINCT side, term FROM tsets) USING (side)")
+
+_THROUGH = EXTRACTED[LONG] - dt.timedelta(days=EXTRACTED[LONG].weekday() + 1)
+RULES = ("suppressed_bare", "floor_respected", "no_recoverable_partition", "no_small_remainder", "heatmap_dense", "dayparts_dense", "weekly_dense", "dayparts_tile", "bins_ascend", "windows_resolve", "slices_contiguous", "profiles_ascend", "levels_known", "coverage_ordered", "trends")
+_add("guard_report", _on(LONG, lambda v: document.report(v, 4, _THROUGH)), f"SELECT unnest({list(RULES)}) AS rule, 0 AS n")
+
+
+def _faulty(v: View) -> DataFrame:
+    """The rules over tables with faults that follow from the data."""
+    usage = sections.window_usage(v, 4)
+    heat, week, keys = sections.hour_heatmap(v, 4), sections.weekly_activity(v, 4), ["window_id", "level"]
+    users = sections.per_user_rows(v)
+    grid = v.win.select("window_id", F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow")).select("window_id", "dow", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
+    weeks = v.axis.select("week").crossJoin(levels_present(v))
+    levels = usage.withColumn("level", F.when(F.col("level") == "master", "phd").otherwise(F.col("level")))
+    lone = usage.withColumn("status", F.when((F.col("level") == "staff") & F.col("measure").isin("messages", "sessions"), "suppressed").when(F.col("level") != "all", "ok").otherwise(F.col("status")))
+    short = usage.withColumns({"status": F.lit("ok"), "value": F.when(F.col("level") == "all", 7).when(F.col("level") == "master", 6).otherwise(0)})
+    bins = sections.histogram(users, keys, "messages", sections.MESSAGE_BINS, 4).withColumn("hi", F.when(F.col("bin") == 1, 6).otherwise(F.col("hi")))
+    found = [
+        guard.suppressed_bare(usage.withColumn("value", F.coalesce("value", F.lit(1)))),
+        guard.floor_respected(sections.summary(users, keys, "messages", 1), 4), guard.no_recoverable_partition(lone), guard.no_small_remainder(short, 4),
+        guard.dense_over(heat.filter("hour <> 3"), grid, ["window_id", "dow", "hour"], "heatmap_dense"),
+        guard.dense_over(week.filter("measure = 'messages' and level <> 'staff'"), weeks, ["week", "level"], "weekly_dense"),
+        guard.bins_ascend(bins, keys), guard.windows_resolve(v.win.filter("kind <> 'semester'"), usage),
+        guard.slices_contiguous(v.win_week.filter("semester_week <> 16"), v.win), guard.profiles_ascend(sections.semester_profile(v, 3).filter("semester_week <> 2"), v.win),
+        guard.levels_known(levels), guard.enrollment_terms(v.win.filter("kind <> 'semester_slice'").select("window_id"), v.win),
+        guard.coverage_ordered(v.win.withColumns({"first_week": F.col("last_week"), "last_week": F.col("first_week")}), v.axis, _THROUGH), guard.tiles(v.win.sparkSession.sql("SELECT * FROM VALUES ('a', 0, 6), ('b', 7, 24) AS p(name, from_hour, to_hour)")),
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+_add("guard_faults", _on(LONG, _faulty), view_sql(LONG) + section_queries.USAGE + """
+, lw AS (SELECT DISTINCT window_id, level FROM usage)
+, users AS (SELECT window_id, lv AS level, pseudonym FROM lmsg JOIN win_week USING (monday) GROUP BY ALL)
+SELECT 'suppressed_bare' AS rule, count(*) FILTER (status = 'suppressed') AS n FROM usage
+UNION ALL SELECT 'floor_respected', count(*) FROM (SELECT window_id, level FROM users GROUP BY ALL HAVING count(*) < 4)
+UNION ALL SELECT 'no_recoverable_partition', count(*) FROM usage WHERE level = 'all' AND measure IN ('messages', 'sessions') AND status = 'ok'
+UNION ALL SELECT 'no_small_remainder', count(*) FROM usage WHERE level = 'all' AND measure <> 'active_users'
+UNION ALL SELECT 'heatmap_dense', 7 * count(*) FROM win
+UNION ALL SELECT 'weekly_dense', count(*) FROM axis
+UNION ALL SELECT 'bins_ascend', count(DISTINCT (window_id, level)) FROM users
+UNION ALL SELECT 'windows_resolve', (SELECT count(DISTINCT window_id) FROM usage JOIN win USING (window_id) WHERE kind = 'semester') + (SELECT count(*) FROM win WHERE kind = 'semester_slice')
+UNION ALL SELECT 'slices_contiguous', count(*) FROM (SELECT window_id FROM win_week WHERE kind = 'semester_slice' AND semester_week <> 16 GROUP BY 1 HAVING max(monday) - min(monday) <> 7 * (count(*) - 1))
+UNION ALL SELECT 'profiles_ascend', 2 * count(*) FROM (SELECT window_id FROM win_week WHERE kind = 'semester' AND semester_week IN (1, 3) GROUP BY 1 HAVING count(*) = 2)
+UNION ALL SELECT 'levels_known', 1
+UNION ALL SELECT 'enrollment_terms', count(*) FROM win WHERE kind = 'all_time'
+UNION ALL SELECT 'coverage_ordered', count(*) FROM win WHERE first_week <> last_week
+UNION ALL SELECT 'dayparts_tile', 1""")
 
 
 # Labels. `documents` stands in for messages; `labels` holds the truth, a rule on the length the prediction.
@@ -133,6 +188,8 @@ FROM (SELECT 'quality' AS code, quality AS t, CAST(n_chars > 300 AS INT) AS p FR
 _MCC = "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (CAST(tp AS DOUBLE) * tn - CAST(fp AS DOUBLE) * fn) / sqrt(CAST(tp + fp AS DOUBLE) * (tp + fn) * (tn + fp) * (tn + fn)) END"
 _add("label_agreement", lambda s, d: labels.agreement(_coded(s, d), "truth", "rule"), f"SELECT *, {_MCC} AS mcc FROM ({_AGREE})")
 _add("label_agreement_average", lambda s, d: labels.average_agreement(labels.agreement(_coded(s, d), "truth", "rule")), f"SELECT avg({_MCC}) AS mcc, count({_MCC}) AS codes FROM ({_AGREE})")
+_add("label_coverage", lambda s, d: labels.coverage(_coded(s, d).withColumn("provenance", F.concat("label_version", F.lit("-"), "code")), "truth", "rule"),
+     "SELECT (SELECT count(DISTINCT doc_id) FROM labels JOIN documents USING (doc_id)) AS messages, ['rule-quality', 'rule-toxic'] AS models")
 _add("label_versions", lambda s, d: labels.versions(_coded(s, d)).join(_coded(s, d).groupBy("label_version").agg(F.count_distinct("history_id").alias("messages")), "label_version"),
      "SELECT 'truth' AS label_version, count(DISTINCT doc_id) AS messages FROM labels UNION ALL SELECT 'rule', count(DISTINCT doc_id) FROM documents")
 _add("label_pending", lambda s, d: labels.pending(read(s, d, "documents").select(F.col("doc_id").alias("history_id")), _coded(s, d), label_version="truth", domain="deductive"), "SELECT doc_id AS history_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -182,20 +239,36 @@ def _source(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _ingested(s: SparkSession, d: str) -> DataFrame:
+    """Two runs: the first finds the history up to the middle id, the second has the rest to add, above the watermark."""
     students, history = _source(s, d)
-    old = ingest.new_messages(history.filter("id % 4 = 0 and id <= 40000"), students, 0, KEY)
-    return ingest.new_messages(history, students, ingest.watermark(old), KEY)
+    middle = history.agg(F.max("id")).first()[0] // 2
+    old = ingest.new_messages(history.filter(F.col("id") <= middle), students, 0, KEY)
+    new = ingest.new_messages(history, students, ingest.watermark(old), KEY)
+    return old.withColumn("run", F.lit(1)).unionByName(new.withColumn("run", F.lit(2)))
 
 
-_add("ingest_messages", lambda s, d: _ingested(s, d).select("history_id", "session_started", F.length("pseudonym").alias("width"), "created_at"),
-     "SELECT o_orderkey AS history_id, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS session_started, 64 AS width, o_orderdate AS created_at FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > (SELECT coalesce(max(o_orderkey), 0) FROM orders WHERE o_orderkey % 4 = 0 AND o_orderkey <= 40000)")
+_add("ingest_messages", lambda s, d: _ingested(s, d).select("history_id", "session_started", "pseudonym", "created_at", "run"),
+     "SELECT o_orderkey AS history_id, epoch_ms(CAST(o_orderdate AS TIMESTAMP)) AS session_started, {hash} AS pseudonym, o_orderdate AS created_at, CASE WHEN o_orderkey <= (SELECT max(o_orderkey) // 2 FROM orders) THEN 1 ELSE 2 END AS run FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > 0")
 _IPAD, _OPAD = ("".join(f"\\x{b ^ p:02X}" for b in KEY.ljust(64, b"\0")) for p in (0x36, 0x5C))
-_add("pseudonyms", lambda s, d: read(s, d, "customer").select("c_custkey", text.hmac_sha256(text.normal_uid(F.concat(F.lit(" User"), F.col("c_custkey"))), KEY).alias("pseudonym")),
-     f"SELECT c_custkey, sha256('{_OPAD}'::BLOB || unhex(sha256('{_IPAD}'::BLOB || encode('user' || c_custkey)))) AS pseudonym FROM customer")
-_add("ingest_students", lambda s, d: ingest.with_new_students(ingest.new_students(_source(s, d)[0].filter("student_id % 2 = 0"), KEY), _source(s, d)[0], KEY).agg(F.count(F.lit(1)).alias("n"), F.min("registered_at").alias("first"), F.max("registered_at").alias("last")),
-     "SELECT count(*) AS n, min(f) AS first, max(f) AS last FROM (SELECT o_custkey, min(o_orderdate) AS f FROM orders SEMI JOIN customer ON o_custkey = c_custkey GROUP BY 1)")
-_add("roster_check", lambda s, d: files.check_roster(read(s, d, "customer").select(F.col("c_custkey").alias("line"), F.concat(F.lit("U"), F.col("c_custkey") % 700).alias("uid"), F.when(F.col("c_custkey") % 9 == 0, "guest").otherwise(F.lit(" master ")).alias("status"), F.when(F.col("c_custkey") % 11 == 0, "2024X").alias("ma_start_semester"), F.lit("t").alias("source")), KEY)[1],
-     "SELECT c_custkey AS line, CASE WHEN c_custkey % 9 = 0 THEN 'status' ELSE 'ma_start_semester' END AS fault FROM customer WHERE c_custkey % 9 = 0 OR c_custkey % 11 = 0")
+_HASH = f"sha256('{_OPAD}'::BLOB || unhex(sha256('{_IPAD}'::BLOB || encode('user' || c_custkey))))"
+ORACLES["ingest_messages"] = ORACLES["ingest_messages"].format(hash=_HASH)
+_add("pseudonyms", lambda s, d: read(s, d, "customer").select("c_custkey", text.hmac_sha256(text.normal_uid(F.concat(F.lit(" User"), F.col("c_custkey"))), KEY).alias("pseudonym")), f"SELECT c_custkey, {_HASH} AS pseudonym FROM customer")
+_add("ingest_students", lambda s, d: ingest.with_new_students(ingest.new_students(_source(s, d)[0].filter("student_id % 2 = 0"), KEY), _source(s, d)[0], KEY).select("pseudonym", "registered_at"),
+     f"SELECT {_HASH} AS pseudonym, min(o_orderdate) AS registered_at FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey")
+
+
+def _roster_lines(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A line for each customer; every 700th comes again as the same user, and staff and master users with a term."""
+    k = F.col("c_custkey")
+    status = F.when(k % 9 == 0, "guest").when(k % 4 == 1, " master ").when(k % 4 == 2, "staff").otherwise("bachelor")
+    term = F.when(k % 11 == 0, "2024X").when(k % 13 == 0, " 2024W ").otherwise("")
+    return files.check_roster(read(s, d, "customer").select(k.alias("line"), F.concat(F.lit(" U"), k % 700).alias("uid"), status.alias("status"), term.alias("ma_start_semester"), F.when(k % 17 == 0, " ").otherwise("t").alias("source")), KEY)
+
+
+_ROSTER = """WITH t AS (SELECT c_custkey AS line, c_custkey % 700 AS u, CASE WHEN c_custkey % 9 = 0 THEN 'guest' WHEN c_custkey % 4 = 1 THEN 'master' WHEN c_custkey % 4 = 2 THEN 'staff' ELSE 'bachelor' END AS status, CASE WHEN c_custkey % 11 = 0 THEN '2024X' WHEN c_custkey % 13 = 0 THEN '2024W' END AS term, c_custkey % 17 = 0 AS bare FROM customer)
+, f AS (SELECT *, CASE WHEN status = 'guest' THEN 'status' WHEN term = '2024X' OR (term IS NOT NULL AND status <> 'bachelor') THEN 'ma_start_semester' WHEN bare THEN 'source' WHEN row_number() OVER (PARTITION BY u ORDER BY line) > 1 THEN 'duplicate' END AS fault FROM t)"""
+_add("roster_check", lambda s, d: _roster_lines(s, d)[1], _ROSTER + " SELECT line, fault FROM f WHERE fault IS NOT NULL")
+_add("roster_rows", lambda s, d: _roster_lines(s, d)[0].groupBy("status", "ma_start_semester").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("pseudonym").alias("users")), _ROSTER + " SELECT status, term AS ma_start_semester, count(*) AS n, count(DISTINCT u) AS users FROM f WHERE fault IS NULL GROUP BY ALL")
 
 
 def _erased(s: SparkSession, d: str) -> DataFrame:
@@ -204,7 +277,7 @@ def _erased(s: SparkSession, d: str) -> DataFrame:
 
 
 _add("erase_user", _erased, view_sql(LONG) + """SELECT 'messages' AS "table", count(*) AS erased FROM messages WHERE pseudonym = '7' UNION ALL SELECT 'students', count(*) FROM students WHERE pseudonym = '7' UNION ALL SELECT 'roster', count(*) FROM roster WHERE pseudonym = '7'
-    UNION ALL SELECT 'labels', (SELECT count(*) FROM pos JOIN messages USING (history_id) WHERE pseudonym = '7') + (SELECT count(*) FROM messages WHERE pseudonym = '7' AND history_id % 37 <> 0)""")
+    UNION ALL SELECT 'labels', (SELECT count(*) FROM pos JOIN messages USING (history_id) WHERE pseudonym = '7') * 2 + (SELECT count(*) FILTER (history_id % 37 <> 0) + count(*) FILTER (history_id % 3 = 0) FROM messages WHERE pseudonym = '7')""")
 _add("users_without_roster", lambda s, d: files.without_roster(corpus(s, d, LONG).students, corpus(s, d, LONG).roster).select("pseudonym"), view_sql(LONG) + "SELECT pseudonym FROM students ANTI JOIN roster USING (pseudonym)")
 _add("session_join_check", lambda s, d: files.join_check(corpus(s, d, SHORT).messages, corpus(s, d, SHORT).messages.select("history_id", F.when(F.col("history_id") % 50 == 0, F.col("session_started") + 1).otherwise(F.col("session_started")).alias("started"))).select("history_id"), "SELECT event_id AS history_id FROM events WHERE event_id % 50 = 0")
 _add("conversation_depth", lambda s, d: floored(count_cells(read(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")), ["turns"], user="conv_id"), 3), "SELECT turns, CASE WHEN value >= 3 THEN 'ok' ELSE 'suppressed' END AS status, CASE WHEN value >= 3 THEN value END AS value FROM (SELECT turns, count(*) AS value FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) GROUP BY 1)")

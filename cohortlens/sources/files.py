@@ -7,28 +7,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from ..functions import text
+from ..operators.guard import require_clean
+from ..operators.labels import unpivot_coded
 
 STATUSES = ("bachelor", "master", "staff")
-ROSTER = "uid string, status string, ma_start_semester string, source string"
+ROSTER = ("uid", "status", "ma_start_semester", "source")
+
+
+def read_lines(spark: SparkSession, path: str, columns: tuple[str, ...]) -> DataFrame:
+    """(line, columns) of a CSV file with a header, one record a line; a missing column raises. Line numbers are the
+    file's own, as the file (a list kept by hand) is read whole."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("at", "record"))
+    header = lines.filter("at = 0").select(F.from_csv("record", F.lit(", ".join(f"c{i} string" for i in range(64)))).alias("h")).first()
+    names = [x.strip() for x in header["h"] if x] if header else []
+    if missing := set(columns) - set(names):
+        raise ValueError(f"columns are missing: {sorted(missing)}")
+    schema = ", ".join(f"`{n}` string" for n in names)
+    rows = lines.filter("at > 0 and trim(record) <> ''").select((F.col("at") + 1).alias("line"), F.from_csv("record", F.lit(schema)).alias("r"))
+    return rows.select("line", *[F.col(f"r.`{c}`").alias(c) for c in columns])
 
 
 def read_roster(spark: SparkSession, path: str, key: bytes) -> tuple[DataFrame, DataFrame]:
-    """(roster, rejects) of a CSV file with a header. Of lines with one user after normalisation the last one counts."""
-    raw = spark.read.csv(path, schema=ROSTER, header=True, enforceSchema=False)
-    return check_roster(raw.withColumn("line", F.monotonically_increasing_id()), key)
+    """(roster, rejects) of a CSV file with a header."""
+    return check_roster(read_lines(spark, path, ROSTER), key)
 
 
 def check_roster(raw: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
-    t = raw.select("line", *[F.trim(c).alias(c) for c in ("uid", "status", "ma_start_semester", "source")])
+    """Good rows and (line, fault). A transition term needs the status before it, bachelor; a user's second line is at
+    fault even where it is equal after normalisation."""
+    t = raw.select("line", *[F.coalesce(F.trim(c), F.lit("")).alias(c) for c in ROSTER])
     term = F.col("ma_start_semester")
-    fault = (
-        F.when(F.coalesce("uid", F.lit("")) == "", "uid").when(~F.coalesce(F.col("status").isin(*STATUSES), F.lit(False)), "status")
-        .when((F.coalesce(term, F.lit("")) != "") & ~term.rlike(r"^\d{4}[SW]$"), "ma_start_semester")
+    own = (
+        F.when(F.col("uid") == "", "uid").when(~F.col("status").isin(*STATUSES), "status")
+        .when((term != "") & ((F.col("status") != "bachelor") | ~term.rlike(r"^\d{4}[SW]$")), "ma_start_semester").when(F.col("source") == "", "source")
     )
-    t = t.withColumn("fault", fault)
-    good = t.filter("fault is null").select("line", text.hmac_sha256(text.normal_uid(F.col("uid")), key).alias("pseudonym"), "status", F.nullif(term, F.lit("")).alias("ma_start_semester"), F.col("source").alias("provenance"))
-    last = F.row_number().over(Window.partitionBy("pseudonym").orderBy(F.desc("line")))
-    return good.withColumn("n", last).filter("n = 1").drop("n", "line"), t.filter("fault is not null").select("line", "fault")
+    t = t.withColumns({"own": own, "pseudonym": text.hmac_sha256(text.normal_uid(F.col("uid")), key)})
+    nth = F.row_number().over(Window.partitionBy("pseudonym").orderBy("line"))
+    t = t.withColumn("fault", F.coalesce("own", F.when(nth > 1, "duplicate")))
+    good = t.filter("fault is null").select("pseudonym", "status", F.nullif(term, F.lit("")).alias("ma_start_semester"), F.col("source").alias("provenance"))
+    return good, t.filter("fault is not null").select("line", "fault")
+
+
+def import_roster(stored: DataFrame, raw: DataFrame, students: DataFrame, key: bytes) -> tuple[DataFrame, DataFrame]:
+    """The stored roster with the rows of `raw`, which replace a user's old row, and (imported, unmatched): how many rows
+    came and how many students have none now. Any fault refuses the whole import."""
+    good, bad = check_roster(raw, key)
+    if faults := bad.orderBy("line").limit(5).collect():
+        raise ValueError("the roster is refused: " + ", ".join(f"line {r['line']} ({r['fault']})" for r in faults))
+    merged = good.unionByName(stored.join(good.select("pseudonym"), "pseudonym", "left_anti").select(good.columns))
+    unmatched = without_roster(students, merged).agg(F.count(F.lit(1)).alias("unmatched"))
+    return merged, good.agg(F.count(F.lit(1)).alias("imported")).crossJoin(unmatched)
 
 
 def without_roster(students: DataFrame, roster: DataFrame) -> DataFrame:
@@ -50,6 +78,16 @@ def join_check(messages: DataFrame, coded: DataFrame) -> DataFrame:
     return coded.join(m, "history_id").filter(F.col("started") != F.col("session_started")).select("history_id", "started", "session_started")
 
 
+def import_coded(messages: DataFrame, coded: DataFrame, categories: list[str]) -> DataFrame:
+    """Label rows of a coded file; refused if a session start differs from the corpus or a value is not 0 or 1."""
+    if n := join_check(messages, coded).count():
+        raise ValueError(f"{n} rows have another session start than the corpus")
+    rows = unpivot_coded(coded, categories)
+    if bad := rows.filter("value is null or value not in (0, 1)").limit(3).collect():
+        raise ValueError("values that are not 0 or 1: " + ", ".join(f"{r['history_id']} {r['code']}" for r in bad))
+    return rows
+
+
 def read_enrolled(spark: SparkSession, path: str) -> DataFrame:
     """(window_id, level, enrolled) of a JSON file {window: {bachelor, master, source, as_of}}; missing file: error."""
     entry = "struct<bachelor: int, master: int, source: string, as_of: date>"
@@ -63,25 +101,38 @@ def render(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.orderBy(*keys).select(fields.alias("value"))
 
 
-def publish(table: DataFrame, folder: str, version: str) -> None:
-    """A version is written once and never again; `latest` is then overwritten with the same rows."""
+def publish(table: DataFrame, folder: str, version: str, rules: DataFrame | None = None) -> None:
+    """Writes a version, once and for all, and then a pointer to it. Nothing is replaced, so a reader always finds the
+    last whole version, also after a crash in between. `rules`: a report of the guard; a broken rule refuses."""
+    if rules is not None:
+        require_clean(rules)
     table.write.mode("errorifexists").parquet(f"{folder}/{version}")
-    table.sparkSession.read.parquet(f"{folder}/{version}").write.mode("overwrite").parquet(f"{folder}/latest")
+    pointer = table.sparkSession.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("published_at"))
+    pointer.coalesce(1).write.mode("append").parquet(f"{folder}/pointers")
 
 
-def read_latest(spark: SparkSession, folder: str) -> DataFrame:
+def read_latest(spark: SparkSession, folder: str, *, max_age: str | None = None) -> DataFrame:
+    """The version published last; nothing published, or only what is older than `max_age` (an interval), raises."""
     try:
-        return spark.read.parquet(f"{folder}/latest")
+        last = spark.read.parquet(f"{folder}/pointers").agg(F.max_by("version", "published_at").alias("version"), F.max("published_at").alias("at"))
     except AnalysisException as e:
         raise FileNotFoundError(f"nothing is published in {folder}") from e
+    fresh = F.lit(True) if max_age is None else F.col("at") >= F.current_timestamp() - F.expr(f"interval {max_age}")
+    version, is_fresh = last.select("version", fresh.alias("fresh")).first()
+    if not is_fresh:
+        raise TimeoutError(f"version {version} is older than {max_age}")
+    return spark.read.parquet(f"{folder}/{version}")
 
 
 def write_watermark(spark: SparkSession, folder: str, history_id: int) -> None:
-    spark.range(1).select(F.lit(history_id).cast("long").alias("history_id"), F.current_timestamp().alias("extracted_at")).write.mode("overwrite").parquet(folder)
+    """Appended, as are pointers: what was recorded before stays until the new row is whole."""
+    row = spark.range(1).select(F.lit(history_id).cast("long").alias("history_id"), F.current_timestamp().alias("extracted_at"))
+    row.coalesce(1).write.mode("append").parquet(folder)
 
 
 def read_watermark(spark: SparkSession, folder: str) -> tuple | None:
     try:
-        return tuple(spark.read.parquet(folder).first())
+        last = F.max_by(F.struct("history_id", "extracted_at"), "extracted_at")
+        return tuple(spark.read.parquet(folder).agg(last.alias("x")).select("x.*").first())
     except AnalysisException:
         return None

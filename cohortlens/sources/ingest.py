@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 from ..functions import text
+from ..operators.facts import enrich
 from ..operators.labels import insert_or_ignore
+from . import files
 
 
 def jdbc(spark: SparkSession, url: str, table: str, *, key: str, bounds: tuple[int, int], partitions: int = 64, fetch: int = 5000, **options: str) -> DataFrame:
@@ -39,6 +42,31 @@ def with_new_students(known: DataFrame, students: DataFrame, key: bytes) -> Data
     return insert_or_ignore(known, first, ["pseudonym"])
 
 
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A table that may not be there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def ingest(spark: SparkSession, store: str, students: DataFrame, history: DataFrame, key: bytes) -> int:
+    """One weekly run into the folder `store`: students first seen, messages above the watermark, by week, and the time
+    of the run, also if nothing is new. Returns the number of new messages.
+
+    The watermark is the largest id in the store, so a run that fails between two writes is made good by the next.
+    """
+    known = stored(spark, f"{store}/students", "pseudonym string, registered_at timestamp_ntz")
+    new_students(students, key).groupBy("pseudonym").agg(F.min("registered_at").alias("registered_at")).join(known, "pseudonym", "left_anti").write.mode("append").parquet(f"{store}/students")
+    had = stored(spark, f"{store}/messages", "history_id long, pseudonym string, session_started long, created_at timestamp_ntz, week string")
+    above = watermark(had)
+    rows = enrich(new_messages(history, students, above, key)).select("history_id", "pseudonym", "session_started", "created_at", "week")
+    rows.repartition("week", F.pmod("history_id", F.lit(16))).write.mode("append").partitionBy("week").parquet(f"{store}/messages")
+    now = spark.read.schema(had.schema).parquet(f"{store}/messages").filter(F.col("history_id") > above).agg(F.count(F.lit(1)), F.max("history_id")).first()
+    files.write_watermark(spark, f"{store}/watermark", now[1] or above)
+    return now[0]
+
+
 def check_key(stored: str | None, key: bytes, *, adopt: bool = True) -> str:
     """The fingerprint to store; another key than before raises, and erasure never adopts one."""
     own = text.fingerprint(key)

@@ -3,16 +3,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.facts import enrich
+from ..sources.ingest import new_messages, stored
 
+HISTORY = "id long, student_id long, started long, created_at timestamp_ntz"
+MESSAGES = "history_id long, pseudonym string, session_started long, created_at timestamp_ntz, batch long, week string"
 
-def ingest_available(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Files of new messages in `source` are enriched and appended to `target`, partitioned by week, exactly once."""
-    stream = spark.readStream.schema(schema).parquet(source)
 
-    def append(batch: DataFrame, _: int) -> None:
-        enrich(batch).write.mode("append").partitionBy("week").parquet(target)
+def ingest_available(spark: SparkSession, source: str, students: DataFrame, key: bytes, target: str, checkpoint: str) -> StreamingQuery:
+    """Files of history rows in `source` become pseudonymised messages in `target`, partitioned by batch and week.
 
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    A batch replaces its own partitions, so one that is repeated after a failure is not written twice; ids that another
+    batch has written, or that come twice in one, are left out.
+    """
+    stream = spark.readStream.schema(HISTORY).parquet(source)
+
+    def write(batch: DataFrame, number: int) -> None:
+        others = stored(spark, target, MESSAGES).filter(F.col("batch") != number).select("history_id")
+        rows = enrich(new_messages(batch.dropDuplicates(["id"]), students, -1, key)).join(others, "history_id", "left_anti").withColumn("batch", F.lit(number).cast("long"))
+        rows.select("history_id", "pseudonym", "session_started", "created_at", "batch", "week").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "week").parquet(target)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,6 +1,7 @@
 """Training-data operators. Nothing outside this folder imports it.
 
-Functions that run in Python workers are pickled by value, so executors need no copy of this package.
+Functions that run in Python workers are pickled by value. Broadcast models are pickled by reference, so a cluster's
+executors need this package too, as with any library (spark.submit.pyFiles).
 """
 
 import sys

@@ -18,7 +18,7 @@ indexes all of its rows and answers all queries, a bounded group of them at a ti
 blocks are merged.
 
 Edge cases: vectors that are null, empty, zero, of another length than most, or hold null or non-finite components take
-no part. Ties go to the smaller id. Rows of equal ids but the query's own are candidates of their own; of query rows of
+no part, nor do rows of a null id. Ties go to the smaller id. Rows of equal ids but the query's own are candidates of their own; of query rows of
 equal ids the one of the smallest vector asks. An empty table
 gives an empty result; other columns are ignored.
 """
@@ -163,7 +163,7 @@ def fit(rows: DataFrame, dims: int, longest: float, near: int, total: int, *, sa
 
 def nearest(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, **options) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, by largest inner product."""
-    rows = vectors.filter(valid(vector_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
+    rows = vectors.filter(valid(vector_col) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("asks"))
     shape = rows.groupBy(F.size("v").alias("dims")).agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("longest"), F.count_if("asks").alias("asked")).orderBy(F.desc("n"), "dims").first()
     result = "query_id long, vec_id long, score double"
     if shape is None:

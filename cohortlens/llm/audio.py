@@ -129,6 +129,23 @@ def tensors(mels: np.ndarray) -> pa.ExtensionArray:
     return pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(full.ravel(), BLOCK * MELS))
 
 
+def stored_tensors(mels: np.ndarray) -> bytes:
+    """An Arrow stream of one record a block: the fixed-shape tensor and the time span that it covers."""
+    blocks = tensors(mels)
+    begin = np.arange(len(blocks)) * BLOCK
+    batch = pa.RecordBatch.from_arrays([pa.array([millis(int(i)) for i in begin], pa.int64()), pa.array([millis(int(i)) for i in np.minimum(begin + BLOCK, len(mels))], pa.int64()), blocks], names=["start_ms", "end_ms", "tensor"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def read_tensors(stored: bytes) -> pa.Table:
+    """(start_ms, end_ms, tensor) of `stored_tensors`, with the tensor type."""
+    with pa.ipc.open_stream(stored) as r:
+        return r.read_all()
+
+
 def _rows(batches: Iterator[pa.RecordBatch], with_tensors: bool) -> Iterator[pa.RecordBatch]:
     """Rows leave in small batches, since a text's tensors are larger than the text."""
     for batch in batches:
@@ -152,20 +169,20 @@ def _rows(batches: Iterator[pa.RecordBatch], with_tensors: bool) -> Iterator[pa.
                 if with_tensors:
                     out["spans"].append([{"start_ms": millis(a), "end_ms": millis(b)} for a, b in spans])
                     out["media"].append(stored)
-                    out["blocks"].append([{"start_ms": millis(i * BLOCK), "end_ms": millis(min((i + 1) * BLOCK, len(mels))), "tensor": block} for i, block in enumerate(tensors(mels).storage.to_pylist())])
+                    out["blocks"].append(stored_tensors(mels))
             made = {"id": part.column(0)} | {k: pa.array(v, _TYPES.get(k)) for k, v in out.items() if with_tensors or k not in ("spans", "media", "blocks")}
             yield pa.RecordBatch.from_pydict(made)
 
 
 _SPAN = [("start_ms", pa.int64()), ("end_ms", pa.int64())]
-_TYPES = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(), "spans": pa.list_(pa.struct(_SPAN)), "blocks": pa.list_(pa.struct([*_SPAN, ("tensor", pa.list_(pa.float32()))]))}
+_TYPES = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(), "spans": pa.list_(pa.struct(_SPAN)), "blocks": pa.binary()}
 _DIGEST = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-_FULL = _DIGEST + ", spans array<struct<start_ms: long, end_ms: long>>, media binary, blocks array<struct<start_ms: long, end_ms: long, tensor: array<float>>>"
+_FULL = _DIGEST + ", spans array<struct<start_ms: long, end_ms: long>>, media binary, blocks binary"
 
 
 def audio_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_tensors: bool = True) -> DataFrame:
     """One row a document: digests of the payload and the stored WAV, a feature summary and, if asked for, the WAV,
-    the active spans and the log-mel blocks (each of BLOCK x MELS floats, as `tensors` stores them, with its span).
+    the active spans and the log-mel blocks (`stored_tensors`: fixed-shape tensors of BLOCK x MELS floats with their spans).
     No shuffle: every text is worked on where it is read."""
     kind = dict(docs.dtypes)[id_col]
     schema = f"id {kind}, {_FULL if with_tensors else _DIGEST}"

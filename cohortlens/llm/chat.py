@@ -10,7 +10,8 @@ rendered text; a very long conversation is thus spread over many tasks, and its
 
 Edge cases: turns are ordered by number (null first), then role, then text; a null or unknown role may take any role
 at UNKNOWN's cost; a null text is empty. Of equally cheap repairs, a turn of its own beats a merge and the earlier role
-in ROLES wins. Repeated rows are turns of their own. An empty table gives an empty result; other columns are ignored.
+in ROLES wins. Repeated rows are turns of their own. A null conversation id is a conversation of its own. An empty table
+gives an empty result; other columns are ignored. The key of the result is (conversation, part), in the order of part.
 """
 
 from __future__ import annotations
@@ -198,12 +199,12 @@ def _rendered(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv, part, turns, roles, merges, relabels, inserts, rendered), a row for each part of a conversation."""
-    kind = dict(turns.dtypes)[conv_col]
-    rows = turns.select(F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / PART).alias("part"))
+    kind = "string"  # numbers would become doubles beside a null
+    rows = turns.select(F.col(conv_col).cast("string").alias("conv"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"), F.floor(F.coalesce(F.col(turn_col), F.lit(0)) / PART).alias("part"))
     key = ["conv", "part"]
     costs = rows.select(*key, "turn", "role").repartition(*key).sortWithinPartitions(*key, "turn", "role").mapInPandas(_transfers, f"conv {kind}, part long, costs array<long>")
     parts = costs.groupBy("conv").agg(F.sort_array(F.collect_list(F.struct("part", "costs"))).alias("parts"))
     ways = parts.mapInPandas(_chains, f"conv {kind}, part long, entry int, leave int, last boolean")
     joined = rows.alias("r").join(ways.alias("w"), F.col("r.conv").eqNullSafe(F.col("w.conv")) & (F.col("r.part") == F.col("w.part"))).select("r.*", "entry", "leave", "last")
     done = joined.repartition(*key).sortWithinPartitions(*key, "turn", "role", "text").mapInPandas(_rendered, f"conv {kind}, part long, turns long, roles string, merges long, relabels long, inserts long, rendered string")
-    return done.withColumnRenamed("conv", conv_col)
+    return done.withColumn("conv", F.col("conv").cast(turns.schema[conv_col].dataType)).withColumnRenamed("conv", conv_col)

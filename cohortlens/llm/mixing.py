@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 BROADCAST_SOURCES = 20_000
 #: A period has this many slots at least; as many as this are broadcast.
 LEAST_SLOTS, BROADCAST_SLOTS = 1000, 200_000
+#: A fixed odd number (2 ** 32 over the golden ratio).
+SPREAD = 2_654_435_761
 #: Steps of one period's fold at most.
 MOST_STEPS = 200_000_000
 
@@ -74,14 +76,18 @@ def period(weights: DataFrame, slots: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = 32, slots: int | None = None, chunks: int = 1024) -> DataFrame:
-    """All rows and columns of `docs`, and a struct column `mix` with block, slot and place; order by slot, place.
+    """All rows and columns of `docs`, and a struct column `mix` (which replaces one of that name) with block, slot and
+    place; order by slot, place.
 
     `weights` has name and weight (as `proportional_weights` gives them). A source's rows are numbered chunk by chunk
-    (chunk: id modulo `chunks`), so a hot source is numbered by many tasks. Without `slots` they are as many as
+    (a hash of the id, modulo `chunks`), so a hot source is numbered by many tasks. Without `slots` they are as many as
     `fine_slots` finds.
     """
     weights = proportional_weights(docs, source_col=source_col) if weights is None else weights
-    rows = docs.withColumns({"__name": _name(source_col), "__chunk": F.coalesce(F.pmod(F.col(id_col), F.lit(chunks)), F.lit(0)).cast("int")})
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
+    # the upper bits of a product, so that ids in steps of any size are spread
+    spread = F.floor(F.pmod(F.col(id_col).cast("long"), F.lit(1 << 31)) * F.lit(SPREAD) / F.lit(1 << 22)) if whole else F.xxhash64(id_col)
+    rows = docs.withColumns({"__name": _name(source_col), "__chunk": F.coalesce(F.pmod(spread, F.lit(chunks)), F.lit(0)).cast("int")})
     counts = rows.groupBy("__name", "__chunk").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("__name").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("__name", "__chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
@@ -91,12 +97,12 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, id_col: str = "doc
     if slots is None:
         slots = fine_slots(weights, counts.groupBy(F.col("__name").alias("name")).agg(F.ceil(F.sum("n") / block).alias("blocks")))
     plan = period(weights, slots)
-    sizes = plan.select(F.col("name").alias("__name"), "parts", "period").distinct()
+    sizes = plan.select(F.col("name").alias("__name"), F.col("parts").alias("__parts"), F.col("period").alias("__period")).distinct()
     small = weights.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else lambda d: d
-    numbered = numbered.join(hint(sizes), "__name").withColumn("__in_period", F.pmod(F.col("__block"), F.col("parts")).cast("int"))
+    numbered = numbered.join(hint(sizes), "__name").withColumn("__in_period", F.pmod(F.col("__block"), F.col("__parts")).cast("int"))
     few = hint if slots <= BROADCAST_SLOTS else lambda d: d
     out = numbered.join(few(plan.select(F.col("name").alias("__name"), F.col("nth").alias("__in_period"), F.col("at").alias("__at"))), ["__name", "__in_period"])
-    slot = F.floor(F.col("__block") / F.col("parts")) * F.col("period") + F.col("__at")
+    slot = F.floor(F.col("__block") / F.col("__parts")) * F.col("__period") + F.col("__at")
     made = F.struct(F.col("__block").alias("block"), slot.alias("slot"), F.pmod(F.col("__nth"), F.lit(block)).cast("long").alias("place"))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], made.alias("mix"))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], made.alias("mix"))

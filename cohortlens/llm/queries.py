@@ -19,7 +19,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.audio_features(table(spark, sf_dir, "documents"), with_tensors=False)
+    made = audio.audio_features(table(spark, sf_dir, "documents"))
+    return made.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature", F.size("spans").alias("n_spans"), F.octet_length("blocks").alias("block_bytes"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +104,7 @@ edf(t, done, pick) AS (
         SELECT t + 1 AS t, done, list_min(list_transform(ps, lambda x, i: CASE WHEN done[i] * q // x <= t + 1 THEN (((done[i] + 1) * q + x - 1) // x) * 100000 + i END)) % 100000 AS pick
         FROM edf, one WHERE t + 1 < q)),
 slots AS (SELECT pick AS i, t AS at, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS nth FROM edf WHERE t >= 0),
-rows AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id % 1024, doc_id) - 1 AS k FROM documents)
+rows AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY (doc_id % 2147483648) * 2654435761 // 4194304 % 1024, doc_id) - 1 AS k FROM documents)
 SELECT r.doc_id, r.source, r.k // 32 AS block, CAST(r.k // 32 // parts.p * one.q + slots.at AS BIGINT) AS slot, r.k % 32 AS place
 FROM rows r JOIN parts USING (source) CROSS JOIN one JOIN slots ON slots.i = parts.i AND slots.nth = r.k // 32 % parts.p
 """

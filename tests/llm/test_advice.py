@@ -33,7 +33,7 @@ def test_nearest_where_density_is_uneven(spark):
     x = np.vstack([near, rng.standard_normal((200, 32))])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
-    rows += [rows[0], rows[1980]]
+    rows += [rows[0], rows[1980], (None, rows[5][1])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.nearest(df, F.col("vec_id") % 20 == 0, k=10).collect()
     hit, asked = 0, range(0, 2000, 20)

@@ -320,7 +320,9 @@ def test_url_filters(spark):
 
 def test_mix_stays_within_a_block(spark):
     rows = [(i, ("a", "b", "c", "d", None)[min(4, i % 11 // 2)]) for i in range(1500)]
-    df = spark.createDataFrame(rows, "doc_id long, source string").withColumn("block", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, source string").withColumns({c: F.lit("clash") for c in ("block", "parts", "period", "mix")})
+    texts = mixing.mix(df.select(F.col("doc_id").cast("string").alias("doc_id"), "source"), block=8, slots=50).select("doc_id", "mix.slot").collect()
+    assert len({r["doc_id"] for r in texts}) == 1500
     got = mixing.mix(df, block=8, slots=50).select("doc_id", "source", "mix.*").collect()
     assert sorted(r["doc_id"] for r in got) == list(range(1500))
     weight = {r["name"]: r["parts"] / r["period"] for r in mixing.period(mixing.proportional_weights(df), 50).collect()}
@@ -376,6 +378,10 @@ def test_chat_repair(spark):
         assert total == cheapest(c)
         plain = sum(r["inserts"] for r in parts) * chat.INSERT + sum(r["merges"] for r in parts) * chat.MERGE
         assert plain <= total
+    big = [((1 << 60) + 1, 0, "user", "a"), (None, 0, "user", "b"), (None, None, None, None), ((1 << 60) + 1, 0, "user", "a")]
+    odd = spark.createDataFrame([(*r, "clash") for r in big], "conv_id long, turn long, role string, text string, part string").coalesce(1)
+    got = {r["conv_id"]: (r["turns"], r["rendered"].count("a\n\na")) for r in chat.format_chats(odd).collect()}
+    assert got == {(1 << 60) + 1: (2, 1), None: (2, 0)}
     assert chat.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -387,7 +393,13 @@ def test_audio(spark, docs):
         payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
         assert audio.from_wav(bytes(r["media"])) == payload and r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
         assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["n_bytes"] == len(raw) and r["media_bytes"] == len(r["media"])
-        assert all(len(b["tensor"]) == audio.BLOCK * audio.MELS for b in r["blocks"]) and len(r["blocks"]) >= 1
+        blocks = audio.read_tensors(bytes(r["blocks"]))
+        assert blocks.schema.field("tensor").type.shape == [audio.BLOCK, audio.MELS] and blocks.num_rows >= 1
+        mels, spans = audio.features(payload)
+        stored = blocks.column("tensor").combine_chunks().to_numpy_ndarray().reshape(-1, audio.MELS)
+        assert np.array_equal(stored[: len(mels)], mels) and (stored[len(mels) :] == audio.FLOOR_DB).all()
+        assert [(x["start_ms"], x["end_ms"]) for x in r["spans"]] == [(audio.millis(a), audio.millis(b)) for a, b in spans]
+        assert blocks.column("start_ms")[0].as_py() == 0 and blocks.column("end_ms")[-1].as_py() == audio.millis(len(mels))
     assert audio.audio_features(empty(spark)).count() == 0
 
 

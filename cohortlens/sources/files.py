@@ -79,13 +79,11 @@ def join_check(messages: DataFrame, coded: DataFrame) -> DataFrame:
 
 
 def import_coded(messages: DataFrame, coded: DataFrame, categories: list[str]) -> DataFrame:
-    """Label rows of a coded file; refused if a session start differs from the corpus or a value is not 0 or 1."""
+    """Label rows of a coded file; refused if a session start differs from the corpus. A value that is neither 0 nor 1
+    raises when the rows are read."""
     if n := join_check(messages, coded).count():
         raise ValueError(f"{n} rows have another session start than the corpus")
-    rows = unpivot_coded(coded, categories)
-    if bad := rows.filter("value is null or value not in (0, 1)").limit(3).collect():
-        raise ValueError("values that are not 0 or 1: " + ", ".join(f"{r['history_id']} {r['code']}" for r in bad))
-    return rows
+    return unpivot_coded(coded, categories)
 
 
 def read_enrolled(spark: SparkSession, path: str) -> DataFrame:

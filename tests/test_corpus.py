@@ -137,9 +137,11 @@ def test_planted_shift_is_found(spark, tmp_path, monkeypatch):
     through = dt.date(2026, 6, 28)
     document.publish(v, str(tmp_path / "out"), "v1", 3, through)
     assert files.read_latest(spark, str(tmp_path / "out")).count() == v.win.count()
-    # the same document with a finding of a user count below the floor is refused, and v1 stays the latest
-    with pytest.raises(ValueError, match="floor_respected"):
-        document.publish(v, str(tmp_path / "out"), "v2", 3000, through)
+    # a document that does not end with that Sunday is refused, and v1 stays the latest
+    tables = {name: spark.read.parquet(str(tmp_path / "out" / "sections" / "v1" / name)) for name in document.build(v, 3)}
+    late = document.rules(tables, v, 3, through + dt.timedelta(days=7))
+    with pytest.raises(ValueError, match="coverage_ordered"):
+        files.publish(tables["windows"], str(tmp_path / "out"), "v2", late)
     assert files.read_latest(spark, str(tmp_path / "out")).count() == v.win.count()
 
 
@@ -215,15 +217,18 @@ def test_coded_import(spark):
     assert got == {(1, "good_one"): (1, "consensus"), (2, "good_one"): (0, "single_coder")}
     with pytest.raises(ValueError, match="session start"):
         files.import_coded(c.messages, coded(4, 1), ["Good One"])
-    with pytest.raises(ValueError, match="0 or 1"):
-        files.import_coded(c.messages, coded(5, 2), ["Good One"])
+    with pytest.raises(Exception, match="neither 0 nor 1"):
+        files.import_coded(c.messages, coded(5, 2), ["Good One"]).collect()
 
 
 def test_theme_sets(spark):
-    codes = spark.createDataFrame([("a", "A code", "r1"), ("b", "B code", "r1")], "code string, description string, run_id string")
-    assert labels.theme_faults(codes.select("code", "description")).filter("n > 0").count() == 0
+    codes = spark.createDataFrame([("a", "A code"), ("b", "B code"), ("c", "C code")], "code string, description string")
+    assert labels.theme_faults(codes).count() == 0 and {r["rule"] for r in labels.theme_faults(codes.limit(2)).collect()} == {"rows"}
+    none = spark.createDataFrame([], "set_version string, code string, description string, reviewed_at timestamp")
+    sets = labels.freeze(labels.freeze(none, codes, "s1"), codes.withColumn("description", F.lit("other")), "s2")
+    with pytest.raises(ValueError, match="exists"):
+        labels.freeze(sets, codes, "s1")
     cells = spark.createDataFrame([("a", 1), ("z", 2)], "code string, value int")
-    sets = codes.select("code", "description", F.lit("s1").alias("set_version")).unionByName(codes.select("code", F.lit("other").alias("description"), F.lit("s2").alias("set_version")))
     assert {r["code"]: r["description"] for r in sections.describe_codes(cells, sets, "s1").collect()} == {"a": "A code", "z": None}
 
 

@@ -40,8 +40,8 @@ def test_erfc(spark):
 
 @pytest.mark.parametrize(("v", "p", "want"), [([1, 2, 3, 4], 0.25, 1.5), ([1, 2, 3, 4], 0.5, 2.5), ([1, 2, 3], 0.5, 2), ([5], 0.75, 5)])
 def test_quantile_type2(spark, v, p, want):
-    df = spark.createDataFrame([(float(x),) for x in v], "x double")
-    assert df.agg(stats.quantile_type2("x", p)).first()[0] == want
+    df = spark.createDataFrame([("k", float(x)) for x in v], "k string, x double")
+    assert stats.quantiles_type2(df, ["k"], "x", {"q": p}).first()["q"] == want
 
 
 def test_benjamini_hochberg(spark):

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, audio, chat, langid, lm, mixing, pieces, simhash, toxicity, urls
+from . import ann, audio, chat, langid, lm, mixing, pieces, prefix_trie, secret_scan, simhash, suffix_runs, toxicity, urls
 from .common import durable_table, id_remainder, table
 
 
@@ -65,6 +65,43 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(table(spark, sf_dir, "conversations"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of `documents`, of which a tenth (by the id's crc32) is made periodic from some word on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).alias("g"), F.coalesce(h % 10 == 0, F.lit(False)).alias("planted"))
+    docs = docs.withColumn("w", F.when(F.col("planted"), suffix_runs.words_of(F.col("text"))))
+    n = F.size("w")
+    docs = docs.withColumn("a", F.when(n > 0, F.col("g") % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8)))
+    periodic = F.expr("array_join(transform(w, (x, i) -> if(i < a, x, w[cast(a + (i - a) % p as int)])), ' ')")
+    made = suffix_runs.periodic_runs(docs.select("doc_id", F.when(F.col("p").isNotNull(), periodic).otherwise(F.col("text")).alias("text")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("short"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    made = made.withColumn("best", best).withColumn("length", -F.col("best.short"))
+    exponent = F.floor(1000 * F.col("length") / F.col("best.period"))
+    return made.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "length", "best.period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of `conversations`, each rebuilt to begin like the first of its hundred."""
+    keys = durable_table(prefix_trie.turn_keys(table(spark, sf_dir, "conversations")))
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6
+    heads = keys.filter((F.col("conv_id") % 100 == 0) & (F.col("pos") <= 5)).groupBy(F.col("conv_id").alias("base")).agg(F.sort_array(F.collect_list(F.struct("pos", "k1", "k2", "chars"))).alias("head"))
+    convs = keys.filter("pos = 1").select("conv_id", (F.col("conv_id") - F.col("conv_id") % 100).alias("base"), h.alias("h"))
+    convs = durable_table(convs.join(heads, "base", "left").select("conv_id", F.slice(F.coalesce("head", F.array().cast("array<struct<pos:bigint,k1:bigint,k2:bigint,chars:bigint>>")), F.lit(1), F.col("h").cast("int")).alias("head")))
+    own = keys.filter(F.col("pos") > h).join(convs.select("conv_id", F.size("head").alias("m")), "conv_id").select("conv_id", (F.col("pos") - h + F.col("m")).alias("pos"), "k1", "k2", "chars")
+    none = F.lit(None).cast("long")
+    rebuilt = own.unionByName(convs.select("conv_id", F.explode("head").alias("t")).select("conv_id", "t.*")).unionByName(convs.select("conv_id", F.lit(0).cast("long").alias("pos"), none.alias("k1"), none.alias("k2"), none.alias("chars")))
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    kinds = [r.kind for r in secret_scan.BASE]
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    return found.select("doc_id", *n, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_source_mix": op2_source_mix,
@@ -76,6 +113,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_chat_format": op9_chat_format,
     "op10_audio_features": op10_audio_features,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_secret_scan": op13_secret_scan,
 }
 _URL = """
 WITH parsed AS (

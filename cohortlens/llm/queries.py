@@ -98,8 +98,11 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secret_scan.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
-    n = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
-    return found.select("doc_id", *n, F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
+
+    def number(kind: str) -> F.Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(number, kinds), F.sha2(secret_scan.joined(base), 256).alias("base_sha256"), secret_scan.joined(F.col("spans")).alias("spans"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -149,4 +152,64 @@ SELECT r.doc_id, r.source, r.k // 32 AS block, CAST(r.k // 32 // parts.p * one.q
 FROM rows r JOIN parts USING (source) CROSS JOIN one JOIN slots ON slots.i = parts.i AND slots.nth = r.k // 32 % parts.p
 """
 
-ORACLES: dict[str, str] = {"op2_source_mix": _MIX, "op5_url_filters": _URL}
+
+def _crc32(text: str) -> str:
+    """CRC-32 of ASCII text: -1 stands for one shift of the register, other numbers are bytes."""
+    bits = f"list_concat([4294967295], flatten(list_transform(string_split({text}, ''), lambda c: [CAST(ord(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({bits}, lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295)"
+
+
+_RUNS = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, {_crc32("CAST(doc_id AS VARCHAR)")} AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS own FROM documents),
+shape AS (SELECT *, len(own) AS n, h % 10 = 0 AND len(own) > 0 AS planted, h // 10 AS g FROM docs),
+cuts AS (SELECT *, CASE WHEN planted THEN g % n END AS a FROM shape),
+texts AS (SELECT rid, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: own[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) ELSE own END AS w FROM cuts),
+words AS (SELECT rid, unnest(range(n)) AS i, unnest(w) AS w FROM texts),
+same AS (SELECT x.rid, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.rid = y.rid AND x.w = y.w AND x.i < y.i),
+isles AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS isle FROM same),
+stretches AS (SELECT rid, q, min(i) AS s, count(*) + q AS len FROM isles GROUP BY rid, q, isle HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS (SELECT * FROM stretches a WHERE NOT EXISTS (SELECT 1 FROM stretches b WHERE b.rid = a.rid AND b.q < a.q AND b.s <= a.s AND b.s + b.len >= a.s + a.len)),
+listed AS (SELECT rid, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed, arg_min([s, len, q], [-len, s, q]) AS best FROM runs GROUP BY rid),
+dropped AS (SELECT DISTINCT rid, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS kept FROM words ANTI JOIN dropped USING (rid, i) GROUP BY rid)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best[1] AS start, best[2] AS length, best[3] AS period, 1000 * best[2] // best[3] AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM texts LEFT JOIN listed USING (rid) LEFT JOIN kept USING (rid)
+"""
+
+_TRIE = f"""
+WITH turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS t FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(t ORDER BY pos) AS own, {_crc32("CAST(conv_id AS VARCHAR)")} % 6 AS h FROM turns GROUP BY conv_id),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:]) AS t FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (SELECT conv_id, unnest(range(len(t) + 1)) AS d, t FROM rebuilt),
+nodes AS (SELECT t[1:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n, bool_and(len(t) = d) AS leaf, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(t) = d), '') AS ends FROM prefixes GROUP BY ALL),
+below AS (SELECT u.p, count(*) FILTER (v.d = u.d + 1) AS n_children, count(*) FILTER (v.leaf) AS n_leaves, sum(CASE WHEN v.d > 0 THEN (v.n - 1) * length(v.p[v.d].text) ELSE 0 END) AS saved FROM nodes u JOIN nodes v ON v.d >= u.d AND v.p[1:u.d] = u.p GROUP BY u.p)
+SELECT u.conv_id, u.d AS depth, o.conv_id AS parent_conv_id, u.n AS n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(u.ends) AS ends_sha256
+FROM nodes u JOIN below USING (p) LEFT JOIN nodes o ON o.d = u.d - 1 AND o.p = u.p[1:u.d - 1]
+"""
+
+
+def _either_case(words: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in words)
+
+
+def _spans_sql() -> str:
+    """Where the matches of each rule lie: between the pieces that splitting by the same pattern leaves."""
+    rules = [  # kind, pattern with the part whose characters count as its group, how many of them
+        ("assign", "(?:" + _either_case("password|passwd|secret|token|api_?key") + """)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 12),
+        ("access", "(AKIA[A-Z0-9]+)", 18), ("hex", "([0-9a-f]{16,})", 16), ("pem", "(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1),
+        ("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.([A-Za-z0-9_-]+)", 8), ("git", "gh[opsu]_([A-Za-z0-9]+)", 36), ("chat", "xox[abprs]-([0-9A-Za-z-]+)", 10),
+    ]
+    one = """SELECT rid, {k} AS k, '{kind}' AS kind, list_sum(list_transform(range(1, i + 1), lambda j: length(cut[j]))) + coalesce(list_sum(list_transform(range(1, i), lambda j: length(hit[j]))), 0) AS s, s + length(hit[i]) AS e
+    FROM (SELECT rid, regexp_split_to_array(text, '{p}') AS cut, regexp_extract_all(text, '{p}', 0) AS hit, regexp_extract_all(text, '{p}', 1) AS part, unnest(range(1, len(hit) + 1)) AS i FROM docs) WHERE length(part[i]) >= {n}"""
+    return " UNION ALL ".join(one.format(k=k, kind=kind, p=p, n=n) for k, (kind, p, n) in enumerate(rules))
+
+
+_SECRETS = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({_spans_sql()}),
+whole AS (SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+                 coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) FILTER (k < 3), '') AS base, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, k) AS spans FROM spans GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs LEFT JOIN whole USING (rid)
+"""
+
+ORACLES: dict[str, str] = {"op2_source_mix": _MIX, "op5_url_filters": _URL, "op11_periodic_runs": _RUNS, "op12_prefix_trie": _TRIE, "op13_secret_scan": _SECRETS}

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .common import sample_rate, unit_hash
 from .lattice import DEFAULT_VOCABULARY, MARK, Matcher, read_vocabulary, smoothed
 
-#: Words of a batch are scored together, so many at a time.
-CHUNK = 20_000
+#: Words that are scored together, and rows that share a list of words; both bound a worker's memory.
+CHUNK, ROWS = 8_000, 1_000
 
 
 @dataclass(frozen=True)
@@ -96,8 +96,8 @@ def fit(docs: DataFrame, trains: Column, *, text_col: str = "text", lang_col: st
 def _predict(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     m: LanguageModel = model.value
     for whole in batches:
-        for at in range(0, whole.num_rows, 2500):
-            batch = whole.slice(at, 2500)
+        for at in range(0, whole.num_rows, ROWS):
+            batch = whole.slice(at, ROWS)
             index: dict[bytes, int] = defaultdict(itertools.count().__next__)
             ids: list[np.ndarray | None] = []
             for text in batch.column(1):

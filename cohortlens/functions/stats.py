@@ -55,9 +55,10 @@ def cumulative(ties: DataFrame, keys: list[str], value: str) -> DataFrame:
     return b.withColumn("__in", inside).join(first, [*keys, "__b"]).withColumn("up_to", F.col("__in") + F.col("__first")).drop("__b", "__in", "__first")
 
 
-def quantiles_type2(df: DataFrame, keys: list[str], value: str, ps: dict[str, float]) -> DataFrame:
-    """(keys, a column for each p): the mean of the order statistics ceil(np) and floor(np + 1), from a histogram."""
-    ties = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("ties"))
+def quantiles_type2(df: DataFrame, keys: list[str], value: str, ps: dict[str, float], n: str | None = None) -> DataFrame:
+    """(keys, a column for each p): the mean of the order statistics ceil(np) and floor(np + 1), from a histogram. A row
+    counts once, or as often as its column `n` says."""
+    ties = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(n or F.lit(1)).alias("ties"))
     ranked = cumulative(ties, keys, value).join(ties.groupBy(*keys).agg(F.sum("ties").alias("__n")), keys)
     at = lambda rank: F.min(F.when(F.col("up_to") >= rank, F.col(value)))
     n = F.col("__n")
@@ -70,18 +71,18 @@ def midranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return cumulative(ties, keys, value).withColumn("midrank", F.col("up_to") - (F.col("ties") - 1) / 2).drop("up_to")
 
 
-def mann_whitney(df: DataFrame, keys: list[str], side: str, value: str) -> DataFrame:
+def mann_whitney(df: DataFrame, keys: list[str], side: str, value: str, n: str | None = None) -> DataFrame:
     """(keys, n1, n2, u, z, effect) for side 1 against side 2: normal approximation with tie and continuity correction,
-    rank-biserial effect; z is 0 without variance."""
-    one = F.col(side) == 1
-    by = df.groupBy(*keys, value).agg(F.count_if(one).alias("c1"), F.count_if(~one).alias("c2")).withColumn("ties", F.col("c1") + F.col("c2"))
+    rank-biserial effect; z is 0 without variance. A row counts once, or as often as its column `n` says."""
+    one, times = F.col(side) == 1, F.col(n) if n else F.lit(1)
+    by = df.groupBy(*keys, value).agg(F.sum(F.when(one, times).otherwise(0)).alias("c1"), F.sum(F.when(~one, times).otherwise(0)).alias("c2")).withColumn("ties", F.col("c1") + F.col("c2"))
     t = F.col("ties").cast("double")
     rank = F.col("up_to") - (F.col("ties") - 1) / 2
     sums = cumulative(by, keys, value).groupBy(*keys).agg(F.sum("c1").cast("double").alias("n1"), F.sum("c2").cast("double").alias("n2"), F.sum(F.col("c1") * rank).alias("r1"), F.sum(t * t * t - t).alias("tied"))
     n1, n2 = F.col("n1"), F.col("n2")
-    n = n1 + n2
+    both = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    var = n1 * n2 / 12 * (n + 1 - F.col("tied") / (n * (n - 1)))
+    var = n1 * n2 / 12 * (both + 1 - F.col("tied") / (both * (both - 1)))
     d = u - n1 * n2 / 2
     z = F.when(var > 0, F.signum(d) * F.greatest(F.abs(d) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(0.0)
     return sums.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"), (2 * u / (n1 * n2) - 1).alias("effect"))

@@ -29,11 +29,15 @@ class Corpus:
 @dataclass(frozen=True)
 class View:
     """`rows` are the enriched messages and `msg` the same with their level; `language` has (history_id, lang). Each
-    section takes the narrowest that it needs, as every further column is a join of all messages."""
+    section takes the narrowest that it needs, as every further column is a join of all messages.
+
+    A row stands for `n` messages between `lo` and `hi`: one in a view over messages, more in a view over stored grains
+    (`sources.grains`), whose rows have `lang` already and whose `topic` has (monday, pseudonym, level, domain, code, n).
+    """
 
     rows: DataFrame
     msg: DataFrame
-    language: DataFrame
+    language: DataFrame | None
     sess: DataFrame
     reg: DataFrame
     first_seen: DataFrame
@@ -41,6 +45,7 @@ class View:
     axis: DataFrame
     win: DataFrame
     win_week: DataFrame
+    topic: DataFrame | None = None
 
 
 def level_at(status: Column, ma_start: Column, day: Column) -> Column:
@@ -74,15 +79,27 @@ def languages(labels: DataFrame, version: str) -> DataFrame:
 
 def spoken(messages: DataFrame, v: View) -> DataFrame:
     """Messages with `lang`; those without a label stay."""
+    if v.language is None:
+        return messages
     return messages.join(v.language, "history_id", "left").withColumn("lang", F.coalesce("lang", F.lit("undetermined")))
 
 
+def positive_labels(labels: DataFrame, version: str) -> DataFrame:
+    """(history_id, domain, code) of one version, without languages."""
+    return labels.filter((F.col("value") == 1) & (F.col("label_version") == version) & (F.col("domain") != "language")).select("history_id", "domain", "code")
+
+
+def topic_rows(v: View) -> DataFrame:
+    """(monday, pseudonym, level, domain, code, n)"""
+    return v.msg.join(v.positives, "history_id").select("monday", "pseudonym", "level", "domain", "code", "n") if v.topic is None else v.topic
+
+
 def sessionize(msg: DataFrame) -> DataFrame:
     """By the client's key. A session belongs to the week and level of its first message and keeps its whole size."""
     start = F.min(F.struct("local", "history_id", "monday", "week", "level"))
     minutes = (F.unix_micros(F.max("local")) - F.unix_micros(F.min("local"))) / 60e6
     s = msg.groupBy("pseudonym", "session_started").agg(start.alias("s"), F.count(F.lit(1)).alias("n_messages"), minutes.alias("minutes"))
-    return s.select("pseudonym", "session_started", "s.monday", "s.week", "s.level", "n_messages", "minutes")
+    return s.select("pseudonym", "session_started", "s.monday", "s.week", "s.level", "n_messages", "minutes", F.lit(1).alias("n"))
 
 
 def through_monday(extracted: dt.date) -> dt.date:
@@ -145,24 +162,33 @@ def view(corpus: Corpus, *, extracted: dt.date, axis_start: dt.date | None = Non
     """
     through = through_monday(extracted)
     raw = enrich(corpus.messages)
-    seen = first_seen(raw)
-    inside = F.col("monday") <= F.lit(through)
-    if axis_start:
-        inside &= F.col("day") >= F.lit(axis_start)
-    rows = raw.filter(inside)
+    rows = raw.filter(_inside(through, axis_start)).withColumns({"n": F.lit(1), "lo": F.col("local"), "hi": F.col("local")})
     msg = with_level(rows, corpus.roster, F.to_date(cal.local(F.timestamp_millis("session_started"))))
+    return assemble(rows, msg, languages(corpus.labels, language_version), sessionize(msg), registrations(corpus, through, axis_start), first_seen(raw), positive_labels(corpus.labels, label_version), through)
+
+
+def _inside(through: dt.date, axis_start: dt.date | None) -> Column:
+    inside = F.col("monday") <= F.lit(through)
+    return inside & (F.col("day") >= F.lit(axis_start)) if axis_start else inside
+
+
+def registrations(corpus: Corpus, through: dt.date, axis_start: dt.date | None) -> DataFrame:
+    """(pseudonym, registered_at, day, monday, week, level, n) of the weeks of the axis."""
     reg = corpus.students.filter("registered_at is not null").withColumn("day", F.to_date(cal.local(F.col("registered_at"))))
-    reg = reg.withColumns({"monday": cal.monday(F.col("day")), "week": cal.week_id(F.col("day"))})
-    reg = with_level(reg.filter(inside), corpus.roster, F.col("day"))
-    positives = corpus.labels.filter((F.col("value") == 1) & (F.col("label_version") == label_version) & (F.col("domain") != "language")).select("history_id", "domain", "code")
-    axis = local_copy(week_axis(enrich(corpus.messages).filter(inside), through))
+    reg = reg.withColumns({"monday": cal.monday(F.col("day")), "week": cal.week_id(F.col("day")), "n": F.lit(1)})
+    return with_level(reg.filter(_inside(through, axis_start)), corpus.roster, F.col("day"))
+
+
+def assemble(rows: DataFrame, msg: DataFrame, language: DataFrame | None, sess: DataFrame, reg: DataFrame, seen: DataFrame, positives: DataFrame, through: dt.date, topic: DataFrame | None = None) -> View:
+    """A view with its calendar: the axis begins with the first week of `rows`."""
+    axis = local_copy(week_axis(rows, through))
     win, bridge = map(local_copy, windows(axis))
-    return View(rows, msg, languages(corpus.labels, language_version), sessionize(msg), reg, seen, positives, axis, win, bridge)
+    return View(rows, msg, language, sess, reg, seen, positives, axis, win, bridge, topic)
 
 
 def grain(rows: DataFrame, *dims: str) -> DataFrame:
     """(monday, dims, pseudonym, n): messages at user grain, before weeks are dealt out to windows and levels."""
-    return rows.groupBy("monday", *dims, "pseudonym").agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("monday", *dims, "pseudonym").agg(F.sum("n").alias("n"))
 
 
 def by_level(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import calendar as cal
 from ..functions import stats
 from ..functions.cells import SUPPRESSED, both_cells, count_cells, dense, floored, status, suppress_together
-from .facts import LANGUAGES, View, by_level, grain, in_windows, levels_present, spoken, values
+from .facts import LANGUAGES, View, by_level, grain, in_windows, levels_present, spoken, topic_rows, values
 
 #: Bins as (lo, hi), the last one open.
 SESSION_BINS = ((1, 1), (2, 3), (4, 7), (8, None))
@@ -26,7 +26,7 @@ def weekly_activity(v: View, floor: int) -> DataFrame:
     """(level, week, measure, status, value) for messages, sessions and active users, dense over axis and levels."""
     keys = ["level", "week"]
     sessions = count_cells(by_level(v.sess.select("level", "week", "pseudonym")), keys)
-    cells = both_cells(by_level(v.msg.select("level", "week", "pseudonym")), keys).unionByName(_measure(sessions, "sessions"))
+    cells = both_cells(by_level(v.msg.select("level", "week", "pseudonym", "n")), keys, n=F.col("n")).unionByName(_measure(sessions, "sessions"))
     scaffold = v.axis.select("week").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "measure", ("messages", "sessions", "active_users")))
     return floored(dense(cells, scaffold, [*keys, "measure"]), floor)
 
@@ -38,7 +38,7 @@ def weekly_registrations(v: View, floor: int) -> DataFrame:
 def weekly_language(v: View, floor: int) -> DataFrame:
     keys = ["level", "lang", "week"]
     scaffold = v.axis.select("week").crossJoin(levels_present(v)).crossJoin(values(v.msg.sparkSession, "lang", LANGUAGES))
-    return floored(dense(count_cells(by_level(spoken(v.msg, v).select(*keys, "pseudonym")), keys), scaffold, keys), floor)
+    return floored(dense(count_cells(by_level(spoken(v.msg, v).select(*keys, "pseudonym", "n")), keys, n=F.col("n")), scaffold, keys), floor)
 
 
 def activated(v: View) -> DataFrame:
@@ -78,8 +78,9 @@ def retention(v: View, floor: int) -> DataFrame:
 
 
 def day_grain(rows: DataFrame, *dims: str) -> DataFrame:
-    """(dims, pseudonym, day, lo, hi): each user's first and last time of a day, from rows with `local`."""
-    return rows.groupBy(*dims, "pseudonym", F.to_date("local").alias("day")).agg(F.min("local").alias("lo"), F.max("local").alias("hi"))
+    """(dims, pseudonym, day, lo, hi): each user's first and last time of a day, from rows with `lo` and `hi`, or `local`."""
+    lo, hi = ("lo", "hi") if "lo" in rows.columns else ("local", "local")
+    return rows.groupBy(*dims, "pseudonym", F.to_date(lo).alias("day")).agg(F.min(lo).alias("lo"), F.max(hi).alias("hi"))
 
 
 def user_profiles(days: DataFrame, keys: list[str]) -> DataFrame:
@@ -135,7 +136,7 @@ def language_totals(v: View, floor: int) -> DataFrame:
 def topics(v: View, floor: int) -> DataFrame:
     """(window_id, level, domain, code, status, value, n_total): multi-label; every code of the version appears."""
     keys = ["window_id", "level", "domain", "code"]
-    labelled = grain(v.msg.join(v.positives, "history_id"), "level", "domain", "code")
+    labelled = grain(topic_rows(v), "level", "domain", "code")
     hits = count_cells(in_windows(by_level(labelled), v), keys, n=F.col("n"))
     total = in_windows(by_level(grain(v.msg, "level")), v).groupBy("window_id", "level").agg(F.sum("n").alias("n_total"))
     scaffold = v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(v.positives.select("domain", "code").distinct())

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions import stats
-from .facts import View, grain, spoken
-from .sections import day_grain, user_profiles
+from ..sources.store import settled
+from .facts import View, spoken, topic_rows
 
 #: family, least absolute effect, least relative change, least n of a side. Fixed values.
 FAMILIES = (
@@ -27,16 +30,15 @@ def families(spark) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join(str(f) for f in FAMILIES) + " AS f(family, min_effect, min_relative, min_n)")
 
 
-def pairs(win: DataFrame, bridge: DataFrame) -> DataFrame:
-    """(window_id, side, monday): current (1) and baseline (2) weeks. A term is compared with the one before; all time
-    compares the last term with the first, if there are two. Slices are not compared."""
+def pairs(win: DataFrame) -> DataFrame:
+    """(window_id, side, term): current (1) and baseline (2). A term is compared with the one before; all time compares
+    the last term with the first, if there are two. Slices are not compared."""
     terms = win.filter("kind = 'semester'").select("window_id", "first_monday")
     w = Window.partitionBy(F.lit(0)).orderBy("first_monday")
     prev = terms.select("window_id", F.lag("window_id").over(w).alias("baseline")).filter("baseline is not null").select("window_id", F.col("window_id").alias("current"), "baseline")
     ends = terms.agg(F.max_by("window_id", "first_monday").alias("current"), F.min_by("window_id", "first_monday").alias("baseline")).filter("current <> baseline")
     both = prev.unionByName(ends.select(F.lit("all_time").alias("window_id"), "current", "baseline"))
-    sides = both.select("window_id", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("current").alias("member")), F.struct(F.lit(2).alias("side"), F.col("baseline").alias("member")))).alias("s")).select("window_id", "s.*")
-    return sides.join(bridge.select(F.col("window_id").alias("member"), "monday"), "member").select("window_id", "side", "monday")
+    return both.select("window_id", F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("current").alias("term")), F.struct(F.lit(2).alias("side"), F.col("baseline").alias("term")))).alias("s")).select("window_id", "s.*")
 
 
 _META = ["candidate", "tab", "tier", "kind", "family", "grp"]
@@ -50,53 +52,77 @@ def _rate(name: str, family: str) -> list[Column]:
     return _meta(F.lit(f"adoption-rate-{name}"), "adoption", F.lit(3), "rate", family)
 
 
-def message_hits(v: View) -> DataFrame:
-    """(monday, pseudonym, candidate, tab, tier, kind, family, grp, n): at user grain, how many messages each predicate
-    holds for. All messages pass once: a message's candidates are one array."""
-    codes = v.positives.filter(~((F.col("domain") == "deductive") & F.col("code").isin(*LEFT_OUT))).groupBy("history_id").agg(F.collect_list(F.struct("domain", "code")).alias("codes"))
-    m = spoken(v.rows.select("history_id", "pseudonym", "monday", "dow", "hour"), v).join(codes, "history_id", "left")
+_STRUCT = "struct<candidate: string, tab: string, tier: int, kind: string, family: string, grp: string>"
+_USERS, _MESSAGES, _SESSIONS = "adoption-rate-active-users", "adoption-rate-messages", "adoption-rate-sessions"
+
+
+def candidate_grain(v: View) -> DataFrame:
+    """(monday, pseudonym, candidate, tab, tier, kind, family, grp, n, lo, hi): at user grain, how many messages each
+    predicate holds for, and how many sessions and registrations there are; lo and hi: the first and last message."""
+    m = spoken(v.rows, v)
     fixed = [
         F.when(F.col("dow") >= 6, F.struct(*_meta(F.lit("timing-weekend"), "timing", F.lit(2), "share", "timing_share"))),
         F.struct(*_meta(F.concat(F.lit("timing-"), cal.daypart(F.col("hour"))), "timing", F.lit(2), "share", "timing_share", F.lit("daypart"))),
         F.when(F.col("lang").isin("de", "en"), F.struct(*_meta(F.concat(F.lit("language-"), F.col("lang")), "language", F.lit(3), "share", "language_share", F.lit("language")))),
         F.struct(*_rate("messages", "volume_rate")), F.struct(*_rate("active-users", "people_rate")),
     ]
+    every = F.filter(F.array(*fixed).cast(f"array<{_STRUCT}>"), lambda x: x.isNotNull())
+    hits = m.select("monday", "pseudonym", "n", "lo", "hi", F.explode(every).alias("c")).select("monday", "pseudonym", "c.*", "n", "lo", "hi")
+    domain, code = F.col("domain"), F.col("code")
+    tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
+    codes = topic_rows(v).filter(~((domain == "deductive") & code.isin(*LEFT_OUT))).select("monday", "pseudonym", *_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"), "n")
+    none = F.lit(None).cast("timestamp")
+    others = [rows.select("monday", "pseudonym", *_rate(name, family), "n") for rows, name, family in ((v.sess, "sessions", "volume_rate"), (v.reg, "registrations", "people_rate"))]
+    rows = reduce(DataFrame.unionByName, [hits, *[x.withColumns({"lo": none, "hi": none}) for x in (codes, *others)]])
+    return rows.groupBy("monday", "pseudonym", *_META).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+
+
+def session_spread(v: View) -> DataFrame:
+    """(monday, candidate, x, n): how many sessions of a week have which number of messages and minutes."""
+    one = lambda name, x: F.struct(F.lit(name).alias("candidate"), x.cast("double").alias("x"))
+    measures = F.array(one("engagement-messages-per-session", F.col("n_messages")), one("engagement-session-duration", F.col("minutes")))
+    return v.sess.select("monday", F.explode(measures).alias("m")).select("monday", "m.*").groupBy("monday", "candidate", "x").agg(F.count(F.lit(1)).alias("n"))
 
-    def topic(x: Column) -> Column:
-        domain, code = x["domain"], x["code"]
-        tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
-        return F.struct(*_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"))
 
-    topics = F.coalesce(F.transform("codes", topic), F.array().cast(f"array<{_STRUCT}>"))
-    every = F.filter(F.array(*fixed).cast(f"array<{_STRUCT}>"), lambda x: x.isNotNull())
-    each = m.select("monday", "pseudonym", F.explode(F.concat(every, topics.cast(f"array<{_STRUCT}>"))).alias("c"))
-    return each.groupBy("monday", "pseudonym", *[F.col(f"c.{k}").alias(k) for k in _META]).agg(F.count(F.lit(1)).alias("n"))
+@dataclass(frozen=True)
+class Measured:
+    """What every comparison is made of, a row a term: `cells` (term, candidate, tab, tier, kind, family, grp, num,
+    n_users, once, weeks) and `spread` (term, candidate, x, n). `once`: users whose messages of the term lie within a
+    day, on at most two calendar days."""
 
+    cells: DataFrame
+    spread: DataFrame
+    win: DataFrame
 
-_STRUCT = "struct<candidate: string, tab: string, tier: int, kind: string, family: string, grp: string>"
 
+def measure(v: View) -> Measured:
+    """One bridge deals weeks out to terms, which do not overlap, so no row of the grain is copied; period pairs and
+    trajectories are pairs and lists of terms. Both tables are as small as terms times candidates (and distinct values),
+    and are written, so that the many uses of them repeat neither scans nor plans."""
+    terms = v.win_week.join(v.win.filter("kind = 'semester'").select("window_id"), "window_id").select(F.col("window_id").alias("term"), "monday")
+    users = candidate_grain(v).join(terms, "monday").groupBy("term", *_META, "pseudonym").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    once = (F.datediff("hi", "lo") < 2) & (F.unix_micros("hi") - F.unix_micros("lo") <= 86_400_000_000)
+    cells = users.groupBy("term", *_META).agg(F.sum("n").alias("num"), F.count(F.lit(1)).alias("n_users"), F.count_if(once).alias("once"))
+    weeks = terms.groupBy("term").agg(F.count(F.lit(1)).alias("weeks"))
+    spread = session_spread(v).join(terms, "monday").groupBy("term", "candidate", "x").agg(F.sum("n").alias("n"))
+    return Measured(settled(cells.join(weeks, "term")), settled(spread), v.win)
 
-def sides(v: View, sets: DataFrame) -> DataFrame:
+
+def sides(m: Measured, sets: DataFrame) -> DataFrame:
     """(window_id, side, candidate.., num, den, n_users): one row for every share and rate and both sides.
 
-    `sets` has (window_id, side, monday). Users of a share are those of its numerator.
+    `sets` has (window_id, side, term). Users of a share are those of its numerator.
     """
     key = ["window_id", "side"]
-    weeks = sets.groupBy(*key).agg(F.count(F.lit(1)).alias("weeks"))
-    others = grain(v.sess).select("monday", "pseudonym", *_rate("sessions", "volume_rate"), "n").unionByName(grain(v.reg).select("monday", "pseudonym", *_rate("registrations", "people_rate"), "n"))
-    users = message_hits(v).unionByName(others).join(sets, "monday").groupBy(*key, *_META, "pseudonym").agg(F.sum("n").alias("n"))
-    hits = users.groupBy(*key, *_META).agg(F.sum("n").alias("num"), F.count(F.lit(1)).alias("n_users"))
+    hits = m.cells.join(sets, "term").drop("term")
     # The rate of messages has every message, so its count is what shares are parts of.
-    whole = F.max(F.when(F.col("candidate") == "adoption-rate-messages", F.col("num")))
-    total = hits.groupBy(*key).agg(whole.alias("den")).filter("den is not null")
+    total = hits.filter(F.col("candidate") == _MESSAGES).select(*key, F.col("num").alias("den"))
     # A share that is absent on one side is zero there, if the side has messages at all.
     ids = hits.filter("kind = 'share'").select("window_id", *_META).distinct()
     shares = total.join(ids, "window_id").join(hits.select(*key, "candidate", "num", "n_users"), [*key, "candidate"], "left").select(*key, *_META, F.coalesce("num", F.lit(0)).alias("num"), "den", F.coalesce("n_users", F.lit(0)).alias("n_users"))
-    profile = user_profiles(day_grain(v.rows, "monday").join(sets, "monday"), key)
-    once = profile.groupBy(*key).agg(F.count_if(F.col("class") == "one_time").alias("num"), F.count(F.lit(1)).alias("den")).withColumn("n_users", F.col("num"))
-    once = once.select(*key, *_meta(F.lit("adoption-one-time-share"), "adoption", F.lit(1), "share", "user_share"), "num", "den", "n_users")
-    people = F.col("candidate") == "adoption-rate-active-users"
-    rates = hits.filter("kind = 'rate'").join(weeks, key).select(*key, *_META, F.when(people, F.col("n_users")).otherwise(F.col("num")).alias("num"), F.col("weeks").alias("den"), "n_users")
+    people = F.col("candidate") == _USERS
+    once = hits.filter(people).select(*key, *_meta(F.lit("adoption-one-time-share"), "adoption", F.lit(1), "share", "user_share"), F.col("once").alias("num"), F.col("n_users").alias("den"), F.col("once").alias("n_users"))
+    rates = hits.filter("kind = 'rate'").select(*key, *_META, F.when(people, F.col("n_users")).otherwise(F.col("num")).alias("num"), F.col("weeks").alias("den"), "n_users")
     return shares.unionByName(once).unionByName(rates)
 
 
@@ -116,33 +142,28 @@ def evaluate_counts(rows: DataFrame) -> DataFrame:
     return out.select(*key, cur.alias("current"), base.alias("baseline"), F.col("n_users_1").cast("long").alias("users_1"), F.col("n_users_2").cast("long").alias("users_2"), F.when(share, n1).otherwise(x1).alias("n_1"), F.when(share, n2).otherwise(x2).alias("n_2"), (cur - base).alias("delta"), F.abs(F.when(share, cur - base).otherwise(ratio)).alias("effect"), z.alias("z"))
 
 
-def session_measures(v: View, sets: DataFrame) -> DataFrame:
-    """(sets' columns, candidate, pseudonym, x): messages and minutes of each session."""
-    one = lambda name, x: F.struct(F.lit(name).alias("candidate"), x.cast("double").alias("x"))
-    measures = F.array(one("engagement-messages-per-session", F.col("n_messages")), one("engagement-session-duration", F.col("minutes")))
-    return v.sess.select("monday", "pseudonym", F.explode(measures).alias("m")).select("monday", "pseudonym", "m.*").join(sets, "monday").drop("monday")
-
-
-def medians(s: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, median, n_users)"""
-    users = s.select(*keys, "pseudonym").distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_users"))
-    return stats.quantiles_type2(s, keys, "x", {"median": 0.5}).join(users, keys)
+def medians(m: Measured, sets: DataFrame) -> DataFrame:
+    """(window_id, side, candidate, median, n_users)"""
+    users = m.cells.filter(F.col("candidate") == _SESSIONS).join(sets, "term").select("window_id", "side", "n_users")
+    return stats.quantiles_type2(m.spread.join(sets, "term"), ["window_id", "side", "candidate"], "x", {"median": 0.5}, n="n").join(users, ["window_id", "side"])
 
 
-def evaluate_medians(v: View, sets: DataFrame) -> DataFrame:
+def evaluate_medians(m: Measured, sets: DataFrame) -> DataFrame:
     """The same columns for the two medians over sessions, by the rank test."""
-    s, key, one = session_measures(v, sets), ["window_id", "candidate"], F.col("side") == 1
-    wide = medians(s, [*key, "side"]).groupBy(*key).agg(*[F.max(F.when(one if i == 1 else ~one, F.col(c))).alias(f"{c}_{i}") for c in ("median", "n_users") for i in (1, 2)]).filter("median_1 is not null and median_2 is not null")
-    out = wide.join(stats.mann_whitney(s, key, "side", "x"), key)
+    key, one = ["window_id", "candidate"], F.col("side") == 1
+    wide = medians(m, sets).groupBy(*key).agg(*[F.max(F.when(one if i == 1 else ~one, F.col(c))).alias(f"{c}_{i}") for c in ("median", "n_users") for i in (1, 2)]).filter("median_1 is not null and median_2 is not null")
+    out = wide.join(stats.mann_whitney(m.spread.join(sets, "term"), key, "side", "x", n="n"), key)
     meta = _meta(F.col("candidate"), "engagement", F.lit(2), "median", "median")
     return out.select("window_id", *meta, F.col("median_1").alias("current"), F.col("median_2").alias("baseline"), F.col("n_users_1").alias("users_1"), F.col("n_users_2").alias("users_2"), F.col("n1").alias("n_1"), F.col("n2").alias("n_2"), (F.col("median_1") - F.col("median_2")).alias("delta"), F.abs("effect").alias("effect"), "z")
 
 
-def evaluate(v: View, floor: int, shapes: DataFrame | None = None) -> DataFrame:
-    """All candidates of all compared windows; those of all time only if their whole trajectory is defined."""
-    sets = pairs(v.win, v.win_week)
-    both = evaluate_counts(sides(v, sets)).unionByName(evaluate_medians(v, sets))
-    whole = (trajectories(v, floor) if shapes is None else shapes).select("candidate", F.lit("all_time").alias("window_id"))
+def evaluate(v: View | Measured, floor: int, shapes: DataFrame | None = None) -> DataFrame:
+    """All candidates of all compared windows; those of all time only if their whole trajectory is defined. A view is
+    measured first."""
+    m = v if isinstance(v, Measured) else measure(v)
+    sets = pairs(m.win)
+    both = evaluate_counts(sides(m, sets)).unionByName(evaluate_medians(m, sets))
+    whole = (trajectories(m, floor) if shapes is None else shapes).select("candidate", F.lit("all_time").alias("window_id"))
     kept = both.filter("window_id <> 'all_time'").unionByName(both.filter("window_id = 'all_time'").join(whole, ["window_id", "candidate"], "left_semi").select(both.columns))
     return kept.withColumn("p", stats.two_sided_p(F.col("z")))
 
@@ -194,41 +215,40 @@ def verdict_tally(assessed: DataFrame) -> DataFrame:
     return assessed.groupBy("window_id", "verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
-def baselines(v: View) -> DataFrame:
+def baselines(win: DataFrame) -> DataFrame:
     """(window_id, baseline) of every window but slices: the term before, `trajectory` for all time, or none."""
-    have = pairs(v.win, v.win_week).filter("side = 2").groupBy("window_id").agg(F.min("monday").alias("first_monday"))
-    terms = v.win.filter("kind = 'semester'").select(F.col("window_id").alias("baseline"), "first_monday")
-    named = have.join(terms, "first_monday").select("window_id", F.when(F.col("window_id") == "all_time", "trajectory").otherwise(F.col("baseline")).alias("baseline"))
-    return v.win.filter("kind <> 'semester_slice'").select("window_id").join(named, "window_id", "left")
+    against = F.when(F.col("window_id") == "all_time", "trajectory").otherwise(F.col("term"))
+    named = pairs(win).filter("side = 2").select("window_id", against.alias("baseline"))
+    return win.filter("kind <> 'semester_slice'").select("window_id").join(named, "window_id", "left")
 
 
-def sufficient(v: View, assessed: DataFrame) -> DataFrame:
+def sufficient(v: View | Measured, assessed: DataFrame) -> DataFrame:
     """(window_id, baseline, insufficient_data): there is a baseline, but no candidate could be tested."""
     tested = assessed.groupBy("window_id").agg(F.count_if(~F.col("verdict").isin("floor", "min_n")).alias("tested"))
     flag = F.col("baseline").isNotNull() & (F.coalesce("tested", F.lit(0)) == 0)
-    return baselines(v).join(tested, "window_id", "left").select("window_id", "baseline", flag.alias("insufficient_data"))
+    return baselines(v.win).join(tested, "window_id", "left").select("window_id", "baseline", flag.alias("insufficient_data"))
 
 
-def trajectories(v: View, floor: int) -> DataFrame:
+def trajectories(v: View | Measured, floor: int) -> DataFrame:
     """(candidate, points): a candidate's value in every term, oldest first, with its users; none if any term is
-    undefined or below the floor."""
-    terms = v.win.filter("kind = 'semester'").select("window_id", "first_monday")
+    undefined or below the floor. A view is measured first."""
+    m = v if isinstance(v, Measured) else measure(v)
     # A candidate that a term lacks is undefined there; so every term gets every candidate's row.
-    numbered = terms.withColumn("side", F.dense_rank().over(Window.orderBy("window_id")))
-    sets = v.win_week.join(numbered.select("window_id", "side"), "window_id").select(F.lit("all").alias("window_id"), "monday", "side")
+    sets = m.win.filter("kind = 'semester'").select(F.lit("all").alias("window_id"), F.dense_rank().over(Window.orderBy("window_id")).alias("side"), F.col("window_id").alias("term"))
     scale = F.when(F.col("kind") == "share", 100.0).otherwise(1.0)
-    counted = sides(v, sets).select("candidate", "side", (F.col("num") / F.col("den") * scale).alias("value"), "n_users", ((F.col("n_users") >= floor) & (F.col("num") > 0)).alias("ok"))
-    middle = medians(session_measures(v, sets), ["candidate", "side"]).select("candidate", "side", F.col("median").alias("value"), "n_users", (F.col("n_users") >= floor).alias("ok"))
-    rows = counted.unionByName(middle).join(numbered.select(F.col("window_id").alias("term"), "side"), "side")
+    counted = sides(m, sets).select("candidate", "side", (F.col("num") / F.col("den") * scale).alias("value"), "n_users", ((F.col("n_users") >= floor) & (F.col("num") > 0)).alias("ok"))
+    middle = medians(m, sets).select("candidate", "side", F.col("median").alias("value"), "n_users", (F.col("n_users") >= floor).alias("ok"))
+    rows = counted.unionByName(middle).join(sets.select("term", "side"), "side")
     points = F.sort_array(F.collect_list(F.struct("term", "value", "n_users")))
     whole = rows.groupBy("candidate").agg(points.alias("points"), F.bool_and("ok").alias("ok"), F.count(F.lit(1)).alias("n")).filter("ok")
-    return whole.join(terms.agg(F.count(F.lit(1)).alias("n")), "n").select("candidate", "points")
+    return whole.join(sets.agg(F.count(F.lit(1)).alias("n")), "n").select("candidate", "points")
 
 
-def section(v: View, floor: int) -> tuple[DataFrame, DataFrame]:
+def section(v: View | Measured, floor: int) -> tuple[DataFrame, DataFrame]:
     """The published section: (window_id, baseline, insufficient_data), and the findings, each with its sides' users
-    and, under a trajectory, its points. What both read, a row a candidate, is kept in memory."""
-    shapes = trajectories(v, floor).persist()
-    assessed = assess(evaluate(v, floor, shapes), floor).persist()
+    and, under a trajectory, its points. What both read, a row a candidate, is written once."""
+    m = v if isinstance(v, Measured) else measure(v)
+    shapes = settled(trajectories(m, floor))
+    assessed = settled(assess(evaluate(m, floor, shapes), floor))
     points = shapes.select("candidate", F.lit("all_time").alias("window_id"), F.transform("points", lambda x: F.struct(x["term"].alias("term"), F.round(x["value"], 1).alias("value"), x["n_users"].alias("n_users"))).alias("trajectory"))
-    return sufficient(v, assessed), findings(assessed).join(points, ["window_id", "candidate"], "left")
+    return sufficient(m, assessed), findings(assessed).join(points, ["window_id", "candidate"], "left")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.facts import Corpus, View, view
+from ..sources import grains
 
 SHORT, LONG = "short", "long"
 EXTRACTED = {SHORT: dt.date(2024, 2, 5), LONG: dt.date(2001, 8, 6)}
@@ -59,8 +60,17 @@ def corpus(spark: SparkSession, sf_dir: str, kind: str) -> Corpus:
     return Corpus(m.select("history_id", "pseudonym", "session_started", "created_at"), students, _roster(users, kind), labels)
 
 
+def options(kind: str) -> dict:
+    return {"extracted": EXTRACTED[kind], "axis_start": AXIS_START[kind], "label_version": "codes", "language_version": "language"}
+
+
 def corpus_view(spark: SparkSession, sf_dir: str, kind: str) -> View:
-    return view(corpus(spark, sf_dir, kind), extracted=EXTRACTED[kind], axis_start=AXIS_START[kind], label_version="codes", language_version="language")
+    return view(corpus(spark, sf_dir, kind), **options(kind))
+
+
+def stored_view(spark: SparkSession, sf_dir: str, kind: str) -> View:
+    """The same over stored grains, for what reads many sections."""
+    return grains.stored(corpus(spark, sf_dir, kind), **options(kind))
 
 
 _SHORT_SQL = """

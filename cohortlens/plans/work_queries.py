@@ -17,7 +17,7 @@ from ..operators import guard, labels, sections, trends
 from ..operators.facts import View, levels_present
 from ..sources import files, ingest
 from . import document, section_queries
-from .corpora import EXTRACTED, LONG, SHORT, corpus, corpus_view, read, view_sql
+from .corpora import EXTRACTED, LONG, SHORT, corpus, corpus_view, read, stored_view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +34,14 @@ def _on(kind: str, build: Callable[[View], DataFrame]) -> Callable[[SparkSession
     return lambda spark, sf_dir: build(corpus_view(spark, sf_dir, kind))
 
 
+def _stored(build: Callable[[View], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: build(stored_view(spark, sf_dir, LONG))
+
+
+def _measured(build: Callable[[trends.Measured], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return _stored(lambda v: build(trends.measure(v)))
+
+
 def _erfc_sql(x: str) -> str:
     t = f"(1.0 / (1.0 + 0.5 * abs({x})))"
     p = repr(stats.ERFC[-1])
@@ -95,8 +103,8 @@ _MEDIANS = """
     FROM (SELECT *, n1 * n2 / 12 * (n1 + n2 + 1 - tied / ((n1 + n2) * (n1 + n2 - 1))) AS var FROM mw) WHERE m1 IS NOT NULL AND m2 IS NOT NULL)
 """
 _COLS = "window_id, candidate, tab, tier, kind, family, grp, current, baseline, users_1, users_2, n_1, n_2, delta, effect, z"
-_add("trend_counts", _on(LONG, lambda v: trends.evaluate_counts(trends.sides(v, trends.pairs(v.win, v.win_week)))), view_sql(LONG) + _PAIRS + f"SELECT {_COLS} FROM counted")
-_add("trend_medians", _on(LONG, lambda v: trends.evaluate_medians(v, trends.pairs(v.win, v.win_week))), view_sql(LONG) + _PAIRS + _MEDIANS + f"SELECT {_COLS} FROM medians")
+_add("trend_counts", _measured(lambda m: trends.evaluate_counts(trends.sides(m, trends.pairs(m.win)))), view_sql(LONG) + _PAIRS + f"SELECT {_COLS} FROM counted")
+_add("trend_medians", _measured(lambda m: trends.evaluate_medians(m, trends.pairs(m.win))), view_sql(LONG) + _PAIRS + _MEDIANS + f"SELECT {_COLS} FROM medians")
 _T = ("sets", "share", "days", "once", "rate", "sides", "pairs")
 _TRAJ = "\n, tsets AS (SELECT 'all' AS window_id, dense_rank() OVER (ORDER BY window_id) AS side, window_id AS term, monday FROM win_week WHERE kind = 'semester')" + re.sub(rf"\b({'|'.join(_T)})\b(?= AS \(| USING| GROUP|$)|(?<=JOIN )({'|'.join(_T)})\b|(?<=FROM )({'|'.join(_T)})\b", lambda m: "t" + m[0], _PAIRS[_PAIRS.index("\n, share"):_PAIRS.index("\n, wide")])
 _TRAJ += """
@@ -116,21 +124,21 @@ _ASSESS = f"""
 , g6 AS (SELECT * REPLACE (coalesce(gate, CASE WHEN row_number() OVER (PARTITION BY window_id, gate IS NULL, tab ORDER BY tier, effect DESC, candidate) > CASE tab WHEN 'topics' THEN 3 ELSE 2 END THEN 'cap' END) AS gate) FROM g5)
 , assessed AS (SELECT *, coalesce(gate, CASE WHEN row_number() OVER (PARTITION BY window_id, gate IS NULL ORDER BY tier, effect DESC, candidate) > 5 THEN 'cap' END, 'published') AS verdict FROM g6)
 """
-_add("trend_verdicts", _on(LONG, lambda v: trends.assess(trends.evaluate(v, 5), 5).select("window_id", "candidate", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "verdict", "evidence")),
+_add("trend_verdicts", _measured(lambda v: trends.assess(trends.evaluate(v, 5), 5).select("window_id", "candidate", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "verdict", "evidence")),
      view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + "SELECT window_id, candidate, round(p, 6) AS p, round(q, 6) AS q, verdict, CASE WHEN verdict = 'published' THEN CASE WHEN q < 0.05 THEN 'robust' ELSE 'indicative' END END AS evidence FROM assessed")
-_add("trend_tally", _on(LONG, lambda v: trends.verdict_tally(trends.assess(trends.evaluate(v, 5), 5))), view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + "SELECT window_id, verdict, count(*) AS n FROM assessed GROUP BY ALL")
-_add("trend_findings", _on(LONG, lambda v: trends.section(v, 5)[1].select("window_id", "place", "candidate", "tab", "title", "current", "baseline", "delta", "evidence", "users_1", "users_2", F.size("trajectory").alias("points"))),
+_add("trend_tally", _measured(lambda v: trends.verdict_tally(trends.assess(trends.evaluate(v, 5), 5))), view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + "SELECT window_id, verdict, count(*) AS n FROM assessed GROUP BY ALL")
+_add("trend_findings", _measured(lambda v: trends.section(v, 5)[1].select("window_id", "place", "candidate", "tab", "title", "current", "baseline", "delta", "evidence", "users_1", "users_2", F.size("trajectory").alias("points"))),
      view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + """SELECT window_id, row_number() OVER (PARTITION BY window_id ORDER BY tier, effect DESC, candidate) AS place, candidate, tab, candidate || CASE WHEN kind = 'median' THEN CASE WHEN delta > 0 THEN ' lengthened' ELSE ' shortened' END WHEN delta > 0 THEN ' rose' ELSE ' fell' END AS title,
      round(current, 1) AS current, round(baseline, 1) AS baseline, round(delta, 1) AS delta, CASE WHEN q < 0.05 THEN 'robust' ELSE 'indicative' END AS evidence, users_1, users_2, CASE WHEN window_id = 'all_time' THEN (SELECT CAST(count(*) AS INT) FROM win WHERE kind = 'semester') END AS points FROM assessed WHERE verdict = 'published'""")
-_add("trend_sufficient", _on(LONG, lambda v: trends.sufficient(v, trends.assess(trends.evaluate(v, 5), 5))),
+_add("trend_sufficient", _measured(lambda v: trends.sufficient(v, trends.assess(trends.evaluate(v, 5), 5))),
      view_sql(LONG) + _PAIRS + _MEDIANS + _TRAJ + _ASSESS + """SELECT w.window_id, CASE WHEN w.window_id = 'all_time' AND p.base IS NOT NULL THEN 'trajectory' ELSE p.base END AS baseline, p.base IS NOT NULL AND coalesce(n, 0) = 0 AS insufficient_data
      FROM win w LEFT JOIN pairs p USING (window_id) LEFT JOIN (SELECT window_id, count(*) FILTER (verdict NOT IN ('floor', 'min_n')) AS n FROM assessed GROUP BY 1) a USING (window_id) WHERE w.kind <> 'semester_slice'""")
-_add("trend_trajectories", _on(LONG, lambda v: trends.trajectories(v, 5).select("candidate", F.explode("points").alias("x")).select("candidate", "x.term", "x.value", "x.n_users")),
+_add("trend_trajectories", _measured(lambda v: trends.trajectories(v, 5).select("candidate", F.explode("points").alias("x")).select("candidate", "x.term", "x.value", "x.n_users")),
      view_sql(LONG) + _PAIRS + _TRAJ + "SELECT candidate, term, value, n_users FROM tpoints JOIN whole USING (candidate) JOIN (SELECT DISTINCT side, term FROM tsets) USING (side)")
 
 _THROUGH = EXTRACTED[LONG] - dt.timedelta(days=EXTRACTED[LONG].weekday() + 1)
 RULES = ("suppressed_bare", "floor_respected", "no_recoverable_partition", "no_small_remainder", "heatmap_dense", "dayparts_dense", "weekly_dense", "dayparts_tile", "bins_ascend", "windows_resolve", "slices_contiguous", "profiles_ascend", "levels_known", "coverage_ordered", "trends")
-_add("guard_report", _on(LONG, lambda v: document.report(v, 4, _THROUGH)), f"SELECT unnest({list(RULES)}) AS rule, 0 AS n")
+_add("guard_report", _stored(lambda v: document.report(v, 4, _THROUGH)), f"SELECT unnest({list(RULES)}) AS rule, 0 AS n")
 
 
 def _faulty(v: View) -> DataFrame:

@@ -46,6 +46,29 @@ def floor_respected(rows: DataFrame, floor: int) -> DataFrame:
     return _count(rows, "floor_respected", broken)
 
 
+def row_rules(columns: list[str], floor: int) -> dict[str, Column]:
+    """rule -> how many rows break it, for the rules that one row of a table shows. As aggregates they can be observed
+    while the table is written."""
+    have, broken = set(columns), {}
+    hidden = F.col("status") == SUPPRESSED
+    shown = [F.col(c).isNotNull() for c in ("value", "median", "p25", "p75", "mean", "sd") if c in have]
+    shown += [F.col("n_users").isNotNull()] if "median" in have else []
+    if "status" in have and shown:
+        broken["suppressed_bare"] = hidden & reduce(Column.__or__, shown)
+    if users := [c for c in columns if c.startswith(("n_users", "users_"))]:
+        few = reduce(Column.__or__, [F.coalesce(F.col(c) < floor, F.lit(False)) for c in users])
+        broken["floor_respected"] = few | F.coalesce(F.exists("trajectory", lambda x: x["n_users"] < floor), F.lit(False)) if "trajectory" in have else few
+    if "level" in have:
+        broken["levels_known"] = ~F.col("level").isin("all", *LEVELS)
+    return {rule: F.count_if(F.coalesce(c, F.lit(False))).alias(rule) for rule, c in broken.items()}
+
+
+def counted_rules(table: DataFrame, floor: int) -> DataFrame:
+    """(rule, n) of `row_rules`, by one aggregate."""
+    found = row_rules(table.columns, floor)
+    return table.agg(*found.values()).unpivot([], list(found), "rule", "n")
+
+
 def no_recoverable_partition(usage: DataFrame) -> DataFrame:
     """A lone suppressed level beside a published total could be had by subtraction."""
     g = usage.filter(F.col("measure").isin(*PARTITIONED)).groupBy("window_id", "measure").agg(F.count_if((F.col("level") != "all") & (F.col("status") == SUPPRESSED)).alias("hidden"), F.count_if((F.col("level") == "all") & (F.col("status") == OK)).alias("total"))

@@ -37,13 +37,20 @@ def insert_or_ignore(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(new.dropDuplicates(keys).join(old.select(*keys), keys, "left_anti"))
 
 
-def batches(rows: DataFrame, size: int = 10, buckets: int = 64) -> DataFrame:
-    """(bucket, batch, ids): up to `size` ids in order, numbered within hash buckets, so no global order is needed."""
+def batches(rows: DataFrame, size: int = 10, buckets: int = 64, span: int = 1 << 18) -> DataFrame:
+    """(bucket, batch, ids): up to `size` ids in order, numbered within hash buckets, so no global order is needed.
+
+    A bucket's rows are numbered in ranges of `span` ids, of which each holds span / buckets at most; so tasks are as many
+    as the table needs, and what is summed up over a whole bucket is one number a range. Ids are distinct.
+    """
     if not 1 <= size <= 50:
         raise ValueError("a batch has 1 to 50 messages")
-    b = rows.select("history_id", F.pmod("history_id", F.lit(buckets)).alias("bucket"))
-    nth = F.row_number().over(Window.partitionBy("bucket").orderBy("history_id"))
-    return b.withColumn("batch", F.floor((nth - 1) / size)).groupBy("bucket", "batch").agg(F.sort_array(F.collect_list("history_id")).alias("ids"))
+    b = rows.select("history_id", F.pmod("history_id", F.lit(buckets)).alias("bucket"), F.expr(f"history_id div {span}").alias("range"))
+    before = Window.partitionBy("bucket").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    first = b.groupBy("bucket", "range").agg(F.count(F.lit(1)).alias("n")).select("bucket", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("bucket", "range").orderBy("history_id"))
+    numbered = b.withColumn("nth", nth).join(first, ["bucket", "range"])
+    return numbered.withColumn("batch", F.floor((F.col("first") + F.col("nth") - 1) / size)).groupBy("bucket", "batch").agg(F.sort_array(F.collect_list("history_id")).alias("ids"))
 
 
 def language_profile(texts: DataFrame, lang: str, *, top: int = 40) -> DataFrame:
@@ -55,16 +62,34 @@ def language_profile(texts: DataFrame, lang: str, *, top: int = 40) -> DataFrame
     return n.withColumns({"weight": share, "rank": rank}).filter(F.col("rank") <= top).select("lang", "token", "weight")
 
 
+#: A profile has fewer rows than this (languages times `top`); it becomes part of the plan.
+MOST_PROFILE_ROWS = 20_000
+
+
 def label_language(texts: DataFrame, profile: DataFrame, *, id_col: str, known: tuple[str, ...] = ("de", "en")) -> DataFrame:
-    """(id, code, confidence): de, en, other or undetermined (below 10 characters or 0.6 confidence)."""
-    rows = texts.select(id_col, text.collapse(F.coalesce("text", F.lit(""))).alias("t"))
-    tokens = rows.select(id_col, F.explode(F.split(F.lower("t"), " ")).alias("token")).groupBy(id_col, "token").agg(F.count(F.lit(1)).alias("n"))
-    score = tokens.join(F.broadcast(profile), "token").groupBy(id_col, "lang").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
-    total = F.sum("score").over(Window.partitionBy(id_col))
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("score"), "lang"))
-    best = score.withColumns({"confidence": F.col("score") / total, "rank": rank}).filter("rank = 1").select(id_col, "lang", "confidence")
-    code = F.when(F.length("t") < 10, "undetermined").when(F.coalesce("confidence", F.lit(0.0)) < 0.6, "undetermined").when(F.col("lang").isin(*known), F.col("lang")).otherwise("other")
-    return rows.join(best, id_col, "left").select(id_col, code.alias("code"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"))
+    """(id, code, confidence): de, en, other or undetermined (below 10 characters or 0.6 confidence).
+
+    The profile is a short list, so a text is scored where it is read: its tokens that any language knows are folded into
+    a sum a language, and no row is shuffled.
+    """
+    rows = profile.limit(MOST_PROFILE_ROWS).collect()
+    if len(rows) == MOST_PROFILE_ROWS:
+        raise ValueError(f"a profile has fewer than {MOST_PROFILE_ROWS} rows")
+    weights, langs = {}, sorted({r["lang"] for r in rows})
+    for r in rows:
+        weights.setdefault(r["token"], {})[r["lang"]] = r["weight"]
+    t = texts.select(id_col, text.collapse(F.coalesce("text", F.lit(""))).alias("t"))
+    none = F.lit(0.0)
+    if not rows:
+        return t.select(id_col, F.lit("undetermined").alias("code"), none.alias("confidence"))
+    table = F.create_map(*[x for token, own in weights.items() for x in (F.lit(token), F.array(*[F.lit(float(own.get(lang, 0.0))) for lang in langs]))])
+    met = F.filter(F.split(F.lower("t"), " "), lambda x: x.isin(*weights))
+    score = F.aggregate(met, F.array(*[none] * len(langs)), lambda a, x: F.zip_with(a, F.element_at(table, x), lambda i, j: i + j))
+    t = t.withColumn("score", score).withColumns({"best": F.array_max("score"), "total": F.aggregate("score", none, lambda a, x: a + x)})
+    lang = F.element_at(F.array(*map(F.lit, langs)), F.array_position("score", F.col("best")).cast("int"))
+    t = t.withColumns({"lang": lang, "confidence": F.when(F.col("total") > 0, F.col("best") / F.col("total")).otherwise(none)})
+    code = F.when((F.length("t") < 10) | (F.col("confidence") < 0.6), "undetermined").when(F.col("lang").isin(*known), F.col("lang")).otherwise("other")
+    return t.select(id_col, code.alias("code"), "confidence")
 
 
 def unpivot_coded(wide: DataFrame, categories: list[str], *, group_col: str = "group", version: str = "v0") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAYPARTS
@@ -45,29 +45,38 @@ def build(v: View, floor: int) -> dict[str, DataFrame]:
     }
 
 
-def rules(tables: dict[str, DataFrame], v: View, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> DataFrame:
-    """(rule, n) over all of the document's tables; n is 0 where a rule is kept."""
+DAYPART_KEYS = ["window_id", "level", "shape", "dow", "part"]
+
+
+def daypart_scaffold(v: View) -> DataFrame:
+    """Every row that the dayparts must have: weekdays by dayparts, dayparts, week and weekend."""
+    spark, dows = v.win.sparkSession, F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow")
+    names = values(spark, "part", tuple(p[0] for p in DAYPARTS))
+    shapes = names.select(F.lit("grid").alias("shape"), dows, "part").unionByName(names.select(F.lit("daypart").alias("shape"), F.lit(0).alias("dow"), "part")).unionByName(values(spark, "part", ("weekday", "weekend")).select(F.lit("span").alias("shape"), F.lit(0).alias("dow"), "part"))
+    return v.win.select("window_id").crossJoin(levels_present(v)).crossJoin(shapes)
+
+
+def rules(tables: dict[str, DataFrame], v: View, floor: int, through: dt.date, enrolled: DataFrame | None = None, observed: DataFrame | None = None) -> DataFrame:
+    """(rule, n) over all of the document's tables; n is 0 where a rule is kept. `observed`: what the rules that a row
+    shows have counted while the tables were written; else one aggregate a table counts it."""
     spark, win, usage = v.win.sparkSession, tables["windows"], tables["usage"]
     cells = guard.long_cells(tables)
     dows = F.explode(F.sequence(F.lit(1), F.lit(7))).alias("dow")
     grid = win.select("window_id", dows).select("window_id", "dow", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour"))
     weeks = v.axis.select("week").crossJoin(levels_present(v))
     measures, langs = values(spark, "measure", ("messages", "sessions", "active_users")), values(spark, "lang", LANGUAGES)
-    names = values(spark, "part", tuple(p[0] for p in DAYPARTS))
-    shapes = names.select(F.lit("grid").alias("shape"), dows, "part").unionByName(names.select(F.lit("daypart").alias("shape"), F.lit(0).alias("dow"), "part")).unionByName(values(spark, "part", ("weekday", "weekend")).select(F.lit("span").alias("shape"), F.lit(0).alias("dow"), "part"))
     parts = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, DAYPARTS)) + " AS p(name, from_hour, to_hour)")
     found = [
-        guard.suppressed_bare(cells), *[guard.summaries_bare(tables[t]) for t in SUMMARIES],
-        *[guard.floor_respected(tables[t], floor) for t in (*SUMMARIES, "findings")],
+        *([guard.counted_rules(t, floor) for t in tables.values() if guard.row_rules(t.columns, floor)] if observed is None else [observed]),
         guard.no_recoverable_partition(usage), guard.no_small_remainder(usage, floor),
         guard.dense_over(tables["heatmap"], grid, ["window_id", "dow", "hour"], "heatmap_dense"),
-        guard.dense_over(tables["dayparts"], win.select("window_id").crossJoin(levels_present(v)).crossJoin(shapes), ["window_id", "level", "shape", "dow", "part"], "dayparts_dense"),
+        guard.dense_over(tables["dayparts"], daypart_scaffold(v), DAYPART_KEYS, "dayparts_dense"),
         guard.dense_over(tables["weekly_activity"], weeks.crossJoin(measures), ["week", "level", "measure"], "weekly_dense"),
         guard.dense_over(tables["weekly_language"], weeks.crossJoin(langs), ["week", "level", "lang"], "weekly_dense"),
         guard.dense_over(tables["weekly_registrations"], v.axis.select("week"), ["week"], "weekly_dense"),
         guard.tiles(parts), *[guard.bins_ascend(tables[t], ["window_id", "level"]) for t in HISTOGRAMS],
         guard.windows_resolve(win, cells), guard.slices_contiguous(v.win_week, win), guard.profiles_ascend(tables["profile"], win),
-        guard.levels_known(cells), guard.coverage_ordered(win, v.axis, through), guard.trend_rules(tables["findings"], tables["trends"], win),
+        guard.coverage_ordered(win, v.axis, through), guard.trend_rules(tables["findings"], tables["trends"], win),
     ]
     if enrolled is not None:
         found.append(guard.enrollment_terms(enrolled, win))
@@ -80,10 +89,23 @@ def report(v: View, floor: int, through: dt.date, enrolled: DataFrame | None = N
     return rules({name: t.persist() for name, t in build(v, floor).items()}, v, floor, through, enrolled)
 
 
+def write(tables: dict[str, DataFrame], folder: str, floor: int) -> tuple[dict[str, DataFrame], DataFrame]:
+    """Every table written once below `folder`, and (rule, n): what its rows break, observed in that write. No table is
+    read again for it."""
+    spark, found, counts = next(iter(tables.values())).sparkSession, {}, []
+    for name, t in tables.items():
+        own = guard.row_rules(t.columns, floor)
+        seen = Observation(name)
+        (t.observe(seen, *own.values()) if own else t).write.mode("errorifexists").parquet(f"{folder}/{name}")
+        counts += seen.get.items() if own else []
+        found[name] = spark.read.schema(t.schema).parquet(f"{folder}/{name}")
+    return found, spark.createDataFrame(counts, "rule string, n long")
+
+
 def publish(v: View, folder: str, version: str, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> None:
-    """Every section is written once; the guard reads what was written; only then does the pointer name the version."""
-    spark, tables = v.win.sparkSession, {}
-    for name, t in build(v, floor).items():
-        t.write.mode("errorifexists").parquet(f"{folder}/sections/{version}/{name}")
-        tables[name] = spark.read.parquet(f"{folder}/sections/{version}/{name}")
-    files.publish(tables["windows"], folder, version, rules(tables, v, floor, through, enrolled))
+    """Every section is written once, the rules that rows show are counted in that write, and the others on what was
+    written. If all are kept, the document is rendered, and only then does the pointer name the version."""
+    tables, observed = write(build(v, floor), f"{folder}/sections/{version}", floor)
+    guard.require_clean(rules(tables, v, floor, through, enrolled, observed))
+    files.render_document(tables, f"{folder}/document/{version}")
+    files.publish(tables["windows"], folder, version)

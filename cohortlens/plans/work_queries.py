@@ -15,7 +15,7 @@ from ..functions import stats, text
 from ..functions.cells import count_cells, floored
 from ..operators import guard, labels, sections, trends
 from ..operators.facts import View, levels_present
-from ..sources import files, ingest
+from ..sources import files, ingest, store, versioned
 from . import document, section_queries
 from .corpora import EXTRACTED, LONG, SHORT, corpus, corpus_view, read, stored_view, view_sql
 
@@ -152,6 +152,8 @@ def _faulty(v: View) -> DataFrame:
     lone = usage.withColumn("status", F.when((F.col("level") == "staff") & F.col("measure").isin("messages", "sessions"), "suppressed").when(F.col("level") != "all", "ok").otherwise(F.col("status")))
     short = usage.withColumns({"status": F.lit("ok"), "value": F.when(F.col("level") == "all", 7).when(F.col("level") == "master", 6).otherwise(0)})
     bins = sections.histogram(users, keys, "messages", sections.MESSAGE_BINS, 4).withColumn("hi", F.when(F.col("bin") == 1, 6).otherwise(F.col("hi")))
+    # six findings of one tab in every window that could be compared, none with points
+    crowded = v.win.filter("kind <> 'semester_slice'").select("window_id", F.lit("topics").alias("tab"), F.lit(9).alias("users_1"), F.lit(9).alias("users_2"), F.lit(None).cast("array<struct<term: string, value: double, n_users: long>>").alias("trajectory"), F.explode(F.sequence(F.lit(1), F.lit(6))).alias("place"))
     found = [
         guard.suppressed_bare(usage.withColumn("value", F.coalesce("value", F.lit(1)))),
         guard.floor_respected(sections.summary(users, keys, "messages", 1), 4), guard.no_recoverable_partition(lone), guard.no_small_remainder(short, 4),
@@ -161,6 +163,8 @@ def _faulty(v: View) -> DataFrame:
         guard.slices_contiguous(v.win_week.filter("semester_week <> 16"), v.win), guard.profiles_ascend(sections.semester_profile(v, 3).filter("semester_week <> 2"), v.win),
         guard.levels_known(levels), guard.enrollment_terms(v.win.filter("kind <> 'semester_slice'").select("window_id"), v.win),
         guard.coverage_ordered(v.win.withColumns({"first_week": F.col("last_week"), "last_week": F.col("first_week")}), v.axis, _THROUGH), guard.tiles(v.win.sparkSession.sql("SELECT * FROM VALUES ('a', 0, 6), ('b', 7, 24) AS p(name, from_hour, to_hour)")),
+        guard.dense_over(sections.dayparts(v, 4).filter("not (shape = 'grid' and dow = 3 and part = 'night')"), document.daypart_scaffold(v), document.DAYPART_KEYS, "dayparts_dense"),
+        guard.trend_rules(crowded, trends.baselines(v.win).withColumn("insufficient_data", F.lit(False)), v.win),
     ]
     return reduce(DataFrame.unionByName, found)
 
@@ -181,7 +185,9 @@ UNION ALL SELECT 'profiles_ascend', 2 * count(*) FROM (SELECT window_id FROM win
 UNION ALL SELECT 'levels_known', 1
 UNION ALL SELECT 'enrollment_terms', count(*) FROM win WHERE kind = 'all_time'
 UNION ALL SELECT 'coverage_ordered', count(*) FROM win WHERE first_week <> last_week
-UNION ALL SELECT 'dayparts_tile', 1""")
+UNION ALL SELECT 'dayparts_tile', 1
+UNION ALL SELECT 'dayparts_dense', (SELECT count(*) FROM win) * (SELECT count(*) FROM levels)
+UNION ALL SELECT 'trends', 2 * count(*) + 12 FROM win WHERE kind <> 'semester_slice'""")
 
 
 # Labels. `documents` stands in for messages; `labels` holds the truth, a rule on the length the prediction.
@@ -207,6 +213,21 @@ _add("label_upsert", lambda s, d: labels.upsert(_coded(s, d).filter("label_versi
      """SELECT doc_id AS history_id, 'rule' AS label_version, 'deductive' AS domain, code, CASE WHEN l.doc_id IS NULL THEN rule ELSE truth END AS value
      FROM (SELECT doc_id, 'quality' AS code, CAST(n_chars > 300 AS INT) AS rule FROM documents UNION ALL SELECT doc_id, 'toxic', CAST(n_chars < 100 AS INT) FROM documents) x
      LEFT JOIN (SELECT doc_id, 'quality' AS code, quality AS truth FROM labels UNION ALL SELECT doc_id, 'toxic', 1 - toxic FROM labels) l USING (doc_id, code)""")
+
+
+def _label_store(s: SparkSession, d: str) -> DataFrame:
+    """What `label_upsert` gives, read back from a stored table in which two upserts rewrote the partitions they touch."""
+    rows = _coded(s, d).withColumn("bucket", versioned.bucket(F.col("history_id"), 16))
+    t = versioned.Table(s, store.scratch(s), "history_id long, domain string, code string, value int, label_version string, bucket int", ("label_version", "bucket"))
+    t.append(rows)
+    truth = rows.filter("label_version = 'truth'").withColumn("label_version", F.lit("rule"))
+    t.upsert(truth.withColumn("at", F.lit(1)), labels.KEY, "at")
+    again = truth.filter("code = 'toxic'").withColumn("at", F.explode(F.array(F.lit(1), F.lit(2))))
+    t.upsert(again.withColumn("value", F.when(F.col("at") == 2, 1 - F.col("value")).otherwise(7)), labels.KEY, "at")
+    return t.read().filter("label_version = 'rule'").drop("bucket")
+
+
+_add("label_store", _label_store, ORACLES["label_upsert"])
 _add("language_labels", lambda s, d: labels.label_language(read(s, d, "documents"), labels.language_profile(read(s, d, "documents"), "lang"), id_col="doc_id").withColumn("confidence", F.round("confidence", 6)),
      """WITH t AS (SELECT doc_id, lang, trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) AS t FROM documents),
      tok AS (SELECT doc_id, lang, unnest(string_split(lower(t), ' ')) AS token FROM t),
@@ -286,6 +307,28 @@ def _erased(s: SparkSession, d: str) -> DataFrame:
 
 _add("erase_user", _erased, view_sql(LONG) + """SELECT 'messages' AS "table", count(*) AS erased FROM messages WHERE pseudonym = '7' UNION ALL SELECT 'students', count(*) FROM students WHERE pseudonym = '7' UNION ALL SELECT 'roster', count(*) FROM roster WHERE pseudonym = '7'
     UNION ALL SELECT 'labels', (SELECT count(*) FROM pos JOIN messages USING (history_id) WHERE pseudonym = '7') * 2 + (SELECT count(*) FILTER (history_id % 37 <> 0) + count(*) FILTER (history_id % 3 = 0) FROM messages WHERE pseudonym = '7')""")
+
+
+def _erased_stored(s: SparkSession, d: str) -> DataFrame:
+    """(table, erased, kept): a user taken out of stored tables, and what is read back."""
+    c, n = corpus(s, d, LONG), 16
+    place = lambda df, key: df.withColumn("bucket", versioned.bucket(F.col(key), n))
+    made = {
+        "messages": (c.messages.withColumn("quarter", F.concat(F.year("created_at"), F.quarter("created_at"))), ("quarter",)),
+        "students": (place(c.students, "pseudonym"), ("bucket",)), "roster": (place(c.roster, "pseudonym"), ("bucket",)), "labels": (place(c.labels, "history_id"), ("label_version", "bucket")),
+    }
+    top, tables = store.scratch(s), {}
+    for name, (rows, by) in made.items():
+        tables[name] = versioned.Table(s, f"{top}/{name}", ", ".join(f"{c} {k}" for c, k in rows.dtypes if c not in by) + "".join(f", {c} {dict(rows.dtypes)[c]}" for c in by), by)
+        tables[name].append(rows)
+    erased = ingest.erase_stored(tables["messages"], {k: tables[k] for k in ("students", "roster")}, {"labels": tables["labels"]}, "7", n)
+    kept = [t.read().agg(F.count(F.lit(1)).alias("kept")).select(F.lit(name).alias("table"), F.lit(erased[name]).cast("long").alias("erased"), "kept") for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, kept)
+
+
+_add("erase_stored", _erased_stored, view_sql(LONG) + """, l AS (SELECT history_id, pseudonym, 2 + CAST(history_id % 37 <> 0 AS INT) + CAST(history_id % 3 = 0 AS INT) + 2 AS n FROM messages)
+SELECT 'messages' AS "table", count(*) FILTER (pseudonym = '7') AS erased, count(*) FILTER (pseudonym <> '7') AS kept FROM messages UNION ALL SELECT 'students', count(*) FILTER (pseudonym = '7'), count(*) FILTER (pseudonym <> '7') FROM students
+UNION ALL SELECT 'roster', count(*) FILTER (pseudonym = '7'), count(*) FILTER (pseudonym <> '7') FROM roster UNION ALL SELECT 'labels', CAST(coalesce(sum(n) FILTER (pseudonym = '7'), 0) AS BIGINT), CAST(sum(n) FILTER (pseudonym <> '7') AS BIGINT) FROM l""")
 _add("users_without_roster", lambda s, d: files.without_roster(corpus(s, d, LONG).students, corpus(s, d, LONG).roster).select("pseudonym"), view_sql(LONG) + "SELECT pseudonym FROM students ANTI JOIN roster USING (pseudonym)")
 _add("session_join_check", lambda s, d: files.join_check(corpus(s, d, SHORT).messages, corpus(s, d, SHORT).messages.select("history_id", F.when(F.col("history_id") % 50 == 0, F.col("session_started") + 1).otherwise(F.col("session_started")).alias("started"))).select("history_id"), "SELECT event_id AS history_id FROM events WHERE event_id % 50 = 0")
 _add("conversation_depth", lambda s, d: floored(count_cells(read(s, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns")), ["turns"], user="conv_id"), 3), "SELECT turns, CASE WHEN value >= 3 THEN 'ok' ELSE 'suppressed' END AS status, CASE WHEN value >= 3 THEN value END AS value FROM (SELECT turns, count(*) AS value FROM (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) GROUP BY 1)")

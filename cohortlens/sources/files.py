@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -89,7 +91,7 @@ def import_coded(messages: DataFrame, coded: DataFrame, categories: list[str]) -
 def read_enrolled(spark: SparkSession, path: str) -> DataFrame:
     """(window_id, level, enrolled) of a JSON file {window: {bachelor, master, source, as_of}}; missing file: error."""
     entry = "struct<bachelor: int, master: int, source: string, as_of: date>"
-    one = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", f"map<string, {entry}>")).alias("window_id", "e"))
+    one = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string, {entry}>")).alias("window_id", "e"))
     return one.select("window_id", F.explode(F.array(*[F.struct(F.lit(x).alias("level"), F.col(f"e.{x}").alias("enrolled")) for x in ("bachelor", "master")])).alias("x")).select("window_id", "x.*").filter("enrolled is not null")
 
 
@@ -99,6 +101,41 @@ def render(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.orderBy(*keys).select(fields.alias("value"))
 
 
+#: Lines of a document's file.
+LINES = 100_000
+
+
+def render_document(tables: dict[str, DataFrame], folder: str, lines: int = LINES) -> DataFrame:
+    """The tables as JSON lines below `folder`/lines, and the manifest (section, part, lines, sha256) of its files.
+
+    A section's lines are in the order of their text and cut into parts of `lines`, so that the same rows give the same
+    bytes, file by file, however many tasks there are. The manifest is one text file, in order, besides.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    text = lambda t: F.to_json(F.struct(*sorted(t.columns)), {"ignoreNullFields": "true"})
+    rows = reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("section"), text(t).alias("value")) for name, t in tables.items()])
+    nth = F.row_number().over(Window.partitionBy("section").orderBy("value")) - 1
+    parts = rows.withColumn("n", nth).withColumn("part", F.floor(F.col("n") / lines).cast("int"))
+    parts.repartition("section", "part").sortWithinPartitions("section", "part", "n").drop("n").write.mode("errorifexists").partitionBy("section", "part").text(f"{folder}/lines")
+    manifest = read_manifest(spark, folder)
+    manifest.coalesce(1).orderBy("section", "part").select(F.to_json(F.struct("section", "part", "lines", "sha256")).alias("value")).coalesce(1).write.text(f"{folder}/manifest")
+    return manifest
+
+
+def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """(section, part, lines, sha256) of the files as they are now; each is hashed whole, and has LINES lines at most."""
+    whole = spark.read.schema("value string, section string, part int").text(f"{folder}/lines", wholetext=True)
+    return whole.select("section", "part", (F.size(F.split("value", "\n")) - 1).alias("lines"), F.sha2("value", 256).alias("sha256"))
+
+
+def check_document(spark: SparkSession, folder: str) -> None:
+    """Raises if a file of the document is not what its manifest says."""
+    said = spark.read.text(f"{folder}/manifest").select(F.from_json("value", "section string, part int, lines int, sha256 string").alias("m")).select("m.*")
+    now = read_manifest(spark, folder)
+    if changed := [r["section"] for r in said.exceptAll(now).unionByName(now.exceptAll(said)).select("section").distinct().collect()]:
+        raise ValueError(f"the document is not what its manifest says: {sorted(changed)}")
+
+
 def publish(table: DataFrame, folder: str, version: str, rules: DataFrame | None = None) -> None:
     """Writes a version, once and for all, and then a pointer to it. Nothing is replaced, so a reader always finds the
     last whole version, also after a crash in between. `rules`: a report of the guard; a broken rule refuses."""

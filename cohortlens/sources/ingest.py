@@ -10,14 +10,32 @@ from ..functions import text
 from ..operators.facts import enrich
 from ..operators.labels import insert_or_ignore
 from . import files
+from .store import settled
+from .versioned import Table
+from .versioned import bucket as versioned_bucket
 
 
 def jdbc(spark: SparkSession, url: str, table: str, *, key: str, bounds: tuple[int, int], partitions: int = 64, fetch: int = 5000, **options: str) -> DataFrame:
-    """A partitioned scan of a source database; filters on it are pushed down."""
-    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, fetchsize=fetch, **options)
+    """A partitioned scan of a source database; filters on it and columns are pushed down."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=partitions, fetchsize=fetch, preferTimestampNTZ="true", **options)
     return reader.load()
 
 
+def scan_above(spark: SparkSession, url: str, table: str, above: int, columns: list[str], *, key: str = "id", rows_per_task: int = 1_000_000, most_tasks: int = 256, **options: str) -> DataFrame:
+    """`columns` of the rows of a source table whose `key` is above the watermark, read in ranges of the key.
+
+    The source itself finds how far the key goes (one row comes back); so a weekly run's ranges cover the new rows only,
+    and there are as many as those need, up to `most_tasks` connections.
+    """
+    named = spark._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(key)
+    ends = f"(SELECT MIN({named}) AS lo, MAX({named}) AS hi FROM {table} WHERE {named} > {int(above)}) ends"
+    first, last = spark.read.format("jdbc").options(url=url, dbtable=ends, **options).load().first()
+    new = F.col(key) > above
+    first, last = (above + 1, above) if first is None else (first, last)
+    tasks = max(1, min(most_tasks, -(-(last + 1 - first) // rows_per_task)))
+    return jdbc(spark, url, table, key=key, bounds=(first, last + 1), partitions=tasks, **options).filter(new).select(*columns)
+
+
 def watermark(messages: DataFrame) -> int:
     """The largest id read so far; ids only grow, so a row with a smaller id that comes later is never read."""
     return messages.agg(F.coalesce(F.max("history_id"), F.lit(0))).first()[0]
@@ -31,9 +49,10 @@ def new_students(students: DataFrame, key: bytes) -> DataFrame:
 
 def new_messages(history: DataFrame, students: DataFrame, above: int, key: bytes) -> DataFrame:
     """Rows of `history` above the watermark with their user's pseudonym; a row without a time raises."""
-    h = history.filter(F.col("id") > above).join(students.select("student_id", "uid"), "student_id")
+    users = students.select("student_id", text.hmac_sha256(text.normal_uid(F.col("uid")), key).alias("pseudonym"))
+    h = history.filter(F.col("id") > above).join(users, "student_id")
     time = F.when(F.col("created_at").isNotNull(), F.col("created_at")).otherwise(F.raise_error(F.concat(F.lit("history row without created_at: "), F.col("id"))))
-    return h.select(F.col("id").alias("history_id"), text.hmac_sha256(text.normal_uid(F.col("uid")), key).alias("pseudonym"), F.col("started").alias("session_started"), time.alias("created_at"))
+    return h.select(F.col("id").alias("history_id"), "pseudonym", F.col("started").alias("session_started"), time.alias("created_at"))
 
 
 def with_new_students(known: DataFrame, students: DataFrame, key: bytes) -> DataFrame:
@@ -93,3 +112,21 @@ def erase(tables: dict[str, DataFrame], pseudonym: str) -> tuple[dict[str, DataF
         n = hit.agg(F.count(F.lit(1)).alias("erased")).select(F.lit(name).alias("table"), "erased")
         counts = n if counts is None else counts.unionByName(n)
     return kept, counts
+
+
+def erase_stored(messages: Table, by_user: dict[str, Table], by_message: dict[str, Table], pseudonym: str, buckets: int) -> dict[str, int]:
+    """Takes a user out of stored tables; table -> rows erased. Only partitions that hold the user are read whole and
+    written anew.
+
+    `messages` is searched by pseudonym, which Parquet's statistics and column pruning make cheap. Tables by user and by
+    message have a partition column `bucket` (of the pseudonym and of the history_id, out of `buckets`), so theirs follow
+    from the ids. Messages go last: a run that stops before can be repeated.
+    """
+    spark = messages.spark
+    rows = messages.read().filter(F.col("pseudonym") == pseudonym)
+    old = messages.folders_of(rows)
+    gone = settled(rows.select("history_id", versioned_bucket(F.col("history_id"), buckets).alias("bucket")))
+    erased = {name: t.delete(t.touched(gone), gone, ["history_id"]) for name, t in by_message.items()}
+    user = spark.range(1).select(F.lit(pseudonym).alias("pseudonym")).withColumn("bucket", versioned_bucket(F.col("pseudonym"), buckets))
+    erased |= {name: t.delete(t.touched(user), user, ["pseudonym"]) for name, t in by_user.items()}
+    return erased | {"messages": messages.delete(old, user, ["pseudonym"])}

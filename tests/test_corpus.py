@@ -311,7 +311,7 @@ def test_snapshots(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    (tmp_path / "t.json").write_text('{"2024W": {"bachelor": 10, "master": 5, "source": "x", "as_of": "2024-10-01"}}')
+    (tmp_path / "t.json").write_text('{"2024W":\n {"bachelor": 10, "master": 5, "source": "x", "as_of": "2024-10-01"}}')
     assert {(r["window_id"], r["level"], r["enrolled"]) for r in files.read_enrolled(spark, str(tmp_path / "t.json")).collect()} == {("2024W", "bachelor", 10), ("2024W", "master", 5)}
     (tmp_path / "c.csv").write_bytes("ID,group,started,A\n1,Master_sample,5,1\n".encode("latin-1"))
     assert files.read_coded(spark, str(tmp_path / "c.csv"), ["A"]).first()["A"] == 1

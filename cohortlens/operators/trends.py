@@ -56,10 +56,10 @@ _STRUCT = "struct<candidate: string, tab: string, tier: int, kind: string, famil
 _USERS, _MESSAGES, _SESSIONS = "adoption-rate-active-users", "adoption-rate-messages", "adoption-rate-sessions"
 
 
-def candidate_grain(v: View) -> DataFrame:
-    """(monday, pseudonym, candidate, tab, tier, kind, family, grp, n, lo, hi): at user grain, how many messages each
-    predicate holds for, and how many sessions and registrations there are; lo and hi: the first and last message."""
-    m = spoken(v.rows, v)
+def candidate_rows(v: View, weeks: DataFrame) -> DataFrame:
+    """(term, pseudonym, candidate, tab, tier, kind, family, grp, n, lo, hi) in the weeks (term, monday): rows that say how
+    many messages a predicate holds for, or how many sessions or registrations there are; lo, hi: first and last message."""
+    m = spoken(v.rows, v).join(weeks, "monday")
     fixed = [
         F.when(F.col("dow") >= 6, F.struct(*_meta(F.lit("timing-weekend"), "timing", F.lit(2), "share", "timing_share"))),
         F.struct(*_meta(F.concat(F.lit("timing-"), cal.daypart(F.col("hour"))), "timing", F.lit(2), "share", "timing_share", F.lit("daypart"))),
@@ -67,14 +67,13 @@ def candidate_grain(v: View) -> DataFrame:
         F.struct(*_rate("messages", "volume_rate")), F.struct(*_rate("active-users", "people_rate")),
     ]
     every = F.filter(F.array(*fixed).cast(f"array<{_STRUCT}>"), lambda x: x.isNotNull())
-    hits = m.select("monday", "pseudonym", "n", "lo", "hi", F.explode(every).alias("c")).select("monday", "pseudonym", "c.*", "n", "lo", "hi")
+    hits = m.select("term", "pseudonym", "n", "lo", "hi", F.explode(every).alias("c")).select("term", "pseudonym", "c.*", "n", "lo", "hi")
     domain, code = F.col("domain"), F.col("code")
     tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
-    codes = topic_rows(v).filter(~((domain == "deductive") & code.isin(*LEFT_OUT))).select("monday", "pseudonym", *_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"), "n")
+    codes = topic_rows(v).filter(~((domain == "deductive") & code.isin(*LEFT_OUT))).join(weeks, "monday").select("term", "pseudonym", *_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"), "n")
     none = F.lit(None).cast("timestamp")
-    others = [rows.select("monday", "pseudonym", *_rate(name, family), "n") for rows, name, family in ((v.sess, "sessions", "volume_rate"), (v.reg, "registrations", "people_rate"))]
-    rows = reduce(DataFrame.unionByName, [hits, *[x.withColumns({"lo": none, "hi": none}) for x in (codes, *others)]])
-    return rows.groupBy("monday", "pseudonym", *_META).agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    others = [rows.join(weeks, "monday").select("term", "pseudonym", *_rate(name, family), "n") for rows, name, family in ((v.sess, "sessions", "volume_rate"), (v.reg, "registrations", "people_rate"))]
+    return reduce(DataFrame.unionByName, [hits, *[x.withColumns({"lo": none, "hi": none}) for x in (codes, *others)]])
 
 
 def session_spread(v: View) -> DataFrame:
@@ -100,7 +99,7 @@ def measure(v: View) -> Measured:
     trajectories are pairs and lists of terms. Both tables are as small as terms times candidates (and distinct values),
     and are written, so that the many uses of them repeat neither scans nor plans."""
     terms = v.win_week.join(v.win.filter("kind = 'semester'").select("window_id"), "window_id").select(F.col("window_id").alias("term"), "monday")
-    users = candidate_grain(v).join(terms, "monday").groupBy("term", *_META, "pseudonym").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    users = candidate_rows(v, terms).groupBy("term", *_META, "pseudonym").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     once = (F.datediff("hi", "lo") < 2) & (F.unix_micros("hi") - F.unix_micros("lo") <= 86_400_000_000)
     cells = users.groupBy("term", *_META).agg(F.sum("n").alias("num"), F.count(F.lit(1)).alias("n_users"), F.count_if(once).alias("once"))
     weeks = terms.groupBy("term").agg(F.count(F.lit(1)).alias("weeks"))
@@ -109,28 +108,34 @@ def measure(v: View) -> Measured:
 
 
 def sides(m: Measured, sets: DataFrame) -> DataFrame:
-    """(window_id, side, candidate.., num, den, n_users): one row for every share and rate and both sides.
+    """(window_id, side, candidate.., num, den, n_users): a row for every share and rate of a side that has it.
 
-    `sets` has (window_id, side, term). Users of a share are those of its numerator.
+    `sets` has (window_id, side, term). Users of a share are those of its numerator; what shares of messages are parts of
+    is the count of the rate of messages, which has every message.
     """
-    key = ["window_id", "side"]
-    hits = m.cells.join(sets, "term").drop("term")
-    # The rate of messages has every message, so its count is what shares are parts of.
-    total = hits.filter(F.col("candidate") == _MESSAGES).select(*key, F.col("num").alias("den"))
-    # A share that is absent on one side is zero there, if the side has messages at all.
-    ids = hits.filter("kind = 'share'").select("window_id", *_META).distinct()
-    shares = total.join(ids, "window_id").join(hits.select(*key, "candidate", "num", "n_users"), [*key, "candidate"], "left").select(*key, *_META, F.coalesce("num", F.lit(0)).alias("num"), "den", F.coalesce("n_users", F.lit(0)).alias("n_users"))
-    people = F.col("candidate") == _USERS
-    once = hits.filter(people).select(*key, *_meta(F.lit("adoption-one-time-share"), "adoption", F.lit(1), "share", "user_share"), F.col("once").alias("num"), F.col("n_users").alias("den"), F.col("once").alias("n_users"))
-    rates = hits.filter("kind = 'rate'").select(*key, *_META, F.when(people, F.col("n_users")).otherwise(F.col("num")).alias("num"), F.col("weeks").alias("den"), "n_users")
-    return shares.unionByName(once).unionByName(rates)
+    whole = F.max(F.when(F.col("candidate") == _MESSAGES, F.col("num"))).over(Window.partitionBy("window_id", "side"))
+    hits = m.cells.join(sets, "term").withColumn("whole", whole)
+    people, share = F.col("candidate") == _USERS, F.col("kind") == "share"
+    row = lambda meta, num, den, users: F.struct(*meta, num.cast("long").alias("num"), den.cast("long").alias("den"), users.cast("long").alias("n_users"))
+    own = [F.col(c) for c in _META]
+    own_row = row(own, F.when(people, F.col("n_users")).otherwise(F.col("num")), F.when(share, F.col("whole")).otherwise(F.col("weeks")), F.col("n_users"))
+    once = F.when(people, row(_meta(F.lit("adoption-one-time-share"), "adoption", F.lit(1), "share", "user_share"), F.col("once"), F.col("n_users"), F.col("once")))
+    kind = f"array<{_STRUCT[:-1]}, num: bigint, den: bigint, n_users: bigint>>"
+    every = F.filter(F.array(own_row, once).cast(kind), lambda x: x.isNotNull() & x["den"].isNotNull())
+    return hits.select("window_id", "side", F.explode(every).alias("c")).select("window_id", "side", "c.*")
 
 
 def evaluate_counts(rows: DataFrame) -> DataFrame:
-    """(window_id, candidate.., current, baseline, users_1, users_2, n_1, n_2, delta, effect, z) from both sides' counts."""
+    """(window_id, candidate.., current, baseline, users_1, users_2, n_1, n_2, delta, effect, z) from both sides' counts.
+    A share of messages that is absent on one side is zero there, if the side has messages at all."""
     key = ["window_id", *_META]
     one = F.col("side") == 1
     a = rows.groupBy("window_id", *_META).agg(*[F.max(F.when(one if i == 1 else ~one, F.col(c))).cast("double").alias(f"{c}_{i}") for c in ("num", "den", "n_users") for i in (1, 2)])
+    part = (F.col("kind") == "share") & (F.col("family") != "user_share")
+    for i in (1, 2):
+        there = F.max(F.when(part, F.col(f"den_{i}"))).over(Window.partitionBy("window_id"))
+        a = a.withColumn(f"den_{i}", F.when(part, there).otherwise(F.col(f"den_{i}")))
+        a = a.withColumns({c: F.when(part & F.col(f"den_{i}").isNotNull(), F.coalesce(c, F.lit(0.0))).otherwise(F.col(c)) for c in (f"num_{i}", f"n_users_{i}")})
     x1, n1, x2, n2 = (F.col(c) for c in ("num_1", "den_1", "num_2", "den_2"))
     share = F.col("kind") == "share"
     defined = F.when(share, (n1 > 0) & (n2 > 0)).otherwise((x1 > 0) & (x2 > 0))
@@ -163,8 +168,8 @@ def evaluate(v: View | Measured, floor: int, shapes: DataFrame | None = None) ->
     m = v if isinstance(v, Measured) else measure(v)
     sets = pairs(m.win)
     both = evaluate_counts(sides(m, sets)).unionByName(evaluate_medians(m, sets))
-    whole = (trajectories(m, floor) if shapes is None else shapes).select("candidate", F.lit("all_time").alias("window_id"))
-    kept = both.filter("window_id <> 'all_time'").unionByName(both.filter("window_id = 'all_time'").join(whole, ["window_id", "candidate"], "left_semi").select(both.columns))
+    whole = (trajectories(m, floor) if shapes is None else shapes).select("candidate", F.lit("all_time").alias("window_id"), F.lit(True).alias("whole"))
+    kept = both.join(whole, ["window_id", "candidate"], "left").filter("window_id <> 'all_time' or whole").select(both.columns)
     return kept.withColumn("p", stats.two_sided_p(F.col("z")))
 
 

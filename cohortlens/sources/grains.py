@@ -26,27 +26,32 @@ from ..operators import facts
 from .store import scratch
 
 _DIMS = "level string, dow int, hour int, lang string, domain string, code string, session_started long"
-GRAIN = f"pseudonym string, {_DIMS}, n long, first struct<local: timestamp, history_id: long, level: string>, lo timestamp, hi timestamp, monday date, batch string, kind string"
+GRAIN = f"pseudonym string, {_DIMS}, n long, lo timestamp, hi timestamp, monday date, batch string, kind string"
 FIRST = "pseudonym string, first_seen date, batch string"
 #: live: (batch, its last Monday) of what a reader has to read.
 LOG = "at timestamp, live array<struct<batch: string, through: date>>"
 _KEY = ["kind", "monday", "pseudonym", "level", "dow", "hour", "lang", "domain", "code", "session_started"]
 
 
-def week_grain(rows: DataFrame, v_language: DataFrame, positives: DataFrame) -> DataFrame:
-    """The grain of enriched messages with their level (`facts.with_level`)."""
-    codes = positives.groupBy("history_id").agg(F.collect_list(F.struct("domain", "code")).alias("codes"))
-    m = rows.join(v_language, "history_id", "left").join(codes, "history_id", "left")
+def marks(labels: DataFrame, label_version: str, language_version: str) -> DataFrame:
+    """(history_id, lang, codes): a message's language and codes, each of its version, from one pass over the labels."""
+    language, code = F.col("domain") == "language", F.col("code")
+    mine = labels.filter((F.col("value") == 1) & (F.col("label_version") == F.when(language, language_version).otherwise(label_version)))
+    return mine.groupBy("history_id").agg(F.max(F.when(language, code)).alias("lang"), F.collect_list(F.when(~language, F.struct("domain", "code"))).alias("codes"))
+
+
+def week_grain(rows: DataFrame, labelled: DataFrame) -> DataFrame:
+    """The grain of enriched messages with their level (`facts.with_level`); `labelled` is that of `marks`."""
+    m = rows.join(labelled, "history_id", "left")
     none = {name: F.lit(None).cast(kind) for name, kind in (c.split() for c in _DIMS.split(", "))}
 
     def key(kind: str, **own: Column) -> Column:
         return F.struct(F.lit(kind).alias("kind"), *[(own.get(name, none[name])).alias(name) for name in none])
 
-    fixed = F.array(key("hour", level=F.col("level"), dow=F.col("dow"), hour=F.col("hour"), lang=F.coalesce("lang", F.lit("undetermined"))), key("session", session_started=F.col("session_started")))
+    fixed = F.array(key("hour", level=F.col("level"), dow=F.col("dow"), hour=F.col("hour"), lang=F.coalesce("lang", F.lit("undetermined"))), key("session", level=F.col("level"), session_started=F.col("session_started")))
     topics = F.transform(F.coalesce("codes", F.array().cast("array<struct<domain: string, code: string>>")), lambda c: key("topic", level=F.col("level"), domain=c["domain"], code=c["code"]))
-    each = m.select("monday", "pseudonym", "history_id", "local", F.col("level").alias("own"), F.explode(F.concat(fixed, topics)).alias("k"))
-    each = each.select("monday", "pseudonym", "k.*", "local", F.struct("local", "history_id", F.col("own").alias("level")).alias("first"))
-    return each.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("first").alias("first"), F.min("local").alias("lo"), F.max("local").alias("hi"))
+    each = m.select("monday", "pseudonym", "local", F.explode(F.concat(fixed, topics)).alias("k")).select("monday", "pseudonym", "k.*", "local")
+    return each.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.min("local").alias("lo"), F.max("local").alias("hi"))
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -86,7 +91,7 @@ def update(corpus: facts.Corpus, folder: str, *, extracted: dt.date, axis_start:
     rows = new_weeks(corpus.messages, through, after)
     inside = rows.filter(F.col("day") >= F.lit(axis_start)) if axis_start else rows
     level = facts.with_level(inside, corpus.roster, F.to_date(cal.local(F.timestamp_millis("session_started"))))
-    grain = week_grain(level, facts.languages(corpus.labels, language_version), facts.positive_labels(corpus.labels, label_version))
+    grain = week_grain(level, marks(corpus.labels, label_version, language_version))
     _write(grain.hint("rebalance", "kind").sortWithinPartitions("kind", "monday"), f"{folder}/grain", batch, "kind")
     known = _first(spark, folder, kept).withColumnRenamed("first_seen", "known")
     mine = rows.groupBy("pseudonym").agg(F.min("day").alias("first_seen"))
@@ -106,10 +111,11 @@ def _first(spark: SparkSession, folder: str, batches: list[tuple[str, dt.date]])
 
 
 def sessions(parts: DataFrame) -> DataFrame:
-    """Whole sessions from their weeks' parts, in the week and level of their first message."""
-    s = parts.groupBy("pseudonym", "session_started").agg(F.min(F.struct("first", "monday")).alias("s"), F.sum("n").alias("n_messages"), ((F.unix_micros(F.max("hi")) - F.unix_micros(F.min("lo"))) / 60e6).alias("minutes"))
-    monday = F.col("s.monday")
-    return s.select("pseudonym", "session_started", monday.alias("monday"), cal.week_id(monday).alias("week"), F.col("s.first.level").alias("level"), "n_messages", "minutes", F.lit(1).alias("n"))
+    """Whole sessions from their weeks' parts, in the week of their first message. A session has one level, that of the
+    day on which it started."""
+    minutes = (F.unix_micros(F.max("hi")) - F.unix_micros(F.min("lo"))) / 60e6
+    s = parts.groupBy("pseudonym", "session_started", "level").agg(F.min("monday").alias("monday"), F.sum("n").alias("n_messages"), minutes.alias("minutes"))
+    return s.select("pseudonym", "session_started", "monday", cal.week_id(F.col("monday")).alias("week"), "level", "n_messages", "minutes", F.lit(1).alias("n"))
 
 
 def view(corpus: facts.Corpus, folder: str, *, extracted: dt.date, axis_start: dt.date | None = None, label_version: str = "v1", **_: object) -> facts.View:

@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Every vector is projected on Gaussian directions (p-stable for p = 2), shifted and cut into cells of one width, in
+Every vector is projected on Gaussian directions (p-stable for p = 2) and cut into cells of one width (shifts are 0), in
 several tables. A query visits the cells of a table in the order of their estimated probability to hold a near
 neighbour, until these add up to the wanted success; whatever lies there in any table is a candidate, and candidates
 are ranked by their exact inner product on the original vectors.

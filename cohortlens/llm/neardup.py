@@ -1,4 +1,5 @@
-"""Near-duplicate texts: five-word shingle sets with a Jaccard similarity of 0.8 or more, found without loss.
+"""Near-duplicate texts: five-word shingle sets with a Jaccard similarity of 0.8 or more, found but for the chance that
+the bound on fingerprints below states and that of equal 40-bit hashes of different shingles.
 
 SimHash alone can't give them: at a similarity of 0.8 the fingerprints of two texts differ in 15 % of their bits on
 average, too many for any equal segment to be certain. So pairs come from a prefix filter, which is exact, and SimHash with

@@ -15,9 +15,9 @@ from ..functions import stats, text
 from ..functions.cells import count_cells, floored
 from ..operators import guard, labels, sections, trends
 from ..operators.facts import View, levels_present
-from ..sources import files, ingest, store, versioned
+from ..sources import files, grains, ingest, store, versioned
 from . import document, section_queries
-from .corpora import EXTRACTED, LONG, SHORT, corpus, corpus_view, read, stored_view, view_sql
+from .corpora import EXTRACTED, LONG, SHORT, corpus, corpus_view, options, read, stored_view, view_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +136,20 @@ _add("trend_sufficient", _measured(lambda v: trends.sufficient(v, trends.assess(
 _add("trend_trajectories", _measured(lambda v: trends.trajectories(v, 5).select("candidate", F.explode("points").alias("x")).select("candidate", "x.term", "x.value", "x.n_users")),
      view_sql(LONG) + _PAIRS + _TRAJ + "SELECT candidate, term, value, n_users FROM tpoints JOIN whole USING (candidate) JOIN (SELECT DISTINCT side, term FROM tsets) USING (side)")
 
+
+def _two_runs(s: SparkSession, d: str) -> View:
+    """A view over a store that two runs have filled, the first up to the middle of the years."""
+    c, folder, own = corpus(s, d, LONG), store.scratch(s), options(LONG)
+    grains.update(c, folder, **own | {"extracted": dt.date(1998, 8, 6)})
+    grains.update(c, folder, **own)
+    return grains.view(c, folder, **own)
+
+
+_add("stored_grain", lambda s, d: _two_runs(s, d).rows.groupBy("week", "level", "lang", "dow", "hour").agg(F.sum("n").alias("n"), F.count_distinct("pseudonym").alias("users")),
+     view_sql(LONG) + "SELECT week, level, lang, dow, hour, count(*) AS n, count(DISTINCT pseudonym) AS users FROM msg GROUP BY ALL")
+_add("stored_sessions", lambda s, d: _two_runs(s, d).sess.select("pseudonym", "session_started", "week", "level", "n_messages", "minutes"), view_sql(LONG) + "SELECT pseudonym, session_started, week, level, n_messages, minutes FROM sess")
+_add("stored_retention", lambda s, d: sections.retention(_two_runs(s, d), 5), section_queries.ORACLES["retention"])
+
 _THROUGH = EXTRACTED[LONG] - dt.timedelta(days=EXTRACTED[LONG].weekday() + 1)
 RULES = ("suppressed_bare", "floor_respected", "no_recoverable_partition", "no_small_remainder", "heatmap_dense", "dayparts_dense", "weekly_dense", "dayparts_tile", "bins_ascend", "windows_resolve", "slices_contiguous", "profiles_ascend", "levels_known", "coverage_ordered", "trends")
 _add("guard_report", _stored(lambda v: document.report(v, 4, _THROUGH)), f"SELECT unnest({list(RULES)}) AS rule, 0 AS n")
@@ -203,7 +217,7 @@ _MCC = "CASE WHEN (tp + fp) * (tp + fn) * (tn + fp) * (tn + fn) > 0 THEN (CAST(t
 _add("label_agreement", lambda s, d: labels.agreement(_coded(s, d), "truth", "rule"), f"SELECT *, {_MCC} AS mcc FROM ({_AGREE})")
 _add("label_agreement_average", lambda s, d: labels.average_agreement(labels.agreement(_coded(s, d), "truth", "rule")), f"SELECT avg({_MCC}) AS mcc, count({_MCC}) AS codes FROM ({_AGREE})")
 _add("label_coverage", lambda s, d: labels.coverage(_coded(s, d).withColumn("provenance", F.concat("label_version", F.lit("-"), "code")), "truth", "rule"),
-     "SELECT (SELECT count(DISTINCT doc_id) FROM labels JOIN documents USING (doc_id)) AS messages, ['rule-quality', 'rule-toxic'] AS models")
+     "SELECT count(DISTINCT doc_id) AS messages, (SELECT list_sort(list(DISTINCT 'rule-' || code)) FROM (SELECT doc_id, unnest(['toxic', 'quality']) AS code FROM documents)) AS models FROM labels JOIN documents USING (doc_id)")
 _add("label_versions", lambda s, d: labels.versions(_coded(s, d)).join(_coded(s, d).groupBy("label_version").agg(F.count_distinct("history_id").alias("messages")), "label_version"),
      "SELECT 'truth' AS label_version, count(DISTINCT doc_id) AS messages FROM labels UNION ALL SELECT 'rule', count(DISTINCT doc_id) FROM documents")
 _add("label_pending", lambda s, d: labels.pending(read(s, d, "documents").select(F.col("doc_id").alias("history_id")), _coded(s, d), label_version="truth", domain="deductive"), "SELECT doc_id AS history_id FROM documents ANTI JOIN labels USING (doc_id)")
@@ -254,6 +268,10 @@ _add("parse_rejects", lambda s, d: labels.parse_binary(_responses(s, d), ("Quali
 _NUMBERS = "SELECT * FROM VALUES (1, 'theory'), (2, 'software'), (3, 'method') AS l(number, code)"
 _add("parse_numbers", lambda s, d: labels.parse_numbers(read(s, d, "events").select(F.col("event_id").alias("history_id"), F.when(F.col("event_id") % 4 == 0, "none").otherwise(F.concat(F.col("event_id") % 5, F.lit("; 3"))).alias("cell")), s.sql(_NUMBERS))[0],
      "SELECT event_id AS history_id, code FROM events, (VALUES (1, 'theory'), (2, 'software'), (3, 'method')) l(number, code) WHERE event_id % 4 <> 0 AND (number = 3 OR number = event_id % 5)")
+_add("parse_number_rejects", lambda s, d: labels.parse_numbers(read(s, d, "events").select(F.col("event_id").alias("history_id"), F.when(F.col("event_id") % 4 == 0, " None ").otherwise(F.concat(F.col("event_id") % 5, F.lit("; "), F.when(F.col("event_id") % 9 == 0, F.lit("x7")).otherwise(F.lit("3")))).alias("cell")), s.sql(_NUMBERS))[1],
+     "SELECT event_id AS history_id, unnest(list_filter([CAST(event_id % 5 AS VARCHAR), CASE WHEN event_id % 9 = 0 THEN 'x7' ELSE '3' END], lambda x: x NOT IN ('1', '2', '3'))) AS x FROM events WHERE event_id % 4 <> 0")
+_add("candidate_pending", lambda s, d: labels.pending(read(s, d, "events").select(F.col("event_id").alias("history_id")), labels.candidate_rows(read(s, d, "events").filter("event_id % 3 = 0").select(F.col("event_id").alias("history_id"), F.array("event_type").alias("codes")), "r1").unionByName(labels.candidate_rows(read(s, d, "events").filter("event_id % 5 = 0").select(F.col("event_id").alias("history_id"), F.array().cast("array<string>").alias("codes")), "r2")), run_id="r2"),
+     "SELECT event_id AS history_id FROM events WHERE event_id % 5 <> 0")
 _add("explicit_labels", lambda s, d: labels.explicit_labels(read(s, d, "events").select(F.col("event_id").alias("history_id")), s.sql(_NUMBERS), read(s, d, "events").filter("event_type = 'error'").select(F.col("event_id").alias("history_id"), F.lit("software").alias("code"))),
      "SELECT event_id AS history_id, code, CAST(event_type = 'error' AND code = 'software' AS INT) AS value FROM events, (SELECT unnest(['theory', 'software', 'method']) AS code)")
 _add("theme_faults", lambda s, d: labels.theme_faults(read(s, d, "nation").select(F.col("n_name").alias("code"), F.when(F.col("n_nationkey") > 0, F.col("n_name")).otherwise("").alias("description"))), "SELECT 'description' AS rule, count(*) AS n FROM nation WHERE n_nationkey = 0")

@@ -96,7 +96,34 @@ def update(corpus: facts.Corpus, folder: str, *, extracted: dt.date, axis_start:
     known = _first(spark, folder, kept).withColumnRenamed("first_seen", "known")
     mine = rows.groupBy("pseudonym").agg(F.min("day").alias("first_seen"))
     _write(mine.join(known, "pseudonym", "left").filter("known is null or first_seen < known").select("pseudonym", "first_seen"), f"{folder}/first", batch)
-    entry = spark.createDataFrame([([*kept, (batch, through)],)], "live array<struct<batch: string, through: date>>")
+    _log(spark, folder, [*kept, (batch, through)])
+
+
+def erase(spark: SparkSession, folder: str, pseudonym: str) -> int:
+    """Takes a user out of the store; gives the number of grain rows erased. Only batches that hold the user are written
+    anew, and what they replace is deleted."""
+    batches = live(spark, folder)
+    names = [b for b, _ in batches]
+    mine = (F.col("pseudonym") == pseudonym) & F.col("batch").isin(names)
+    hit = {r[0]: r[1] for r in _read(spark, f"{folder}/grain", GRAIN).filter(mine).groupBy("batch").agg(F.count(F.lit(1))).collect()}
+    old = set(hit) | {r[0] for r in _read(spark, f"{folder}/first", FIRST).filter(mine).select("batch").distinct().collect()}
+    renamed = {b: uuid.uuid4().hex for b in old}
+    for b, new in renamed.items():
+        others = (F.col("batch") == b) & (F.col("pseudonym") != pseudonym)
+        _write(_read(spark, f"{folder}/grain", GRAIN).filter(others).hint("rebalance", "kind").sortWithinPartitions("kind", "monday"), f"{folder}/grain", new, "kind")
+        _write(_read(spark, f"{folder}/first", FIRST).filter(others), f"{folder}/first", new)
+    if renamed:
+        _log(spark, folder, [(renamed.get(b, b), through) for b, through in batches])
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for b in old:
+        for top in ("grain", "first"):
+            gone = path(f"{folder}/{top}/batch={b}")
+            gone.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(gone, True)
+    return sum(hit.values())
+
+
+def _log(spark: SparkSession, folder: str, batches: list[tuple[str, dt.date]]) -> None:
+    entry = spark.createDataFrame([(batches,)], "live array<struct<batch: string, through: date>>")
     entry.select(F.current_timestamp().alias("at"), "live").coalesce(1).write.mode("append").parquet(f"{folder}/log")
 
 

@@ -99,6 +99,21 @@ def test_since_builds_batches_anew(spark, corpus, tmp_path):
     assert "bachelor" in {r["level"] for r in levels.filter("monday < '2026-02-23'").select("level").distinct().collect()}
 
 
+def test_erased_users_leave_the_store(spark, corpus, tmp_path):
+    folder, options = str(tmp_path / "store"), {"extracted": dt.date(2026, 4, 8), **OPTIONS}
+    for day in (dt.date(2026, 2, 25), dt.date(2026, 4, 8)):
+        grains.update(corpus, folder, **options | {"extracted": day})
+    old = grains.live(spark, folder)
+    rest = facts.Corpus(corpus.messages.filter("pseudonym <> 'u3'"), corpus.students.filter("pseudonym <> 'u3'"), corpus.roster, corpus.labels)
+    assert grains.erase(spark, folder, "u3") > 20 and grains.erase(spark, folder, "u3") == 0
+    new = grains.live(spark, folder)
+    assert [b[1] for b in new] == [b[1] for b in old] and not {b[0] for b in new} & {b[0] for b in old}
+    assert {p.name for p in (tmp_path / "store" / "grain").glob("batch=*")} == {f"batch={b[0]}" for b in new}
+    v, raw = grains.view(rest, folder, **options), facts.view(rest, **options)
+    rows = lambda t: sorted(map(str, t.select(sorted(t.columns)).collect()))
+    assert rows(sections.window_usage(v, 3)) == rows(sections.window_usage(raw, 3)) and rows(v.first_seen) == rows(raw.first_seen.join(v.first_seen.select("pseudonym"), "pseudonym"))
+
+
 def test_trends_read_no_message_twice(spark, tmp_path):
     """The grain takes one scan of the messages; what follows scans small tables only."""
     folder = str(tmp_path)

@@ -92,7 +92,8 @@ def update(corpus: facts.Corpus, folder: str, *, extracted: dt.date, axis_start:
     inside = rows.filter(F.col("day") >= F.lit(axis_start)) if axis_start else rows
     level = facts.with_level(inside, corpus.roster, F.to_date(cal.local(F.timestamp_millis("session_started"))))
     grain = week_grain(level, marks(corpus.labels, label_version, language_version))
-    _write(grain.hint("rebalance", "kind").sortWithinPartitions("kind", "monday"), f"{folder}/grain", batch, "kind")
+    # the aggregate's own partitions are written, as another shuffle would move the whole grain once more
+    _write(grain.sortWithinPartitions("kind", "monday"), f"{folder}/grain", batch, "kind")
     known = _first(spark, folder, kept).withColumnRenamed("first_seen", "known")
     mine = rows.groupBy("pseudonym").agg(F.min("day").alias("first_seen"))
     _write(mine.join(known, "pseudonym", "left").filter("known is null or first_seen < known").select("pseudonym", "first_seen"), f"{folder}/first", batch)
@@ -110,7 +111,7 @@ def erase(spark: SparkSession, folder: str, pseudonym: str) -> int:
     renamed = {b: uuid.uuid4().hex for b in old}
     for b, new in renamed.items():
         others = (F.col("batch") == b) & (F.col("pseudonym") != pseudonym)
-        _write(_read(spark, f"{folder}/grain", GRAIN).filter(others).hint("rebalance", "kind").sortWithinPartitions("kind", "monday"), f"{folder}/grain", new, "kind")
+        _write(_read(spark, f"{folder}/grain", GRAIN).filter(others).sortWithinPartitions("kind", "monday"), f"{folder}/grain", new, "kind")
         _write(_read(spark, f"{folder}/first", FIRST).filter(others), f"{folder}/first", new)
     if renamed:
         _log(spark, folder, [(renamed.get(b, b), through) for b, through in batches])

@@ -6,7 +6,8 @@ words' marginals, each a forward sum over all segmentations.
 
 Edge cases: null texts and texts without a letter are `und` with score 0; so is every text if nothing can be learned
 (no labelled row). Ties go to the language that sorts first. Rows of a null language are never learned from, but are
-predicted. Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored.
+predicted. Repeated rows give repeated rows; an empty table gives an empty result; other columns are ignored. Long texts
+are read whole, each distinct word once.
 """
 
 from __future__ import annotations

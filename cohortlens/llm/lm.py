@@ -10,7 +10,8 @@ sum to at most 1.
 
 Edge cases: null texts are empty and score as one end. Without rows to learn from, the vocabulary's own weights and an
 even chance of an end are used. A character that no piece holds is spelt by its bytes. Repeated rows give repeated
-rows; an empty table gives an empty result; other columns are ignored.
+rows; an empty table gives an empty result; other columns are ignored. Long texts are cut at words into blocks and their
+sums are joined again.
 """
 
 from __future__ import annotations

@@ -9,8 +9,9 @@ the chain's budgets, the last of which is the full Hamming check, within the joi
 ring turned to that start. `link_fingerprints` finds every link.
 
 Edge cases: null and empty texts, or ones without a word, have fingerprint 0. Texts of fewer words than a shingle are one
-shingle. Equal fingerprints are collapsed first, so copies cost no pairs. Repeated rows give repeated rows. An empty table
-gives an empty result; other columns are ignored or kept as they are.
+shingle. Equal fingerprints are collapsed first, so copies cost no pairs. Repeated rows give repeated rows. A row of a null
+id gets the smallest id of its component, and null where all ids in it are null. Long texts are hashed whole. An empty
+table gives an empty result; other columns, of whatever names, are ignored or kept as they are.
 """
 
 from __future__ import annotations

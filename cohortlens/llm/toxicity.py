@@ -14,7 +14,8 @@ part holds the prefixes that are significantly more frequent in its kind of text
 have the same common words behind it.
 
 Edge cases: null and empty texts are one empty window. Without both kinds of labelled text every score is 0. Repeated
-rows give repeated rows; an empty table gives an empty result; other columns are ignored. Rows without a label, or
+rows give repeated rows; an empty table gives an empty result; other columns are ignored. Long texts have more windows,
+and all are read. Rows without a label, or
 with one that is neither 0 nor 1, are never learned from. Several labels of one id count as rows of their own.
 """
 

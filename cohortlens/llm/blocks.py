@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import durable_table
 
 BLOCK_BYTES = 40_000_000
+#: Bytes of text that are split at a time. A block keeps numbers and distinct words only, so this bounds a worker's memory.
+SLICE_BYTES = 4_000_000
 #: place = block * WORDS + the word's number in its block; block = partition * BLOCKS + number in its partition.
 WORDS, BLOCKS = 1 << 28, 1 << 12
 BATCH = 65_536
@@ -58,44 +60,65 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             before = int(total[at - 1]) if at else 0
             stop = int(np.searchsorted(total, before + BLOCK_BYTES - size)) + 1
             full, stop = stop <= batch.num_rows, min(stop, batch.num_rows)
+            near = int(np.searchsorted(total, before + SLICE_BYTES)) + 1
+            full, stop = full and stop <= near, min(stop, near)
             yield batch.slice(at, stop - at), full
             size = 0 if full else size + int(total[stop - 1]) - before
             at = stop
 
 
+def unified(coded: list[pa.DictionaryArray]) -> tuple[pa.Array, list[np.ndarray]]:
+    """One dictionary, in the order of first appearance, and each array's numbers in it."""
+    chunks = pa.chunked_array(coded).unify_dictionaries().chunks
+    return chunks[0].dictionary, [c.indices.to_numpy() for c in chunks]
+
+
+def raw(texts: pa.Array) -> tuple[bytes, np.ndarray]:
+    """The bytes of all values, one after another, and where each begins and the last one ends; none may be null."""
+    if not len(texts):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, body = texts.buffers()
+    at = np.frombuffer(offsets, np.int64 if texts.type in (pa.large_string(), pa.large_binary()) else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    return body.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if body else b"", at.astype(np.int64) - at[0]
+
+
 def cut(batches: Iterator[pa.RecordBatch], split: Split, digest: Callable[[bytes], int] | None, refine: Refine | None = None) -> Iterator[Block]:
     """Blocks of the rows (id, text, learn); `refine` may cut a block's distinct words into parts."""
     numbers = itertools.count(TaskContext.get().partitionId() * BLOCKS)
     held: list[tuple] = []
 
     def block() -> Block:
-        ids, learn, digests, tokens, n = zip(*held, strict=True)
-        coded = pa.concat_arrays(tokens).dictionary_encode()
-        words, flat, n = coded.dictionary, coded.indices.to_numpy(), np.concatenate(n)
+        ids, learn, digests, tokens, n = map(list, zip(*held, strict=True))
+        held.clear()
+        words, flats = unified(tokens)
+        tokens.clear()
         if refine:
             words, parts, first = refine(words)
-            size = np.diff(first)[flat]
-            ends = np.cumsum(size)
-            at = np.repeat(first[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
-            n = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n)])])
-            flat = parts[at].astype(np.int32)
-        return Block(next(numbers), words, pa.concat_arrays(ids), np.concatenate(learn), list(itertools.chain(*digests)), n, flat)
+            first, uses = first[:-1], np.diff(first)
+            for i, flat in enumerate(flats):  # one slice after another, as this takes several numbers a word
+                size = uses[flat]
+                ends = np.cumsum(size)
+                at = np.repeat(first[flat] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+                n[i] = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n[i])])])
+                flats[i] = parts[at].astype(np.int32)
+        return Block(next(numbers), words, pa.concat_arrays(ids), np.concatenate(learn), list(itertools.chain(*digests)), np.concatenate(n), np.concatenate(flats))
 
     for batch, full in _slices(batches):
         texts = pc.fill_null(batch.column(1), "")
         words = split(texts)
         digests = [digest(t) for t in texts.cast(pa.binary()).to_pylist()] if digest else [0] * len(texts)
-        held.append((batch.column(0), pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False), digests, words.flatten(), pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)))
+        ids = pa.concat_arrays([batch.column(0).slice(0, 0), batch.column(0)])  # a copy, so that the batch and its texts can go
+        held.append((ids, pc.fill_null(batch.column(2), False).to_numpy(zero_copy_only=False), digests, words.flatten().dictionary_encode(), pc.fill_null(pc.list_value_length(words), 0).to_numpy().astype(np.int64)))
         if full:
             yield block()
-            held.clear()
     if held:
         yield block()
 
 
 def hashed(words: pa.Array) -> np.ndarray:
     """As Spark's xxhash64."""
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words.to_pylist()), np.uint64, len(words)).view(np.int64)
+    body, at = raw(words)
+    return np.fromiter((xxhash.xxh64_intdigest(body[a:b], 42) for a, b in itertools.pairwise(at.tolist())), np.uint64, len(words)).view(np.int64)
 
 
 def pack(columns: dict) -> bytes:
@@ -113,7 +136,7 @@ def unpack(body: bytes) -> pa.RecordBatch:
 
 def squeeze(numbers: np.ndarray) -> bytes:
     """Word numbers as four planes of bytes, compressed."""
-    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), 3)
+    return zstandard.compress(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).ravel(), 3)
 
 
 def unsqueeze(body: bytes) -> np.ndarray:
@@ -180,6 +203,15 @@ def gather(found: pa.Table, asked: pa.Table) -> tuple[pa.Table | None, pa.Record
     return table, body, unsqueeze(asked.column("tokens")[0].as_py()), at
 
 
+def stretches(at: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of documents that have `size` words at most, or one document each. at: where each document's words begin."""
+    a = 0
+    while a < len(at) - 1:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + size, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def join_back(found: DataFrame, asked: DataFrame, combine: Callable[[pa.Table | None, pa.RecordBatch, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
     def whole(left: pa.Table, right: pa.Table) -> pa.Table:
         return combine(*gather(left, right))

@@ -41,6 +41,8 @@ _MARK_BYTES = MARK.encode()
 _RUN = re.compile(" +[^ ]*|[^ ]+")
 #: Text whose distinct words make one task of the lattice: some 10,000 words, whose edges are sorted in memory.
 PART_CHARS = 1_500_000
+#: Words that are cut into parts at a time, and parts whose ids are joined to texts at a time (or one text's, if more).
+REFINED, JOINED = 1 << 16, 1 << 20
 #: Characters of a chunk, to which the longest piece's reach is added.
 CHUNK = 256
 #: First characters of a chunk that goes on, of a part's last chunk, and of other parts that begin with one of these.
@@ -88,11 +90,11 @@ def refiner(vocab: Vocabulary) -> blocks.Refine:
         raise ValueError("this vocabulary has pieces that span words")
     pairs, reach = np.array(sorted({ord(p[i]) << 21 | ord(p[i + 1]) for p in vocab.pieces for i in range(len(p) - 1)}), np.int64), _reach(vocab)
 
-    def refine(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    def cut(words: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
         bare = pc.or_(pc.equal(words, "\n"), pc.starts_with(words, PLAIN))
         texts = pc.if_else(bare, pc.replace_substring(words, PLAIN, "", max_replacements=1), pc.binary_join_element_wise(MARK, words, ""))
         length = pc.utf8_length(texts).to_numpy().astype(np.int64)
-        joined = b"".join(texts.cast(pa.binary()).to_pylist())
+        joined, _ = blocks.raw(texts)
         codes = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4").astype(np.int64)
         pair = np.concatenate([[0], codes[:-1] << 21 | codes[1:]])[: len(codes)]
         found = np.searchsorted(pairs, pair)
@@ -102,10 +104,12 @@ def refiner(vocab: Vocabulary) -> blocks.Refine:
         at = np.flatnonzero(begins)
         byte = np.concatenate([[0], np.cumsum(1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))])
         parts = pa.StringArray.from_buffers(len(at), pa.py_buffer(byte[np.append(at, len(codes))].astype(np.int32)), pa.py_buffer(joined))
-        n = np.bincount(np.repeat(np.arange(len(texts)), length)[at], minlength=len(texts))
-        first = np.concatenate([[0], np.cumsum(n)])
-        coded = parts.dictionary_encode()
-        distinct, number = coded.dictionary, coded.indices.to_numpy()
+        return parts.dictionary_encode(), np.bincount(np.repeat(np.arange(len(texts)), length)[at], minlength=len(texts))
+
+    def refine(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        coded, n = zip(*[cut(words[i : i + REFINED]) for i in range(0, max(1, len(words)), REFINED)], strict=True)
+        distinct, numbers = blocks.unified(list(coded))
+        number, first = np.concatenate(numbers), np.concatenate([[0], np.cumsum(np.concatenate(n))])
         odd = pc.or_(pc.greater(pc.utf8_length(distinct), CHUNK + reach), pc.match_substring_regex(distinct, f"^[{GOES_ON}{LAST}{OTHER}]"))
         if pc.any(odd).as_py():
             split_up = [_chunked(p, reach) for p in distinct.to_pylist()]
@@ -113,7 +117,7 @@ def refiner(vocab: Vocabulary) -> blocks.Refine:
             coded = pa.array([c for i in number.tolist() for c in split_up[i]], pa.string()).dictionary_encode()
             distinct, first = coded.dictionary, np.concatenate([[0], np.cumsum(size)])[first]
             number = coded.indices.to_numpy()
-        return distinct, number.astype(np.int64), first
+        return distinct, number, first
 
     return refine
 
@@ -291,13 +295,16 @@ def encode(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", v
         ids = table.column("ids").combine_chunks() if table else pa.array([], pa.list_(pa.int32()))
         if table and table.column("chunk").null_count < table.num_rows:
             ids, tokens, at = _joined(ids, table.column("chunk").combine_chunks(), tokens, at, byte_ids)
-        flat = ids.take(pa.array(tokens)).flatten()
-        ends = np.concatenate([[0], np.cumsum(np.diff(ids.offsets.to_numpy())[tokens])])[at]
-        out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-        spelt = pa.array(spell.value, pa.binary()).take(flat)
-        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), spelt), b"")
-        same = [xxhash.xxh64_intdigest(t[1:]) == d for t, d in zip(texts.to_pylist(), body.column("digest").to_pylist(), strict=True)]
-        return pa.table({"id": body.column("id"), "ids": out, "n_pieces": pa.array(np.diff(ends), pa.int64()), "round_trip": pa.array(same, pa.bool_())})
+        sizes, made, same = np.diff(ids.offsets.to_numpy()), [], []
+        for a, b in blocks.stretches(at, JOINED):
+            now = tokens[at[a] : at[b]]
+            flat = ids.take(pa.array(now)).flatten()
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes[now])])[at[a : b + 1] - at[a]], pa.int32())
+            made.append(pa.ListArray.from_arrays(ends, flat))
+            texts = pc.binary_join(pa.ListArray.from_arrays(ends, pa.array(spell.value, pa.binary()).take(flat)), b"")
+            same += [xxhash.xxh64_intdigest(t[1:]) == d for t, d in zip(texts.to_pylist(), body.column("digest")[a:b].to_pylist(), strict=True)]
+        found = pa.chunked_array(made, pa.list_(pa.int32()))
+        return pa.table({"id": body.column("id"), "ids": found, "n_pieces": pc.list_value_length(found).cast(pa.int64()), "round_trip": pa.array(same, pa.bool_())})
 
     schema = f"id {dict(docs.dtypes)[id_col]}, ids array<int>, n_pieces long, round_trip boolean"
     return blocks.join_back(found, blocks.doc_rows(rows, split, digest, refine), combine, schema).withColumnRenamed("id", id_col)

@@ -35,7 +35,11 @@ def count_cells(df: DataFrame, keys: list[str], user: str = "pseudonym", n: Colu
 
 def both_cells(df: DataFrame, keys: list[str], names: tuple[str, str] = ("messages", "active_users"), n: Column | None = None) -> DataFrame:
     """(keys, measure, value, n_users) of a count and of its users, from one aggregate at user grain."""
-    c = count_cells(df, keys, n=n)
+    return both_measures(count_cells(df, keys, n=n), keys, names)
+
+
+def both_measures(c: DataFrame, keys: list[str], names: tuple[str, str] = ("messages", "active_users")) -> DataFrame:
+    """(keys, measure, value, n_users): the value and the users of (keys, value, n_users) as two measures."""
     measures = F.array(*[F.struct(F.lit(name).alias("measure"), F.col(value).alias("value")) for name, value in zip(names, ("value", "n_users"), strict=True)])
     return c.select(*keys, "n_users", F.explode(measures).alias("m")).select(*keys, "m.measure", "m.value", "n_users")
 

@@ -48,10 +48,33 @@ def _meta(candidate: Column, tab: str, tier: Column, kind: str, family: str, gro
     return [candidate.alias("candidate"), F.lit(tab).alias("tab"), tier.alias("tier"), F.lit(kind).alias("kind"), F.lit(family).alias("family"), (F.lit(None).cast("string") if group is None else group).alias("grp")]
 
 
-def _rate(name: str, family: str) -> list[Column]:
+def rate_meta(name: str, family: str) -> list[Column]:
     return _meta(F.lit(f"adoption-rate-{name}"), "adoption", F.lit(3), "rate", family)
 
 
+def weekend_meta() -> list[Column]:
+    return _meta(F.lit("timing-weekend"), "timing", F.lit(2), "share", "timing_share")
+
+
+def timing_meta(part: Column) -> list[Column]:
+    return _meta(F.concat(F.lit("timing-"), part), "timing", F.lit(2), "share", "timing_share", F.lit("daypart"))
+
+
+def language_meta() -> list[Column]:
+    return _meta(F.concat(F.lit("language-"), F.col("lang")), "language", F.lit(3), "share", "language_share", F.lit("language"))
+
+
+def topic_meta() -> list[Column]:
+    domain, code = F.col("domain"), F.col("code")
+    tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
+    return _meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share")
+
+
+def named_codes(rows: DataFrame) -> DataFrame:
+    """Without the codes that are no topic of their own."""
+    return rows.filter(~((F.col("domain") == "deductive") & F.col("code").isin(*LEFT_OUT)))
+
+
 _STRUCT = "struct<candidate: string, tab: string, tier: int, kind: string, family: string, grp: string>"
 _USERS, _MESSAGES, _SESSIONS = "adoption-rate-active-users", "adoption-rate-messages", "adoption-rate-sessions"
 
@@ -61,18 +84,16 @@ def candidate_rows(v: View, weeks: DataFrame) -> DataFrame:
     many messages a predicate holds for, or how many sessions or registrations there are; lo, hi: first and last message."""
     m = spoken(v.rows, v).join(weeks, "monday")
     fixed = [
-        F.when(F.col("dow") >= 6, F.struct(*_meta(F.lit("timing-weekend"), "timing", F.lit(2), "share", "timing_share"))),
-        F.struct(*_meta(F.concat(F.lit("timing-"), cal.daypart(F.col("hour"))), "timing", F.lit(2), "share", "timing_share", F.lit("daypart"))),
-        F.when(F.col("lang").isin("de", "en"), F.struct(*_meta(F.concat(F.lit("language-"), F.col("lang")), "language", F.lit(3), "share", "language_share", F.lit("language")))),
-        F.struct(*_rate("messages", "volume_rate")), F.struct(*_rate("active-users", "people_rate")),
+        F.when(F.col("dow") >= 6, F.struct(*weekend_meta())),
+        F.struct(*timing_meta(cal.daypart(F.col("hour")))),
+        F.when(F.col("lang").isin("de", "en"), F.struct(*language_meta())),
+        F.struct(*rate_meta("messages", "volume_rate")), F.struct(*rate_meta("active-users", "people_rate")),
     ]
     every = F.filter(F.array(*fixed).cast(f"array<{_STRUCT}>"), lambda x: x.isNotNull())
     hits = m.select("term", "pseudonym", "n", "lo", "hi", F.explode(every).alias("c")).select("term", "pseudonym", "c.*", "n", "lo", "hi")
-    domain, code = F.col("domain"), F.col("code")
-    tier = F.when(domain.isin("method_theme", "emergent_theme"), 1).when(domain == "software_theme", 2).when(code.isin(*TOP_CATEGORIES), 1).when(code.isin(*LOW_CATEGORIES), 3).otherwise(2)
-    codes = topic_rows(v).filter(~((domain == "deductive") & code.isin(*LEFT_OUT))).join(weeks, "monday").select("term", "pseudonym", *_meta(F.concat_ws("-", F.lit("topics"), domain, code), "topics", tier, "share", "topic_share"), "n")
+    codes = named_codes(topic_rows(v)).join(weeks, "monday").select("term", "pseudonym", *topic_meta(), "n")
     none = F.lit(None).cast("timestamp")
-    others = [rows.join(weeks, "monday").select("term", "pseudonym", *_rate(name, family), "n") for rows, name, family in ((v.sess, "sessions", "volume_rate"), (v.reg, "registrations", "people_rate"))]
+    others = [rows.join(weeks, "monday").select("term", "pseudonym", *rate_meta(name, family), "n") for rows, name, family in ((v.sess, "sessions", "volume_rate"), (v.reg, "registrations", "people_rate"))]
     return reduce(DataFrame.unionByName, [hits, *[x.withColumns({"lo": none, "hi": none}) for x in (codes, *others)]])
 
 
@@ -80,7 +101,7 @@ def session_spread(v: View) -> DataFrame:
     """(monday, candidate, x, n): how many sessions of a week have which number of messages and minutes."""
     one = lambda name, x: F.struct(F.lit(name).alias("candidate"), x.cast("double").alias("x"))
     measures = F.array(one("engagement-messages-per-session", F.col("n_messages")), one("engagement-session-duration", F.col("minutes")))
-    return v.sess.select("monday", F.explode(measures).alias("m")).select("monday", "m.*").groupBy("monday", "candidate", "x").agg(F.count(F.lit(1)).alias("n"))
+    return v.sess.select("monday", "n", F.explode(measures).alias("m")).select("monday", "m.*", "n").groupBy("monday", "candidate", "x").agg(F.sum("n").alias("n"))
 
 
 @dataclass(frozen=True)

@@ -9,37 +9,39 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.calendar import DAYPARTS
-from ..operators import guard, sections, trends
+from ..operators import guard, sections, tallies, trends
 from ..operators.facts import LANGUAGES, View, levels_present, values
+from ..operators.tallies import Tallies
 from ..sources import files
 
 HISTOGRAMS = ("user_messages", "user_weeks", "session_messages", "session_minutes")
 SUMMARIES = ("user_messages_summary", "session_minutes_summary")
 
 
-def build(v: View, floor: int) -> dict[str, DataFrame]:
-    """Section name -> long table."""
-    users, sess, keys = sections.per_user_rows(v), sections.session_rows(v), ["window_id", "level"]
-    windows, findings = trends.section(v, floor)
+def build(v: View | Tallies, floor: int) -> dict[str, DataFrame]:
+    """Section name -> long table. A view is tallied first."""
+    t = v if isinstance(v, Tallies) else tallies.tally(v)
+    v, found = t.view, tallies.cells(t)
+    windows, findings = trends.section(tallies.measured(t), floor)
     return {
         "windows": v.win,
-        "weekly_activity": sections.weekly_activity(v, floor),
-        "weekly_registrations": sections.weekly_registrations(v, floor),
-        "weekly_language": sections.weekly_language(v, floor),
-        "usage": sections.window_usage(v, floor),
-        "retention": sections.retention(v, floor),
-        "classes": sections.user_classes(v, floor),
-        "heatmap": sections.hour_heatmap(v, floor),
-        "dayparts": sections.dayparts(v, floor),
-        "languages": sections.language_totals(v, floor),
-        "topics": sections.topics(v, floor),
-        "profile": sections.semester_profile(v, floor),
-        "user_messages": sections.histogram(users, keys, "messages", sections.MESSAGE_BINS, floor),
-        "user_weeks": sections.histogram(users, keys, "weeks", sections.SESSION_BINS, floor),
-        "session_messages": sections.histogram(sess, keys, "n_messages", sections.SESSION_BINS, floor),
-        "session_minutes": sections.histogram(sess, keys, "minutes", sections.MINUTE_BINS, floor),
-        "user_messages_summary": sections.summary(users, keys, "messages", floor),
-        "session_minutes_summary": sections.summary(sess, keys, "minutes", floor, with_mean=False),
+        "weekly_activity": sections.weekly_activity(v, floor, found["weekly_activity"]),
+        "weekly_registrations": sections.weekly_registrations(v, floor, found["weekly_registrations"]),
+        "weekly_language": sections.weekly_language(v, floor, found["weekly_language"]),
+        "usage": sections.window_usage(v, floor, found["usage"]),
+        "retention": sections.retention(v, floor, found["retention"]),
+        "classes": sections.user_classes(v, floor, found["classes"]),
+        "heatmap": sections.hour_heatmap(v, floor, found["heatmap"]),
+        "dayparts": sections.dayparts(v, floor, found["dayparts"]),
+        "languages": sections.language_totals(v, floor, found["languages"]),
+        "topics": sections.topics(v, floor, found["topics"]),
+        "profile": sections.semester_profile(v, floor, found["profile"]),
+        "user_messages": tallies.user_histogram(t, "messages", sections.MESSAGE_BINS, floor),
+        "user_weeks": tallies.user_histogram(t, "weeks", sections.SESSION_BINS, floor),
+        "session_messages": tallies.session_histogram(t, "messages", "n_messages", sections.SESSION_BINS, floor),
+        "session_minutes": tallies.session_histogram(t, "minutes", "minutes", sections.MINUTE_BINS, floor),
+        "user_messages_summary": tallies.user_summary(t, floor),
+        "session_minutes_summary": tallies.session_summary(t, floor),
         "trends": windows,
         "findings": findings,
     }
@@ -86,7 +88,8 @@ def rules(tables: dict[str, DataFrame], v: View, floor: int, through: dt.date, e
 def report(v: View, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> DataFrame:
     """The rules over the document as it would be written. Its tables, each as small as the calendar times a few levels,
     are kept in memory, as several rules read each."""
-    return rules({name: t.persist() for name, t in build(v, floor).items()}, v, floor, through, enrolled)
+    found = tallies.tally(v)
+    return rules({name: t.persist() for name, t in build(found, floor).items()}, found.view, floor, through, enrolled)
 
 
 def write(tables: dict[str, DataFrame], folder: str, floor: int) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -105,7 +108,8 @@ def write(tables: dict[str, DataFrame], folder: str, floor: int) -> tuple[dict[s
 def publish(v: View, folder: str, version: str, floor: int, through: dt.date, enrolled: DataFrame | None = None) -> None:
     """Every section is written once, the rules that rows show are counted in that write, and the others on what was
     written. If all are kept, the document is rendered, and only then does the pointer name the version."""
-    tables, observed = write(build(v, floor), f"{folder}/sections/{version}", floor)
-    guard.require_clean(rules(tables, v, floor, through, enrolled, observed))
+    found = tallies.tally(v)
+    tables, observed = write(build(found, floor), f"{folder}/sections/{version}", floor)
+    guard.require_clean(rules(tables, found.view, floor, through, enrolled, observed))
     files.render_document(tables, f"{folder}/document/{version}")
     files.publish(tables["windows"], folder, version)

@@ -73,7 +73,8 @@ def midranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def mann_whitney(df: DataFrame, keys: list[str], side: str, value: str, n: str | None = None) -> DataFrame:
     """(keys, n1, n2, u, z, effect) for side 1 against side 2: normal approximation with tie and continuity correction,
-    rank-biserial effect; z is 0 without variance. A row counts once, or as often as its column `n` says."""
+    rank-biserial effect; z is 0 without variance, and the effect null where a side has no row. A row counts once, or as
+    often as its column `n` says."""
     one, times = F.col(side) == 1, F.col(n) if n else F.lit(1)
     by = df.groupBy(*keys, value).agg(F.sum(F.when(one, times).otherwise(0)).alias("c1"), F.sum(F.when(~one, times).otherwise(0)).alias("c2")).withColumn("ties", F.col("c1") + F.col("c2"))
     t = F.col("ties").cast("double")
@@ -82,10 +83,10 @@ def mann_whitney(df: DataFrame, keys: list[str], side: str, value: str, n: str |
     n1, n2 = F.col("n1"), F.col("n2")
     both = n1 + n2
     u = F.col("r1") - n1 * (n1 + 1) / 2
-    var = n1 * n2 / 12 * (both + 1 - F.col("tied") / (both * (both - 1)))
+    var = F.when((n1 > 0) & (n2 > 0), n1 * n2 / 12 * (both + 1 - F.col("tied") / (both * (both - 1))))
     d = u - n1 * n2 / 2
     z = F.when(var > 0, F.signum(d) * F.greatest(F.abs(d) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(0.0)
-    return sums.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"), (2 * u / (n1 * n2) - 1).alias("effect"))
+    return sums.select(*keys, "n1", "n2", u.alias("u"), z.alias("z"), F.when((n1 > 0) & (n2 > 0), 2 * u / (n1 * n2) - 1).alias("effect"))
 
 
 def benjamini_hochberg(df: DataFrame, keys: list[str], p: str, order: str, q: str = "q") -> DataFrame:

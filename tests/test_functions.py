@@ -33,6 +33,14 @@ def test_mann_whitney(spark, a, b, u, z):
         assert r["effect"] == -1
 
 
+@pytest.mark.parametrize("rows", [[(1, 3.0)], [(2, 3.0)], [(1, 3.0), (1, 4.0)], [(2, 3.0), (2, 3.0)]])
+def test_mann_whitney_of_one_side(spark, rows):
+    """A side without rows has no effect, and none is divided by."""
+    df = spark.createDataFrame([("k", *r) for r in rows] + [("l", 1, 1.0), ("l", 2, 2.0)], "k string, side int, x double")
+    got = {r["k"]: (r["z"], r["effect"]) for r in stats.mann_whitney(df, ["k"], "side", "x").collect()}
+    assert got == {"k": (0.0, None), "l": (pytest.approx(0.0), -1.0)}
+
+
 def test_erfc(spark):
     for x in (-3.0, -0.5, 0.0, 0.3, 1.7, 4.0):
         assert one(spark, stats.erfc(F.lit(x)))[0] == pytest.approx(math.erfc(x), rel=2e-7)

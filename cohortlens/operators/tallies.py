@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
 from ..functions.cells import both_measures
-from ..sources.store import settled
+from ..sources.store import settled, tasks
 from . import sections, trends
 from .facts import LANGUAGES, View, by_level, in_windows, spoken, topic_rows
 
@@ -27,6 +27,8 @@ FLAGS = (*LANGUAGES, *[f"messages {i}" for i in range(len(sections.SESSION_BINS)
 SHAPES = (*[("grid", d, p) for d in range(1, 8) for p in PARTS], *[("daypart", 0, p) for p in PARTS], *[("span", 0, s) for s in SPANS])
 #: Bits a column of a mask that needs several: of the hours of a week, and of codes.
 HOURS, CODES = 56, 62
+#: Rows that a task deals out.
+ROWS = 400_000
 
 
 @dataclass(frozen=True)
@@ -104,11 +106,11 @@ def _buckets(v: View) -> DataFrame:
     return mine.unionByName(v.axis.select("monday", F.col("monday").cast("string").alias("bucket"), F.lit(False).alias("whole"), F.col("monday").alias("opens"), F.date_add("monday", 6).alias("closes")))
 
 
-def _users(v: View, codes: DataFrame, n_codes: int) -> DataFrame:
+def _users(v: View, codes: DataFrame, n_codes: int, n_tasks: int) -> DataFrame:
     """(bucket, level, kind, mark, n_users)"""
     heat, topic = [f"hours {i}" for i in range(168 // HOURS)], [f"codes {i}" for i in range(-(-n_codes // CODES))]
     every = F.when(F.col("level").isin("", "all"), F.array("level")).otherwise(F.array(F.lit("all"), "level"))
-    e = _events(v, codes).repartition("pseudonym").withColumn("level", F.explode(every))
+    e = _events(v, codes).repartition(n_tasks, "pseudonym").withColumn("level", F.explode(every))
     at, dow = F.col("at"), F.floor(F.col("at") / 24).cast("int")
     day, part = F.date_add("monday", dow), _place(cal.daypart(F.col("at") % 24), PARTS)
     shapes = [_bit(dow * len(PARTS) + part), _bit(F.lit(7 * len(PARTS)) + part), _bit(F.lit(8 * len(PARTS)) + F.when(dow >= 5, 1).otherwise(0))]
@@ -153,7 +155,8 @@ def tally(v: View) -> Tallies:
     spread = settled(v.sess.groupBy("monday", "level", "n_messages", "minutes").agg(F.sum("n").alias("n")))
     names = topics.select("domain", "code").distinct().orderBy("domain", "code").collect()  # as short as the list of codes
     codes = v.win.sparkSession.createDataFrame([(*r, i) for i, r in enumerate(names)], "of_domain string, of_code string, at int")
-    users = settled(_users(v, codes, len(names)))
+    n_rows = sum(t.agg(F.sum("n")).first()[0] or 0 for t in (hours, topics, spread))
+    users = settled(_users(v, codes, len(names), tasks(v.win.sparkSession, n_rows, ROWS)))
     numbered = topics.join(F.broadcast(codes), F.col("domain").eqNullSafe(F.col("of_domain")) & F.col("code").eqNullSafe(F.col("of_code"))).drop("of_domain", "of_code")
     codes_known = settled(v.positives.select("domain", "code").distinct())
     rows = hours.withColumn("week", cal.week_id(F.col("monday")))

@@ -2,7 +2,7 @@
 
 One table has all that sections and trends count, a row a week and user. Kinds are `hour` (a user's messages by level,
 weekday, hour and language), `topic` (by level and code) and `session` (the part of a session that lies in the week). All
-of them come from one scan and one shuffle of the messages of new weeks. A run writes a partition of its own, the batch,
+of them come from one scan of the messages of new weeks, which are counted first, so that tasks are of one size. A run writes a partition of its own, the batch,
 which holds the weeks that are new to the store, and then a line of the log that names the batches to read; so a reader
 finds the last whole state, and a run that failed leaves nothing that counts. First days of users are a table of minima,
 to which a batch adds only the users that it moves forward.
@@ -23,13 +23,15 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions import calendar as cal
 from ..operators import facts
-from .store import scratch
+from .store import scratch, tasks
 
 _DIMS = "level string, dow int, hour int, lang string, domain string, code string, session_started long"
 GRAIN = f"pseudonym string, {_DIMS}, n long, lo timestamp, hi timestamp, monday date, batch string, kind string"
 FIRST = "pseudonym string, first_seen date, batch string"
 #: live: (batch, its last Monday) of what a reader has to read.
 LOG = "at timestamp, live array<struct<batch: string, through: date>>"
+#: Messages a task sums up.
+MESSAGES = 150_000
 _KEY = ["kind", "monday", "pseudonym", "level", "dow", "hour", "lang", "domain", "code", "session_started"]
 
 
@@ -40,9 +42,12 @@ def marks(labels: DataFrame, label_version: str, language_version: str) -> DataF
     return mine.groupBy("history_id").agg(F.max(F.when(language, code)).alias("lang"), F.collect_list(F.when(~language, F.struct("domain", "code"))).alias("codes"))
 
 
-def week_grain(rows: DataFrame, labelled: DataFrame) -> DataFrame:
-    """The grain of enriched messages with their level (`facts.with_level`); `labelled` is that of `marks`."""
-    m = rows.join(labelled, "history_id", "left")
+def week_grain(rows: DataFrame, labelled: DataFrame, roster: DataFrame, n_tasks: int) -> DataFrame:
+    """The grain of enriched messages; `labelled` is that of `marks`. Labels come first, as they go by message; then a
+    message is dealt out by user once, before it becomes several rows, and level and grain need no further shuffle."""
+    marked = rows.select("history_id", "pseudonym", "session_started", "local", "monday", "dow", "hour").join(labelled, "history_id", "left").drop("history_id")
+    # both sides, as Spark would else take the number of tasks of the one that has none of its own
+    m = facts.with_level(marked.repartition(n_tasks, "pseudonym"), roster.repartition(n_tasks, "pseudonym"), F.to_date(cal.local(F.timestamp_millis("session_started"))))
     none = {name: F.lit(None).cast(kind) for name, kind in (c.split() for c in _DIMS.split(", "))}
 
     def key(kind: str, **own: Column) -> Column:
@@ -90,8 +95,7 @@ def update(corpus: facts.Corpus, folder: str, *, extracted: dt.date, axis_start:
     batch = uuid.uuid4().hex
     rows = new_weeks(corpus.messages, through, after)
     inside = rows.filter(F.col("day") >= F.lit(axis_start)) if axis_start else rows
-    level = facts.with_level(inside, corpus.roster, F.to_date(cal.local(F.timestamp_millis("session_started"))))
-    grain = week_grain(level, marks(corpus.labels, label_version, language_version))
+    grain = week_grain(inside, marks(corpus.labels, label_version, language_version), corpus.roster, tasks(spark, inside.count(), MESSAGES))
     # the aggregate's own partitions are written, as another shuffle would move the whole grain once more
     _write(grain.sortWithinPartitions("kind", "monday"), f"{folder}/grain", batch, "kind")
     known = _first(spark, folder, kept).withColumnRenamed("first_seen", "known")

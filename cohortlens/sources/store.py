@@ -26,3 +26,9 @@ def settled(df: DataFrame) -> DataFrame:
     path = scratch(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def tasks(spark: SparkSession, rows: int, each: int) -> int:
+    """How many tasks share `rows` rows, about `each` a task, so that a task's groups fit its memory at any size; not fewer
+    than a shuffle has anyway."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
